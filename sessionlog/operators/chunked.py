@@ -21,10 +21,15 @@ def _chunk(order_col: str, chunk_rows: int):
 
 
 def lag_across(df: DataFrame, key: str, order_col: str, cols: Sequence[str], chunk_rows: int,
-               prefix: str = "prev_") -> DataFrame:
-    """Add ``prev_<c>``: the value of ``c`` on the previous row of the same key."""
+               prefix: str = "prev_", single_chunk: bool = False) -> DataFrame:
+    """Add ``prev_<c>``: the value of ``c`` on the previous row of the same key.
+
+    ``single_chunk=True`` (caller checked ``max(order_col) < chunk_rows``) skips the carries.
+    """
     d = df.withColumn("_lc", _chunk(order_col, chunk_rows))
     w = Window.partitionBy(key, "_lc").orderBy(order_col)
+    if single_chunk:
+        return d.select(*df.columns, *[F.lag(c).over(w).alias(f"{prefix}{c}") for c in cols])
     d = d.select("*", F.row_number().over(w).alias("_lrn"),
                  *[F.lag(c).over(w).alias(f"_l_{c}") for c in cols])
     last = d.groupBy(key, "_lc").agg(*[F.max_by(c, order_col).alias(f"_z_{c}") for c in cols])
@@ -40,11 +45,14 @@ def lag_across(df: DataFrame, key: str, order_col: str, cols: Sequence[str], chu
     return out
 
 
-def cumsum_across(df: DataFrame, key: str, order_col: str, value_col: str, out: str, chunk_rows: int) -> DataFrame:
+def cumsum_across(df: DataFrame, key: str, order_col: str, value_col: str, out: str, chunk_rows: int,
+                  single_chunk: bool = False) -> DataFrame:
     """Add ``out`` = running sum of ``value_col`` (inclusive) along ``order_col``."""
     d = df.withColumn("_sc", _chunk(order_col, chunk_rows))
     w = Window.partitionBy(key, "_sc").orderBy(order_col).rowsBetween(UNB, Window.currentRow)
     d = d.withColumn("_sl", F.sum(value_col).over(w))
+    if single_chunk:
+        return d.select(*df.columns, F.col("_sl").cast("bigint").alias(out))
     tot = d.groupBy(key, "_sc").agg(F.sum(value_col).alias("_st"))
     cw = Window.partitionBy(key).orderBy("_sc").rowsBetween(UNB, -1)
     offs = tot.select(key, "_sc", F.sum("_st").over(cw).alias("_so")).filter(F.col("_so").isNotNull())

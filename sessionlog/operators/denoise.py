@@ -29,19 +29,23 @@ from pyspark.sql import functions as F
 
 from sessionlog.config import ExecConfig, FilterConfig
 from sessionlog.operators.chunked import cumsum_across, lag_across
+from sessionlog.operators.scan import spans_chunks
 from sessionlog.operators.sequence import ordinal_within
+from sessionlog.spark import materialize as materialize_df
 
 DECISION_COLUMNS = ["session_id", "seq", "island", "kept", "reason", "flush_seq"]
 
 
-def _islands(events: DataFrame, cfg: FilterConfig, exe: ExecConfig) -> DataFrame:
+def _islands(events: DataFrame, cfg: FilterConfig, exe: ExecConfig, single: bool) -> DataFrame:
     vis = events.filter((F.col("type") == "cursor_move") | F.col("type").isin(*cfg.triggers)).select(
         "session_id", "seq", "ts_us", "type", (F.col("type") == "cursor_move").alias("is_cur"))
-    v = lag_across(vis, "session_id", "seq", ["ts_us"], exe.chunk_rows)
+    v = lag_across(vis, "session_id", "seq", ["ts_us"], exe.chunk_rows, single_chunk=single)
     start = (F.col("prev_ts_us").isNull() | ~F.col("is_cur")
              | (F.col("ts_us") - F.col("prev_ts_us") >= F.lit(cfg.debounce_us)))
     v = v.withColumn("_s", start.cast("int"))
-    return cumsum_across(v, "session_id", "seq", "_s", "island", exe.chunk_rows).drop("_s")
+    v = cumsum_across(v, "session_id", "seq", "_s", "island", exe.chunk_rows, single_chunk=single).drop("_s")
+    # islands feed the size check, the folds and the decisions: write them once
+    return materialize_df(v, "islands")
 
 
 def _fold_small(rows: DataFrame, cfg: FilterConfig) -> DataFrame:
@@ -102,7 +106,7 @@ def _fold_large(rows: DataFrame, cfg: FilterConfig, exe: ExecConfig, rounds: int
 def cursor_decisions(events: DataFrame, cfg: FilterConfig = FilterConfig(), exe: ExecConfig = ExecConfig()) -> DataFrame:
     """Every cursor move with ``kept``, ``reason`` (idle / trigger / end / NULL
     when superseded) and ``flush_seq`` (seq of the event that flushed it)."""
-    v = _islands(events, cfg, exe)
+    v = _islands(events, cfg, exe, single=not spans_chunks(events, exe.chunk_rows))
     # island summaries plus what follows each island (reported back by the next island's first row)
     tail = F.struct(F.col("seq").alias("seq"), F.col("ts_us").alias("ts"), F.col("type").alias("type"))
     recs = F.array(

@@ -11,6 +11,9 @@ so the pass works on chunks ``(session_id, seq div chunk_rows)``:
    (no new exchange of rows) keeps a handful of values per chunk;
 3. *carry table* - running windows over the chunk summaries (one row per
    chunk, so tiny) give each chunk what flows in from its predecessors;
+   With ``materialize`` (default) the local pass is persisted for steps 2-4
+   and the result is written once to the shared checkpoint folder, so all
+   consumers read it without another exchange of events.
 4. *fix-up* - carries are joined back on ``(session_id, _chunk)``.  Only
    chunks after the first have a carry row, so the table holds at most
    ``rows / chunk_rows`` rows; AQE turns the join into a broadcast when its
@@ -31,22 +34,34 @@ Columns added (all global over the session, whatever the chunking):
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlog.config import AggregationConfig, ExecConfig
+from sessionlog.spark import materialize as materialize_df
 
 UNB = Window.unboundedPreceding
 
 SCAN_COLUMNS = ["prev_ts_us", "gap_us", "trig", "block_reason", "block_no", "active_file", "run_no"]
 
 
+def spans_chunks(events: DataFrame, chunk_rows: int) -> bool:
+    """True when some session reaches past its first chunk (one scalar aggregate)."""
+    top = events.agg(F.max("seq")).first()[0]
+    return top is not None and top >= chunk_rows
+
+
 def with_chunk(events: DataFrame, chunk_rows: int) -> DataFrame:
     return events.withColumn("_chunk", F.floor(F.col("seq") / F.lit(chunk_rows)).cast("bigint"))
 
 
 def scan(events: DataFrame, agg: AggregationConfig = AggregationConfig(),
-         exe: ExecConfig = ExecConfig()) -> DataFrame:
+         exe: ExecConfig = ExecConfig(), materialize: bool = True) -> DataFrame:
+    """Run the chunked pass.  With ``materialize`` the local pass is kept
+    (memory and disk) while the fixed-up result is written once as parquet in
+    the shared checkpoint folder; every consumer then reads that table instead
+    of re-running windows and re-shuffling the events."""
     merge = F.lit(agg.merge_window_us)
     d = with_chunk(events, exe.chunk_rows)
     is_edit = F.col("type") == "file_edit"
@@ -94,6 +109,16 @@ def scan(events: DataFrame, agg: AggregationConfig = AggregationConfig(),
         F.sum(F.coalesce(F.col("_rstart_l"), F.lit(False)).cast("int")).over(run).alias("_runs_l"),
     )
 
+    if not spans_chunks(events, exe.chunk_rows):
+        # every session fits in its first chunk: nothing flows between chunks
+        out = _fixup(d, None, events.columns, is_edit)
+        return materialize_df(out, "scan") if materialize else out
+
+    if materialize:
+        # the local pass feeds both the chunk summaries and the fix-up join:
+        # keep it for the duration of the write below instead of shuffling twice
+        d = d.persist(StorageLevel.MEMORY_AND_DISK)
+
     # 2. chunk summaries --------------------------------------------------
     summ = d.groupBy("session_id", "_chunk").agg(
         F.sum(is_trig.cast("int")).alias("n_trig"),
@@ -155,14 +180,27 @@ def scan(events: DataFrame, agg: AggregationConfig = AggregationConfig(),
         "fe_reason", "fnc_start", "starts_off", "runs_off",
     )
 
-    # 4. fix-up -------------------------------------------------------------
-    j = d.join(carry, ["session_id", "_chunk"], "left")
+    out = _fixup(d, carry, events.columns, is_edit)
+    if materialize:
+        out = materialize_df(out, "scan")
+        d.unpersist()
+    return out
+
+
+def _fixup(d: DataFrame, carry: DataFrame | None, columns, is_edit) -> DataFrame:
+    """Step 4: add the carries (absent when every session fits in one chunk)."""
+    if carry is None:
+        carry_cols = {"_has_carry": "boolean", "trig_off": "bigint", "carry_ts": "bigint", "carry_file": "string",
+                      "fe_reason": "string", "fnc_start": "boolean", "starts_off": "bigint", "runs_off": "bigint"}
+        j = d.select("*", *[F.lit(None).cast(t).alias(c) for c, t in carry_cols.items()])
+    else:
+        j = d.join(carry, ["session_id", "_chunk"], "left")
     has = F.col("_has_carry").isNotNull()
     fe_start = F.when(has, F.col("fe_reason").isNotNull()).otherwise(F.lit(True))
     fnc_start = F.when(has, F.coalesce(F.col("fnc_start"), F.lit(False))).otherwise(F.lit(True))
     prev_ts = F.coalesce(F.col("_prev_ts_l"), F.col("carry_ts"))
     out = j.select(
-        *events.columns,
+        *columns,
         prev_ts.alias("prev_ts_us"),
         (F.col("ts_us") - prev_ts).alias("gap_us"),
         (F.col("_trig_l") + F.coalesce(F.col("trig_off"), F.lit(0))).cast("bigint").alias("trig"),

@@ -8,27 +8,41 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionlog.spark import ensure_checkpoint_dir
+from sessionlog.spark import materialize as materialize_df
 
 
 def assign_seq(df: DataFrame, key: str, order_cols: Sequence[str], out: str = "seq",
-               materialize: bool = True) -> DataFrame:
+               materialize: bool = True, max_group_rows: int = 1 << 20) -> DataFrame:
     """0-based position of each row inside its ``key`` group in ``order_cols`` order.
 
     Equal to ``row_number() over (partition by key order by order_cols) - 1``
     when ``(key, order_cols)`` is unique, but computed without a window over the
     whole group: a range exchange on the full sort key spreads a hot group over
     many partitions, each partition counts its share of every group, and a small
-    per-(group, partition) offset table stitches the counts together.  The
-    partition-tagged rows are checkpointed (reliable checkpoint in
-    ``spark.checkpoint.dir``) so retries after executor loss see the same tags.
+    per-(group, partition) offset table (broadcast by AQE when small) stitches
+    the counts together.
+
+    The partition-tagged rows are persisted so the offset table and the final
+    join read the same tags; with ``materialize`` the sequenced table is written
+    once under the shared checkpoint folder and read back (lineage cut).
+
+    When no group exceeds ``max_group_rows`` (checked with one partial-aggregated
+    count) a plain ``row_number`` window is used: every window partition is then
+    bounded, and it saves the sampling job and the offset join.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [key, *order_cols]
+    biggest = df.groupBy(key).count().agg(F.max("count")).first()[0]
+    if biggest is None or biggest <= max_group_rows:
+        w = Window.partitionBy(key).orderBy(*order_cols)
+        res = df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
+        return materialize_df(res, "seq") if materialize else res
+    # explicit partition count: AQE never coalesces this exchange, so tags are stable
     tagged = (
         df.repartitionByRange(n, *keys)
         .sortWithinPartitions(*keys)
@@ -36,16 +50,19 @@ def assign_seq(df: DataFrame, key: str, order_cols: Sequence[str], out: str = "s
         .withColumn("_mono", F.monotonically_increasing_id())
     )
     if materialize:
-        ensure_checkpoint_dir(spark)
-        tagged = tagged.checkpoint(eager=True)
+        tagged = tagged.persist(StorageLevel.MEMORY_AND_DISK)
     spans = tagged.groupBy(key, "_part").agg(F.min("_mono").alias("_mono0"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    return (
+    res = (
         tagged.join(spans.select(key, "_part", "_mono0", "_off"), [key, "_part"])
         .withColumn(out, (F.col("_mono") - F.col("_mono0") + F.col("_off")).cast("bigint"))
         .drop("_part", "_mono", "_mono0", "_off")
     )
+    if materialize:
+        res = materialize_df(res, "seq")
+        tagged.unpersist()
+    return res
 
 
 def ordinal_within(df: DataFrame, keys: Sequence[str], order_col: str, out: str, chunk_rows: int) -> DataFrame:

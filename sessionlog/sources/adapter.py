@@ -27,7 +27,7 @@ from sessionlog.operators.sequence import assign_seq
 from sessionlog.schema import EVENT_COLUMNS
 
 
-def canonical_from_driver(raw: DataFrame, materialize: bool = True) -> DataFrame:
+def canonical_from_driver(raw: DataFrame, materialize: bool = True, max_group_rows: int = 1 << 20) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     et = F.col("event_type")
     typ = (
@@ -68,13 +68,14 @@ def canonical_from_driver(raw: DataFrame, materialize: bool = True) -> DataFrame
         F.lit(None).cast("bigint").alias("prev_line"),
         F.lit(None).cast("bigint").alias("prev_column"),
     )
-    d = assign_seq(d, "session_id", ["ts_us", "event_id"], materialize=materialize)
+    d = assign_seq(d, "session_id", ["ts_us", "event_id"], materialize=materialize, max_group_rows=max_group_rows)
     return d.select(*EVENT_COLUMNS)
 
 
-def load_driver_events(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
+def load_driver_events(spark: SparkSession, sf_dir: str, materialize: bool = True,
+                       max_group_rows: int = 1 << 20) -> DataFrame:
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return canonical_from_driver(raw, materialize=materialize)
+    return canonical_from_driver(raw, materialize=materialize, max_group_rows=max_group_rows)
 
 
 # The same mapping as a DuckDB/ANSI SQL view, for the oracle side.

@@ -13,6 +13,7 @@ def get_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -44,3 +45,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="sessionlog-ckpt-", dir=os.environ.get("SESSIONLOG_SCRATCH", "/tmp"))
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir()
+
+
+def materialize(df, name: str = "stage"):
+    """Write ``df`` once as parquet under the shared checkpoint folder and read it back.
+
+    This cuts the lineage like ``checkpoint()`` but keeps the data columnar, so
+    later consumers read only the columns they use.  The folder is unique per
+    call; on a cluster it lives in ``spark.checkpoint.dir`` (shared storage).
+    """
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
