@@ -34,18 +34,27 @@ from sessionlog.operators.sequence import ordinal_within
 from sessionlog.spark import materialize as materialize_df
 
 DECISION_COLUMNS = ["session_id", "seq", "island", "kept", "reason", "flush_seq"]
+# ``flush_seq`` of a move committed after the last event of the log
+END_OF_LOG = 1 << 60
 
 
 def _islands(events: DataFrame, cfg: FilterConfig, exe: ExecConfig, single: bool) -> DataFrame:
-    vis = events.filter((F.col("type") == "cursor_move") | F.col("type").isin(*cfg.triggers)).select(
+    """All events with ``island`` (visible rows: their island; other rows: the
+    island of the last visible row before them, 0 if none) and ``visible``."""
+    visible = (F.col("type") == "cursor_move") | F.col("type").isin(*cfg.triggers)
+    vis = events.filter(visible).select(
         "session_id", "seq", "ts_us", "type", (F.col("type") == "cursor_move").alias("is_cur"))
     v = lag_across(vis, "session_id", "seq", ["ts_us"], exe.chunk_rows, single_chunk=single)
     start = (F.col("prev_ts_us").isNull() | ~F.col("is_cur")
              | (F.col("ts_us") - F.col("prev_ts_us") >= F.lit(cfg.debounce_us)))
-    v = v.withColumn("_s", start.cast("int"))
-    v = cumsum_across(v, "session_id", "seq", "_s", "island", exe.chunk_rows, single_chunk=single).drop("_s")
+    v = v.select("session_id", "seq", "ts_us", "type", "is_cur", start.cast("int").alias("_s"),
+                 F.lit(True).alias("visible"))
+    other = events.filter(~visible).select("session_id", "seq", "ts_us", "type", F.lit(False).alias("is_cur"),
+                                           F.lit(0).alias("_s"), F.lit(False).alias("visible"))
+    allr = cumsum_across(v.unionByName(other), "session_id", "seq", "_s", "island", exe.chunk_rows,
+                         single_chunk=single).drop("_s")
     # islands feed the size check, the folds and the decisions: write them once
-    return materialize_df(v, "islands")
+    return materialize_df(allr, "islands")
 
 
 def _fold_small(rows: DataFrame, cfg: FilterConfig) -> DataFrame:
@@ -105,8 +114,11 @@ def _fold_large(rows: DataFrame, cfg: FilterConfig, exe: ExecConfig, rounds: int
 
 def cursor_decisions(events: DataFrame, cfg: FilterConfig = FilterConfig(), exe: ExecConfig = ExecConfig()) -> DataFrame:
     """Every cursor move with ``kept``, ``reason`` (idle / trigger / end / NULL
-    when superseded) and ``flush_seq`` (seq of the event that flushed it)."""
-    v = _islands(events, cfg, exe, single=not spans_chunks(events, exe.chunk_rows))
+    when superseded) and ``flush_seq``: the event the move is recorded just
+    before (the flushing trigger, or for an idle commit the first later event
+    past the timer deadline; ``END_OF_LOG`` when none follows)."""
+    allr = _islands(events, cfg, exe, single=not spans_chunks(events, exe.chunk_rows))
+    v = allr.filter(F.col("visible")).drop("visible")
     # island summaries plus what follows each island (reported back by the next island's first row)
     tail = F.struct(F.col("seq").alias("seq"), F.col("ts_us").alias("ts"), F.col("type").alias("type"))
     recs = F.array(
@@ -142,9 +154,22 @@ def cursor_decisions(events: DataFrame, cfg: FilterConfig = FilterConfig(), exe:
     kept_last = d.select(
         "session_id", F.col("last_cur").alias("seq"), "island", reason.alias("reason"),
         F.when(~expired & nx.isNotNull() & (nx["type"] != "cursor_move"), nx["seq"]).alias("flush_seq"),
+        (F.col("anchor") + F.lit(cfg.idle_us)).alias("deadline"), nx["seq"].alias("next_seq"),
     )
     if cfg.idle_commit == "drop":
         kept_last = kept_last.withColumn("reason", F.when(F.col("reason") != "idle", F.col("reason")))
+    # an idle commit happens when the timer fires: before the first later event past the deadline
+    idle = kept_last.filter(F.col("reason") == "idle").select(
+        "session_id", "island", F.col("seq").alias("m_seq"), "deadline")
+    late = (allr.filter(~F.col("visible")).select("session_id", "island", "seq", "ts_us")
+            .join(idle, ["session_id", "island"])
+            .filter((F.col("seq") > F.col("m_seq")) & (F.col("ts_us") > F.col("deadline")))
+            .groupBy("session_id", "island").agg(F.min("seq").alias("late_seq")))
+    kept_last = kept_last.join(late, ["session_id", "island"], "left").withColumn(
+        "flush_seq",
+        F.when(F.col("reason") == "idle", F.coalesce(F.col("late_seq"), F.col("next_seq"), F.lit(END_OF_LOG)))
+        .otherwise(F.col("flush_seq")),
+    ).drop("late_seq", "next_seq", "deadline")
     cur = v.filter(F.col("is_cur")).select("session_id", "seq", "island")
     out = cur.join(kept_last, ["session_id", "seq", "island"], "left")
     return out.select("session_id", "seq", "island", F.col("reason").isNotNull().alias("kept"), "reason",
@@ -154,9 +179,10 @@ def cursor_decisions(events: DataFrame, cfg: FilterConfig = FilterConfig(), exe:
 def cursor_filter(events: DataFrame, cfg: FilterConfig = FilterConfig(), exe: ExecConfig = ExecConfig()) -> DataFrame:
     """The denoised log: all non-cursor events plus surviving moves, re-sequenced.
 
-    A move flushed by a trigger or the session end is placed just before that
-    event (where the recorder appends it); an idle-committed move keeps its
-    own position.  ``seq`` is renumbered densely from 0.
+    A kept move is placed just before its ``flush_seq`` event (where the recorder
+    appends it; idle commits where the timer fires), or at its own position
+    when it is flushed at the end of a log without a session end.  ``seq`` is
+    renumbered densely from 0.
     """
     dec = cursor_decisions(events, cfg, exe).filter(F.col("kept")).select("session_id", "seq", "flush_seq")
     cols = events.columns

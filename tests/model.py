@@ -114,25 +114,29 @@ def timeline(evs):
     return [(k, r["type"], r["first"], r["last"], r["n"]) for k, r in enumerate(out, 1)]
 
 
+END_OF_LOG = 1 << 60
+
+
 def cursor_filter(evs, cfg: FilterConfig):
-    """Returns {index of kept move: (reason, flush index or None)} using event ts as the clock."""
+    """Returns {index of kept move: (reason, index of the event it is recorded
+    before, or END_OF_LOG / None)} using event ts as the clock."""
     kept = {}
     last = None
     pending = None
     deadline = None
 
-    def fire_until(t):
+    def fire_until(t, i):
         nonlocal pending, deadline
         if deadline is not None and t > deadline:
             if pending is not None:
-                kept[pending] = ("idle", None)
+                kept[pending] = ("idle", i)
             pending, deadline = None, None
 
     for i, e in enumerate(evs):
         typ = e["type"]
+        fire_until(e["ts"], i)  # the timer runs whatever arrives
         if typ != "cursor_move" and typ not in cfg.triggers:
             continue
-        fire_until(e["ts"])
         if typ in cfg.triggers:
             if pending is not None:
                 kept[pending] = ("end" if typ == "session_end" else "trigger", i)
@@ -147,7 +151,7 @@ def cursor_filter(evs, cfg: FilterConfig):
         last = e["ts"]
         deadline = e["ts"] + cfg.idle_us
     if pending is not None:
-        kept[pending] = ("idle", None) if deadline is not None else ("end", None)
+        kept[pending] = ("idle", END_OF_LOG) if deadline is not None else ("end", None)
     if cfg.idle_commit == "drop":
         kept = {k: v for k, v in kept.items() if v[0] != "idle"}
     return kept
