@@ -8,7 +8,7 @@ oracle.  Parameters are the adapter-scaled ones from ``ADAPTER_AGG``.
 
 from __future__ import annotations
 
-from sessionlog.config import ADAPTER_AGG
+from sessionlog.config import ADAPTER_AGG, ADAPTER_FILTER
 from sessionlog.sources.adapter import ORACLE_EVENTS_CTE
 
 A = ADAPTER_AGG
@@ -203,6 +203,66 @@ state2 AS (
 )"""
 
 
+FC = ADAPTER_FILTER
+DEB, CIDLE = FC.debounce_us, FC.idle_us
+TRIGS = ", ".join(f"'{t}'" for t in FC.triggers)
+END_OF_LOG = 1 << 60
+
+CURSOR = f"""
+vis AS (
+  SELECT session_id, seq, ts_us, type, type = 'cursor_move' AS is_cur,
+         lag(ts_us) OVER (PARTITION BY session_id ORDER BY seq) AS p_ts
+  FROM ev WHERE type = 'cursor_move' OR type IN ({TRIGS})
+),
+isl AS (
+  SELECT *, sum(CASE WHEN p_ts IS NULL OR NOT is_cur OR ts_us - p_ts >= {DEB} THEN 1 ELSE 0 END)
+              OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS island
+  FROM vis
+),
+fold AS (
+  SELECT session_id, island, min(seq) AS first_seq, max(CASE WHEN is_cur THEN seq END) AS last_cur,
+         list_reduce(list({{'a': ts_us, 'armed': is_cur, 't': ts_us}} ORDER BY seq),
+                     lambda acc, x: {{'a': CASE WHEN x.t - acc.a >= {DEB} THEN x.t ELSE acc.a END,
+                                      'armed': acc.armed OR x.t - acc.a >= {DEB}, 't': x.t}}) AS f
+  FROM isl GROUP BY session_id, island
+),
+nx AS (
+  SELECT f.*, lead(first_seq) OVER (PARTITION BY session_id ORDER BY island) AS n_seq FROM fold f
+),
+dec0 AS (
+  SELECT nx.session_id, nx.last_cur AS seq, nx.n_seq, v.type AS n_type, nx.f.a + {CIDLE} AS deadline,
+         CASE WHEN nx.f.armed AND (nx.n_seq IS NULL OR v.ts_us - nx.f.a > {CIDLE}) THEN 'idle'
+              WHEN nx.n_seq IS NULL OR v.type = 'session_end' THEN 'end'
+              WHEN v.type <> 'cursor_move' THEN 'trigger' END AS reason
+  FROM nx LEFT JOIN vis v ON v.session_id = nx.session_id AND v.seq = nx.n_seq
+  WHERE nx.last_cur IS NOT NULL
+),
+late AS (
+  SELECT d.session_id, d.seq, min(e.seq) AS late_seq
+  FROM dec0 d JOIN ev e ON e.session_id = d.session_id AND e.seq > d.seq
+       AND (d.n_seq IS NULL OR e.seq < d.n_seq) AND e.ts_us > d.deadline
+  WHERE d.reason = 'idle'
+  GROUP BY d.session_id, d.seq
+),
+kept AS (
+  SELECT d.session_id, d.seq, d.reason,
+         CASE WHEN d.reason = 'idle' THEN coalesce(l.late_seq, d.n_seq, {END_OF_LOG})
+              WHEN d.reason IN ('trigger', 'end') THEN d.n_seq END AS flush_seq
+  FROM dec0 d LEFT JOIN late l USING (session_id, seq)
+  WHERE d.reason IS NOT NULL
+),
+denoised AS (
+  SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY pos) - 1 AS BIGINT) AS seq,
+         type, ts_us, changed_tick
+  FROM (
+    SELECT session_id, seq * 2 + 1 AS pos, type, ts_us, changed_tick FROM ev WHERE type <> 'cursor_move'
+    UNION ALL
+    SELECT e.session_id, coalesce(k.flush_seq * 2, e.seq * 2 + 1) AS pos, e.type, e.ts_us, e.changed_tick
+    FROM ev e JOIN kept k USING (session_id, seq)
+  ) u
+)"""
+
+
 def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(p.strip() for p in (ORACLE_EVENTS_CTE, *parts))
 
@@ -269,4 +329,67 @@ SELECT s.session_id, CAST(s.total_events AS BIGINT) AS total_events,
        CAST(coalesce(c.error_corrections, 0) AS BIGINT) AS error_corrections
 FROM spine s LEFT JOIN vel v USING (session_id) LEFT JOIN idl i USING (session_id)
 LEFT JOIN focus_ratio f USING (session_id) LEFT JOIN cor c USING (session_id)""",
+    "cursor_filter": _with(CURSOR) + "\nSELECT session_id, seq, reason, CAST(flush_seq AS BIGINT) AS flush_seq FROM kept",
+    "denoised_log": _with(CURSOR) + "\nSELECT * FROM denoised",
+    "top_files": _with(BASE, FOCUS) + """,
+ranked AS (
+  SELECT f.session_id, f.filename, f.seconds, s.distraction_seconds,
+         row_number() OVER (PARTITION BY f.session_id ORDER BY f.seconds DESC, f.filename) AS rank
+  FROM focus f JOIN focus_sum s USING (session_id) WHERE NOT f.distraction
+)
+SELECT session_id, CAST(rank AS BIGINT) AS rank, filename,
+       CASE WHEN coalesce(filename, '') = '' THEN '.'
+            WHEN regexp_replace(filename, '/+$', '') = '' THEN '/'
+            ELSE regexp_extract(regexp_replace(filename, '/+$', ''), '[^/]*$') END AS base,
+       seconds,
+       round(CASE WHEN distraction_seconds + seconds = 0 THEN NULL
+                  ELSE CAST(seconds AS DOUBLE) / CAST(distraction_seconds + seconds AS DOUBLE) * 100 END, 9) AS pct_vs_distraction
+FROM ranked WHERE rank <= 10""",
+    "report_blocks": _with(BASE, BLOCKS) + """
+SELECT b.session_id, b.block_no, b.start_us, b.filename, b.closed_by,
+       CAST(greatest(m.n - 50, 0) AS BIGINT) AS more_blocks
+FROM blocks b JOIN (SELECT session_id, count(*) AS n FROM blocks GROUP BY session_id) m USING (session_id)
+WHERE b.block_no <= 50""",
+    "flow_block_ordinals": _with(BASE, BLOCKS) + f"""
+SELECT session_id, block_no, CAST(row_number() OVER (PARTITION BY session_id ORDER BY block_no) AS BIGINT) AS ordinal
+FROM blocks WHERE velocity > 0 AND velocity >= {FLOW}""",
+    "idle_gap_ordinals": _with(BASE, GAPS) + """
+SELECT session_id, end_seq, CAST(row_number() OVER (PARTITION BY session_id ORDER BY end_seq) AS BIGINT) AS ordinal
+FROM gaps""",
+    "correction_ordinals": _with(CORRECTIONS) + """
+SELECT session_id, seq, CAST(row_number() OVER (PARTITION BY session_id ORDER BY seq) AS BIGINT) AS ordinal
+FROM corr""",
+    "timeline_counts": _with(TIMELINE) + """
+SELECT session_id, CAST(count(*) AS BIGINT) AS timeline_entries FROM tl GROUP BY session_id""",
+    "store_events": _with() + """
+SELECT session_id, seq, type, ts_us AS "timestamp", nullif(filename, '') AS filename, nullif(line, 0) AS line,
+       nullif("column", 0) AS "column", nullif(line_count, 0) AS line_count, nullif(changed_tick, 0) AS changed_tick,
+       nullif(file_type, '') AS file_type, nullif(message, '') AS message, nullif(level, '') AS level,
+       nullif(command, '') AS command, nullif(note, '') AS note, nullif(prev_line, 0) AS prev_line,
+       nullif(prev_column, 0) AS prev_column
+FROM ev""",
+    "captured_events": _with() + """
+SELECT session_id, seq, type FROM ev
+WHERE type <> 'lsp_diagnostic'
+  AND CASE WHEN type IN ('file_edit', 'file_open') THEN coalesce(filename, '') <> ''
+           WHEN type = 'annotation' THEN coalesce(note, '') <> '' ELSE true END""",
+    "note_search": _with() + """
+SELECT session_id, seq, note FROM ev WHERE type = 'annotation' AND regexp_matches(note, '(?i)(fix|debug)')""",
+    "conversation_error_notes": f"""
+SELECT conv_id, turn FROM conversations WHERE {KEYWORDS.replace("note", "text")}""",
+    "cursor_cap": _with() + """
+SELECT session_id, seq, type FROM (
+  SELECT session_id, seq, type,
+         row_number() OVER (PARTITION BY session_id, type = 'cursor_move' ORDER BY seq) AS r
+  FROM ev) x
+WHERE type <> 'cursor_move' OR r <= 5""",
+    "command_log": _with() + """
+SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY ts_us, changed_tick) - 1 AS BIGINT) AS seq,
+       type, ts_us,
+       CASE WHEN type IN ('file_edit', 'cursor_move', 'file_open', 'lsp_diagnostic') THEN nullif(filename, '') END AS filename,
+       nullif(line, 0) AS line, nullif("column", 0) AS "column", nullif(line_count, 0) AS line_count,
+       CASE WHEN type = 'file_edit' THEN nullif(changed_tick, 0) END AS changed_tick,
+       nullif(note, '') AS note, nullif(command, '') AS command, nullif(file_type, '') AS file_type,
+       nullif(message, '') AS message, nullif(level, '') AS level
+FROM ev WHERE type IN ('file_edit', 'terminal_command', 'cursor_move', 'file_open', 'lsp_diagnostic', 'annotation')""",
 }

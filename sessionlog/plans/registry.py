@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlog.config import ADAPTER_AGG, ExecConfig
+from sessionlog.config import ADAPTER_AGG, ADAPTER_FILTER, ExecConfig
+from sessionlog.functions.scalar import has_error_keyword
 from sessionlog.operators.analytics import session_analytics
 from sessionlog.operators.blocks import BLOCK_COLUMNS, activity_blocks, flow_blocks, velocity_metrics
 from sessionlog.operators.corrections import error_corrections
@@ -84,6 +85,112 @@ def q_session_analytics(spark, sf_dir):
     return a.withColumn("avg_velocity", F.round("avg_velocity", 9))
 
 
+def q_cursor_filter(spark, sf_dir):
+    """Surviving cursor moves with reason and the event they are recorded before."""
+    from sessionlog.operators.denoise import cursor_decisions
+    d = cursor_decisions(_ev(spark, sf_dir), ADAPTER_FILTER, EXE)
+    return d.filter(F.col("kept")).select("session_id", "seq", "reason", "flush_seq")
+
+
+def q_denoised_log(spark, sf_dir):
+    """The re-sequenced log after the cursor filter."""
+    from sessionlog.operators.denoise import cursor_filter
+    return cursor_filter(_ev(spark, sf_dir), ADAPTER_FILTER, EXE).select("session_id", "seq", "type", "ts_us",
+                                                                        "changed_tick")
+
+
+def q_top_files(spark, sf_dir):
+    from sessionlog.operators.topk import top_files
+    t = top_files(file_focus(_ev(spark, sf_dir), ADAPTER_AGG, EXE), ADAPTER_AGG, EXE)
+    return t.withColumn("pct_vs_distraction", F.round("pct_vs_distraction", 9))
+
+
+def q_report_blocks(spark, sf_dir):
+    """First 50 blocks per session and how many blocks follow them."""
+    from sessionlog.operators.topk import report_blocks
+    first, more = report_blocks(activity_blocks(_ev(spark, sf_dir), ADAPTER_AGG, EXE), ADAPTER_AGG)
+    return first.select("session_id", "block_no", "start_us", "filename", "closed_by").join(more, "session_id")
+
+
+def q_flow_block_ordinals(spark, sf_dir):
+    from sessionlog.operators.topk import with_ordinal
+    fb = flow_blocks(activity_blocks(_ev(spark, sf_dir), ADAPTER_AGG, EXE), ADAPTER_AGG)
+    return with_ordinal(fb, "block_no", EXE).select("session_id", "block_no", "ordinal")
+
+
+def q_idle_gap_ordinals(spark, sf_dir):
+    from sessionlog.operators.topk import with_ordinal
+    g = idle_gaps(_ev(spark, sf_dir), ADAPTER_AGG, EXE)
+    return with_ordinal(g, "end_seq", EXE).select("session_id", "end_seq", "ordinal")
+
+
+def q_correction_ordinals(spark, sf_dir):
+    from sessionlog.operators.topk import with_ordinal
+    c = error_corrections(_ev(spark, sf_dir), ADAPTER_AGG, EXE)
+    return with_ordinal(c, "seq", EXE).select("session_id", "seq", "ordinal")
+
+
+def q_timeline_counts(spark, sf_dir):
+    from sessionlog.operators.topk import timeline_entry_counts
+    return timeline_entry_counts(timeline(_ev(spark, sf_dir), ADAPTER_AGG, EXE))
+
+
+def q_store_events(spark, sf_dir):
+    """Relational-store projection: 15 recorder columns, ''/0 stored as NULL, as epoch micros."""
+    from sessionlog.sinks.store import store_events
+    from sessionlog.functions.scalar import epoch_us
+    st = store_events(_ev(spark, sf_dir))
+    return st.withColumn("timestamp", epoch_us(F.col("timestamp"), st.schema["timestamp"].dataType))
+
+
+def q_captured_events(spark, sf_dir):
+    """Capture filters with diagnostics switched off."""
+    from sessionlog.sources.command_log import apply_capture_filters
+    return apply_capture_filters(_ev(spark, sf_dir), lsp_diagnostics=False).select("session_id", "seq", "type")
+
+
+def q_note_search(spark, sf_dir):
+    """Annotations whose note matches a regular expression."""
+    from sessionlog.operators.search import search_notes
+    return search_notes(_ev(spark, sf_dir), "(?i)(fix|debug)").select("session_id", "seq", "note")
+
+
+def q_conversation_error_notes(spark, sf_dir):
+    """Error-keyword search over the conversations table (second text input)."""
+    conv = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conv.filter(has_error_keyword(F.col("text"), ADAPTER_AGG.error_keywords)).select("conv_id", "turn")
+
+
+def q_cursor_cap(spark, sf_dir):
+    """Per-session cap on recorded cursor moves (5): the capped log."""
+    from sessionlog.operators.search import cap_cursor_events
+    return cap_cursor_events(_ev(spark, sf_dir), 5, EXE).select("session_id", "seq", "type")
+
+
+def q_command_log(spark, sf_dir):
+    """Command-log reader over a log rendered from every driver event."""
+    from sessionlog.plans.standins import command_lines
+    from sessionlog.sources.command_log import read_command_log
+    ev, _, rej = read_command_log(command_lines(_ev(spark, sf_dir)))
+    return ev.select("session_id", "seq", "type", "ts_us", "filename", "line", "column", "line_count",
+                     "changed_tick", "note", "command", "file_type", "message", "level")
+
+
+def q_main_files_map(spark, sf_dir):
+    from sessionlog.operators.topk import main_files_map
+    return main_files_map(file_focus(_ev(spark, sf_dir), ADAPTER_AGG, EXE))
+
+
+def q_summary_report(spark, sf_dir):
+    from sessionlog.sinks.reports import summary_report
+    return summary_report(_ev(spark, sf_dir), None, ADAPTER_AGG, EXE)
+
+
+def q_timeline_report(spark, sf_dir):
+    from sessionlog.sinks.reports import timeline_report
+    return timeline_report(_ev(spark, sf_dir), None, ADAPTER_AGG, EXE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "activity_blocks": q_activity_blocks,
     "velocity_metrics": q_velocity_metrics,
@@ -98,4 +205,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "session_state": q_session_state,
     "session_stats": q_session_stats,
     "session_analytics": q_session_analytics,
+    "cursor_filter": q_cursor_filter,
+    "denoised_log": q_denoised_log,
+    "top_files": q_top_files,
+    "report_blocks": q_report_blocks,
+    "flow_block_ordinals": q_flow_block_ordinals,
+    "idle_gap_ordinals": q_idle_gap_ordinals,
+    "correction_ordinals": q_correction_ordinals,
+    "timeline_counts": q_timeline_counts,
+    "store_events": q_store_events,
+    "captured_events": q_captured_events,
+    "note_search": q_note_search,
+    "conversation_error_notes": q_conversation_error_notes,
+    "cursor_cap": q_cursor_cap,
+    "command_log": q_command_log,
+    "main_files_map": q_main_files_map,
+    "summary_report": q_summary_report,
+    "timeline_report": q_timeline_report,
 }
