@@ -166,10 +166,17 @@ __all__.append("edit_location")
 
 
 def snippet(text: Column, max_bytes: int = 120, keep_bytes: int = 117) -> Column:
-    """Trim Unicode space; above ``max_bytes`` UTF-8 bytes keep a whole-character
-    prefix of at most ``keep_bytes`` bytes and append ``...``."""
+    """Trim Unicode space; above ``max_bytes`` UTF-8 bytes keep the longest
+    whole-character prefix of at most ``keep_bytes`` bytes and append ``...``."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
-    cut = F.regexp_replace(F.decode(F.substring(F.encode(t, "UTF-8"), 1, keep_bytes), "UTF-8"), "�+$", "")
+    chars = F.regexp_extract_all(F.substring(t, 1, keep_bytes), F.lit("(?s)."), 0)
+    init = F.struct(F.lit("").alias("s"), F.lit(0).alias("n"))
+    cut = F.aggregate(
+        chars, init,
+        lambda acc, c: F.when(acc["n"] + F.octet_length(c) <= keep_bytes,
+                              F.struct(F.concat(acc["s"], c).alias("s"), (acc["n"] + F.octet_length(c)).alias("n")))
+        .otherwise(F.struct(acc["s"].alias("s"), F.lit(keep_bytes + 1).alias("n"))),
+    )["s"]
     return F.when(F.octet_length(t) > max_bytes, F.concat(cut, F.lit("..."))).otherwise(t)
 
 

@@ -76,7 +76,8 @@ def _fold_small(rows: DataFrame, cfg: FilterConfig) -> DataFrame:
 def _fold_large(rows: DataFrame, cfg: FilterConfig, exe: ExecConfig, rounds: int) -> DataFrame:
     """Exact fold for long islands: binary lifting for next anchors, pointer doubling for the chain end."""
     r = ordinal_within(rows, ["session_id", "island"], "seq", "r", exe.chunk_rows).withColumn("r", F.col("r") - 1)
-    r = r.select("session_id", "island", "r", "ts_us", "is_cur").persist()
+    # indexed island rows are probed by every round below: write them once
+    r = materialize_df(r.select("session_id", "island", "r", "ts_us", "is_cur"), "island-index")
     n = r.groupBy("session_id", "island").agg(F.count(F.lit(1)).alias("n"))
     look = r.select("session_id", "island", F.col("r").alias("q"), F.col("ts_us").alias("tq"))
     deb = F.lit(cfg.debounce_us)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlog.functions.scalar import us_to_ts
+from sessionlog.functions.scalar import epoch_us, us_to_ts
 
 STORE_EVENT_COLUMNS = [
     "session_id", "seq", "type", "timestamp", "filename", "line", "column", "line_count", "changed_tick",
@@ -57,11 +57,12 @@ def read_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Scan of a written store: ``(sessions, events)`` back in canonical form."""
     s = spark.read.parquet(f"{path}/sessions")
     e = spark.read.parquet(f"{path}/events")
+    st, et = s.schema["start_time"].dataType, e.schema["timestamp"].dataType
     sessions = s.select(F.col("id").alias("session_id"), "project_path", F.lit(None).cast("string").alias("save_path"),
-                        "output_format", F.unix_micros("start_time").alias("start_us"),
-                        F.unix_micros("end_time").alias("end_us"), "active")
+                        "output_format", epoch_us(F.col("start_time"), st).alias("start_us"),
+                        epoch_us(F.col("end_time"), st).alias("end_us"), "active")
     events = e.select("session_id", "seq", "type", F.col("timestamp").alias("ts"),
-                      F.unix_micros("timestamp").alias("ts_us"), "filename", "line", "column", "line_count",
+                      epoch_us(F.col("timestamp"), et).alias("ts_us"), "filename", "line", "column", "line_count",
                       "changed_tick", F.lit(None).cast("string").alias("line_text"), "file_type", "message", "level",
                       "command", "note", "prev_line", "prev_column")
     return sessions, events
