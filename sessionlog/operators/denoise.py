@@ -118,7 +118,8 @@ def cursor_decisions(events: DataFrame, cfg: FilterConfig = FilterConfig(), exe:
     when superseded) and ``flush_seq``: the event the move is recorded just
     before (the flushing trigger, or for an idle commit the first later event
     past the timer deadline; ``END_OF_LOG`` when none follows)."""
-    allr = _islands(events, cfg, exe, single=not spans_chunks(events, exe.chunk_rows))
+    single = not spans_chunks(events, exe.chunk_rows)
+    allr = _islands(events, cfg, exe, single=single)
     v = allr.filter(F.col("visible")).drop("visible")
     # island summaries plus what follows each island (reported back by the next island's first row)
     tail = F.struct(F.col("seq").alias("seq"), F.col("ts_us").alias("ts"), F.col("type").alias("type"))
@@ -139,7 +140,8 @@ def cursor_decisions(events: DataFrame, cfg: FilterConfig = FilterConfig(), exe:
     small = rows.filter(F.col("n") <= exe.fold_max_rows)
     big = rows.filter(F.col("n") > exe.fold_max_rows)
     folds = _fold_small(small, cfg)
-    max_n = big.agg(F.max("n")).first()[0] if exe.fold_max_rows >= 0 else None
+    # one scalar from the island summary decides whether the distributed path runs at all
+    max_n = isl.filter(F.col("n") > exe.fold_max_rows).agg(F.max("n")).first()[0]
     if max_n:
         rounds = max(1, int(max_n).bit_length())
         folds = folds.unionByName(_fold_large(big.drop("n"), cfg, exe, rounds))
@@ -192,5 +194,6 @@ def cursor_filter(events: DataFrame, cfg: FilterConfig = FilterConfig(), exe: Ex
              .withColumn("_pos", F.coalesce(F.col("flush_seq") * 2, F.col("seq") * 2 + 1)).drop("flush_seq"))
     allr = others.unionByName(moves)
     # _pos is unique: a trigger flushes at most one move, placed at 2*flush_seq
-    r = ordinal_within(allr, ["session_id"], "_pos", "_new", 2 * exe.chunk_rows)
+    bounded = not spans_chunks(events, exe.chunk_rows)  # every session under chunk_rows rows
+    r = ordinal_within(allr, ["session_id"], "_pos", "_new", 2 * exe.chunk_rows, bounded=bounded)
     return r.withColumn("seq", F.col("_new") - 1).select(*cols)

@@ -65,12 +65,16 @@ def assign_seq(df: DataFrame, key: str, order_cols: Sequence[str], out: str = "s
     return res
 
 
-def ordinal_within(df: DataFrame, keys: Sequence[str], order_col: str, out: str, chunk_rows: int) -> DataFrame:
+def ordinal_within(df: DataFrame, keys: Sequence[str], order_col: str, out: str, chunk_rows: int,
+                   bounded: bool = False) -> DataFrame:
     """1-based rank of rows inside ``keys`` by a unique, roughly dense ``order_col``.
 
     Rows are windowed per ``(keys, order_col div chunk_rows)`` (bounded), and a
-    per-chunk count table gives each chunk its offset.
+    per-chunk count table gives each chunk its offset.  ``bounded=True`` (the
+    caller knows every group is under ``chunk_rows`` rows) ranks in one window.
     """
+    if bounded:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(order_col)).cast("bigint"))
     ch = F.floor(F.col(order_col) / chunk_rows).cast("bigint")
     d = df.withColumn("_och", ch)
     local = Window.partitionBy(*keys, "_och").orderBy(order_col)

@@ -191,6 +191,11 @@ def q_timeline_report(spark, sf_dir):
     return timeline_report(_ev(spark, sf_dir), None, ADAPTER_AGG, EXE)
 
 
+def q_stats_report(spark, sf_dir):
+    from sessionlog.sinks.reports import stats_report
+    return stats_report(session_stats(_ev(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "activity_blocks": q_activity_blocks,
     "velocity_metrics": q_velocity_metrics,
@@ -222,4 +227,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "main_files_map": q_main_files_map,
     "summary_report": q_summary_report,
     "timeline_report": q_timeline_report,
+    "stats_report": q_stats_report,
 }

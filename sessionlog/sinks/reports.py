@@ -276,3 +276,23 @@ def render(lines: DataFrame, session_id: str) -> str:
     """Assemble one session's report on the driver (tests and small previews only)."""
     rows = lines.filter(F.col("session_id") == session_id).orderBy("sec", "ord", "sub").select("line").collect()
     return "\n".join(r.line for r in rows) + "\n"
+
+
+def stats_report(stats: DataFrame) -> DataFrame:
+    """The statistics command's text for every session (``session_stats`` rows),
+    as line rows: status, duration of finished sessions in ``1h30m0s`` form, and
+    the event counts."""
+    from sessionlog.functions.scalar import go_duration
+
+    n = lambda x: F.col(x).cast("string")
+    done = F.col("status") == "Completed"
+    return _lines(stats, 0, F.lit(0), [
+        F.lit(""), F.concat(F.col("session_id"), F.lit(":")),
+        F.concat(F.lit("  Status: "), F.col("status")),
+        _if(done, F.concat(F.lit("  Duration: "), go_duration(F.coalesce(F.col("duration_us"), F.lit(0))))),
+        F.concat(F.lit("  Total Events: "), n("total_events")),
+        F.concat(F.lit("  File Edits: "), n("file_edits")),
+        F.concat(F.lit("  Cursor Moves: "), n("cursor_moves")),
+        F.concat(F.lit("  Terminal Commands: "), n("terminal_commands")),
+        F.concat(F.lit("  Annotations: "), n("annotations")),
+    ])
