@@ -136,15 +136,18 @@ def cursor_decisions(events: DataFrame, cfg: FilterConfig = FilterConfig(), exe:
         F.min_by(tail, F.when(~own, F.col("seq"))).alias("nxt"),
     ).filter(F.col("n") > 0)
 
-    rows = v.join(isl.select("session_id", "island", "n"), ["session_id", "island"])
-    small = rows.filter(F.col("n") <= exe.fold_max_rows)
-    big = rows.filter(F.col("n") > exe.fold_max_rows)
-    folds = _fold_small(small, cfg)
-    # one scalar from the island summary decides whether the distributed path runs at all
+    # Route rows by island size without shuffling them: the set of oversized islands
+    # has at most rows / fold_max_rows keys (a proven bound), so it is broadcast.
+    big_keys = isl.filter(F.col("n") > exe.fold_max_rows).select("session_id", "island")
     max_n = isl.filter(F.col("n") > exe.fold_max_rows).agg(F.max("n")).first()[0]
+    rows = v.select("session_id", "island", "seq", "ts_us", "is_cur")
     if max_n:
+        small = rows.join(F.broadcast(big_keys), ["session_id", "island"], "left_anti")
+        big = rows.join(F.broadcast(big_keys), ["session_id", "island"], "left_semi")
         rounds = max(1, int(max_n).bit_length())
-        folds = folds.unionByName(_fold_large(big.drop("n"), cfg, exe, rounds))
+        folds = _fold_small(small, cfg).unionByName(_fold_large(big, cfg, exe, rounds))
+    else:
+        folds = _fold_small(rows, cfg)
 
     d = isl.filter(F.col("last_cur").isNotNull()).join(folds, ["session_id", "island"])
     nx = F.col("nxt")
