@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlog.config import AggregationConfig, ExecConfig
-from sessionlog.operators.blocks import activity_blocks, flow_blocks, velocity_metrics
+from sessionlog.operators.blocks import activity_blocks
 from sessionlog.operators.corrections import error_corrections
 from sessionlog.operators.focus import file_focus, focus_summary
-from sessionlog.operators.gaps import idle_gaps, idle_totals
 from sessionlog.operators.scan import scan
 
 
@@ -22,16 +21,25 @@ def session_analytics(events: DataFrame, agg: AggregationConfig = AggregationCon
     joined on ``session_id`` from the session spine.
     """
     s = scan(events, agg, exe)
+    # one aggregate over the scanned rows: spine (all events) + idle gaps
+    gap = F.col("gap_us") > F.lit(agg.idle_threshold_us)
+    spine = s.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("total_events"),
+        F.count_if(gap).alias("idle_gaps"),
+        F.sum(F.when(gap, F.col("gap_us"))).alias("idle_total_us"),
+    )
+    # one aggregate over blocks: velocity metrics + flow count
     blocks = activity_blocks(events, agg, exe, scanned=s)
-    vel = velocity_metrics(blocks)
-    flow = flow_blocks(blocks, agg).groupBy("session_id").agg(F.count(F.lit(1)).alias("flow_blocks"))
-    idle = idle_totals(idle_gaps(events, agg, exe, scanned=s))
+    pos = F.when(F.col("velocity") > 0, F.col("velocity"))
+    vel = blocks.groupBy("session_id").agg(
+        F.avg(pos).alias("avg_velocity"), F.max(pos).alias("peak_velocity"),
+        F.count(F.lit(1)).alias("n_blocks"),
+        F.count_if((F.col("velocity") > 0) & (F.col("velocity") >= F.lit(agg.flow_velocity))).alias("flow_blocks"),
+    )
     foc = focus_summary(file_focus(events, agg, exe, scanned=s))
     corr = error_corrections(events, agg, exe).groupBy("session_id").agg(
         F.count(F.lit(1)).alias("error_corrections"))
-    spine = events.groupBy("session_id").agg(F.count(F.lit(1)).alias("total_events"))
-    j = (spine.join(vel, "session_id", "left").join(flow, "session_id", "left").join(idle, "session_id", "left")
-         .join(foc, "session_id", "left").join(corr, "session_id", "left"))
+    j = spine.join(vel, "session_id", "left").join(foc, "session_id", "left").join(corr, "session_id", "left")
     z = F.lit(0).cast("bigint")
     return j.select(
         "session_id", "total_events",
