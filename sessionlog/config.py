@@ -87,3 +87,44 @@ ADAPTER_AGG = AggregationConfig(
     flow_velocity=0.0045,
 )
 ADAPTER_FILTER = FilterConfig(debounce_us=3600 * US, idle_us=4 * 3600 * US)
+
+
+@dataclass(frozen=True)
+class CaptureOptions:
+    """Capture-side switches: which event kinds are logged and the cursor cap."""
+
+    terminal_commands: bool = True
+    file_open: bool = True
+    lsp_diagnostics: bool = True
+    max_cursor_events: int | None = None
+
+
+def from_options(opts: dict | None = None) -> tuple[AggregationConfig, FilterConfig, CaptureOptions]:
+    """Overlay a user option table (the plugin's ``setup{...}`` shape: milliseconds,
+    nested ``aggregation`` and ``log_events``) on the defaults; unknown keys are ignored."""
+    from dataclasses import replace
+
+    o = dict(opts or {})
+    a = dict(o.get("aggregation") or {})
+    agg = AggregationConfig()
+    if "merge_window" in a:
+        agg = replace(agg, merge_window_us=int(a["merge_window"]) * 1000)
+    if "idle_threshold" in a:
+        agg = replace(agg, idle_threshold_us=int(a["idle_threshold"]) * 1000)
+    if "flow_velocity_threshold" in a:
+        agg = replace(agg, flow_velocity=float(a["flow_velocity_threshold"]))
+    if "distraction_files" in a:
+        agg = replace(agg, distraction_patterns=tuple(a["distraction_files"]))
+    flt = FilterConfig()
+    if "debounce_interval" in o:
+        flt = replace(flt, debounce_us=int(o["debounce_interval"]) * 1000)
+    if "filter_threshold" in o:
+        flt = replace(flt, idle_us=int(o["filter_threshold"]) * 1000)
+    le = dict(o.get("log_events") or {})
+    cap = CaptureOptions(
+        terminal_commands=bool(le.get("terminal_commands", o.get("record_terminal", True))),
+        file_open=bool(le.get("file_open", True)),
+        lsp_diagnostics=bool(le.get("lsp_diagnostics", True)),
+        max_cursor_events=o.get("max_cursor_events"),
+    )
+    return agg, flt, cap

@@ -34,7 +34,8 @@ def list_sessions(spark: SparkSession, path: str) -> DataFrame:
     File contents are not read (binary-file source without the content column)."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path)
              .select(F.col("path"), F.element_at(F.split("path", "/"), -1).alias("file_name")))
-    return pick_generation(_name_table(files))
+    # catalogue order = file-name order of the chosen files (a directory read is name-sorted)
+    return pick_generation(_name_table(files)).orderBy("file_name")
 
 
 def pick_generation(named: DataFrame) -> DataFrame:

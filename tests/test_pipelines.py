@@ -75,3 +75,14 @@ def test_parse_session_id_and_diagnostics(spark):
     out = flatten_diagnostics(lines).orderBy("seq").collect()
     assert [(o.type, o.message, o.level) for o in out] == [("lsp_diagnostic", "undefined x", "Error"),
                                                            ("lsp_diagnostic", "unused y", "Warning")]
+
+
+def test_option_overlay():
+    from sessionlog.config import from_options
+    agg, flt, cap = from_options({"aggregation": {"merge_window": 3000, "distraction_files": ["tree"]},
+                                  "debounce_interval": 100, "filter_threshold": 400, "max_cursor_events": 50,
+                                  "log_events": {"lsp_diagnostics": False}})
+    assert agg.merge_window_us == 3_000_000 and agg.distraction_patterns == ("tree",)
+    assert agg.idle_threshold_us == 300_000_000
+    assert (flt.debounce_us, flt.idle_us) == (100_000, 400_000)
+    assert cap.max_cursor_events == 50 and not cap.lsp_diagnostics and cap.terminal_commands
