@@ -20,7 +20,7 @@ def session_analytics(events: DataFrame, agg: AggregationConfig = AggregationCon
     ``(session_id, chunk)``); each part is a per-session aggregate and they are
     joined on ``session_id`` from the session spine.
     """
-    s = scan(events, agg, exe)
+    s = scan(events, agg, exe, materialize=True)  # read by three branches
     # one aggregate over the scanned rows: spine (all events) + idle gaps
     gap = F.col("gap_us") > F.lit(agg.idle_threshold_us)
     spine = s.groupBy("session_id").agg(

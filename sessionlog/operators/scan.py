@@ -11,9 +11,9 @@ so the pass works on chunks ``(session_id, seq div chunk_rows)``:
    (no new exchange of rows) keeps a handful of values per chunk;
 3. *carry table* - running windows over the chunk summaries (one row per
    chunk, so tiny) give each chunk what flows in from its predecessors;
-   With ``materialize`` (default) the local pass is persisted for steps 2-4
-   and the result is written once to the shared checkpoint folder, so all
-   consumers read it without another exchange of events.
+   When carries are needed the local pass is persisted for steps 2-4 and the
+   result is written once to the shared checkpoint folder, so all consumers
+   read it without another exchange of events.
 4. *fix-up* - carries are joined back on ``(session_id, _chunk)``.  Only
    chunks after the first have a carry row, so the table holds at most
    ``rows / chunk_rows`` rows; AQE turns the join into a broadcast when its
@@ -57,11 +57,14 @@ def with_chunk(events: DataFrame, chunk_rows: int) -> DataFrame:
 
 
 def scan(events: DataFrame, agg: AggregationConfig = AggregationConfig(),
-         exe: ExecConfig = ExecConfig(), materialize: bool = True) -> DataFrame:
-    """Run the chunked pass.  With ``materialize`` the local pass is kept
-    (memory and disk) while the fixed-up result is written once as parquet in
-    the shared checkpoint folder; every consumer then reads that table instead
-    of re-running windows and re-shuffling the events."""
+         exe: ExecConfig = ExecConfig(), materialize: bool | None = None) -> DataFrame:
+    """Run the chunked pass.
+
+    ``materialize=True``: the result is written once as parquet in the shared
+    checkpoint folder (callers that read it several times).  ``None`` (auto):
+    written only when chunks need carries - then the local pass is persisted
+    while the write runs so it is computed once - and returned lazily when
+    every session fits in one chunk (one exchange, nothing computed twice)."""
     merge = F.lit(agg.merge_window_us)
     d = with_chunk(events, exe.chunk_rows)
     is_edit = F.col("type") == "file_edit"
@@ -114,6 +117,7 @@ def scan(events: DataFrame, agg: AggregationConfig = AggregationConfig(),
         out = _fixup(d, None, events.columns, is_edit)
         return materialize_df(out, "scan") if materialize else out
 
+    materialize = True if materialize is None else materialize
     if materialize:
         # the local pass feeds both the chunk summaries and the fix-up join:
         # keep it for the duration of the write below instead of shuffling twice

@@ -114,7 +114,7 @@ def summary_report(events: DataFrame, sessions: DataFrame | None = None, agg: Ag
     """Per-session analytics report: header, executive summary, velocity and flow
     blocks, focus and top files, error corrections, idle periods, the first
     ``agg.report_blocks`` activity blocks (+ how many more) and event counts."""
-    s = scan(events, agg, exe)
+    s = scan(events, agg, exe, materialize=True)  # read by several sections
     blocks = activity_blocks(events, agg, exe, scanned=s)
     an = session_analytics(events, agg, exe)
     if sessions is None:
