@@ -329,7 +329,7 @@ SELECT s.session_id, CAST(s.total_events AS BIGINT) AS total_events,
        CAST(coalesce(c.error_corrections, 0) AS BIGINT) AS error_corrections
 FROM spine s LEFT JOIN vel v USING (session_id) LEFT JOIN idl i USING (session_id)
 LEFT JOIN focus_ratio f USING (session_id) LEFT JOIN cor c USING (session_id)""",
-    "cursor_filter": _with(CURSOR) + "\nSELECT session_id, seq, reason, CAST(flush_seq AS BIGINT) AS flush_seq FROM kept",
+    "cursor_filter": _with(CURSOR) + "\nSELECT session_id, seq, reason, CAST(flush_seq AS DOUBLE) AS flush_seq FROM kept",
     "denoised_log": _with(CURSOR) + "\nSELECT * FROM denoised",
     "top_files": _with(BASE, FOCUS) + """,
 ranked AS (
@@ -362,11 +362,12 @@ FROM corr""",
     "timeline_counts": _with(TIMELINE) + """
 SELECT session_id, CAST(count(*) AS BIGINT) AS timeline_entries FROM tl GROUP BY session_id""",
     "store_events": _with() + """
-SELECT session_id, seq, type, ts_us AS "timestamp", nullif(filename, '') AS filename, nullif(line, 0) AS line,
-       nullif("column", 0) AS "column", nullif(line_count, 0) AS line_count, nullif(changed_tick, 0) AS changed_tick,
+SELECT session_id, seq, type, ts_us AS "timestamp", nullif(filename, '') AS filename,
+       CAST(nullif(line, 0) AS DOUBLE) AS line, CAST(nullif("column", 0) AS DOUBLE) AS "column",
+       CAST(nullif(line_count, 0) AS DOUBLE) AS line_count, CAST(nullif(changed_tick, 0) AS DOUBLE) AS changed_tick,
        nullif(file_type, '') AS file_type, nullif(message, '') AS message, nullif(level, '') AS level,
-       nullif(command, '') AS command, nullif(note, '') AS note, nullif(prev_line, 0) AS prev_line,
-       nullif(prev_column, 0) AS prev_column
+       nullif(command, '') AS command, nullif(note, '') AS note, CAST(nullif(prev_line, 0) AS DOUBLE) AS prev_line,
+       CAST(nullif(prev_column, 0) AS DOUBLE) AS prev_column
 FROM ev""",
     "captured_events": _with() + """
 SELECT session_id, seq, type FROM ev
@@ -387,8 +388,9 @@ WHERE type <> 'cursor_move' OR r <= 5""",
 SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY ts_us, changed_tick) - 1 AS BIGINT) AS seq,
        type, ts_us,
        CASE WHEN type IN ('file_edit', 'cursor_move', 'file_open', 'lsp_diagnostic') THEN nullif(filename, '') END AS filename,
-       nullif(line, 0) AS line, nullif("column", 0) AS "column", nullif(line_count, 0) AS line_count,
-       CASE WHEN type = 'file_edit' THEN nullif(changed_tick, 0) END AS changed_tick,
+       CAST(nullif(line, 0) AS DOUBLE) AS line, CAST(nullif("column", 0) AS DOUBLE) AS "column",
+       CAST(nullif(line_count, 0) AS DOUBLE) AS line_count,
+       CAST(CASE WHEN type = 'file_edit' THEN nullif(changed_tick, 0) END AS DOUBLE) AS changed_tick,
        nullif(note, '') AS note, nullif(command, '') AS command, nullif(file_type, '') AS file_type,
        nullif(message, '') AS message, nullif(level, '') AS level
 FROM ev WHERE type IN ('file_edit', 'terminal_command', 'cursor_move', 'file_open', 'lsp_diagnostic', 'annotation')""",

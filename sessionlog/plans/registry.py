@@ -26,6 +26,16 @@ from sessionlog.sources.adapter import load_driver_events
 EXE = ExecConfig()
 
 
+NULLABLE_INTS = ["line", "column", "line_count", "changed_tick", "prev_line", "prev_column"]
+
+
+def _as_double(df: DataFrame, cols) -> DataFrame:
+    """Nullable integer outputs as DOUBLE (exact below 2**53): pandas turns a
+    BIGINT column with NULLs into float64 on one side and nullable Int64 on the
+    other, so both sides of the oracle check use DOUBLE for these columns."""
+    return df.select(*[F.col(c).cast("double").alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
 def _ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_driver_events(spark, sf_dir)
 
@@ -89,7 +99,7 @@ def q_cursor_filter(spark, sf_dir):
     """Surviving cursor moves with reason and the event they are recorded before."""
     from sessionlog.operators.denoise import cursor_decisions
     d = cursor_decisions(_ev(spark, sf_dir), ADAPTER_FILTER, EXE)
-    return d.filter(F.col("kept")).select("session_id", "seq", "reason", "flush_seq")
+    return _as_double(d.filter(F.col("kept")).select("session_id", "seq", "reason", "flush_seq"), ["flush_seq"])
 
 
 def q_denoised_log(spark, sf_dir):
@@ -140,7 +150,8 @@ def q_store_events(spark, sf_dir):
     from sessionlog.sinks.store import store_events
     from sessionlog.functions.scalar import epoch_us
     st = store_events(_ev(spark, sf_dir))
-    return st.withColumn("timestamp", epoch_us(F.col("timestamp"), st.schema["timestamp"].dataType))
+    st = st.withColumn("timestamp", epoch_us(F.col("timestamp"), st.schema["timestamp"].dataType))
+    return _as_double(st, NULLABLE_INTS)
 
 
 def q_captured_events(spark, sf_dir):
@@ -172,8 +183,8 @@ def q_command_log(spark, sf_dir):
     from sessionlog.plans.standins import command_lines
     from sessionlog.sources.command_log import read_command_log
     ev, _, rej = read_command_log(command_lines(_ev(spark, sf_dir)))
-    return ev.select("session_id", "seq", "type", "ts_us", "filename", "line", "column", "line_count",
-                     "changed_tick", "note", "command", "file_type", "message", "level")
+    return _as_double(ev.select("session_id", "seq", "type", "ts_us", "filename", "line", "column", "line_count",
+                                "changed_tick", "note", "command", "file_type", "message", "level"), NULLABLE_INTS)
 
 
 def q_main_files_map(spark, sf_dir):
