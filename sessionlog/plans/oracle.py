@@ -378,6 +378,11 @@ WHERE type <> 'lsp_diagnostic'
 SELECT session_id, seq, note FROM ev WHERE type = 'annotation' AND regexp_matches(note, '(?i)(fix|debug)')""",
     "conversation_error_notes": f"""
 SELECT conv_id, turn FROM conversations WHERE {KEYWORDS.replace("note", "text")}""",
+    "block_events": _with(BASE, BLOCKS) + """
+SELECT session_id, seq, CAST(block_no AS BIGINT) AS block_no, changed_tick FROM bn""",
+    "session_search": _with() + """
+SELECT session_id, CAST(count(*) AS BIGINT) AS hits, min(seq) AS first_seq
+FROM ev WHERE regexp_matches(filename, 'NvimTree|mod_1') GROUP BY session_id""",
     "cursor_cap": _with() + """
 SELECT session_id, seq, type FROM (
   SELECT session_id, seq, type,

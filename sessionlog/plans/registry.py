@@ -202,6 +202,18 @@ def q_timeline_report(spark, sf_dir):
     return timeline_report(_ev(spark, sf_dir), None, ADAPTER_AGG, EXE)
 
 
+def q_block_events(spark, sf_dir):
+    """Edits with their block number (long form of each block's event list)."""
+    from sessionlog.operators.blocks import block_events
+    return block_events(_ev(spark, sf_dir), ADAPTER_AGG, EXE).select("session_id", "seq", "block_no", "changed_tick")
+
+
+def q_session_search(spark, sf_dir):
+    """Sessions that touched a file whose name matches a pattern."""
+    from sessionlog.operators.search import search_sessions
+    return search_sessions(_ev(spark, sf_dir), "NvimTree|mod_1")
+
+
 def q_stats_report(spark, sf_dir):
     from sessionlog.sinks.reports import stats_report
     return stats_report(session_stats(_ev(spark, sf_dir)))
@@ -239,4 +251,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "summary_report": q_summary_report,
     "timeline_report": q_timeline_report,
     "stats_report": q_stats_report,
+    "block_events": q_block_events,
+    "session_search": q_session_search,
 }
