@@ -32,18 +32,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder; create a scratch one only when unset.
 
     On a cluster ``spark.checkpoint.dir`` names shared storage and is used as is.
-    Local runs and tests get a fresh temporary folder.
+    Local runs and tests get a fresh temporary folder.  Works without a
+    SparkContext (Spark Connect): the setting is then read from the session conf.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if conf_dir:
-        sc.setCheckpointDir(conf_dir)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect has no SparkContext
+        sc = None
+    if sc is not None and sc.getCheckpointDir():
         return sc.getCheckpointDir()
-    local = tempfile.mkdtemp(prefix="sessionlog-ckpt-", dir=os.environ.get("SESSIONLOG_SCRATCH", "/tmp"))
-    sc.setCheckpointDir(local)
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf_dir:
+        conf_dir = tempfile.mkdtemp(prefix="sessionlog-ckpt-", dir=os.environ.get("SESSIONLOG_SCRATCH", "/tmp"))
+    if sc is None:
+        return conf_dir
+    sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
 
 
