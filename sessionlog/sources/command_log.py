@@ -95,12 +95,33 @@ def rejects(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("error").isNotNull()).select("id", "command", "error", "line")
 
 
-def read_command_log(lines: DataFrame, value_col: str = "value", max_group_rows: int = 1 << 20):
+def check_sessions(parsed: DataFrame, known_sessions: DataFrame) -> DataFrame:
+    """Commands for a session that is neither in ``known_sessions`` (``session_id``,
+    e.g. the catalogue) nor started in this log fail like a session that cannot be
+    loaded.  ``start`` and ``list`` need no existing session.  One left join with
+    the id table (AQE broadcasts it when small)."""
+    sid = F.get(F.col("args"), 0)
+    started = parsed.filter((F.col("command") == "start") & F.col("error").isNull()).select(
+        sid.alias("session_id"))
+    ok_ids = (started.unionByName(known_sessions.select("session_id")).distinct()
+              .select(F.col("session_id").alias("_sid"), F.lit(True).alias("_known")))
+    needs = F.col("error").isNull() & ~F.col("command").isin("start", "list")
+    out = parsed.withColumn("_sid", sid).join(ok_ids, "_sid", "left")
+    return out.withColumn(
+        "error", F.when(needs & F.col("_known").isNull(), F.concat(F.lit("session not found: "), F.col("_sid")))
+        .otherwise(F.col("error"))).drop("_sid", "_known")
+
+
+def read_command_log(lines: DataFrame, value_col: str = "value", max_group_rows: int = 1 << 20,
+                     known_sessions: DataFrame | None = None):
     """Batch: ``(events, sessions_meta, rejects)``.  ``seq`` orders each session's
-    events by arrival ``(ts, id)`` (skew-safe sequencing)."""
+    events by arrival ``(ts, id)`` (skew-safe sequencing).  With ``known_sessions``
+    commands for sessions that do not exist are rejected (see :func:`check_sessions`)."""
     from sessionlog.operators.sequence import assign_seq
 
     parsed = parse_commands(lines, value_col)
+    if known_sessions is not None:
+        parsed = check_sessions(parsed, known_sessions)
     raw = command_events(parsed)
     meta = raw.filter(F.col("type") == "session_start").groupBy("session_id").agg(
         F.min_by(F.struct("project_path", "save_path", "output_format"), F.struct("ts_us", "cmd_id")).alias("m"),

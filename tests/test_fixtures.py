@@ -183,3 +183,17 @@ def test_m23_order_by_seq_not_ts(spark):
     from sessionlog.operators.scan import scan
     gaps = [r.gap_us for r in scan(df, AGG, EXE[1]).orderBy("seq").collect()]
     assert gaps == [None, -S(6), S(7)]
+
+
+def test_commands_for_unknown_sessions_are_rejected(spark):
+    lines = [json.dumps({"id": 1, "command": "start", "args": ["a", "/p", "/s", "json"], "ts": "2024-01-01T00:00:00Z"}),
+             json.dumps({"id": 2, "command": "annotate", "args": ["a", "/s", "hi"], "ts": "2024-01-01T00:00:01Z"}),
+             json.dumps({"id": 3, "command": "annotate", "args": ["b", "/s", "hi"], "ts": "2024-01-01T00:00:02Z"}),
+             json.dumps({"id": 4, "command": "annotate", "args": ["c", "/s", "hi"], "ts": "2024-01-01T00:00:03Z"})]
+    known = spark.createDataFrame([("b",)], "session_id string")
+    ev_, meta, rej = read_command_log(spark.createDataFrame([(x,) for x in lines], "value string"),
+                                      known_sessions=known)
+    assert sorted((r.session_id, r.type) for r in ev_.collect()) == [("a", "annotation"), ("a", "session_start"),
+                                                                      ("b", "annotation")]
+    assert [r.error for r in rej.collect()] == ["session not found: c"]
+    assert [(r.session_id, r.output_format) for r in meta.collect()] == [("a", "json")]
