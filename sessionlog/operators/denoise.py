@@ -33,7 +33,6 @@ from sessionlog.operators.scan import spans_chunks
 from sessionlog.operators.sequence import ordinal_within
 from sessionlog.spark import materialize as materialize_df
 
-DECISION_COLUMNS = ["session_id", "seq", "island", "kept", "reason", "flush_seq"]
 # ``flush_seq`` of a move committed after the last event of the log
 END_OF_LOG = 1 << 60
 

@@ -43,9 +43,6 @@ from sessionlog.spark import materialize as materialize_df
 
 UNB = Window.unboundedPreceding
 
-SCAN_COLUMNS = ["prev_ts_us", "gap_us", "trig", "block_reason", "block_no", "active_file", "run_no"]
-
-
 def spans_chunks(events: DataFrame, chunk_rows: int) -> bool:
     """True when some session reaches past its first chunk (one scalar aggregate)."""
     top = events.agg(F.max("seq")).first()[0]

@@ -136,8 +136,6 @@ corr AS (
   FROM hits GROUP BY session_id, a_seq
 )"""
 
-CLOCK = "strftime(make_timestamp({}), '%H:%M:%S')"
-
 TIMELINE = """
 nc AS (
   SELECT *, lag(type) OVER w AS p_type, lag(coalesce(filename, '')) OVER w AS p_file

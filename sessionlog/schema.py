@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql.types import (
-    ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType, TimestampType,
+    ArrayType, BooleanType, LongType, StringType, StructField, StructType, TimestampType,
 )
 
 # Column order of the canonical ``events`` table.  Key = (session_id, seq);
@@ -76,5 +76,3 @@ COMMAND_SCHEMA = StructType([
     StructField("args", ArrayType(StringType())),
     StructField("ts", TimestampType()),
 ])
-
-INT = IntegerType()

@@ -94,19 +94,21 @@ def read_sessions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return sessions_table(docs), explode_events(docs)
 
 
-def flatten_diagnostics(lines: DataFrame) -> DataFrame:
+def flatten_diagnostics(lines: DataFrame, materialize: bool = True) -> DataFrame:
     """One ``lsp_diagnostic`` event per diagnostic on a line; a line without
     diagnostics gives no event.  Input: ``session_id, seq, ts, ts_us, filename,
-    line, column, diagnostics array<struct<message, severity>>``; the output
-    ``seq`` orders diagnostics of one line after each other (``seq * 1000 + i``
-    keeps them unique; re-sequence downstream when merging logs)."""
+    line, column, diagnostics array<struct<message, severity>>``.  Output rows
+    are re-sequenced per session by ``(line seq, position on the line)``."""
+    from sessionlog.operators.sequence import assign_seq
+
     x = lines.select("*", F.posexplode("diagnostics").alias("i", "d"))
-    return x.select(
-        "session_id", (F.col("seq") * 1000 + F.col("i")).cast("bigint").alias("seq"),
-        F.lit("lsp_diagnostic").alias("type"), "ts", "ts_us", "filename", "line", "column",
+    d = x.select(
+        "session_id", F.col("seq").alias("_line_seq"), "i", F.lit("lsp_diagnostic").alias("type"), "ts", "ts_us",
+        "filename", "line", "column",
         F.lit(None).cast("bigint").alias("line_count"), F.lit(None).cast("bigint").alias("changed_tick"),
         F.lit(None).cast("string").alias("line_text"), F.lit(None).cast("string").alias("file_type"),
         F.col("d.message").alias("message"), F.col("d.severity").alias("level"),
         F.lit(None).cast("string").alias("command"), F.lit(None).cast("string").alias("note"),
         F.lit(None).cast("bigint").alias("prev_line"), F.lit(None).cast("bigint").alias("prev_column"),
     )
+    return assign_seq(d, "session_id", ["_line_seq", "i"], materialize=materialize).select(*EVENT_COLUMNS)

@@ -73,6 +73,7 @@ def test_parse_session_id_and_diagnostics(spark):
         "session_id string, seq long, ts_us long, filename string, line long, column long, "
         "diagnostics array<struct<message:string,severity:string>>").withColumn("ts", F.timestamp_micros("ts_us"))
     out = flatten_diagnostics(lines).orderBy("seq").collect()
+    assert [o.seq for o in out] == [0, 1]
     assert [(o.type, o.message, o.level) for o in out] == [("lsp_diagnostic", "undefined x", "Error"),
                                                            ("lsp_diagnostic", "unused y", "Warning")]
 
