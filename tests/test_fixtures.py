@@ -197,3 +197,18 @@ def test_commands_for_unknown_sessions_are_rejected(spark):
                                                                       ("b", "annotation")]
     assert [r.error for r in rej.collect()] == ["session not found: c"]
     assert [(r.session_id, r.output_format) for r in meta.collect()] == [("a", "json")]
+
+
+def test_intent_options_for_corrections(spark):
+    from dataclasses import replace
+    evs = [edit("A", 0, 9), edit("A", 1, 7), edit("A", 2, 3), ev("annotation", 3, note="Fix bug")]
+    df = rows_to_df(spark, {"s": evs})
+    # recorder code: the annotation has no file, so nothing matches (M11)
+    assert error_corrections(df, AGG, EXE[0]).count() == 0
+    # documented intent: the last active file (A) is the annotation's file
+    la = replace(AGG, annotation_file="last_active")
+    r = error_corrections(df, la, EXE[1]).collect()
+    assert [(x.blocks_affected, x.ticks_reversed) for x in r] == [(3, 0)]   # ticks fall: no forward progress
+    tr = replace(la, true_reversals=True)
+    r = error_corrections(df, tr, EXE[0]).collect()
+    assert [(x.blocks_affected, x.ticks_reversed) for x in r] == [(3, 6)]   # 9 -> 7 -> 3 reverses 6 ticks
