@@ -261,6 +261,16 @@ denoised AS (
 )"""
 
 
+# stand-in lifecycle: start 1 us before the first event, end 1 us after the last;
+# output format from the code of the id's last character, modulo 3 (see plans/standins.py)
+LIFE = """
+life AS (
+  SELECT session_id, min(ts_us) AS a, max(ts_us) AS z,
+         ['markdown', 'json', 'sqlite'][CAST(ascii(right(session_id, 1)) % 3 AS INTEGER) + 1] AS fmt
+  FROM ev GROUP BY session_id
+)"""
+
+
 def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(p.strip() for p in (ORACLE_EVENTS_CTE, *parts))
 
@@ -387,14 +397,27 @@ SELECT session_id, seq, type FROM (
          row_number() OVER (PARTITION BY session_id, type = 'cursor_move' ORDER BY seq) AS r
   FROM ev) x
 WHERE type <> 'cursor_move' OR r <= 5""",
-    "command_log": _with() + """
-SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY ts_us, changed_tick) - 1 AS BIGINT) AS seq,
-       type, ts_us,
-       CASE WHEN type IN ('file_edit', 'cursor_move', 'file_open', 'lsp_diagnostic') THEN nullif(filename, '') END AS filename,
-       CAST(nullif(line, 0) AS DOUBLE) AS line, CAST(nullif("column", 0) AS DOUBLE) AS "column",
-       CAST(nullif(line_count, 0) AS DOUBLE) AS line_count,
-       CAST(CASE WHEN type = 'file_edit' THEN nullif(changed_tick, 0) END AS DOUBLE) AS changed_tick,
-       nullif(note, '') AS note, nullif(command, '') AS command, nullif(file_type, '') AS file_type,
-       nullif(message, '') AS message, nullif(level, '') AS level
-FROM ev WHERE type IN ('file_edit', 'terminal_command', 'cursor_move', 'file_open', 'lsp_diagnostic', 'annotation')""",
+    "command_log": _with(LIFE) + """
+SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY ts_us, cmd_id) - 1 AS BIGINT) AS seq,
+       type, ts_us, filename, line, "column", line_count, changed_tick, note, command, file_type, message, level
+FROM (
+  SELECT session_id, changed_tick AS cmd_id, type, ts_us,
+         CASE WHEN type IN ('file_edit', 'cursor_move', 'file_open', 'lsp_diagnostic') THEN nullif(filename, '') END AS filename,
+         CAST(nullif(line, 0) AS DOUBLE) AS line, CAST(nullif("column", 0) AS DOUBLE) AS "column",
+         CAST(nullif(line_count, 0) AS DOUBLE) AS line_count,
+         CAST(CASE WHEN type = 'file_edit' THEN nullif(changed_tick, 0) END AS DOUBLE) AS changed_tick,
+         nullif(note, '') AS note, nullif(command, '') AS command, nullif(file_type, '') AS file_type,
+         nullif(message, '') AS message, nullif(level, '') AS level
+  FROM ev WHERE type IN ('file_edit', 'terminal_command', 'cursor_move', 'file_open', 'lsp_diagnostic', 'annotation')
+  UNION ALL
+  SELECT session_id, -1, 'session_start', a - 1, NULL, NULL, NULL, NULL, NULL,
+         'Started debugging session in /work/proj-' || session_id, NULL, NULL, NULL, NULL FROM life
+  UNION ALL
+  SELECT session_id, -2, 'session_end', z + 1, NULL, NULL, NULL, NULL, NULL,
+         'Debugging session ended', NULL, NULL, NULL, NULL FROM life
+) u""",
+    "command_log_sessions": _with(LIFE) + """
+SELECT session_id, '/work/proj-' || session_id AS project_path, '/logs' AS save_path, fmt AS output_format FROM life""",
+    "export_routes": _with(LIFE) + """
+SELECT session_id, CASE fmt WHEN 'json' THEN 'json' WHEN 'sqlite' THEN 'store' ELSE 'markdown' END AS route FROM life""",
 }

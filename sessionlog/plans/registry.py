@@ -180,13 +180,38 @@ def q_cursor_cap(spark, sf_dir):
 
 def q_command_log(spark, sf_dir):
     """Command-log reader over a log rendered from every driver event."""
-    from sessionlog.plans.standins import command_lines
+    from sessionlog.plans.standins import command_lines, lifecycle_lines
     from sessionlog.sources.command_log import read_command_log
-    ev, _, rej = read_command_log(command_lines(_ev(spark, sf_dir)))
+    src = _ev(spark, sf_dir)
+    ev, _, rej = read_command_log(command_lines(src).unionByName(lifecycle_lines(src)))
     return _as_double(ev.select("session_id", "seq", "type", "ts_us", "filename", "line", "column", "line_count",
                                 "changed_tick", "note", "command", "file_type", "message", "level"), NULLABLE_INTS)
 
 
+def q_command_log_sessions(spark, sf_dir):
+    """Session metadata carried by ``start`` commands of the command log."""
+    from sessionlog.plans.standins import command_lines, lifecycle_lines
+    from sessionlog.sources.command_log import read_command_log
+    src = _ev(spark, sf_dir)
+    _, meta, _ = read_command_log(command_lines(src).unionByName(lifecycle_lines(src)))
+    return meta
+
+
+def q_export_routes(spark, sf_dir):
+    """Export routing by output format (json / store / markdown) of the logged sessions."""
+    from sessionlog.plans.standins import command_lines, lifecycle_lines
+    from sessionlog.sinks.writers import route_by_format
+    from sessionlog.sources.command_log import read_command_log
+    src = _ev(spark, sf_dir)
+    _, meta, _ = read_command_log(command_lines(src).unionByName(lifecycle_lines(src)))
+    routes = route_by_format(meta)
+    out = None
+    for name, ids in routes.items():
+        part = ids.withColumn("route", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def q_main_files_map(spark, sf_dir):
     from sessionlog.operators.topk import main_files_map
     return main_files_map(file_focus(_ev(spark, sf_dir), ADAPTER_AGG, EXE))
@@ -247,6 +272,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "conversation_error_notes": q_conversation_error_notes,
     "cursor_cap": q_cursor_cap,
     "command_log": q_command_log,
+    "command_log_sessions": q_command_log_sessions,
+    "export_routes": q_export_routes,
     "main_files_map": q_main_files_map,
     "summary_report": q_summary_report,
     "timeline_report": q_timeline_report,

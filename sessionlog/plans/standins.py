@@ -19,6 +19,28 @@ _CMD = {
 }
 
 
+# stand-in session metadata: project folder per session and one of the three output formats
+FORMATS = ("markdown", "json", "sqlite")
+
+
+def lifecycle_lines(events: DataFrame, save_path: str = "/logs") -> DataFrame:
+    """``start`` one microsecond before a session's first event and ``end`` one
+    microsecond after its last, as the recorder's CLI would have logged them."""
+    span = events.groupBy("session_id").agg(F.min("ts_us").alias("a"), F.max("ts_us").alias("z"))
+    # format: code of the id's last character, modulo 3 (a rule SQL engines share)
+    fmt = F.element_at(F.array(*[F.lit(f) for f in FORMATS]),
+                       (F.pmod(F.ascii(F.substring("session_id", -1, 1)), F.lit(len(FORMATS))) + 1).cast("int"))
+    ts = lambda c: F.date_format(us_to_ts(c), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    start = span.select(F.to_json(F.struct(
+        F.lit(-1).cast("bigint").alias("id"), F.lit("start").alias("command"),
+        F.array("session_id", F.concat(F.lit("/work/proj-"), "session_id"), F.lit(save_path), fmt).alias("args"),
+        ts(F.col("a") - 1).alias("ts"))).alias("value"))
+    end = span.select(F.to_json(F.struct(
+        F.lit(-2).cast("bigint").alias("id"), F.lit("end").alias("command"),
+        F.array("session_id", F.lit(save_path)).alias("args"), ts(F.col("z") + 1).alias("ts"))).alias("value"))
+    return start.unionByName(end)
+
+
 def command_lines(events: DataFrame, save_path: str = "/logs") -> DataFrame:
     s = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     sid, sp = F.col("session_id"), F.lit(save_path)
