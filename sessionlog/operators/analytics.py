@@ -9,7 +9,7 @@ from sessionlog.config import AggregationConfig, ExecConfig
 from sessionlog.operators.blocks import activity_blocks
 from sessionlog.operators.corrections import error_corrections
 from sessionlog.operators.focus import file_focus, focus_summary
-from sessionlog.operators.scan import scan
+from sessionlog.operators.scan import SCAN_INPUT, scan
 
 
 def session_analytics(events: DataFrame, agg: AggregationConfig = AggregationConfig(),
@@ -20,7 +20,8 @@ def session_analytics(events: DataFrame, agg: AggregationConfig = AggregationCon
     ``(session_id, chunk)``); each part is a per-session aggregate and they are
     joined on ``session_id`` from the session spine.
     """
-    s = scan(events, agg, exe, materialize=True)  # read by three branches
+    # read by three branches: materialize only the columns they use (no text payload)
+    s = scan(events.select(*SCAN_INPUT), agg, exe, materialize=True)
     # one aggregate over the scanned rows: spine (all events) + idle gaps
     gap = F.col("gap_us") > F.lit(agg.idle_threshold_us)
     spine = s.groupBy("session_id").agg(

@@ -43,6 +43,10 @@ from sessionlog.spark import materialize as materialize_df
 
 UNB = Window.unboundedPreceding
 
+# columns the ordered pass and the block / gap / focus consumers read
+SCAN_INPUT = ["session_id", "seq", "type", "ts_us", "filename", "changed_tick"]
+
+
 def spans_chunks(events: DataFrame, chunk_rows: int) -> bool:
     """True when some session reaches past its first chunk (one scalar aggregate)."""
     top = events.agg(F.max("seq")).first()[0]

@@ -24,7 +24,7 @@ from sessionlog.operators.blocks import activity_blocks, flow_blocks
 from sessionlog.operators.corrections import error_corrections
 from sessionlog.operators.focus import file_focus
 from sessionlog.operators.gaps import idle_gaps
-from sessionlog.operators.scan import scan
+from sessionlog.operators.scan import SCAN_INPUT, scan
 from sessionlog.operators.stats import event_counts, session_stats
 from sessionlog.operators.timeline import timeline
 from sessionlog.operators.topk import report_blocks, top_files, with_ordinal
@@ -114,7 +114,7 @@ def summary_report(events: DataFrame, sessions: DataFrame | None = None, agg: Ag
     """Per-session analytics report: header, executive summary, velocity and flow
     blocks, focus and top files, error corrections, idle periods, the first
     ``agg.report_blocks`` activity blocks (+ how many more) and event counts."""
-    s = scan(events, agg, exe, materialize=True)  # read by several sections
+    s = scan(events.select(*SCAN_INPUT), agg, exe, materialize=True)  # read by several sections
     blocks = activity_blocks(events, agg, exe, scanned=s)
     an = session_analytics(events, agg, exe)
     if sessions is None:
