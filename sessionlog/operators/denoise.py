@@ -73,16 +73,21 @@ def _fold_small(rows: DataFrame, cfg: FilterConfig) -> DataFrame:
 
 
 def _fold_large(rows: DataFrame, cfg: FilterConfig, exe: ExecConfig, rounds: int) -> DataFrame:
-    """Exact fold for long islands: binary lifting for next anchors, pointer doubling for the chain end."""
+    """Exact fold for long islands: binary lifting for next anchors, pointer doubling for the chain end.
+
+    Lookups by ``(island, index)`` are unique-key equi-joins.  The doubling
+    join is many-to-one (converging chains share targets, the chain end most of
+    all); AQE's skew-join split spreads such a target's rows over several tasks."""
     r = ordinal_within(rows, ["session_id", "island"], "seq", "r", exe.chunk_rows).withColumn("r", F.col("r") - 1)
     # indexed island rows are probed by every round below: write them once
     r = materialize_df(r.select("session_id", "island", "r", "ts_us", "is_cur"), "island-index")
     n = r.groupBy("session_id", "island").agg(F.count(F.lit(1)).alias("n"))
     look = r.select("session_id", "island", F.col("r").alias("q"), F.col("ts_us").alias("tq"))
     deb = F.lit(cfg.debounce_us)
-    # binary lifting: lo = last index with ts < ts_i + debounce (times ascend inside an island)
-    p = r.join(n, ["session_id", "island"]).select("session_id", "island", "r", "ts_us", "n",
-                                                  F.col("r").alias("lo"))
+    # binary lifting: lo = last index with ts < ts_i + debounce (times ascend inside an island).
+    # ``n`` has one row per oversized island (at most rows / fold_max_rows): broadcast.
+    p = r.join(F.broadcast(n), ["session_id", "island"]).select("session_id", "island", "r", "ts_us", "n",
+                                                               F.col("r").alias("lo"))
     for k in reversed(range(rounds)):
         step = 1 << k
         p = (p.withColumn("q", F.col("lo") + step)
