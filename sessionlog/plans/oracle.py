@@ -416,6 +416,26 @@ FROM (
   SELECT session_id, -2, 'session_end', z + 1, NULL, NULL, NULL, NULL, NULL,
          'Debugging session ended', NULL, NULL, NULL, NULL FROM life
 ) u""",
+    "store_upsert": _with(LIFE) + """,
+cmd AS (
+  SELECT session_id, changed_tick AS cmd_id, type, ts_us, filename, changed_tick, note
+  FROM ev WHERE type IN ('file_edit', 'terminal_command', 'cursor_move', 'file_open', 'lsp_diagnostic', 'annotation')
+  UNION ALL SELECT session_id, -1, 'session_start', a - 1, NULL, NULL, 'Started debugging session in /work/proj-' || session_id FROM life
+  UNION ALL SELECT session_id, -2, 'session_end', z + 1, NULL, NULL, 'Debugging session ended' FROM life
+),
+logged AS (
+  SELECT c.session_id, CAST(row_number() OVER (PARTITION BY c.session_id ORDER BY c.ts_us, c.cmd_id) - 1 AS BIGINT) AS seq,
+         c.type, c.ts_us AS "timestamp",
+         CASE WHEN c.type IN ('file_edit', 'cursor_move', 'file_open', 'lsp_diagnostic') THEN nullif(c.filename, '') END AS filename,
+         CAST(CASE WHEN c.type = 'file_edit' THEN nullif(c.changed_tick, 0) END AS DOUBLE) AS changed_tick,
+         nullif(c.note, '') AS note
+  FROM cmd c JOIN life l USING (session_id) WHERE l.fmt = 'sqlite'
+)
+SELECT session_id, seq, type, ts_us AS "timestamp", nullif(filename, '') AS filename,
+       CAST(nullif(changed_tick, 0) AS DOUBLE) AS changed_tick, nullif(note, '') AS note
+FROM ev WHERE session_id NOT IN (SELECT session_id FROM life WHERE fmt = 'sqlite')
+UNION ALL
+SELECT * FROM logged""",
     "command_log_sessions": _with(LIFE) + """
 SELECT session_id, '/work/proj-' || session_id AS project_path, '/logs' AS save_path, fmt AS output_format FROM life""",
     "export_routes": _with(LIFE) + """

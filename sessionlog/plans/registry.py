@@ -212,6 +212,28 @@ def q_export_routes(spark, sf_dir):
     return out
 
 
+def q_store_upsert(spark, sf_dir):
+    """Relational store built from the events table, then upserted with the
+    sessions the command log routes to the store: their rows are replaced whole."""
+    from sessionlog.operators.stats import session_state
+    from sessionlog.plans.standins import command_lines, lifecycle_lines
+    from sessionlog.sinks.store import store_events, store_sessions, upsert
+    from sessionlog.sinks.writers import route_by_format
+    from sessionlog.sources.command_log import read_command_log
+    src = _ev(spark, sf_dir)
+    base_s = store_sessions(session_state(src).select(
+        "session_id", F.lit("/old").alias("project_path"), F.lit("/logs").alias("save_path"),
+        F.lit("markdown").alias("output_format"), "start_us", "end_us", "active"))
+    new_ev, meta, _ = read_command_log(command_lines(src).unionByName(lifecycle_lines(src)))
+    ids = route_by_format(meta)["store"]
+    new_s = store_sessions(session_state(new_ev).join(meta, "session_id").join(ids, "session_id", "left_semi"))
+    s, e = upsert(base_s, store_events(src), new_s, store_events(new_ev.join(ids, "session_id", "left_semi")))
+    from sessionlog.functions.scalar import epoch_us
+    e = e.withColumn("timestamp", epoch_us(F.col("timestamp"), e.schema["timestamp"].dataType))
+    return _as_double(e.select("session_id", "seq", "type", "timestamp", "filename", "changed_tick", "note"),
+                      ["changed_tick"])
+
+
 def q_main_files_map(spark, sf_dir):
     from sessionlog.operators.topk import main_files_map
     return main_files_map(file_focus(_ev(spark, sf_dir), ADAPTER_AGG, EXE))
@@ -274,6 +296,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "command_log": q_command_log,
     "command_log_sessions": q_command_log_sessions,
     "export_routes": q_export_routes,
+    "store_upsert": q_store_upsert,
     "main_files_map": q_main_files_map,
     "summary_report": q_summary_report,
     "timeline_report": q_timeline_report,
