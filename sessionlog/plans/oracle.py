@@ -271,6 +271,28 @@ life AS (
 )"""
 
 
+# command-log events (stand-in log incl. lifecycle), sequenced by arrival
+CEV = """
+cev AS (
+  SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY ts_us, cmd_id) - 1 AS BIGINT) AS seq,
+         type, ts_us, filename, changed_tick
+  FROM (
+    SELECT session_id, changed_tick AS cmd_id, type, ts_us,
+           CASE WHEN type IN ('file_edit', 'cursor_move', 'file_open', 'lsp_diagnostic') THEN nullif(filename, '') END AS filename,
+           CASE WHEN type = 'file_edit' THEN nullif(changed_tick, 0) END AS changed_tick
+    FROM ev WHERE type IN ('file_edit', 'terminal_command', 'cursor_move', 'file_open', 'lsp_diagnostic', 'annotation')
+    UNION ALL SELECT session_id, -1, 'session_start', a - 1, NULL, NULL FROM life
+    UNION ALL SELECT session_id, -2, 'session_end', z + 1, NULL, NULL FROM life
+  ) u
+)"""
+
+
+def _on(cte: str, src: str) -> str:
+    """The same CTE text reading ``src`` instead of ``ev``."""
+    import re
+    return re.sub(r"\bev\b", src, cte)
+
+
 def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(p.strip() for p in (ORACLE_EVENTS_CTE, *parts))
 
@@ -436,6 +458,11 @@ SELECT session_id, seq, type, ts_us AS "timestamp", nullif(filename, '') AS file
 FROM ev WHERE session_id NOT IN (SELECT session_id FROM life WHERE fmt = 'sqlite')
 UNION ALL
 SELECT * FROM logged""",
+    "stream_denoised": _with(LIFE, CEV, _on(CURSOR, "cev")) + """
+SELECT session_id, seq, type, ts_us, CAST(changed_tick AS DOUBLE) AS changed_tick FROM denoised""",
+    "stream_live_blocks": _with(LIFE, CEV, _on(BASE, "cev"), _on(BLOCKS, "cev")) + """
+SELECT session_id, block_no, filename, start_us, end_us, event_count, start_tick, end_tick, delta_tick, velocity,
+       closed_by FROM blocks""",
     "command_log_sessions": _with(LIFE) + """
 SELECT session_id, '/work/proj-' || session_id AS project_path, '/logs' AS save_path, fmt AS output_format FROM life""",
     "export_routes": _with(LIFE) + """

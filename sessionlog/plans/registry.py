@@ -234,6 +234,42 @@ def q_store_upsert(spark, sf_dir):
                       ["changed_tick"])
 
 
+def _stream_to_table(spark, sf_dir, build, name):
+    """Write the stand-in command log as text files, run ``build(raw_stream)`` to a
+    parquet sink (checkpoint under the shared folder) until the input is drained,
+    and read the sink back as a batch table."""
+    import uuid
+
+    from sessionlog.plans.standins import command_lines, lifecycle_lines
+    from sessionlog.spark import ensure_checkpoint_dir
+    from sessionlog.streaming.pipelines import command_stream
+
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    src = _ev(spark, sf_dir)
+    command_lines(src).unionByName(lifecycle_lines(src)).write.text(f"{base}/log")
+    raw, _ = command_stream(spark, f"{base}/log", max_files_per_trigger=1 << 20)
+    q = (build(raw).writeStream.format("parquet").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/checkpoint").outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+def q_stream_denoised(spark, sf_dir):
+    """Streaming cursor filter (keyed state, event-time timers) over the command log."""
+    from sessionlog.streaming.processors import denoise_stream
+    out = _stream_to_table(spark, sf_dir, lambda raw: denoise_stream(raw, ADAPTER_FILTER), "stream-denoise")
+    return _as_double(out.select("session_id", "seq", "type", "ts_us", "changed_tick"), ["changed_tick"])
+
+
+def q_stream_live_blocks(spark, sf_dir):
+    """Streaming activity blocks (keyed state) over the command log."""
+    from sessionlog.streaming.processors import live_blocks
+    out = _stream_to_table(spark, sf_dir, lambda raw: live_blocks(raw, ADAPTER_AGG), "stream-blocks")
+    return out.select("session_id", "block_no", "filename", "start_us", "end_us", "event_count", "start_tick",
+                      "end_tick", "delta_tick", "velocity", "closed_by")
+
+
 def q_main_files_map(spark, sf_dir):
     from sessionlog.operators.topk import main_files_map
     return main_files_map(file_focus(_ev(spark, sf_dir), ADAPTER_AGG, EXE))
@@ -297,6 +333,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "command_log_sessions": q_command_log_sessions,
     "export_routes": q_export_routes,
     "store_upsert": q_store_upsert,
+    "stream_denoised": q_stream_denoised,
+    "stream_live_blocks": q_stream_live_blocks,
     "main_files_map": q_main_files_map,
     "summary_report": q_summary_report,
     "timeline_report": q_timeline_report,
