@@ -82,3 +82,28 @@ def test_exports_and_reports_write(spark):
     parts = sorted(glob.glob(os.path.join(d, "md", f"session_id={sid}", "part-*")))
     written = "".join(open(p).read() for p in parts)
     assert written == render(tl, sid)
+
+
+def test_export_all_routes_each_format(spark):
+    from sessionlog.sinks.writers import export_all
+    ev = rows_to_df(spark, {
+        "j": [{"type": "file_edit", "ts": S(1), "filename": "a", "changed_tick": 1}],
+        "q": [{"type": "annotation", "ts": S(2), "note": "x"}],
+        "m": [{"type": "file_edit", "ts": S(3), "filename": "b", "changed_tick": 2},
+              {"type": "file_edit", "ts": S(4), "filename": "b", "changed_tick": 5}],
+    })
+    fmt = {"j": "json", "q": "sqlite", "m": "markdown"}
+    sessions = session_state(ev).select(
+        "session_id", F.lit("/p").alias("project_path"), F.lit("/s").alias("save_path"),
+        F.element_at(F.create_map(*[x for k, v in fmt.items() for x in (F.lit(k), F.lit(v))]), F.col("session_id"))
+        .alias("output_format"), "start_us", "end_us", "active")
+    d = tempfile.mkdtemp(prefix="routes-")
+    export_all(sessions, ev, d, report_lines=timeline_report(ev, sessions, flavour="intent"))
+    js = sorted(x for x in os.listdir(os.path.join(d, "json", "events")) if x.startswith("session_id"))
+    assert js == ["session_id=j"]
+    s2, e2 = read_store(spark, os.path.join(d, "store"))
+    assert [r.session_id for r in s2.collect()] == ["q"] and e2.count() == 1
+    md = sorted(x for x in os.listdir(os.path.join(d, "markdown")) if x.startswith("session_id"))
+    assert md == ["session_id=m"]
+    text = "".join(open(p).read() for p in sorted(glob.glob(os.path.join(d, "markdown", "session_id=m", "part-*"))))
+    assert "- 2 edits" in text   # intent flavour: the real count of grouped edits
