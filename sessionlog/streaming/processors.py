@@ -1,9 +1,9 @@
 """Keyed streaming state machines (``applyInPandasWithState``), one state per session.
 
-Both processors keep O(1) state per session, sort each micro-batch of a
-session by arrival ``(ts_us, cmd_id)`` and use event-time timers (the
-watermark) for idle commits, so their output equals the batch operators on
-the same log:
+Both processors keep O(1) state per session and sort each micro-batch of a
+session by arrival ``(ts_us, cmd_id)``; the cursor processor also uses
+event-time timers (the watermark) for idle commits.  Their output equals the
+batch operators on the same log:
 
 * :func:`denoise_stream` - the cursor debounce/idle filter; emits the recorded
   log (non-cursor events as they come, surviving moves where they are
