@@ -463,6 +463,44 @@ SELECT session_id, seq, type, ts_us, CAST(changed_tick AS DOUBLE) AS changed_tic
     "stream_live_blocks": _with(LIFE, CEV, _on(BASE, "cev"), _on(BLOCKS, "cev")) + """
 SELECT session_id, block_no, filename, start_us, end_us, event_count, start_tick, end_tick, delta_tick, velocity,
        closed_by FROM blocks""",
+    "session_catalogue": _with() + r""",
+ids AS (SELECT DISTINCT session_id, ascii(right(session_id, 1)) % 4 AS d FROM ev),
+names AS (
+  SELECT session_id || '_raw.json' AS file_name FROM ids WHERE d IN (0, 1)
+  UNION ALL SELECT session_id || '.json' FROM ids WHERE d IN (1, 2, 3)
+  UNION ALL SELECT session_id || '_export.json' FROM ids WHERE d = 3
+),
+named AS (
+  SELECT file_name,
+         CASE WHEN suffix(file_name, '_raw.json') THEN 0 WHEN suffix(file_name, '_export.json') THEN NULL
+              WHEN suffix(file_name, '.json') THEN 1 END AS generation,
+         regexp_replace(regexp_replace(file_name, '_raw\.json$', ''), '\.json$', '') AS session_id
+  FROM names
+)
+SELECT session_id, arg_min(file_name, generation) AS file_name, CAST(min(generation) AS INTEGER) AS generation
+FROM named WHERE generation IS NOT NULL GROUP BY session_id""",
+    "recorder_ids": _with() + r""",
+rid AS (
+  SELECT session_id, CAST(CAST(floor(min(ts_us) / 1000000) AS BIGINT) AS VARCHAR) || '_proj' || session_id AS recorder_id
+  FROM ev GROUP BY session_id
+)
+SELECT session_id, recorder_id,
+       CAST(regexp_extract(recorder_id, '^(\d+)_(.*)$', 1) AS BIGINT) AS started_at_s,
+       regexp_extract(recorder_id, '^(\d+)_(.*)$', 2) AS project
+FROM rid""",
+    "diagnostics_flat": _with() + """,
+lines AS (SELECT session_id, seq AS lseq, ts_us, line, message, level FROM ev WHERE type = 'lsp_diagnostic'),
+d AS (
+  SELECT session_id, lseq, 0 AS i, ts_us, line, message, level FROM lines
+  UNION ALL SELECT session_id, lseq, 1, ts_us, line, message || ' (hint)', 'HINT' FROM lines WHERE line % 2 = 0
+)
+SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY lseq, i) - 1 AS BIGINT) AS seq,
+       'lsp_diagnostic' AS type, ts_us, line, message, level
+FROM d""",
+    "store_roundtrip": _with() + """
+SELECT session_id, seq, type, ts_us, nullif(filename, '') AS filename, CAST(nullif(line, 0) AS DOUBLE) AS line,
+       CAST(nullif(changed_tick, 0) AS DOUBLE) AS changed_tick, nullif(note, '') AS note
+FROM ev""",
     "command_log_sessions": _with(LIFE) + """
 SELECT session_id, '/work/proj-' || session_id AS project_path, '/logs' AS save_path, fmt AS output_format FROM life""",
     "export_routes": _with(LIFE) + """

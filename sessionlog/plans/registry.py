@@ -270,6 +270,47 @@ def q_stream_live_blocks(spark, sf_dir):
                       "end_tick", "delta_tick", "velocity", "closed_by")
 
 
+def q_session_catalogue(spark, sf_dir):
+    """Catalogue over the file names a save folder would hold (raw, legacy, export)."""
+    from sessionlog.plans.standins import document_names
+    from sessionlog.sources.documents import catalogue
+    return catalogue(document_names(_ev(spark, sf_dir)))
+
+
+def q_recorder_ids(spark, sf_dir):
+    """``<epoch seconds>_<project>`` session ids parsed back into their parts."""
+    from sessionlog.functions.scalar import parse_session_id
+    from sessionlog.plans.standins import session_names
+    n = session_names(_ev(spark, sf_dir))
+    return n.select("session_id", "recorder_id", parse_session_id(F.col("recorder_id")).alias("p")).select(
+        "session_id", "recorder_id", "p.started_at_s", "p.project")
+
+
+def q_diagnostics_flat(spark, sf_dir):
+    """One diagnostic event per diagnostic on an editor line, re-sequenced per session."""
+    from sessionlog.plans.standins import diagnostic_lines
+    from sessionlog.sources.documents import flatten_diagnostics
+    d = flatten_diagnostics(diagnostic_lines(_ev(spark, sf_dir)))
+    return d.select("session_id", "seq", "type", "ts_us", "line", "message", "level")
+
+
+def q_store_roundtrip(spark, sf_dir):
+    """Relational store written (bucketed by session) and scanned back."""
+    import uuid
+
+    from sessionlog.operators.stats import session_state
+    from sessionlog.sinks.store import read_store, store_events, store_sessions, write_store
+    from sessionlog.spark import ensure_checkpoint_dir
+    src = _ev(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    meta = session_state(src).select("session_id", F.lit("/p").alias("project_path"), F.lit("/logs").alias("save_path"),
+                                     F.lit("sqlite").alias("output_format"), "start_us", "end_us", "active")
+    write_store(store_sessions(meta), store_events(src), path)
+    _, e = read_store(spark, path)
+    return _as_double(e.select("session_id", "seq", "type", "ts_us", "filename", "line", "changed_tick", "note"),
+                      ["line", "changed_tick"])
+
+
 def q_main_files_map(spark, sf_dir):
     from sessionlog.operators.topk import main_files_map
     return main_files_map(file_focus(_ev(spark, sf_dir), ADAPTER_AGG, EXE))
@@ -335,6 +376,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "store_upsert": q_store_upsert,
     "stream_denoised": q_stream_denoised,
     "stream_live_blocks": q_stream_live_blocks,
+    "session_catalogue": q_session_catalogue,
+    "recorder_ids": q_recorder_ids,
+    "diagnostics_flat": q_diagnostics_flat,
+    "store_roundtrip": q_store_roundtrip,
     "main_files_map": q_main_files_map,
     "summary_report": q_summary_report,
     "timeline_report": q_timeline_report,

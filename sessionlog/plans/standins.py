@@ -60,3 +60,34 @@ def command_lines(events: DataFrame, save_path: str = "/logs") -> DataFrame:
     rec = F.struct(F.col("changed_tick").alias("id"), cmd.alias("command"), args.alias("args"),
                    F.date_format(us_to_ts(F.col("ts_us")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"))
     return events.filter(t.isin(*_CMD)).select(F.to_json(rec).alias("value"))
+
+
+def document_names(events: DataFrame) -> DataFrame:
+    """File names a save folder would hold for the sessions of ``events``: every
+    session has ``{id}_raw.json``; by the id's last digit some also keep a legacy
+    ``{id}.json``, some only the legacy file, some an ``{id}_export.json``."""
+    ids = events.select("session_id").distinct()
+    d = F.pmod(F.ascii(F.substring("session_id", -1, 1)), F.lit(4))
+    names = F.when(d == 0, F.array(F.concat("session_id", F.lit("_raw.json"))))
+    names = (names.when(d == 1, F.array(F.concat("session_id", F.lit("_raw.json")), F.concat("session_id", F.lit(".json"))))
+             .when(d == 2, F.array(F.concat("session_id", F.lit(".json"))))
+             .otherwise(F.array(F.concat("session_id", F.lit(".json")), F.concat("session_id", F.lit("_export.json")))))
+    return ids.select(F.explode(names).alias("file_name"))
+
+
+def session_names(events: DataFrame) -> DataFrame:
+    """Recorder-style ids ``<epoch seconds>_<project>`` for the sessions of ``events``
+    (epoch of the first event, project ``proj<id>``)."""
+    return events.groupBy("session_id").agg(F.min("ts_us").alias("a")).select(
+        "session_id", F.concat(F.floor(F.col("a") / 1_000_000).cast("bigint").cast("string"),
+                               F.lit("_proj"), F.col("session_id")).alias("recorder_id"))
+
+
+def diagnostic_lines(events: DataFrame) -> DataFrame:
+    """Editor lines carrying diagnostics: each ``lsp_diagnostic`` event becomes a
+    line with its message plus, on even lines, a second hint diagnostic."""
+    lsp = events.filter(F.col("type") == "lsp_diagnostic")
+    first = F.struct(F.col("message").alias("message"), F.col("level").alias("severity"))
+    hint = F.struct(F.concat(F.col("message"), F.lit(" (hint)")).alias("message"), F.lit("HINT").alias("severity"))
+    diags = F.when(F.col("line") % 2 == 0, F.array(first, hint)).otherwise(F.array(first))
+    return lsp.select("session_id", "seq", "ts", "ts_us", "filename", "line", "column", diags.alias("diagnostics"))

@@ -28,14 +28,18 @@ def _name_table(names: DataFrame, name_col: str = "file_name") -> DataFrame:
         .filter(F.col("generation").isNotNull())
 
 
+def catalogue(names: DataFrame, name_col: str = "file_name") -> DataFrame:
+    """Catalogue over a table of file names: ``X_raw.json`` -> X; ``X.json`` -> X
+    unless it is an export; every id once (``_raw`` preferred), in file-name order."""
+    return pick_generation(_name_table(names, name_col)).orderBy(name_col)
+
+
 def list_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """Catalogue of session ids in a folder: ``X_raw.json`` -> X; ``X.json`` -> X
-    unless it is an export; every id once, with the file that will be read.
+    """Catalogue of the session documents in a folder (see :func:`catalogue`).
     File contents are not read (binary-file source without the content column)."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path)
              .select(F.col("path"), F.element_at(F.split("path", "/"), -1).alias("file_name")))
-    # catalogue order = file-name order of the chosen files (a directory read is name-sorted)
-    return pick_generation(_name_table(files)).orderBy("file_name")
+    return catalogue(files)
 
 
 def pick_generation(named: DataFrame) -> DataFrame:
