@@ -49,8 +49,8 @@ def assign_seq(df: DataFrame, key: str, order_cols: Sequence[str], out: str = "s
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_mono", F.monotonically_increasing_id())
     )
-    if materialize:
-        tagged = tagged.persist(StorageLevel.MEMORY_AND_DISK)
+    # both consumers below must see the same tags: always keep one computed copy
+    tagged = tagged.persist(StorageLevel.MEMORY_AND_DISK)
     spans = tagged.groupBy(key, "_part").agg(F.min("_mono").alias("_mono0"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
