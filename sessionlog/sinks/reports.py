@@ -12,12 +12,15 @@ rounding (``bround``), durations through :func:`format_duration`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlog.config import AggregationConfig, ExecConfig
 from sessionlog.functions.scalar import (
-    base_name, clock, day, format_duration, format_duration_or_progress, title_case, us_to_ts, velocity_badge,
+    base_name, clock, day, format_duration, format_duration_or_progress, go_duration, title_case, us_to_ts,
+    velocity_badge,
 )
 from sessionlog.operators.analytics import session_analytics
 from sessionlog.operators.blocks import activity_blocks, flow_blocks
@@ -25,13 +28,183 @@ from sessionlog.operators.corrections import error_corrections
 from sessionlog.operators.focus import file_focus
 from sessionlog.operators.gaps import idle_gaps
 from sessionlog.operators.scan import SCAN_INPUT, scan
-from sessionlog.operators.stats import event_counts, session_stats
+from sessionlog.operators.stats import event_counts, session_state, session_stats
 from sessionlog.operators.timeline import timeline
 from sessionlog.operators.topk import report_blocks, top_files, with_ordinal
 
 LINE_COLUMNS = ["session_id", "sec", "ord", "sub", "line"]
-TITLE = "Session Report"
-FOOTER = "*Generated by sessionlog*"
+
+# ---------------------------------------------------------------------------
+# The report texts, section by section in report order.
+# ``{name}`` is filled from a column; a ``(condition, text)`` pair is a line
+# printed only when the named condition holds.
+# ---------------------------------------------------------------------------
+TIMELINE_HEAD = [
+    "# Session Report: {session_id}", "",
+    "> **Project:** `{project}`",
+    "> **Date:** `{date}`",
+    "> **Duration:** `{duration}` | **Start:** `{start}`", "",
+    "---", "",
+    "## 📊 Quick Stats",
+    "| Metric | Value |",
+    "| :--- | :--- |",
+    "| 🛠 Edits | {edits} |",
+    "| 🎯 Navigation | {navs} |",
+    "| 💻 Terminal | {terminal} |",
+    "| 📝 Notes | {notes} |",
+    "| ⚠️ LSP | {lsp} |", "",
+    "### Focus Snapshot",
+    "| Work vs Nav | % |",
+    "| :--- | ---: |",
+    "| Editing Time | {edit_pct}% |",
+    "| Navigation Time | {nav_pct}% |", "",
+    "---", "",
+    "## 🕒 Timeline", "",
+]
+TIMELINE_ENTRY = [
+    "### {time} {icon} {title}",
+    ("has_where", "{where}"),
+    ("has_snippet", "```\n{snippet}\n```"),
+    ("has_details", "- {details}"),
+    "",
+]
+TIMELINE_TAIL = [
+    "---", "",
+    "## 📝 Final Summary",
+    "- **Total Events:** {total}",
+    "- **Sessions Blocks:** {entries}", "",
+    "---",
+    "*Generated by sessionlog*",
+]
+SUMMARY_HEAD = [
+    "# Session Summary Report", "",
+    "**Session ID:** `{session_id}`",
+    "**Project:** `{project}`",
+    "**Started:** {started}",
+    ("ended", "**Ended:** {ended_at}"),
+    ("ended", "**Duration:** {duration}"),
+    ("active", "**Status:** Active"), "",
+    "---", "",
+    "## Executive Summary", "",
+    "- **Total Events:** {total}",
+    "- **Activity Blocks:** {blocks}",
+    "- **Average Velocity:** {avg_velocity} ticks/sec",
+    "- **Peak Velocity:** {peak_velocity} ticks/sec",
+    "- **Focus Ratio:** {focus_pct}%",
+    "- **Flow State Blocks:** {flow}",
+    "- **Idle Gaps:** {gaps} (Total: {idle_total})",
+    "- **Error Corrections:** {corrections}", "",
+    "## Velocity Analysis", "",
+    "**What is Velocity?** Delta Tick / Duration. High velocity (>{flow_threshold} ticks/sec) indicates "
+    "\"Flow State\" - you're coding fast and efficiently.", "",
+    ("has_flow", "### Flow State Blocks ({flow})"),
+    ("has_flow", ""),
+    ("has_flow", "These are your most productive moments:"),
+    ("has_flow", ""),
+    ("no_flow", "*No flow state blocks detected. Try to minimize interruptions for deeper focus.*"),
+    ("no_flow", ""),
+]
+SUMMARY_FLOW_BLOCK = [
+    "{i}. **{time}** - `{file}`",
+    "   - Velocity: **{velocity} ticks/sec** 🔥",
+    "   - Duration: {duration}",
+    "   - Changes: {delta} ticks across {events} events",
+    "",
+]
+SUMMARY_FOCUS_HEAD = [
+    "## Focus Ratio", "",
+    "**Overall Focus:** {focus_pct}% of time spent on main code files", "",
+    ("has_files", "### Time Spent by File"),
+    ("has_files", ""),
+]
+SUMMARY_FILE = ["- `{file}`: {duration} ({pct}%)"]
+SUMMARY_FOCUS_TAIL = [
+    ("has_files", ""),
+    ("distracted", "**Distraction Time:** {distraction} in file browsers/tools"),
+    ("distracted", ""),
+]
+SUMMARY_CORRECTIONS_HEAD = [
+    "## Error Correction Patterns", "",
+    "Detected moments where you fixed errors after making mistakes:", "",
+]
+SUMMARY_CORRECTION = [
+    "### {i}. {time} - `{file}`", "",
+    "**Annotation:** \"{note}\"", "",
+    "- Blocks affected: {blocks}",
+    ("reversed", "- Changes reversed: {ticks} ticks"),
+    ("deleted", "- Lines deleted: ~{lines}"),
+    "",
+]
+SUMMARY_IDLE_HEAD = [
+    "## Idle Periods", "",
+    "Gaps > {idle_threshold} where you might have been stuck or took a break:", "",
+]
+SUMMARY_IDLE_GAP = ["{i}. **{time}** - {duration} idle"]
+SUMMARY_IDLE_TAIL = [""]
+SUMMARY_BLOCKS_HEAD = [
+    "## Activity Timeline", "",
+    "Aggregated blocks of continuous work (events < {merge_window} seconds apart):", "",
+]
+SUMMARY_BLOCK = [
+    "### {time} - `{file}`", "",
+    "- **Duration:** {duration}",
+    "- **Events:** {events} edits",
+    "- **Changes:** {start_tick} → {end_tick} ticks (Δ{delta})",
+    ("moving", "- **Velocity:** {velocity} ticks/sec{badge}"),
+    "- **Closed by:** {closed_by}",
+    "",
+]
+SUMMARY_MORE_BLOCKS = ["", "*...and {more} more blocks (see raw JSON for full details)*"]
+SUMMARY_COUNTS_HEAD = ["---", "", "## Raw Event Statistics", ""]
+SUMMARY_COUNT = ["- **{type}:** {n}"]
+SUMMARY_FOOT = [
+    "", "---", "",
+    "*Generated by sessionlog with smart aggregation*",
+    "*Raw event data available in `{session_id}_raw.json`*",
+]
+STATS_SESSION = [
+    "",
+    "{session_id}:",
+    "  Status: {status}",
+    ("completed", "  Duration: {duration}"),
+    "  Total Events: {total}",
+    "  File Edits: {edits}",
+    "  Cursor Moves: {navs}",
+    "  Terminal Commands: {terminal}",
+    "  Annotations: {notes}",
+]
+# ---------------------------------------------------------------------------
+
+_FIELD = re.compile(r"\{(\w+)\}")
+
+
+def _fill(text: str, vals: dict[str, Column]) -> Column:
+    """A template line as a Column: literal pieces and ``{name}`` fields."""
+    parts, pos = [], 0
+    for m in _FIELD.finditer(text):
+        if m.start() > pos:
+            parts.append(F.lit(text[pos:m.start()]))
+        parts.append(vals[m.group(1)].cast("string"))
+        pos = m.end()
+    if pos < len(text):
+        parts.append(F.lit(text[pos:]))
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def _lines(df: DataFrame, sec: int, ord_col: Column, template: list, vals: dict[str, Column] | None = None,
+           conds: dict[str, Column] | None = None) -> DataFrame:
+    """Rows of ``df`` -> one output row per printed template line, in order."""
+    vals, conds = vals or {}, conds or {}
+    cols = []
+    for item in template:
+        if isinstance(item, tuple):
+            cond, text = item
+            cols.append(F.when(conds[cond], _fill(text, vals)))
+        else:
+            cols.append(_fill(item, vals))
+    arr = F.filter(F.array(*cols), lambda x: x.isNotNull())
+    return df.select("session_id", F.lit(sec).alias("sec"), ord_col.cast("bigint").alias("ord"),
+                     F.posexplode(arr).alias("sub", "line")).select(*LINE_COLUMNS)
 
 
 def _f2(x: Column) -> Column:
@@ -46,15 +219,8 @@ def _dt(us: Column) -> Column:
     return F.date_format(us_to_ts(us), "yyyy-MM-dd HH:mm:ss")
 
 
-def _lines(df: DataFrame, sec: int, ord_col: Column, lines: list[Column]) -> DataFrame:
-    """Rows of ``df`` -> one output row per non-NULL line, in list order."""
-    arr = F.filter(F.array(*[ln.cast("string") for ln in lines]), lambda x: x.isNotNull())
-    return df.select("session_id", F.lit(sec).alias("sec"), ord_col.cast("bigint").alias("ord"),
-                     F.posexplode(arr).alias("sub", "line")).select(*LINE_COLUMNS)
-
-
-def _if(cond: Column, text: Column | str) -> Column:
-    return F.when(cond, text if isinstance(text, Column) else F.lit(text))
+def _c(name: str) -> Column:
+    return F.col(name)
 
 
 def timeline_report(events: DataFrame, sessions: DataFrame | None = None, agg: AggregationConfig = AggregationConfig(),
@@ -62,50 +228,29 @@ def timeline_report(events: DataFrame, sessions: DataFrame | None = None, agg: A
     """Per-session timeline report (quick stats, edit/navigation share, grouped
     timeline, totals).  ``flavour="code"`` prints grouped edits the way the
     recorder does (first edit, ``1 edit``); ``"intent"`` prints last values and counts."""
-    from sessionlog.operators.stats import session_state
-
     st = session_stats(events, sessions)
     times = sessions if sessions is not None else session_state(events)
     spine = st.join(times.select("session_id", "start_us", "end_us"), "session_id", "left")
     tl = timeline(events, agg, exe)
     n_entries = tl.groupBy("session_id").agg(F.count(F.lit(1)).alias("entries"))
     spine = spine.join(n_entries, "session_id", "left")
-    c = lambda n: F.col(n).cast("string")
-    head = _lines(spine, 0, F.lit(0), [
-        F.concat(F.lit(f"# 🦦 {TITLE}: "), F.col("session_id")), F.lit(""),
-        F.concat(F.lit("> **Project:** `"), F.coalesce("project_path", F.lit("")), F.lit("`")),
-        F.concat(F.lit("> **Date:** `"), day(F.col("start_us")), F.lit("`")),
-        F.concat(F.lit("> **Duration:** `"), format_duration_or_progress(F.col("start_us"), F.col("end_us")),
-                 F.lit("` | **Start:** `"), clock(F.col("start_us")), F.lit("`")),
-        F.lit(""), F.lit("---"), F.lit(""), F.lit("## 📊 Quick Stats"), F.lit("| Metric | Value |"),
-        F.lit("| :--- | :--- |"),
-        F.concat(F.lit("| 🛠 Edits | "), c("file_edits"), F.lit(" |")),
-        F.concat(F.lit("| 🎯 Navigation | "), c("cursor_moves"), F.lit(" |")),
-        F.concat(F.lit("| 💻 Terminal | "), c("terminal_commands"), F.lit(" |")),
-        F.concat(F.lit("| 📝 Notes | "), c("annotations"), F.lit(" |")),
-        F.concat(F.lit("| ⚠️ LSP | "), c("lsp_diagnostics"), F.lit(" |")),
-        F.lit(""), F.lit("### Focus Snapshot"), F.lit("| Work vs Nav | % |"), F.lit("| :--- | ---: |"),
-        F.concat(F.lit("| Editing Time | "), c("edit_pct"), F.lit("% |")),
-        F.concat(F.lit("| Navigation Time | "), c("nav_pct"), F.lit("% |")),
-        F.lit(""), F.lit("---"), F.lit(""), F.lit("## 🕒 Timeline"), F.lit(""),
-    ])
+    head = _lines(spine, 0, F.lit(0), TIMELINE_HEAD, {
+        "session_id": _c("session_id"), "project": F.coalesce("project_path", F.lit("")),
+        "date": day(_c("start_us")), "duration": format_duration_or_progress(_c("start_us"), _c("end_us")),
+        "start": clock(_c("start_us")), "edits": _c("file_edits"), "navs": _c("cursor_moves"),
+        "terminal": _c("terminal_commands"), "notes": _c("annotations"), "lsp": _c("lsp_diagnostics"),
+        "edit_pct": _c("edit_pct"), "nav_pct": _c("nav_pct"),
+    })
     k = "code" if flavour == "code" else "intent"
-    file, loc, snip, det = F.col("file"), F.col(f"location_{k}"), F.col(f"snippet_{k}"), F.col(f"details_{k}")
-    where = F.concat(_if(file != "", F.concat(F.lit("`"), file, F.lit("`"))).otherwise(F.lit("")),
-                     _if(loc != "", F.concat(F.lit(" • "), loc)).otherwise(F.lit("")))
-    body = _lines(tl, 1, F.col("entry_no"), [
-        F.concat(F.lit("### "), F.col(f"time_{k}"), F.lit(" "), F.col("icon"), F.lit(" "), F.col("title")),
-        _if(where != "", where),
-        _if(snip != "", F.concat(F.lit("```\n"), snip, F.lit("\n```"))),
-        _if(det != "", F.concat(F.lit("- "), det)),
-        F.lit(""),
-    ])
-    tail = _lines(spine, 2, F.lit(0), [
-        F.lit("---"), F.lit(""), F.lit("## 📝 Final Summary"),
-        F.concat(F.lit("- **Total Events:** "), c("total_events")),
-        F.concat(F.lit("- **Sessions Blocks:** "), F.coalesce(c("entries"), F.lit("0"))),
-        F.lit(""), F.lit("---"), F.lit(FOOTER),
-    ])
+    file, loc, snip, det = _c("file"), _c(f"location_{k}"), _c(f"snippet_{k}"), _c(f"details_{k}")
+    where = F.concat(F.when(file != "", F.concat(F.lit("`"), file, F.lit("`"))).otherwise(F.lit("")),
+                     F.when(loc != "", F.concat(F.lit(" • "), loc)).otherwise(F.lit("")))
+    body = _lines(tl, 1, _c("entry_no"), TIMELINE_ENTRY,
+                  {"time": _c(f"time_{k}"), "icon": _c("icon"), "title": _c("title"), "where": where,
+                   "snippet": snip, "details": det},
+                  {"has_where": where != "", "has_snippet": snip != "", "has_details": det != ""})
+    tail = _lines(spine, 2, F.lit(0), TIMELINE_TAIL,
+                  {"total": _c("total_events"), "entries": F.coalesce(_c("entries"), F.lit(0))})
     return head.unionByName(body).unionByName(tail)
 
 
@@ -117,134 +262,74 @@ def summary_report(events: DataFrame, sessions: DataFrame | None = None, agg: Ag
     s = scan(events.select(*SCAN_INPUT), agg, exe, materialize=True)  # read by several sections
     blocks = activity_blocks(events, agg, exe, scanned=s)
     an = session_analytics(events, agg, exe)
-    if sessions is None:
-        from sessionlog.operators.stats import session_state
-        meta = session_state(events).withColumn("project_path", F.lit(None).cast("string"))
-    else:
-        meta = sessions
+    meta = (sessions if sessions is not None
+            else session_state(events).withColumn("project_path", F.lit(None).cast("string")))
     hdr = an.join(meta.select("session_id", "project_path", "start_us", "end_us"), "session_id", "left")
-    n = lambda x: F.col(x).cast("string")
-    ended = F.col("end_us").isNotNull()
-    head = _lines(hdr, 0, F.lit(0), [
-        F.lit("# Session Summary Report"), F.lit(""),
-        F.concat(F.lit("**Session ID:** `"), F.col("session_id"), F.lit("`")),
-        F.concat(F.lit("**Project:** `"), F.coalesce("project_path", F.lit("")), F.lit("`")),
-        F.concat(F.lit("**Started:** "), _dt(F.col("start_us"))),
-        _if(ended, F.concat(F.lit("**Ended:** "), _dt(F.col("end_us")))),
-        _if(ended, F.concat(F.lit("**Duration:** "), format_duration(F.col("end_us") - F.col("start_us")))),
-        _if(~ended, "**Status:** Active"),
-        F.lit(""), F.lit("---"), F.lit(""),
-        F.lit("## Executive Summary"), F.lit(""),
-        F.concat(F.lit("- **Total Events:** "), n("total_events")),
-        F.concat(F.lit("- **Activity Blocks:** "), n("activity_blocks")),
-        F.concat(F.lit("- **Average Velocity:** "), _f2(F.col("avg_velocity")), F.lit(" ticks/sec")),
-        F.concat(F.lit("- **Peak Velocity:** "), _f2(F.col("peak_velocity")), F.lit(" ticks/sec")),
-        F.concat(F.lit("- **Focus Ratio:** "), _f1(F.col("focus_ratio") * 100), F.lit("%")),
-        F.concat(F.lit("- **Flow State Blocks:** "), n("flow_blocks")),
-        F.concat(F.lit("- **Idle Gaps:** "), n("idle_gaps"), F.lit(" (Total: "),
-                 format_duration(F.col("idle_total_us")), F.lit(")")),
-        F.concat(F.lit("- **Error Corrections:** "), n("error_corrections")),
-        F.lit(""),
-        F.lit("## Velocity Analysis"), F.lit(""),
-        F.lit(f"**What is Velocity?** Delta Tick / Duration. High velocity (>{agg.flow_velocity:g} ticks/sec) "
-              "indicates \"Flow State\" - you're coding fast and efficiently."),
-        F.lit(""),
-        _if(F.col("flow_blocks") > 0, F.concat(F.lit("### Flow State Blocks ("), n("flow_blocks"), F.lit(")"))),
-        _if(F.col("flow_blocks") > 0, ""),
-        _if(F.col("flow_blocks") > 0, "These are your most productive moments:"),
-        _if(F.col("flow_blocks") > 0, ""),
-        _if(F.col("flow_blocks") == 0,
-            "*No flow state blocks detected. Try to minimize interruptions for deeper focus.*"),
-        _if(F.col("flow_blocks") == 0, ""),
-    ])
+    ended = _c("end_us").isNotNull()
+    head = _lines(hdr, 0, F.lit(0), SUMMARY_HEAD, {
+        "session_id": _c("session_id"), "project": F.coalesce("project_path", F.lit("")),
+        "started": _dt(_c("start_us")), "ended_at": _dt(_c("end_us")),
+        "duration": format_duration(_c("end_us") - _c("start_us")), "total": _c("total_events"),
+        "blocks": _c("activity_blocks"), "avg_velocity": _f2(_c("avg_velocity")),
+        "peak_velocity": _f2(_c("peak_velocity")), "focus_pct": _f1(_c("focus_ratio") * 100),
+        "flow": _c("flow_blocks"), "gaps": _c("idle_gaps"), "idle_total": format_duration(_c("idle_total_us")),
+        "corrections": _c("error_corrections"), "flow_threshold": F.lit(f"{agg.flow_velocity:g}"),
+    }, {"ended": ended, "active": ~ended, "has_flow": _c("flow_blocks") > 0, "no_flow": _c("flow_blocks") == 0})
+
     fb = with_ordinal(flow_blocks(blocks, agg), "block_no", exe)
-    flow = _lines(fb, 1, F.col("ordinal"), [
-        F.concat(n("ordinal"), F.lit(". **"), clock(F.col("start_us")), F.lit("** - `"), base_name(F.col("filename")),
-                 F.lit("`")),
-        F.concat(F.lit("   - Velocity: **"), _f2(F.col("velocity")), F.lit(" ticks/sec** 🔥")),
-        F.concat(F.lit("   - Duration: "), format_duration(F.col("duration_us"))),
-        F.concat(F.lit("   - Changes: "), n("delta_tick"), F.lit(" ticks across "), n("event_count"), F.lit(" events")),
-        F.lit(""),
-    ])
+    flow = _lines(fb, 1, _c("ordinal"), SUMMARY_FLOW_BLOCK, {
+        "i": _c("ordinal"), "time": clock(_c("start_us")), "file": base_name(_c("filename")),
+        "velocity": _f2(_c("velocity")), "duration": format_duration(_c("duration_us")),
+        "delta": _c("delta_tick"), "events": _c("event_count"),
+    })
+
     foc = file_focus(events, agg, exe, scanned=s)
     tops = top_files(foc, agg, exe)
     has_main = tops.groupBy("session_id").agg(F.count(F.lit(1)).alias("k"))
     fr = hdr.select("session_id", "focus_ratio", "distraction_seconds").join(has_main, "session_id", "left")
-    focus_head = _lines(fr, 2, F.lit(0), [
-        F.lit("## Focus Ratio"), F.lit(""),
-        F.concat(F.lit("**Overall Focus:** "), _f1(F.col("focus_ratio") * 100), F.lit("% of time spent on main code files")),
-        F.lit(""),
-        _if(F.col("k") > 0, "### Time Spent by File"), _if(F.col("k") > 0, ""),
-    ])
-    files = _lines(tops, 3, F.col("rank"), [
-        F.concat(F.lit("- `"), F.col("base"), F.lit("`: "), format_duration(F.col("seconds") * 1_000_000),
-                 F.lit(" ("), F.coalesce(_f1(F.col("pct_vs_distraction")), F.lit("NaN")), F.lit("%)")),
-    ])
-    focus_tail = _lines(fr, 4, F.lit(0), [
-        _if(F.col("k") > 0, ""),
-        _if(F.col("distraction_seconds") > 0,
-            F.concat(F.lit("**Distraction Time:** "), format_duration(F.col("distraction_seconds") * 1_000_000),
-                     F.lit(" in file browsers/tools"))),
-        _if(F.col("distraction_seconds") > 0, ""),
-    ])
+    focus_conds = {"has_files": F.coalesce(_c("k"), F.lit(0)) > 0, "distracted": _c("distraction_seconds") > 0}
+    focus_head = _lines(fr, 2, F.lit(0), SUMMARY_FOCUS_HEAD, {"focus_pct": _f1(_c("focus_ratio") * 100)}, focus_conds)
+    files = _lines(tops, 3, _c("rank"), SUMMARY_FILE, {
+        "file": _c("base"), "duration": format_duration(_c("seconds") * 1_000_000),
+        "pct": F.coalesce(_f1(_c("pct_vs_distraction")), F.lit("NaN")),
+    })
+    focus_tail = _lines(fr, 4, F.lit(0), SUMMARY_FOCUS_TAIL,
+                        {"distraction": format_duration(_c("distraction_seconds") * 1_000_000)}, focus_conds)
+
     corr = with_ordinal(error_corrections(events, agg, exe), "seq", exe)
-    corr_head = _lines(corr.filter(F.col("ordinal") == 1), 5, F.lit(0), [
-        F.lit("## Error Correction Patterns"), F.lit(""),
-        F.lit("Detected moments where you fixed errors after making mistakes:"), F.lit(""),
-    ])
-    corr_body = _lines(corr, 6, F.col("ordinal"), [
-        F.concat(F.lit("### "), n("ordinal"), F.lit(". "), clock(F.col("ts_us")), F.lit(" - `"),
-                 base_name(F.col("filename")), F.lit("`")),
-        F.lit(""),
-        F.concat(F.lit("**Annotation:** \""), F.coalesce("annotation", F.lit("")), F.lit("\"")), F.lit(""),
-        F.concat(F.lit("- Blocks affected: "), n("blocks_affected")),
-        _if(F.col("ticks_reversed") > 0, F.concat(F.lit("- Changes reversed: "), n("ticks_reversed"), F.lit(" ticks"))),
-        _if(F.col("lines_deleted") > 0, F.concat(F.lit("- Lines deleted: ~"), n("lines_deleted"))),
-        F.lit(""),
-    ])
+    corr_head = _lines(corr.filter(_c("ordinal") == 1), 5, F.lit(0), SUMMARY_CORRECTIONS_HEAD)
+    corr_body = _lines(corr, 6, _c("ordinal"), SUMMARY_CORRECTION, {
+        "i": _c("ordinal"), "time": clock(_c("ts_us")), "file": base_name(_c("filename")),
+        "note": F.coalesce("annotation", F.lit("")), "blocks": _c("blocks_affected"),
+        "ticks": _c("ticks_reversed"), "lines": _c("lines_deleted"),
+    }, {"reversed": _c("ticks_reversed") > 0, "deleted": _c("lines_deleted") > 0})
+
     gaps = with_ordinal(idle_gaps(events, agg, exe, scanned=s), "end_seq", exe)
-    gap_head = _lines(gaps.filter(F.col("ordinal") == 1), 7, F.lit(0), [
-        F.lit("## Idle Periods"), F.lit(""),
-        F.lit(f"Gaps > {format_minutes(agg.idle_threshold_us)} where you might have been stuck or took a break:"),
-        F.lit(""),
-    ])
-    gap_body = _lines(gaps, 8, F.col("ordinal"), [
-        F.concat(n("ordinal"), F.lit(". **"), clock(F.col("start_us")), F.lit("** - "),
-                 format_duration(F.col("duration_us")), F.lit(" idle")),
-    ])
-    gap_tail = _lines(gaps.filter(F.col("ordinal") == 1), 9, F.lit(0), [F.lit("")])
+    gap_head = _lines(gaps.filter(_c("ordinal") == 1), 7, F.lit(0), SUMMARY_IDLE_HEAD,
+                      {"idle_threshold": F.lit(format_minutes(agg.idle_threshold_us))})
+    gap_body = _lines(gaps, 8, _c("ordinal"), SUMMARY_IDLE_GAP, {
+        "i": _c("ordinal"), "time": clock(_c("start_us")), "duration": format_duration(_c("duration_us"))})
+    gap_tail = _lines(gaps.filter(_c("ordinal") == 1), 9, F.lit(0), SUMMARY_IDLE_TAIL)
+
     first, more = report_blocks(blocks, agg)
-    tl_head = _lines(hdr.select("session_id"), 10, F.lit(0), [
-        F.lit("## Activity Timeline"), F.lit(""),
-        F.lit(f"Aggregated blocks of continuous work (events < {agg.merge_window_us / 1e6:g} seconds apart):"),
-        F.lit(""),
-    ])
-    tl_body = _lines(first, 11, F.col("block_no"), [
-        F.concat(F.lit("### "), clock(F.col("start_us")), F.lit(" - `"), base_name(F.col("filename")), F.lit("`")),
-        F.lit(""),
-        F.concat(F.lit("- **Duration:** "), format_duration(F.col("duration_us"))),
-        F.concat(F.lit("- **Events:** "), n("event_count"), F.lit(" edits")),
-        F.concat(F.lit("- **Changes:** "), n("start_tick"), F.lit(" → "), n("end_tick"), F.lit(" ticks (Δ"),
-                 n("delta_tick"), F.lit(")")),
-        _if(F.col("velocity") > 0, F.concat(F.lit("- **Velocity:** "), _f2(F.col("velocity")), F.lit(" ticks/sec"),
-                                            velocity_badge(F.col("velocity"), agg.flow_velocity))),
-        F.concat(F.lit("- **Closed by:** "), F.col("closed_by")),
-        F.lit(""),
-    ])
-    tl_more = _lines(more.filter(F.col("more_blocks") > 0), 12, F.lit(0), [
-        F.lit(""), F.concat(F.lit("*...and "), n("more_blocks"), F.lit(" more blocks (see raw JSON for full details)*")),
-    ])
+    tl_head = _lines(hdr.select("session_id"), 10, F.lit(0), SUMMARY_BLOCKS_HEAD,
+                     {"merge_window": F.lit(f"{agg.merge_window_us / 1e6:g}")})
+    tl_body = _lines(first, 11, _c("block_no"), SUMMARY_BLOCK, {
+        "time": clock(_c("start_us")), "file": base_name(_c("filename")),
+        "duration": format_duration(_c("duration_us")), "events": _c("event_count"),
+        "start_tick": _c("start_tick"), "end_tick": _c("end_tick"), "delta": _c("delta_tick"),
+        "velocity": _f2(_c("velocity")), "badge": velocity_badge(_c("velocity"), agg.flow_velocity),
+        "closed_by": _c("closed_by"),
+    }, {"moving": _c("velocity") > 0})
+    tl_more = _lines(more.filter(_c("more_blocks") > 0), 12, F.lit(0), SUMMARY_MORE_BLOCKS,
+                     {"more": _c("more_blocks")})
+
     counts = event_counts(events)
-    raw_head = _lines(hdr.select("session_id"), 13, F.lit(0), [
-        F.lit("---"), F.lit(""), F.lit("## Raw Event Statistics"), F.lit(""),
-    ])
-    raw_body = _lines(with_type_rank(counts), 14, F.col("type_rank"), [
-        F.concat(F.lit("- **"), title_case(F.col("type")), F.lit(":** "), n("n")),
-    ])
-    foot = _lines(hdr.select("session_id"), 15, F.lit(0), [
-        F.lit(""), F.lit("---"), F.lit(""), F.lit(f"{FOOTER[:-1]} with smart aggregation*"),
-        F.concat(F.lit("*Raw event data available in `"), F.col("session_id"), F.lit("_raw.json`*")),
-    ])
+    raw_head = _lines(hdr.select("session_id"), 13, F.lit(0), SUMMARY_COUNTS_HEAD)
+    raw_body = _lines(with_type_rank(counts), 14, _c("type_rank"), SUMMARY_COUNT,
+                      {"type": title_case(_c("type")), "n": _c("n")})
+    foot = _lines(hdr.select("session_id"), 15, F.lit(0), SUMMARY_FOOT, {"session_id": _c("session_id")})
+
     parts = [head, flow, focus_head, files, focus_tail, corr_head, corr_body, gap_head, gap_body, gap_tail, tl_head,
              tl_body, tl_more, raw_head, raw_body, foot]
     out = parts[0]
@@ -253,6 +338,18 @@ def summary_report(events: DataFrame, sessions: DataFrame | None = None, agg: Ag
     return out
 
 
+def stats_report(stats: DataFrame) -> DataFrame:
+    """The statistics command's text for every session (``session_stats`` rows),
+    as line rows: status, duration of finished sessions in ``1h30m0s`` form, and
+    the event counts."""
+    return _lines(stats, 0, F.lit(0), STATS_SESSION, {
+        "session_id": _c("session_id"), "status": _c("status"),
+        "duration": go_duration(F.coalesce(_c("duration_us"), F.lit(0))), "total": _c("total_events"),
+        "edits": _c("file_edits"), "navs": _c("cursor_moves"), "terminal": _c("terminal_commands"),
+        "notes": _c("annotations"),
+    }, {"completed": _c("status") == "Completed"})
+
+
 def format_minutes(us: int) -> str:
     m = us / 60_000_000
     return f"{m:g} minutes" if m >= 1 else f"{us / 1e6:g} seconds"
@@ -260,7 +357,6 @@ def format_minutes(us: int) -> str:
 
 def with_type_rank(counts: DataFrame) -> DataFrame:
     """Event types in a fixed order (by name): few distinct types, so a bounded rank."""
-    from pyspark.sql import Window
     return counts.withColumn("type_rank", F.row_number().over(Window.partitionBy("session_id").orderBy("type")))
 
 
@@ -276,23 +372,3 @@ def render(lines: DataFrame, session_id: str) -> str:
     """Assemble one session's report on the driver (tests and small previews only)."""
     rows = lines.filter(F.col("session_id") == session_id).orderBy("sec", "ord", "sub").select("line").collect()
     return "\n".join(r.line for r in rows) + "\n"
-
-
-def stats_report(stats: DataFrame) -> DataFrame:
-    """The statistics command's text for every session (``session_stats`` rows),
-    as line rows: status, duration of finished sessions in ``1h30m0s`` form, and
-    the event counts."""
-    from sessionlog.functions.scalar import go_duration
-
-    n = lambda x: F.col(x).cast("string")
-    done = F.col("status") == "Completed"
-    return _lines(stats, 0, F.lit(0), [
-        F.lit(""), F.concat(F.col("session_id"), F.lit(":")),
-        F.concat(F.lit("  Status: "), F.col("status")),
-        _if(done, F.concat(F.lit("  Duration: "), go_duration(F.coalesce(F.col("duration_us"), F.lit(0))))),
-        F.concat(F.lit("  Total Events: "), n("total_events")),
-        F.concat(F.lit("  File Edits: "), n("file_edits")),
-        F.concat(F.lit("  Cursor Moves: "), n("cursor_moves")),
-        F.concat(F.lit("  Terminal Commands: "), n("terminal_commands")),
-        F.concat(F.lit("  Annotations: "), n("annotations")),
-    ])
