@@ -241,8 +241,12 @@ def strip_session_suffix(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(name, "_raw\\.json$", ""), "\\.json$", "")
 
 
+# Fixed value: note of the session_start event (followed by the project path).
+START_NOTE_PREFIX = "Started debugging session in "
+
+
 def start_note(project: Column) -> Column:
-    return F.concat(F.lit("Started debugging session in "), F.coalesce(project, F.lit("")))
+    return F.concat(F.lit(START_NOTE_PREFIX), F.coalesce(project, F.lit("")))
 
 
 def parse_session_id(sid: Column) -> Column:
