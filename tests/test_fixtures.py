@@ -212,3 +212,17 @@ def test_intent_options_for_corrections(spark):
     tr = replace(la, true_reversals=True)
     r = error_corrections(df, tr, EXE[0]).collect()
     assert [(x.blocks_affected, x.ticks_reversed) for x in r] == [(3, 6)]   # 9 -> 7 -> 3 reverses 6 ticks
+
+
+def test_session_state_with_resume(spark):
+    from sessionlog.operators.stats import session_state
+    df = rows_to_df(spark, {
+        "r": [ev("session_start", 10, note="s"), ev("file_edit", 11, filename="a"), ev("session_end", 20, note="e"),
+              ev("session_resume", 50, note="r"), ev("file_edit", 51, filename="a")],
+        "e": [ev("session_start", 5), ev("session_end", 9)],
+        "n": [ev("file_edit", 3, filename="a"), ev("file_edit", 4, filename="a")],
+    })
+    st = {r.session_id: (r.start_us, r.end_us, r.active) for r in session_state(df).collect()}
+    assert st["r"] == (S(10), S(20), True)     # resumed: active, keeps the earlier end time
+    assert st["e"] == (S(5), S(9), False)
+    assert st["n"] == (S(3), S(4), False)      # no lifecycle events: a finished span of its events
