@@ -133,3 +133,28 @@ def test_cursor_filter_matches_loop(spark, fold_max, mode):
     assert out.count() == n_non_cursor + len(exp)
     per = out.groupBy("session_id").agg(F.max("seq").alias("m"), F.count("*").alias("n")).collect()
     assert all(r.m == r.n - 1 for r in per)
+
+
+@pytest.mark.parametrize("seed,chunk", [(21, 5), (33, 7), (45, 2)])
+def test_scan_operators_more_seeds(spark, seed, chunk):
+    """Longer random logs (many chunk boundaries per session) for blocks, gaps, focus, timeline."""
+    logs = random_logs(seed, n_sessions=15, max_len=200)
+    df = rows_to_df(spark, logs)
+    exe = ExecConfig(chunk_rows=chunk)
+    got_b = {}
+    for r in activity_blocks(df, AGG, exe).collect():
+        got_b.setdefault(r.session_id, []).append((r.block_no, r.event_count, r.delta_tick, r.closed_by))
+    got_g = sorted((r.session_id, r.end_seq) for r in idle_gaps(df, AGG, exe).collect())
+    got_f = {(r.session_id, r.filename): r.seconds for r in file_focus(df, AGG, exe).collect()}
+    got_t = sorted((r.session_id, r.entry_no, r.first_seq, r.edit_count) for r in timeline(df, AGG, exe).collect())
+    exp_g, exp_f, exp_t = [], {}, []
+    for sid, evs in logs.items():
+        exp_b = [(b[0], b[5], b[8], b[10]) for b in model.blocks(evs, AGG)]
+        assert sorted(got_b.get(sid, [])) == exp_b, sid
+        exp_g += [(sid, g[0]) for g in model.idle_gaps(evs, AGG)]
+        files, dist = model.focus(evs, AGG)
+        exp_f.update({(sid, f): v for f, v in {**files, **dist}.items()})
+        exp_t += [(sid, k, first, n) for (k, t, first, last, n) in model.timeline(evs)]
+    assert got_g == sorted(exp_g)
+    assert got_f == exp_f
+    assert got_t == sorted(exp_t)
