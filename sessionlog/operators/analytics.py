@@ -13,7 +13,7 @@ from sessionlog.operators.scan import SCAN_INPUT, scan
 
 
 def session_analytics(events: DataFrame, agg: AggregationConfig = AggregationConfig(),
-                      exe: ExecConfig = ExecConfig()) -> DataFrame:
+                      exe: ExecConfig = ExecConfig(), scanned: DataFrame | None = None) -> DataFrame:
     """avg/peak velocity, focus ratio, flow/idle/correction counts and idle total.
 
     All parts read one scanned copy of the log (one exchange on
@@ -21,7 +21,7 @@ def session_analytics(events: DataFrame, agg: AggregationConfig = AggregationCon
     joined on ``session_id`` from the session spine.
     """
     # read by three branches: materialize only the columns they use (no text payload)
-    s = scan(events.select(*SCAN_INPUT), agg, exe, materialize=True)
+    s = scanned if scanned is not None else scan(events.select(*SCAN_INPUT), agg, exe, materialize=True)
     # one aggregate over the scanned rows: spine (all events) + idle gaps
     gap = F.col("gap_us") > F.lit(agg.idle_threshold_us)
     spine = s.groupBy("session_id").agg(

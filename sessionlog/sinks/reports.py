@@ -261,7 +261,7 @@ def summary_report(events: DataFrame, sessions: DataFrame | None = None, agg: Ag
     ``agg.report_blocks`` activity blocks (+ how many more) and event counts."""
     s = scan(events.select(*SCAN_INPUT), agg, exe, materialize=True)  # read by several sections
     blocks = activity_blocks(events, agg, exe, scanned=s)
-    an = session_analytics(events, agg, exe)
+    an = session_analytics(events, agg, exe, scanned=s)
     meta = (sessions if sessions is not None
             else session_state(events).withColumn("project_path", F.lit(None).cast("string")))
     hdr = an.join(meta.select("session_id", "project_path", "start_us", "end_us"), "session_id", "left")
