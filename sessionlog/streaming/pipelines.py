@@ -23,9 +23,19 @@ def checkpoint_location(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
 
 
+LOG_BUCKETS = 64
+
+
+def session_bucket(col="session_id", buckets: int = LOG_BUCKETS):
+    """Hash bucket of a session id: the partition column of the stored log."""
+    return F.pmod(F.xxhash64(col), F.lit(buckets))
+
+
 def append_event_log(events: DataFrame, path: str, name: str = "event_log", trigger: dict | None = None):
-    """Append-only event log sink (parquet, exactly-once through the checkpoint)."""
-    w = (events.writeStream.format("parquet").option("path", path)
+    """Append-only event log sink (parquet, exactly-once through the checkpoint),
+    partitioned by session bucket so readers of a few sessions prune the rest."""
+    w = (events.withColumn("bucket", session_bucket()).writeStream.format("parquet").option("path", path)
+         .partitionBy("bucket")
          .option("checkpointLocation", checkpoint_location(events.sparkSession, name)).outputMode("append"))
     w = w.trigger(**(trigger or {"processingTime": "5 seconds"}))
     return w.start()
@@ -42,8 +52,9 @@ def refresh_summaries(log_path: str, out_path: str, agg: AggregationConfig = Agg
 
     def body(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        touched = batch.select("session_id").distinct()
-        log = spark.read.parquet(log_path).join(touched, "session_id", "left_semi")
+        touched = batch.select("session_id").distinct().withColumn("bucket", session_bucket())
+        # joining on the partition column lets dynamic partition pruning skip untouched buckets
+        log = spark.read.parquet(log_path).join(touched, ["bucket", "session_id"], "left_semi").drop("bucket")
         summary = session_analytics(log, agg, exe).join(session_state(log), "session_id", "left")
         summary.withColumn("epoch", F.lit(epoch_id).cast("bigint")).write.mode("overwrite").parquet(
             f"{out_path}/epoch={epoch_id}")
