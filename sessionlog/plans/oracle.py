@@ -500,6 +500,11 @@ FROM d""",
     "store_roundtrip": _with() + """
 SELECT session_id, seq, type, ts_us, nullif(filename, '') AS filename, CAST(nullif(line, 0) AS DOUBLE) AS line,
        CAST(nullif(changed_tick, 0) AS DOUBLE) AS changed_tick, nullif(note, '') AS note
+FROM ev""",
+    "json_export": _with() + """
+SELECT session_id, type, strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S.%fZ') AS "timestamp",
+       nullif(filename, '') AS filename, CAST(nullif(line, 0) AS DOUBLE) AS line,
+       CAST(nullif(changed_tick, 0) AS DOUBLE) AS changed_tick, nullif(note, '') AS note
 FROM ev""",
     "command_log_sessions": _with(LIFE) + """
 SELECT session_id, '/work/proj-' || session_id AS project_path, '/logs' AS save_path, fmt AS output_format FROM life""",

@@ -311,6 +311,29 @@ def q_store_roundtrip(spark, sf_dir):
                       ["line", "changed_tick"])
 
 
+def q_json_export(spark, sf_dir):
+    """Per-session JSON-lines export written and read back (type, timestamp, payload)."""
+    import uuid
+
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    from sessionlog.operators.stats import session_state
+    from sessionlog.sinks.writers import export_json
+    from sessionlog.spark import ensure_checkpoint_dir
+    src = _ev(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/export-{uuid.uuid4().hex}"
+    meta = session_state(src).select("session_id", F.lit("/p").alias("project_path"), F.lit("/logs").alias("save_path"),
+                                     F.lit("json").alias("output_format"), "start_us", "end_us", "active")
+    export_json(src, meta, path)
+    data = StructType([StructField("filename", StringType()), StructField("line", LongType()),
+                       StructField("changed_tick", LongType()), StructField("note", StringType())])
+    schema = StructType([StructField("type", StringType()), StructField("timestamp", StringType()),
+                         StructField("data", data), StructField("session_id", StringType())])
+    back = spark.read.schema(schema).json(f"{path}/events")
+    return _as_double(back.select("session_id", "type", "timestamp", "data.filename", "data.line",
+                                  "data.changed_tick", "data.note"), ["line", "changed_tick"])
+
+
 def q_main_files_map(spark, sf_dir):
     from sessionlog.operators.topk import main_files_map
     return main_files_map(file_focus(_ev(spark, sf_dir), ADAPTER_AGG, EXE))
@@ -380,6 +403,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "recorder_ids": q_recorder_ids,
     "diagnostics_flat": q_diagnostics_flat,
     "store_roundtrip": q_store_roundtrip,
+    "json_export": q_json_export,
     "main_files_map": q_main_files_map,
     "summary_report": q_summary_report,
     "timeline_report": q_timeline_report,
