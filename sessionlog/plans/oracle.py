@@ -251,11 +251,12 @@ kept AS (
 ),
 denoised AS (
   SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY pos) - 1 AS BIGINT) AS seq,
-         type, ts_us, changed_tick
+         type, ts_us, changed_tick, filename, note
   FROM (
-    SELECT session_id, seq * 2 + 1 AS pos, type, ts_us, changed_tick FROM ev WHERE type <> 'cursor_move'
+    SELECT session_id, seq * 2 + 1 AS pos, type, ts_us, changed_tick, filename, note FROM ev WHERE type <> 'cursor_move'
     UNION ALL
-    SELECT e.session_id, coalesce(k.flush_seq * 2, e.seq * 2 + 1) AS pos, e.type, e.ts_us, e.changed_tick
+    SELECT e.session_id, coalesce(k.flush_seq * 2, e.seq * 2 + 1) AS pos, e.type, e.ts_us, e.changed_tick,
+           e.filename, e.note
     FROM ev e JOIN kept k USING (session_id, seq)
   ) u
 )"""
@@ -275,14 +276,15 @@ life AS (
 CEV = """
 cev AS (
   SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY ts_us, cmd_id) - 1 AS BIGINT) AS seq,
-         type, ts_us, filename, changed_tick
+         type, ts_us, filename, changed_tick, note
   FROM (
     SELECT session_id, changed_tick AS cmd_id, type, ts_us,
            CASE WHEN type IN ('file_edit', 'cursor_move', 'file_open', 'lsp_diagnostic') THEN nullif(filename, '') END AS filename,
-           CASE WHEN type = 'file_edit' THEN nullif(changed_tick, 0) END AS changed_tick
+           CASE WHEN type = 'file_edit' THEN nullif(changed_tick, 0) END AS changed_tick, nullif(note, '') AS note
     FROM ev WHERE type IN ('file_edit', 'terminal_command', 'cursor_move', 'file_open', 'lsp_diagnostic', 'annotation')
-    UNION ALL SELECT session_id, -1, 'session_start', a - 1, NULL, NULL FROM life
-    UNION ALL SELECT session_id, -2, 'session_end', z + 1, NULL, NULL FROM life
+    UNION ALL SELECT session_id, -1, 'session_start', a - 1, NULL, NULL,
+                     'Started debugging session in /work/proj-' || session_id FROM life
+    UNION ALL SELECT session_id, -2, 'session_end', z + 1, NULL, NULL, 'Debugging session ended' FROM life
   ) u
 )"""
 
@@ -293,6 +295,43 @@ def _on(cte: str, src: str) -> str:
     return re.sub(r"\bev\b", src, cte)
 
 
+ANALYTICS_TAIL = f""",
+vel AS (
+  SELECT session_id, coalesce(avg(CASE WHEN velocity > 0 THEN velocity END), 0.0) AS avg_velocity,
+         coalesce(max(CASE WHEN velocity > 0 THEN velocity END), 0.0) AS peak_velocity,
+         count(*) AS n_blocks, count(CASE WHEN velocity > 0 AND velocity >= {FLOW} THEN 1 END) AS flow_blocks
+  FROM blocks GROUP BY session_id
+),
+idl AS (SELECT session_id, count(*) AS idle_gaps, sum(duration_us) AS idle_total_us FROM gaps GROUP BY session_id),
+cor AS (SELECT session_id, count(*) AS error_corrections FROM corr GROUP BY session_id),
+spine AS (SELECT session_id, count(*) AS total_events FROM ev GROUP BY session_id)
+SELECT s.session_id, CAST(s.total_events AS BIGINT) AS total_events,
+       CAST(coalesce(v.n_blocks, 0) AS BIGINT) AS activity_blocks,
+       round(coalesce(v.avg_velocity, 0.0), 9) AS avg_velocity, coalesce(v.peak_velocity, 0.0) AS peak_velocity,
+       coalesce(f.focus_ratio, 0.0) AS focus_ratio,
+       CAST(coalesce(f.distraction_seconds, 0) AS BIGINT) AS distraction_seconds,
+       CAST(coalesce(v.flow_blocks, 0) AS BIGINT) AS flow_blocks,
+       CAST(coalesce(i.idle_gaps, 0) AS BIGINT) AS idle_gaps,
+       CAST(coalesce(i.idle_total_us, 0) AS BIGINT) AS idle_total_us,
+       CAST(coalesce(c.error_corrections, 0) AS BIGINT) AS error_corrections
+FROM spine s LEFT JOIN vel v USING (session_id) LEFT JOIN idl i USING (session_id)
+LEFT JOIN focus_ratio f USING (session_id) LEFT JOIN cor c USING (session_id)"""
+
+
+DN = """
+dn AS (SELECT session_id, seq, type, ts_us, filename, changed_tick, note FROM denoised)"""
+
+
+def _stream_summaries() -> str:
+    """Analytics and session state over the cursor-filtered command log."""
+    live = (LIFE, CEV, _on(CURSOR, "cev"), DN)
+    analytics = _with(*live, _on(BASE, "dn"), _on(BLOCKS, "dn"), GAPS, FOCUS, _on(CORRECTIONS, "dn")) + \
+        _on(ANALYTICS_TAIL, "dn")
+    state = _with(*live, _on(STATE, "dn")) + "\nSELECT session_id, start_us, end_us, active FROM state2"
+    return (f"SELECT a.*, st.start_us, st.end_us, st.active FROM ({analytics}) a "
+            f"LEFT JOIN ({state}) st USING (session_id)")
+
+
 def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(p.strip() for p in (ORACLE_EVENTS_CTE, *parts))
 
@@ -338,29 +377,9 @@ SELECT s.session_id, CAST(NULL AS VARCHAR) AS project_path,
        CASE WHEN c.file_edits + c.cursor_moves = 0 THEN 0
             ELSE 100 - CAST(trunc(CAST(c.file_edits AS DOUBLE) / CAST(c.file_edits + c.cursor_moves AS DOUBLE) * 100) AS INTEGER) END AS nav_pct
 FROM state2 s LEFT JOIN cnt c USING (session_id)""",
-    "session_analytics": _with(BASE, BLOCKS, GAPS, FOCUS, CORRECTIONS) + f""",
-vel AS (
-  SELECT session_id, coalesce(avg(CASE WHEN velocity > 0 THEN velocity END), 0.0) AS avg_velocity,
-         coalesce(max(CASE WHEN velocity > 0 THEN velocity END), 0.0) AS peak_velocity,
-         count(*) AS n_blocks, count(CASE WHEN velocity > 0 AND velocity >= {FLOW} THEN 1 END) AS flow_blocks
-  FROM blocks GROUP BY session_id
-),
-idl AS (SELECT session_id, count(*) AS idle_gaps, sum(duration_us) AS idle_total_us FROM gaps GROUP BY session_id),
-cor AS (SELECT session_id, count(*) AS error_corrections FROM corr GROUP BY session_id),
-spine AS (SELECT session_id, count(*) AS total_events FROM ev GROUP BY session_id)
-SELECT s.session_id, CAST(s.total_events AS BIGINT) AS total_events,
-       CAST(coalesce(v.n_blocks, 0) AS BIGINT) AS activity_blocks,
-       round(coalesce(v.avg_velocity, 0.0), 9) AS avg_velocity, coalesce(v.peak_velocity, 0.0) AS peak_velocity,
-       coalesce(f.focus_ratio, 0.0) AS focus_ratio,
-       CAST(coalesce(f.distraction_seconds, 0) AS BIGINT) AS distraction_seconds,
-       CAST(coalesce(v.flow_blocks, 0) AS BIGINT) AS flow_blocks,
-       CAST(coalesce(i.idle_gaps, 0) AS BIGINT) AS idle_gaps,
-       CAST(coalesce(i.idle_total_us, 0) AS BIGINT) AS idle_total_us,
-       CAST(coalesce(c.error_corrections, 0) AS BIGINT) AS error_corrections
-FROM spine s LEFT JOIN vel v USING (session_id) LEFT JOIN idl i USING (session_id)
-LEFT JOIN focus_ratio f USING (session_id) LEFT JOIN cor c USING (session_id)""",
+    "session_analytics": _with(BASE, BLOCKS, GAPS, FOCUS, CORRECTIONS) + ANALYTICS_TAIL,
     "cursor_filter": _with(CURSOR) + "\nSELECT session_id, seq, reason, CAST(flush_seq AS DOUBLE) AS flush_seq FROM kept",
-    "denoised_log": _with(CURSOR) + "\nSELECT * FROM denoised",
+    "denoised_log": _with(CURSOR) + "\nSELECT session_id, seq, type, ts_us, changed_tick FROM denoised",
     "top_files": _with(BASE, FOCUS) + """,
 ranked AS (
   SELECT f.session_id, f.filename, f.seconds, s.distraction_seconds,
@@ -506,6 +525,7 @@ SELECT session_id, type, strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S.%fZ'
        nullif(filename, '') AS filename, CAST(nullif(line, 0) AS DOUBLE) AS line,
        CAST(nullif(changed_tick, 0) AS DOUBLE) AS changed_tick, nullif(note, '') AS note
 FROM ev""",
+    "stream_summaries": _stream_summaries(),
     "command_log_sessions": _with(LIFE) + """
 SELECT session_id, '/work/proj-' || session_id AS project_path, '/logs' AS save_path, fmt AS output_format FROM life""",
     "export_routes": _with(LIFE) + """

@@ -334,6 +334,35 @@ def q_json_export(spark, sf_dir):
                                   "data.changed_tick", "data.note"), ["line", "changed_tick"])
 
 
+def q_stream_summaries(spark, sf_dir):
+    """Live path end to end: command stream -> cursor filter -> append-only event log
+    (bucket-partitioned), then the summary-refresh stream recomputing analytics and
+    session state for the touched sessions; each session's latest summary."""
+    import uuid
+
+    from sessionlog.plans.standins import command_lines, lifecycle_lines
+    from sessionlog.spark import ensure_checkpoint_dir
+    from sessionlog.streaming.pipelines import (
+        append_event_log, command_stream, latest_summaries, summary_refresh_query,
+    )
+    from sessionlog.streaming.processors import denoise_stream
+
+    tag = uuid.uuid4().hex
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/live-{tag}"
+    src = _ev(spark, sf_dir)
+    command_lines(src).unionByName(lifecycle_lines(src)).write.text(f"{base}/cmd")
+    raw, _ = command_stream(spark, f"{base}/cmd", max_files_per_trigger=1 << 20)
+    append_event_log(denoise_stream(raw, ADAPTER_FILTER), f"{base}/log", name=f"log-{tag}",
+                     trigger={"availableNow": True}).awaitTermination()
+    raw2, _ = command_stream(spark, f"{base}/cmd", max_files_per_trigger=1 << 20)
+    summary_refresh_query(raw2, f"{base}/log", f"{base}/summaries", ADAPTER_AGG, EXE, name=f"sum-{tag}",
+                          trigger={"availableNow": True}).awaitTermination()
+    s = latest_summaries(spark, f"{base}/summaries")
+    return s.select("session_id", "total_events", "activity_blocks", F.round("avg_velocity", 9).alias("avg_velocity"),
+                    "peak_velocity", "focus_ratio", "distraction_seconds", "flow_blocks", "idle_gaps", "idle_total_us",
+                    "error_corrections", "start_us", "end_us", "active")
+
+
 def q_main_files_map(spark, sf_dir):
     from sessionlog.operators.topk import main_files_map
     return main_files_map(file_focus(_ev(spark, sf_dir), ADAPTER_AGG, EXE))
@@ -404,6 +433,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "diagnostics_flat": q_diagnostics_flat,
     "store_roundtrip": q_store_roundtrip,
     "json_export": q_json_export,
+    "stream_summaries": q_stream_summaries,
     "main_files_map": q_main_files_map,
     "summary_report": q_summary_report,
     "timeline_report": q_timeline_report,

@@ -63,11 +63,13 @@ def refresh_summaries(log_path: str, out_path: str, agg: AggregationConfig = Agg
 
 
 def summary_refresh_query(events: DataFrame, log_path: str, out_path: str, agg: AggregationConfig = AggregationConfig(),
-                          exe: ExecConfig = ExecConfig(), every: str = "5 minutes", name: str = "summaries"):
-    """The periodic summary: ``trigger(processingTime=every)`` + ``foreachBatch``."""
+                          exe: ExecConfig = ExecConfig(), every: str = "5 minutes", name: str = "summaries",
+                          trigger: dict | None = None):
+    """The periodic summary: ``trigger(processingTime=every)`` + ``foreachBatch``
+    (``trigger`` overrides, e.g. ``{"availableNow": True}`` for a catch-up run)."""
     return (events.writeStream.foreachBatch(refresh_summaries(log_path, out_path, agg, exe))
             .option("checkpointLocation", checkpoint_location(events.sparkSession, name))
-            .trigger(processingTime=every).start())
+            .trigger(**(trigger or {"processingTime": every})).start())
 
 
 def latest_summaries(spark: SparkSession, out_path: str) -> DataFrame:
