@@ -526,6 +526,8 @@ SELECT session_id, type, strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S.%fZ'
        CAST(nullif(changed_tick, 0) AS DOUBLE) AS changed_tick, nullif(note, '') AS note
 FROM ev""",
     "stream_summaries": _stream_summaries(),
+    "event_log": _with() + """
+SELECT session_id, seq, type, ts_us, filename, changed_tick, note FROM ev""",
     "command_log_sessions": _with(LIFE) + """
 SELECT session_id, '/work/proj-' || session_id AS project_path, '/logs' AS save_path, fmt AS output_format FROM life""",
     "export_routes": _with(LIFE) + """

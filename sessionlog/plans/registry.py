@@ -363,6 +363,18 @@ def q_stream_summaries(spark, sf_dir):
                     "error_corrections", "start_us", "end_us", "active")
 
 
+def q_event_log(spark, sf_dir):
+    """Canonical log persisted (bucket-partitioned parquet) and read back."""
+    import uuid
+
+    from sessionlog.sinks.writers import write_event_log
+    from sessionlog.spark import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/event-log-{uuid.uuid4().hex}"
+    write_event_log(_ev(spark, sf_dir), path, mode="overwrite")
+    back = spark.read.parquet(path)
+    return back.select("session_id", "seq", "type", "ts_us", "filename", "changed_tick", "note")
+
+
 def q_main_files_map(spark, sf_dir):
     from sessionlog.operators.topk import main_files_map
     return main_files_map(file_focus(_ev(spark, sf_dir), ADAPTER_AGG, EXE))
@@ -434,6 +446,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "store_roundtrip": q_store_roundtrip,
     "json_export": q_json_export,
     "stream_summaries": q_stream_summaries,
+    "event_log": q_event_log,
     "main_files_map": q_main_files_map,
     "summary_report": q_summary_report,
     "timeline_report": q_timeline_report,
