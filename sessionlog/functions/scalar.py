@@ -18,8 +18,7 @@ __all__ = [
     "format_duration_or_progress", "go_duration", "title_case", "type_title", "type_icon",
     "location", "snippet", "detail", "base_name", "pct_vs_distraction", "secs_trunc",
     "velocity", "velocity_badge", "edit_percent", "nav_percent", "clock", "day",
-    "strip_session_suffix", "start_note", "parse_session_id", "tolerant_int", "blank_to_null",
-    "zero_to_null",
+    "strip_session_suffix", "start_note", "parse_session_id", "blank_to_null", "zero_to_null", "edit_location",
 ]
 
 _EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
@@ -162,8 +161,6 @@ def edit_location(line: Column, column: Column) -> Column:
     return F.format_string("L%d:C%d", F.coalesce(line, F.lit(0)), F.coalesce(column, F.lit(0)))
 
 
-__all__.append("edit_location")
-
 
 def snippet(text: Column, max_bytes: int = 120, keep_bytes: int = 117) -> Column:
     """Trim Unicode space; above ``max_bytes`` UTF-8 bytes keep the longest
@@ -258,11 +255,6 @@ def parse_session_id(sid: Column) -> Column:
     )
 
 
-def tolerant_int(s: Column) -> Column:
-    """Integer text -> BIGINT; anything unparsable -> 0 (errors ignored)."""
-    return F.coalesce(s.try_cast("bigint"), F.lit(0).cast("bigint"))
-
-
 def blank_to_null(s: Column) -> Column:
     return F.when(s == "", F.lit(None)).otherwise(s)
 
