@@ -117,12 +117,14 @@ def _fold_large(rows: DataFrame, cfg: FilterConfig, exe: ExecConfig, rounds: int
                       F.col("s0").isNotNull().alias("armed"))
 
 
-def cursor_decisions(events: DataFrame, cfg: FilterConfig = FilterConfig(), exe: ExecConfig = ExecConfig()) -> DataFrame:
+def cursor_decisions(events: DataFrame, cfg: FilterConfig = FilterConfig(), exe: ExecConfig = ExecConfig(),
+                     single: bool | None = None) -> DataFrame:
     """Every cursor move with ``kept``, ``reason`` (idle / trigger / end / NULL
     when superseded) and ``flush_seq``: the event the move is recorded just
     before (the flushing trigger, or for an idle commit the first later event
     past the timer deadline; ``END_OF_LOG`` when none follows)."""
-    single = not spans_chunks(events, exe.chunk_rows)
+    if single is None:  # every session within one chunk (one scalar check)
+        single = not spans_chunks(events, exe.chunk_rows)
     allr = _islands(events, cfg, exe, single=single)
     v = allr.filter(F.col("visible")).drop("visible")
     # island summaries plus what follows each island (reported back by the next island's first row)
@@ -194,13 +196,14 @@ def cursor_filter(events: DataFrame, cfg: FilterConfig = FilterConfig(), exe: Ex
     when it is flushed at the end of a log without a session end.  ``seq`` is
     renumbered densely from 0.
     """
-    dec = cursor_decisions(events, cfg, exe).filter(F.col("kept")).select("session_id", "seq", "flush_seq")
+    bounded = not spans_chunks(events, exe.chunk_rows)  # every session under chunk_rows rows
+    dec = cursor_decisions(events, cfg, exe, single=bounded).filter(F.col("kept")).select(
+        "session_id", "seq", "flush_seq")
     cols = events.columns
     others = events.filter(F.col("type") != "cursor_move").withColumn("_pos", F.col("seq") * 2 + 1)
     moves = (events.filter(F.col("type") == "cursor_move").join(dec, ["session_id", "seq"])
              .withColumn("_pos", F.coalesce(F.col("flush_seq") * 2, F.col("seq") * 2 + 1)).drop("flush_seq"))
     allr = others.unionByName(moves)
     # _pos is unique: a trigger flushes at most one move, placed at 2*flush_seq
-    bounded = not spans_chunks(events, exe.chunk_rows)  # every session under chunk_rows rows
     r = ordinal_within(allr, ["session_id"], "_pos", "_new", 2 * exe.chunk_rows, bounded=bounded)
     return r.withColumn("seq", F.col("_new") - 1).select(*cols)
