@@ -49,8 +49,15 @@ def main():
         runs[label] = None
 
     w = Window.partitionBy("session_id").orderBy("seq")
-    run("naive", hot.select("*", F.lag("ts_us").over(w).alias("prev_ts")))
-    run("chunked", scan(hot, ADAPTER_AGG, ExecConfig(chunk_rows=chunk), materialize=False))
+    run("naive window", hot.select("*", F.lag("ts_us").over(w).alias("prev_ts")))
+    run("chunked scan", scan(hot, ADAPTER_AGG, ExecConfig(chunk_rows=chunk), materialize=False))
+    # sequencing the raw rows: naive row_number vs the range-exchange path
+    from sessionlog.operators.sequence import assign_seq
+    keyed = raw.select(F.col("user_id").cast("string").alias("session_id"), "event_id", "ts")
+    wn = Window.partitionBy("session_id").orderBy("ts", "event_id")
+    run("naive row_number", keyed.withColumn("seq", F.row_number().over(wn)))
+    run("range sequencing", assign_seq(keyed, "session_id", ["ts", "event_id"], materialize=False,
+                                       max_group_rows=chunk))
     app = spark.sparkContext.applicationId
     spark.stop()
 
