@@ -332,6 +332,88 @@ def _stream_summaries() -> str:
             f"LEFT JOIN ({state}) st USING (session_id)")
 
 
+def _sql_str(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _sql_line(text: str, fields: dict[str, str]) -> str:
+    """A report template line as SQL: ``||`` keeps Spark's NULL-propagating concat."""
+    import re
+    parts, pos = [], 0
+    for m in re.finditer(r"\{(\w+)\}", text):
+        if m.start() > pos:
+            parts.append(_sql_str(text[pos:m.start()]))
+        parts.append(f"CAST(({fields[m.group(1)]}) AS VARCHAR)")
+        pos = m.end()
+    if pos < len(text):
+        parts.append(_sql_str(text[pos:]))
+    return " || ".join(parts) if parts else "''"
+
+
+def _sql_lines(template: list, fields: dict[str, str], conds: dict[str, str] | None = None) -> str:
+    items = []
+    for item in template:
+        if isinstance(item, tuple):
+            items.append(f"CASE WHEN {(conds or {})[item[0]]} THEN {_sql_line(item[1], fields)} END")
+        else:
+            items.append(_sql_line(item, fields))
+    return "list_filter([" + ", ".join(items) + "], lambda x: x IS NOT NULL)"
+
+
+def _sql_duration(us: str) -> str:
+    """Durations as in the reports: half-even seconds under a minute, then m/s, then h/m."""
+    return (f"CASE WHEN ({us}) < 60000000 THEN printf('%.0fs', ({us}) / 1000000.0) "
+            f"WHEN ({us}) < 3600000000 THEN CAST(({us}) // 60000000 AS VARCHAR) || 'm ' || "
+            f"CAST((({us}) // 1000000) % 60 AS VARCHAR) || 's' "
+            f"ELSE CAST(({us}) // 3600000000 AS VARCHAR) || 'h ' || CAST((({us}) // 60000000) % 60 AS VARCHAR) || 'm' END")
+
+
+def _timeline_report() -> str:
+    from sessionlog.sinks import reports as R
+    day = "strftime(make_timestamp(start_us), '%Y-%m-%d')"
+    clock = "strftime(make_timestamp({}), '%H:%M:%S')"
+    head = _sql_lines(R.TIMELINE_HEAD, {
+        "session_id": "session_id", "project": "''", "date": day,
+        "duration": f"CASE WHEN end_us IS NULL THEN 'in progress' ELSE {_sql_duration('end_us - start_us')} END",
+        "start": clock.format("start_us"), "edits": "file_edits", "navs": "cursor_moves",
+        "terminal": "terminal_commands", "notes": "annotations", "lsp": "lsp_diagnostics",
+        "edit_pct": "edit_pct", "nav_pct": "nav_pct"})
+    where = ("(CASE WHEN file <> '' THEN '`' || file || '`' ELSE '' END || "
+             "CASE WHEN location_code <> '' THEN ' • ' || location_code ELSE '' END)")
+    body = _sql_lines(R.TIMELINE_ENTRY, {"time": "time_code", "icon": "icon", "title": "title", "where": where,
+                                          "snippet": "snippet_code", "details": "details_code"},
+                      {"has_where": f"{where} <> ''", "has_snippet": "snippet_code <> ''",
+                       "has_details": "details_code <> ''"})
+    tail = _sql_lines(R.TIMELINE_TAIL, {"total": "total_events", "entries": "coalesce(entries, 0)"})
+    return _with(TIMELINE, STATE) + f""",
+cnt AS (
+  SELECT session_id, count(*) AS total_events,
+         count(CASE WHEN type = 'file_edit' THEN 1 END) AS file_edits,
+         count(CASE WHEN type = 'cursor_move' THEN 1 END) AS cursor_moves,
+         count(CASE WHEN type = 'terminal_command' THEN 1 END) AS terminal_commands,
+         count(CASE WHEN type = 'annotation' THEN 1 END) AS annotations,
+         count(CASE WHEN type = 'lsp_diagnostic' THEN 1 END) AS lsp_diagnostics
+  FROM ev GROUP BY session_id
+),
+spine AS (
+  SELECT c.*, s.start_us, s.end_us, t.entries,
+         CASE WHEN file_edits + cursor_moves = 0 THEN 0
+              ELSE CAST(trunc(CAST(file_edits AS DOUBLE) / CAST(file_edits + cursor_moves AS DOUBLE) * 100) AS INTEGER) END AS edit_pct,
+         CASE WHEN file_edits + cursor_moves = 0 THEN 0
+              ELSE 100 - CAST(trunc(CAST(file_edits AS DOUBLE) / CAST(file_edits + cursor_moves AS DOUBLE) * 100) AS INTEGER) END AS nav_pct
+  FROM cnt c JOIN state2 s USING (session_id)
+  LEFT JOIN (SELECT session_id, count(*) AS entries FROM tl GROUP BY session_id) t USING (session_id)
+),
+blocks_of_lines AS (
+  SELECT session_id, 0 AS sec, CAST(0 AS BIGINT) AS ord, {head} AS lines FROM spine
+  UNION ALL SELECT session_id, 1, entry_no, {body} FROM tl
+  UNION ALL SELECT session_id, 2, CAST(0 AS BIGINT), {tail} FROM spine
+)
+SELECT session_id, CAST(sec AS INTEGER) AS sec, ord, CAST(generate_subscripts(lines, 1) - 1 AS INTEGER) AS sub,
+       unnest(lines) AS line
+FROM blocks_of_lines"""
+
+
 def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(p.strip() for p in (ORACLE_EVENTS_CTE, *parts))
 
@@ -528,6 +610,7 @@ FROM ev""",
     "stream_summaries": _stream_summaries(),
     "event_log": _with() + """
 SELECT session_id, seq, type, ts_us, filename, changed_tick, note FROM ev""",
+    "timeline_report": _timeline_report(),
     "command_log_sessions": _with(LIFE) + """
 SELECT session_id, '/work/proj-' || session_id AS project_path, '/logs' AS save_path, fmt AS output_format FROM life""",
     "export_routes": _with(LIFE) + """
