@@ -414,6 +414,116 @@ SELECT session_id, CAST(sec AS INTEGER) AS sec, ord, CAST(generate_subscripts(li
 FROM blocks_of_lines"""
 
 
+def _summary_report() -> str:
+    from sessionlog.sinks import reports as R
+    dt = "strftime(make_timestamp({}), '%Y-%m-%d %H:%M:%S')"
+    clock = "strftime(make_timestamp({}), '%H:%M:%S')"
+    f2 = "printf('%.2f', round_even({}, 2))"
+    f1 = "printf('%.1f', round_even({}, 1))"
+    base = ("CASE WHEN coalesce({0}, '') = '' THEN '.' WHEN regexp_replace({0}, '/+$', '') = '' THEN '/' "
+            "ELSE regexp_extract(regexp_replace({0}, '/+$', ''), '[^/]*$') END")
+    dur = _sql_duration
+    head = _sql_lines(R.SUMMARY_HEAD, {
+        "session_id": "session_id", "project": "''", "started": dt.format("start_us"), "ended_at": dt.format("end_us"),
+        "duration": dur("end_us - start_us"), "total": "total_events", "blocks": "n_blocks",
+        "avg_velocity": f2.format("avg_velocity"), "peak_velocity": f2.format("peak_velocity"),
+        "focus_pct": f1.format("focus_ratio * 100"), "flow": "flow_blocks", "gaps": "idle_gaps",
+        "idle_total": dur("idle_total_us"), "corrections": "error_corrections",
+        "flow_threshold": _sql_str(f"{A.flow_velocity:g}")},
+        {"ended": "end_us IS NOT NULL", "active": "end_us IS NULL", "has_flow": "flow_blocks > 0",
+         "no_flow": "flow_blocks = 0"})
+    flow = _sql_lines(R.SUMMARY_FLOW_BLOCK, {
+        "i": "ordinal", "time": clock.format("start_us"), "file": base.format("filename"),
+        "velocity": f2.format("velocity"), "duration": dur("duration_us"), "delta": "delta_tick",
+        "events": "event_count"})
+    conds = {"has_files": "coalesce(k, 0) > 0", "distracted": "distraction_seconds > 0"}
+    focus_head = _sql_lines(R.SUMMARY_FOCUS_HEAD, {"focus_pct": f1.format("focus_ratio * 100")}, conds)
+    files = _sql_lines(R.SUMMARY_FILE, {"file": "base", "duration": dur("seconds * 1000000"),
+                                        "pct": f"coalesce({f1.format('pct')}, 'NaN')"})
+    focus_tail = _sql_lines(R.SUMMARY_FOCUS_TAIL, {"distraction": dur("distraction_seconds * 1000000")}, conds)
+    corr_head = _sql_lines(R.SUMMARY_CORRECTIONS_HEAD, {})
+    corr_body = _sql_lines(R.SUMMARY_CORRECTION, {
+        "i": "ordinal", "time": clock.format("ts_us"), "file": base.format("filename"),
+        "note": "coalesce(annotation, '')", "blocks": "blocks_affected", "ticks": "ticks_reversed",
+        "lines": "lines_deleted"}, {"reversed": "ticks_reversed > 0", "deleted": "lines_deleted > 0"})
+    idle_minutes = R.format_minutes(A.idle_threshold_us)
+    gap_head = _sql_lines(R.SUMMARY_IDLE_HEAD, {"idle_threshold": _sql_str(idle_minutes)})
+    gap_body = _sql_lines(R.SUMMARY_IDLE_GAP, {"i": "ordinal", "time": clock.format("start_us"),
+                                               "duration": dur("duration_us")})
+    gap_tail = _sql_lines(R.SUMMARY_IDLE_TAIL, {})
+    tl_head = _sql_lines(R.SUMMARY_BLOCKS_HEAD, {"merge_window": _sql_str(f"{A.merge_window_us / 1e6:g}")})
+    tl_body = _sql_lines(R.SUMMARY_BLOCK, {
+        "time": clock.format("start_us"), "file": base.format("filename"), "duration": dur("duration_us"),
+        "events": "event_count", "start_tick": "start_tick", "end_tick": "end_tick", "delta": "delta_tick",
+        "velocity": f2.format("velocity"), "badge": f"CASE WHEN velocity >= {FLOW} THEN ' 🔥' ELSE '' END",
+        "closed_by": "closed_by"}, {"moving": "velocity > 0"})
+    tl_more = _sql_lines(R.SUMMARY_MORE_BLOCKS, {"more": "more_blocks"})
+    raw_head = _sql_lines(R.SUMMARY_COUNTS_HEAD, {})
+    title = ("list_aggregate(list_transform(string_split(type, '_'), lambda w: upper(left(w, 1)) || substr(w, 2)), "
+             "'string_agg', ' ')")
+    raw_body = _sql_lines(R.SUMMARY_COUNT, {"type": title, "n": "n"})
+    foot = _sql_lines(R.SUMMARY_FOOT, {"session_id": "session_id"})
+    return _with(BASE, BLOCKS, GAPS, FOCUS, CORRECTIONS, STATE) + f""",
+an AS (
+  SELECT sp.session_id, sp.total_events, st.start_us, st.end_us,
+         coalesce(v.n_blocks, 0) AS n_blocks, coalesce(v.avg_velocity, 0.0) AS avg_velocity,
+         coalesce(v.peak_velocity, 0.0) AS peak_velocity, coalesce(v.flow_blocks, 0) AS flow_blocks,
+         coalesce(f.focus_ratio, 0.0) AS focus_ratio, coalesce(f.distraction_seconds, 0) AS distraction_seconds,
+         coalesce(i.idle_gaps, 0) AS idle_gaps, coalesce(i.idle_total_us, 0) AS idle_total_us,
+         coalesce(c.error_corrections, 0) AS error_corrections
+  FROM (SELECT session_id, count(*) AS total_events FROM ev GROUP BY session_id) sp
+  JOIN state2 st USING (session_id)
+  LEFT JOIN (SELECT session_id, avg(CASE WHEN velocity > 0 THEN velocity END) AS avg_velocity,
+                    max(CASE WHEN velocity > 0 THEN velocity END) AS peak_velocity, count(*) AS n_blocks,
+                    count(CASE WHEN velocity > 0 AND velocity >= {FLOW} THEN 1 END) AS flow_blocks
+             FROM blocks GROUP BY session_id) v USING (session_id)
+  LEFT JOIN focus_ratio f USING (session_id)
+  LEFT JOIN (SELECT session_id, count(*) AS idle_gaps, sum(duration_us) AS idle_total_us FROM gaps GROUP BY session_id) i
+    USING (session_id)
+  LEFT JOIN (SELECT session_id, count(*) AS error_corrections FROM corr GROUP BY session_id) c USING (session_id)
+),
+fb AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY block_no) AS ordinal
+       FROM blocks WHERE velocity > 0 AND velocity >= {FLOW}),
+tops AS (
+  SELECT * FROM (
+    SELECT f.session_id, f.filename, f.seconds, {base.format('f.filename')} AS base,
+           CASE WHEN s.distraction_seconds + f.seconds = 0 THEN NULL
+                ELSE CAST(f.seconds AS DOUBLE) / CAST(s.distraction_seconds + f.seconds AS DOUBLE) * 100 END AS pct,
+           row_number() OVER (PARTITION BY f.session_id ORDER BY f.seconds DESC, f.filename) AS rank
+    FROM focus f JOIN focus_sum s USING (session_id) WHERE NOT f.distraction) x
+  WHERE rank <= {A.top_files}
+),
+fr AS (SELECT a.session_id, a.focus_ratio, a.distraction_seconds, t.k FROM an a
+       LEFT JOIN (SELECT session_id, count(*) AS k FROM tops GROUP BY session_id) t USING (session_id)),
+co AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS ordinal FROM corr),
+ga AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY end_seq) AS ordinal FROM gaps),
+nb AS (SELECT session_id, count(*) AS n FROM blocks GROUP BY session_id),
+cnts AS (SELECT session_id, type, count(*) AS n, row_number() OVER (PARTITION BY session_id ORDER BY type) AS type_rank
+         FROM ev GROUP BY session_id, type),
+parts AS (
+  SELECT session_id, 0 AS sec, CAST(0 AS BIGINT) AS ord, {head} AS lines FROM an
+  UNION ALL SELECT session_id, 1, ordinal, {flow} FROM fb
+  UNION ALL SELECT session_id, 2, 0, {focus_head} FROM fr
+  UNION ALL SELECT session_id, 3, rank, {files} FROM tops
+  UNION ALL SELECT session_id, 4, 0, {focus_tail} FROM fr
+  UNION ALL SELECT session_id, 5, 0, {corr_head} FROM co WHERE ordinal = 1
+  UNION ALL SELECT session_id, 6, ordinal, {corr_body} FROM co
+  UNION ALL SELECT session_id, 7, 0, {gap_head} FROM ga WHERE ordinal = 1
+  UNION ALL SELECT session_id, 8, ordinal, {gap_body} FROM ga
+  UNION ALL SELECT session_id, 9, 0, {gap_tail} FROM ga WHERE ordinal = 1
+  UNION ALL SELECT session_id, 10, 0, {tl_head} FROM an
+  UNION ALL SELECT session_id, 11, block_no, {tl_body} FROM blocks WHERE block_no <= {A.report_blocks}
+  UNION ALL SELECT session_id, 12, 0, {tl_more.replace('more_blocks', 'greatest(n - ' + str(A.report_blocks) + ', 0)')}
+            FROM nb WHERE n > {A.report_blocks}
+  UNION ALL SELECT session_id, 13, 0, {raw_head} FROM an
+  UNION ALL SELECT session_id, 14, type_rank, {raw_body} FROM cnts
+  UNION ALL SELECT session_id, 15, 0, {foot} FROM an
+)
+SELECT session_id, CAST(sec AS INTEGER) AS sec, CAST(ord AS BIGINT) AS ord,
+       CAST(generate_subscripts(lines, 1) - 1 AS INTEGER) AS sub, unnest(lines) AS line
+FROM parts"""
+
+
 def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(p.strip() for p in (ORACLE_EVENTS_CTE, *parts))
 
@@ -611,6 +721,7 @@ FROM ev""",
     "event_log": _with() + """
 SELECT session_id, seq, type, ts_us, filename, changed_tick, note FROM ev""",
     "timeline_report": _timeline_report(),
+    "summary_report": _summary_report(),
     "command_log_sessions": _with(LIFE) + """
 SELECT session_id, '/work/proj-' || session_id AS project_path, '/logs' AS save_path, fmt AS output_format FROM life""",
     "export_routes": _with(LIFE) + """
