@@ -524,6 +524,44 @@ SELECT session_id, CAST(sec AS INTEGER) AS sec, CAST(ord AS BIGINT) AS ord,
 FROM parts"""
 
 
+def _sql_go_duration(d: str) -> str:
+    """Duration text like ``1h30m0s``, ``2m5.5s``, ``1.5s``, ``250ms``, ``0s`` (non-negative input)."""
+    sec_txt = (f"CAST((({d}) // 1000000) % 60 AS VARCHAR) || CASE WHEN ({d}) % 1000000 = 0 THEN '' "
+               f"ELSE '.' || rtrim(lpad(CAST(({d}) % 1000000 AS VARCHAR), 6, '0'), '0') END || 's'")
+    ms = (f"CASE WHEN ({d}) % 1000 = 0 THEN CAST(({d}) // 1000 AS VARCHAR) || 'ms' "
+          f"ELSE regexp_replace(printf('%.3f', ({d}) / 1000.0), '\\.?0+$', '') || 'ms' END")
+    return (f"CASE WHEN ({d}) = 0 THEN '0s' WHEN ({d}) < 1000 THEN CAST(({d}) AS VARCHAR) || 'µs' "
+            f"WHEN ({d}) < 1000000 THEN {ms} "
+            f"WHEN ({d}) // 3600000000 > 0 THEN CAST(({d}) // 3600000000 AS VARCHAR) || 'h' || "
+            f"CAST((({d}) // 60000000) % 60 AS VARCHAR) || 'm' || {sec_txt} "
+            f"WHEN (({d}) // 60000000) % 60 > 0 THEN CAST((({d}) // 60000000) % 60 AS VARCHAR) || 'm' || {sec_txt} "
+            f"ELSE {sec_txt} END")
+
+
+def _stats_report() -> str:
+    from sessionlog.sinks import reports as R
+    lines = _sql_lines(R.STATS_SESSION, {
+        "session_id": "session_id", "status": "status", "duration": _sql_go_duration("coalesce(duration_us, 0)"),
+        "total": "total_events", "edits": "file_edits", "navs": "cursor_moves", "terminal": "terminal_commands",
+        "notes": "annotations"}, {"completed": "status = 'Completed'"})
+    return _with(STATE) + f""",
+st AS (
+  SELECT s.session_id, CASE WHEN s.active THEN 'Active' ELSE 'Completed' END AS status,
+         CASE WHEN NOT s.active AND s.end_us IS NOT NULL THEN s.end_us - s.start_us END AS duration_us,
+         c.total_events, c.file_edits, c.cursor_moves, c.terminal_commands, c.annotations
+  FROM state2 s JOIN (
+    SELECT session_id, count(*) AS total_events, count(CASE WHEN type = 'file_edit' THEN 1 END) AS file_edits,
+           count(CASE WHEN type = 'cursor_move' THEN 1 END) AS cursor_moves,
+           count(CASE WHEN type = 'terminal_command' THEN 1 END) AS terminal_commands,
+           count(CASE WHEN type = 'annotation' THEN 1 END) AS annotations
+    FROM ev GROUP BY session_id) c USING (session_id)
+),
+parts AS (SELECT session_id, {lines} AS lines FROM st)
+SELECT session_id, CAST(0 AS INTEGER) AS sec, CAST(0 AS BIGINT) AS ord,
+       CAST(generate_subscripts(lines, 1) - 1 AS INTEGER) AS sub, unnest(lines) AS line
+FROM parts"""
+
+
 def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(p.strip() for p in (ORACLE_EVENTS_CTE, *parts))
 
@@ -722,6 +760,7 @@ FROM ev""",
 SELECT session_id, seq, type, ts_us, filename, changed_tick, note FROM ev""",
     "timeline_report": _timeline_report(),
     "summary_report": _summary_report(),
+    "stats_report": _stats_report(),
     "command_log_sessions": _with(LIFE) + """
 SELECT session_id, '/work/proj-' || session_id AS project_path, '/logs' AS save_path, fmt AS output_format FROM life""",
     "export_routes": _with(LIFE) + """
