@@ -29,9 +29,9 @@ def main_files_map(focus: DataFrame) -> DataFrame:
     """``file -> seconds`` map per session (the report model's map form; the
     long ``file_focus`` table is canonical).  The map holds one entry per
     distinct file of the session, so its size follows the number of files a
-    session touched, not the number of events."""
+    session touched, not the number of events.  Entries are ordered by file name."""
     return focus.filter(~F.col("distraction")).groupBy("session_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("filename", "seconds"))).alias("main_files"))
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("filename", "seconds")))).alias("main_files"))
 
 
 def report_blocks(blocks: DataFrame, agg: AggregationConfig = AggregationConfig()) -> tuple[DataFrame, DataFrame]:
