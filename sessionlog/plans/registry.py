@@ -41,56 +41,69 @@ def _ev(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_activity_blocks(spark, sf_dir):
+    """Activity blocks with metrics and ``closed_by``."""
     return activity_blocks(_ev(spark, sf_dir), ADAPTER_AGG, EXE).select(*BLOCK_COLUMNS)
 
 
 def q_velocity_metrics(spark, sf_dir):
+    """Mean and peak positive block velocity per session."""
     v = velocity_metrics(activity_blocks(_ev(spark, sf_dir), ADAPTER_AGG, EXE))
     return v.select("session_id", F.round("avg_velocity", 9).alias("avg_velocity"), "peak_velocity", "n_blocks")
 
 
 def q_flow_blocks(spark, sf_dir):
+    """Blocks at or above the flow velocity."""
     return flow_blocks(activity_blocks(_ev(spark, sf_dir), ADAPTER_AGG, EXE), ADAPTER_AGG).select(
         "session_id", "block_no", "filename", "start_us", "duration_us", "delta_tick", "event_count", "velocity")
 
 
 def q_idle_gaps(spark, sf_dir):
+    """Pauses longer than the idle threshold."""
     return idle_gaps(_ev(spark, sf_dir), ADAPTER_AGG, EXE)
 
 
 def q_idle_totals(spark, sf_dir):
+    """Idle gap count and total per session."""
     return idle_totals(idle_gaps(_ev(spark, sf_dir), ADAPTER_AGG, EXE))
 
 
 def q_file_focus(spark, sf_dir):
+    """Whole seconds per file (forward-filled active file), distraction flag."""
     return file_focus(_ev(spark, sf_dir), ADAPTER_AGG, EXE)
 
 
 def q_focus_summary(spark, sf_dir):
+    """Main and distraction seconds and the focus ratio per session."""
     return focus_summary(file_focus(_ev(spark, sf_dir), ADAPTER_AGG, EXE))
 
 
 def q_error_corrections(spark, sf_dir):
+    """Keyword annotations with the edits just before them."""
     return error_corrections(_ev(spark, sf_dir), ADAPTER_AGG, EXE)
 
 
 def q_timeline(spark, sf_dir):
+    """Grouped timeline entries (recorder and intent columns)."""
     return timeline(_ev(spark, sf_dir), ADAPTER_AGG, EXE).select(*TIMELINE_COLUMNS)
 
 
 def q_event_counts(spark, sf_dir):
+    """Events per session and type."""
     return event_counts(_ev(spark, sf_dir))
 
 
 def q_session_state(spark, sf_dir):
+    """Session start, end and liveness from lifecycle events."""
     return session_state(_ev(spark, sf_dir))
 
 
 def q_session_stats(spark, sf_dir):
+    """Per-session statistics with edit/navigation percentages."""
     return session_stats(_ev(spark, sf_dir))
 
 
 def q_session_analytics(spark, sf_dir):
+    """One analytics row per session (the flagship)."""
     a = session_analytics(_ev(spark, sf_dir), ADAPTER_AGG, EXE)
     return a.withColumn("avg_velocity", F.round("avg_velocity", 9))
 
@@ -110,6 +123,7 @@ def q_denoised_log(spark, sf_dir):
 
 
 def q_top_files(spark, sf_dir):
+    """Top 10 main files per session with the share against distraction time."""
     from sessionlog.operators.topk import top_files
     t = top_files(file_focus(_ev(spark, sf_dir), ADAPTER_AGG, EXE), ADAPTER_AGG, EXE)
     return t.withColumn("pct_vs_distraction", F.round("pct_vs_distraction", 9))
@@ -123,30 +137,35 @@ def q_report_blocks(spark, sf_dir):
 
 
 def q_flow_block_ordinals(spark, sf_dir):
+    """Position of each flow block in its session's list."""
     from sessionlog.operators.topk import with_ordinal
     fb = flow_blocks(activity_blocks(_ev(spark, sf_dir), ADAPTER_AGG, EXE), ADAPTER_AGG)
     return with_ordinal(fb, "block_no", EXE).select("session_id", "block_no", "ordinal")
 
 
 def q_idle_gap_ordinals(spark, sf_dir):
+    """Position of each idle gap in its session's list."""
     from sessionlog.operators.topk import with_ordinal
     g = idle_gaps(_ev(spark, sf_dir), ADAPTER_AGG, EXE)
     return with_ordinal(g, "end_seq", EXE).select("session_id", "end_seq", "ordinal")
 
 
 def q_correction_ordinals(spark, sf_dir):
+    """Position of each correction in its session's list."""
     from sessionlog.operators.topk import with_ordinal
     c = error_corrections(_ev(spark, sf_dir), ADAPTER_AGG, EXE)
     return with_ordinal(c, "seq", EXE).select("session_id", "seq", "ordinal")
 
 
 def q_timeline_counts(spark, sf_dir):
+    """Number of timeline entries per session."""
     from sessionlog.operators.topk import timeline_entry_counts
     return timeline_entry_counts(timeline(_ev(spark, sf_dir), ADAPTER_AGG, EXE))
 
 
 def q_store_events(spark, sf_dir):
-    """Relational-store projection: 15 recorder columns, ''/0 stored as NULL, as epoch micros."""
+    """Relational-store projection: the store's event columns plus ``seq``, ''/0 stored
+    as NULL; the timestamp as epoch micros and nullable integers as DOUBLE."""
     from sessionlog.sinks.store import store_events
     from sessionlog.functions.scalar import epoch_us
     st = store_events(_ev(spark, sf_dir))
@@ -376,16 +395,19 @@ def q_event_log(spark, sf_dir):
 
 
 def q_main_files_map(spark, sf_dir):
+    """``file -> seconds`` map per session."""
     from sessionlog.operators.topk import main_files_map
     return main_files_map(file_focus(_ev(spark, sf_dir), ADAPTER_AGG, EXE))
 
 
 def q_summary_report(spark, sf_dir):
+    """Summary report line table."""
     from sessionlog.sinks.reports import summary_report
     return summary_report(_ev(spark, sf_dir), None, ADAPTER_AGG, EXE)
 
 
 def q_timeline_report(spark, sf_dir):
+    """Timeline report line table."""
     from sessionlog.sinks.reports import timeline_report
     return timeline_report(_ev(spark, sf_dir), None, ADAPTER_AGG, EXE)
 
@@ -403,6 +425,7 @@ def q_session_search(spark, sf_dir):
 
 
 def q_stats_report(spark, sf_dir):
+    """Statistics text line table."""
     from sessionlog.sinks.reports import stats_report
     return stats_report(session_stats(_ev(spark, sf_dir)))
 
