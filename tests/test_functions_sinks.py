@@ -107,3 +107,19 @@ def test_export_all_routes_each_format(spark):
     assert md == ["session_id=m"]
     text = "".join(open(p).read() for p in sorted(glob.glob(os.path.join(d, "markdown", "session_id=m", "part-*"))))
     assert "- 2 edits" in text   # intent flavour: the real count of grouped edits
+
+
+def test_lookup_type_filter_and_report_grep(spark):
+    from sessionlog.operators.search import filter_types, search_lines
+    from sessionlog.sinks.store import session_lookup
+    ev = rows_to_df(spark, {
+        "a": [{"type": "file_edit", "ts": S(1), "filename": "x", "changed_tick": 1},
+              {"type": "annotation", "ts": S(2), "note": "Note: fix later"}],
+        "b": [{"type": "cursor_move", "ts": S(1), "filename": "y"}],
+    })
+    assert [r.type for r in session_lookup(ev, "b").collect()] == ["cursor_move"]
+    assert sorted(r.type for r in filter_types(ev, keep=["file_edit", "cursor_move"]).collect()) == \
+        ["cursor_move", "file_edit"]
+    assert [r.type for r in filter_types(ev, drop=["file_edit", "cursor_move"]).collect()] == ["annotation"]
+    hits = search_lines(timeline_report(ev), "Note").collect()
+    assert {h.session_id for h in hits} == {"a"} and any("fix later" in h.line for h in hits)
