@@ -121,5 +121,7 @@ def test_lookup_type_filter_and_report_grep(spark):
     assert sorted(r.type for r in filter_types(ev, keep=["file_edit", "cursor_move"]).collect()) == \
         ["cursor_move", "file_edit"]
     assert [r.type for r in filter_types(ev, drop=["file_edit", "cursor_move"]).collect()] == ["annotation"]
-    hits = search_lines(timeline_report(ev), "Note").collect()
-    assert {h.session_id for h in hits} == {"a"} and any("fix later" in h.line for h in hits)
+    lines = timeline_report(ev)
+    assert {h.session_id for h in search_lines(lines, "Notes").collect()} == {"a", "b"}  # stats row of each report
+    hits = search_lines(lines, "fix later").collect()
+    assert [(h.session_id, h.line) for h in hits] == [("a", "- Note: fix later")]
