@@ -148,3 +148,15 @@ def apply_capture_filters(events: DataFrame, terminal_commands: bool = True, fil
     if off:
         keep = keep & ~t.isin(*off)
     return events.filter(keep)
+
+
+def apply_capture(events: DataFrame, options, exe=None) -> DataFrame:
+    """Apply a ``CaptureOptions`` (see ``config.from_options``): the capture filters,
+    the ``log_events`` switches and, when set, the per-session cursor cap."""
+    from sessionlog.config import ExecConfig
+    from sessionlog.operators.search import cap_cursor_events
+
+    out = apply_capture_filters(events, options.terminal_commands, options.file_open, options.lsp_diagnostics)
+    if options.max_cursor_events is not None:
+        out = cap_cursor_events(out, int(options.max_cursor_events), exe or ExecConfig())
+    return out

@@ -87,3 +87,16 @@ def test_option_overlay():
     assert agg.idle_threshold_us == 300_000_000
     assert (flt.debounce_us, flt.idle_us) == (100_000, 400_000)
     assert cap.max_cursor_events == 50 and not cap.lsp_diagnostics and cap.terminal_commands
+
+
+def test_apply_capture_options(spark):
+    from sessionlog.config import from_options
+    from sessionlog.sources.command_log import apply_capture
+    from tests.helpers import S, rows_to_df
+    ev = rows_to_df(spark, {"s": [{"type": "cursor_move", "ts": S(i), "filename": "a"} for i in range(5)]
+                            + [{"type": "file_edit", "ts": S(9), "filename": ""},
+                               {"type": "lsp_diagnostic", "ts": S(10), "filename": "a"},
+                               {"type": "terminal_command", "ts": S(11), "command": "ls"}]})
+    _, _, cap = from_options({"max_cursor_events": 2, "log_events": {"lsp_diagnostics": False}})
+    got = sorted((r.type, r.seq) for r in apply_capture(ev, cap).collect())
+    assert got == [("cursor_move", 0), ("cursor_move", 1), ("terminal_command", 7)]
