@@ -82,6 +82,7 @@ def format_duration(us: Column) -> Column:
 
 
 def format_duration_or_progress(start_us: Column, end_us: Column) -> Column:
+    """Duration of a session, or ``in progress`` while it has no end."""
     return F.when(end_us.isNull(), F.lit("in progress")).otherwise(format_duration(end_us - start_us))
 
 
@@ -144,6 +145,7 @@ def type_title(t: Column) -> Column:
 
 
 def type_icon(t: Column) -> Column:
+    """Icon per event type; other types get a bullet."""
     return _case(t, _ICONS, F.lit("•"))
 
 
@@ -158,6 +160,7 @@ def location(filename: Column, line: Column) -> Column:
 
 
 def edit_location(line: Column, column: Column) -> Column:
+    """``L{line}:C{column}`` of an edit."""
     return F.format_string("L%d:C%d", F.coalesce(line, F.lit(0)), F.coalesce(column, F.lit(0)))
 
 
@@ -178,6 +181,7 @@ def snippet(text: Column, max_bytes: int = 120, keep_bytes: int = 117) -> Column
 
 
 def detail(t: Column, note: Column, message: Column, command: Column, file_type: Column) -> Column:
+    """Detail text per type: note, message, command, file type (or ``opened``)."""
     return (
         F.when(t == "annotation", F.coalesce(note, F.lit("")))
         .when(t == "lsp_diagnostic", F.coalesce(message, F.lit("")))
@@ -212,6 +216,7 @@ def velocity(delta_tick: Column, duration_us: Column) -> Column:
 
 
 def velocity_badge(v: Column, threshold: float = 10.0) -> Column:
+    """Flame badge for a velocity at or above the threshold."""
     return F.when(v >= threshold, F.lit(" 🔥")).otherwise(F.lit(""))
 
 
@@ -222,6 +227,7 @@ def edit_percent(edits: Column, navs: Column) -> Column:
 
 
 def nav_percent(edits: Column, navs: Column) -> Column:
+    """100 minus the edit percentage; 0 when there are no edits or moves."""
     return F.when((edits + navs) == 0, F.lit(0)).otherwise(100 - edit_percent(edits, navs))
 
 
@@ -231,10 +237,12 @@ def clock(us: Column) -> Column:
 
 
 def day(us: Column) -> Column:
+    """``yyyy-MM-dd`` of epoch micros (UTC)."""
     return F.date_format(us_to_ts(us), "yyyy-MM-dd")
 
 
 def strip_session_suffix(name: Column) -> Column:
+    """File name -> session id (drops ``_raw.json`` or ``.json``)."""
     return F.regexp_replace(F.regexp_replace(name, "_raw\\.json$", ""), "\\.json$", "")
 
 
@@ -243,6 +251,7 @@ START_NOTE_PREFIX = "Started debugging session in "
 
 
 def start_note(project: Column) -> Column:
+    """Note of a ``session_start`` event for a project."""
     return F.concat(F.lit(START_NOTE_PREFIX), F.coalesce(project, F.lit("")))
 
 
@@ -256,8 +265,10 @@ def parse_session_id(sid: Column) -> Column:
 
 
 def blank_to_null(s: Column) -> Column:
+    """Empty string -> NULL (an absent field)."""
     return F.when(s == "", F.lit(None)).otherwise(s)
 
 
 def zero_to_null(i: Column) -> Column:
+    """Zero -> NULL (an absent field)."""
     return F.when(i == 0, F.lit(None)).otherwise(i)

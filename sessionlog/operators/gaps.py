@@ -20,6 +20,7 @@ def idle_gaps(events: DataFrame, agg: AggregationConfig = AggregationConfig(), e
 
 
 def idle_totals(gaps: DataFrame) -> DataFrame:
+    """Idle gap count and summed duration per session."""
     return gaps.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("idle_gaps"), F.sum("duration_us").alias("idle_total_us"),
     )

@@ -42,6 +42,7 @@ def lifecycle_lines(events: DataFrame, save_path: str = "/logs") -> DataFrame:
 
 
 def command_lines(events: DataFrame, save_path: str = "/logs") -> DataFrame:
+    """Events as ``record-*`` / ``annotate`` command lines (JSON, arrival time ``ts``)."""
     s = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     sid, sp = F.col("session_id"), F.lit(save_path)
     t = F.col("type")

@@ -351,6 +351,7 @@ def stats_report(stats: DataFrame) -> DataFrame:
 
 
 def format_minutes(us: int) -> str:
+    """Threshold text for the idle section (``5 minutes``)."""
     m = us / 60_000_000
     return f"{m:g} minutes" if m >= 1 else f"{us / 1e6:g} seconds"
 

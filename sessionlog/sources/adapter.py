@@ -28,6 +28,7 @@ from sessionlog.schema import EVENT_COLUMNS
 
 
 def canonical_from_driver(raw: DataFrame, materialize: bool = True, max_group_rows: int = 1 << 20) -> DataFrame:
+    """Driver ``events`` rows -> canonical events, sequenced per session."""
     k = F.get_json_object("props", "$.k").cast("int")
     et = F.col("event_type")
     typ = (
@@ -74,6 +75,7 @@ def canonical_from_driver(raw: DataFrame, materialize: bool = True, max_group_ro
 
 def load_driver_events(spark: SparkSession, sf_dir: str, materialize: bool = True,
                        max_group_rows: int = 1 << 20) -> DataFrame:
+    """Read ``events.parquet`` of a test-data folder and map it."""
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")
     return canonical_from_driver(raw, materialize=materialize, max_group_rows=max_group_rows)
 

@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 
 
 def get_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "sessionlog") -> SparkSession:
+    """Local session for tests, scripts and the bench (UI off, AQE on, UTC)."""
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
