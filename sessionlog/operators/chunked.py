@@ -17,7 +17,8 @@ UNB = Window.unboundedPreceding
 
 
 def _chunk(order_col: str, chunk_rows: int):
-    return F.floor(F.col(order_col) / F.lit(chunk_rows)).cast("bigint")
+    """Exact integer chunk number of a BIGINT order column."""
+    return F.expr(f"CAST(`{order_col}` AS BIGINT) div {int(chunk_rows)}")
 
 
 def lag_across(df: DataFrame, key: str, order_col: str, cols: Sequence[str], chunk_rows: int,

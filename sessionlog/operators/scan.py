@@ -55,7 +55,7 @@ def spans_chunks(events: DataFrame, chunk_rows: int) -> bool:
 
 def with_chunk(events: DataFrame, chunk_rows: int) -> DataFrame:
     """Add ``_chunk = seq div chunk_rows``."""
-    return events.withColumn("_chunk", F.floor(F.col("seq") / F.lit(chunk_rows)).cast("bigint"))
+    return events.withColumn("_chunk", F.expr(f"CAST(`seq` AS BIGINT) div {int(chunk_rows)}"))
 
 
 def scan(events: DataFrame, agg: AggregationConfig = AggregationConfig(),

@@ -75,7 +75,7 @@ def ordinal_within(df: DataFrame, keys: Sequence[str], order_col: str, out: str,
     """
     if bounded:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(order_col)).cast("bigint"))
-    ch = F.floor(F.col(order_col) / chunk_rows).cast("bigint")
+    ch = F.expr(f"CAST(`{order_col}` AS BIGINT) div {int(chunk_rows)}")
     d = df.withColumn("_och", ch)
     local = Window.partitionBy(*keys, "_och").orderBy(order_col)
     d = d.withColumn("_ord_l", F.row_number().over(local))
