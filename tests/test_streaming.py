@@ -91,3 +91,19 @@ def test_stream_equals_batch(spark):
     q2.awaitTermination()
     sb = spark.table("blocks_t").select("session_id", "block_no", "start_us", "event_count", "delta_tick", "closed_by")
     assert bb.exceptAll(sb).count() == 0 and sb.exceptAll(bb).count() == 0
+
+
+def test_stream_equals_batch_drop_mode(spark):
+    d = tempfile.mkdtemp(prefix="cmdlog-")
+    write_command_log(d, n_sessions=8, n_files=3, seed=17)
+    cfg = FilterConfig(idle_commit="drop")
+    ev, _, _ = read_command_log(spark.read.text(d))
+    batch = cursor_filter(ev, cfg, ExecConfig(chunk_rows=6))
+    raw, _ = command_stream(spark, d, max_files_per_trigger=1)
+    q = (denoise_stream(raw, cfg).writeStream.format("memory").queryName("denoised_drop")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    cols = ["session_id", "seq", "type", "ts_us", "line"]
+    b, s = batch.select(*cols), spark.table("denoised_drop").select(*cols)
+    assert b.count() == s.count()
+    assert b.exceptAll(s).count() == 0 and s.exceptAll(b).count() == 0
