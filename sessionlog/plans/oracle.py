@@ -761,6 +761,31 @@ SELECT session_id, seq, type, ts_us, filename, changed_tick, note FROM ev""",
     "timeline_report": _timeline_report(),
     "summary_report": _summary_report(),
     "stats_report": _stats_report(),
+    "error_corrections_intent": _with(BASE) + f""",
+ann AS (
+  SELECT session_id, seq AS a_seq, ts_us AS a_ts, filename AS a_filename,
+         coalesce(filename, active_file, '') AS a_file, note AS annotation
+  FROM a WHERE type = 'annotation' AND seq > 0 AND ({KEYWORDS})
+),
+pairs AS (
+  SELECT n.*, x.seq AS t_seq, coalesce(x.changed_tick, 0) AS tick,
+         (x.type = 'file_edit' AND coalesce(x.filename, '') = n.a_file) AS hit,
+         (n.a_ts - x.ts_us) > {LOOKBACK} AS old
+  FROM ann n JOIN ev x ON x.session_id = n.session_id AND x.seq BETWEEN n.a_seq - {NBACK} AND n.a_seq - 1
+),
+st AS (
+  SELECT *, bool_or(old) OVER (PARTITION BY session_id, a_seq ORDER BY t_seq DESC ROWS UNBOUNDED PRECEDING) AS stopped
+  FROM pairs
+),
+hits AS (
+  SELECT *, lag(tick) OVER (PARTITION BY session_id, a_seq ORDER BY t_seq DESC) AS later
+  FROM st WHERE NOT stopped AND hit
+)
+SELECT session_id, a_seq AS seq, any_value(a_ts) AS ts_us, any_value(a_filename) AS filename,
+       any_value(annotation) AS annotation, CAST(0 AS BIGINT) AS lines_deleted,
+       CAST(sum(CASE WHEN later > 0 AND tick > later THEN tick - later ELSE 0 END) AS BIGINT) AS ticks_reversed,
+       CAST(count(*) AS BIGINT) AS blocks_affected
+FROM hits GROUP BY session_id, a_seq""",
     "command_log_sessions": _with(LIFE) + """
 SELECT session_id, '/work/proj-' || session_id AS project_path, '/logs' AS save_path, fmt AS output_format FROM life""",
     "export_routes": _with(LIFE) + """

@@ -394,6 +394,14 @@ def q_event_log(spark, sf_dir):
     return back.select("session_id", "seq", "type", "ts_us", "filename", "changed_tick", "note")
 
 
+def q_error_corrections_intent(spark, sf_dir):
+    """Corrections with the documented intent: the annotation's file is the last file
+    active before it, and ticks count real reversals (later tick below an earlier one)."""
+    from dataclasses import replace
+    agg = replace(ADAPTER_AGG, annotation_file="last_active", true_reversals=True)
+    return error_corrections(_ev(spark, sf_dir), agg, EXE)
+
+
 def q_main_files_map(spark, sf_dir):
     """``file -> seconds`` map per session."""
     from sessionlog.operators.topk import main_files_map
@@ -470,6 +478,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "json_export": q_json_export,
     "stream_summaries": q_stream_summaries,
     "event_log": q_event_log,
+    "error_corrections_intent": q_error_corrections_intent,
     "main_files_map": q_main_files_map,
     "summary_report": q_summary_report,
     "timeline_report": q_timeline_report,
