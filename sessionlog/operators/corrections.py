@@ -24,8 +24,9 @@ def error_corrections(events: DataFrame, agg: AggregationConfig = AggregationCon
     group grows with the session and the folded list per annotation is bounded.
     """
     src = scan(events, agg, exe) if agg.annotation_file == "last_active" else events
+    named = F.when(F.col("filename") != "", F.col("filename"))  # "" means absent
     ann_file = (
-        F.coalesce(F.col("filename"), F.col("active_file"), F.lit(""))
+        F.coalesce(named, F.col("active_file"), F.lit(""))
         if agg.annotation_file == "last_active" else F.coalesce(F.col("filename"), F.lit(""))
     )
     ann = src.filter(

@@ -764,7 +764,7 @@ SELECT session_id, seq, type, ts_us, filename, changed_tick, note FROM ev""",
     "error_corrections_intent": _with(BASE) + f""",
 ann AS (
   SELECT session_id, seq AS a_seq, ts_us AS a_ts, filename AS a_filename,
-         coalesce(filename, active_file, '') AS a_file, note AS annotation
+         coalesce(nullif(filename, ''), active_file, '') AS a_file, note AS annotation
   FROM a WHERE type = 'annotation' AND seq > 0 AND ({KEYWORDS})
 ),
 pairs AS (

@@ -20,7 +20,7 @@ TYPES = ["file_edit", "file_edit", "cursor_move", "terminal_command", "file_open
 event = st.fixed_dictionaries({
     "type": st.sampled_from(TYPES),
     "dt": st.sampled_from([-1_000_000, 0, 0, 500_000, 2_000_000, 2_000_001, 7_000_000, 11_000_000]),
-    "filename": st.sampled_from(["a", "b", "NvimTree_1", None]),
+    "filename": st.sampled_from(["a", "b", "NvimTree_1", "", None]),
     "changed_tick": st.integers(0, 30),
     "note": st.sampled_from(["fix it", "Bug here", "plain", None]),
 })
