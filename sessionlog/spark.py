@@ -32,8 +32,8 @@ def get_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder; create a scratch one only when unset.
 
-    On a cluster ``spark.checkpoint.dir`` names shared storage and is used as is.
-    Local runs and tests get a fresh temporary folder.  Works without a
+    On a cluster ``spark.checkpoint.dir`` must name shared storage and is used as is.
+    Local runs and tests, where it is unset, get a fresh temporary folder.  Works without a
     SparkContext (Spark Connect): the setting is then read from the session conf.
     """
     try:
@@ -44,6 +44,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="sessionlog-ckpt-", dir=os.environ.get("SESSIONLOG_SCRATCH", "/tmp"))
     if sc is None:
         return conf_dir
@@ -65,3 +68,30 @@ def materialize(df, name: str = "stage"):
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return spark.read.parquet(path)
+
+
+def ship_package(spark) -> None:
+    """Give the executors this package as a zip file, once for each Spark context.
+
+    Python code that runs in tasks imports the package, which need not be
+    installed on the workers or lie on their path.
+    """
+    import zipfile
+    from pathlib import Path
+
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the package must be installed or sent with addArtifacts
+        return
+    if sc.applicationId in _shipped:
+        return
+    home = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="sessionlog-zip-"), "sessionlog_package.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for p in sorted(home.rglob("*.py")):
+            out.write(p, p.relative_to(home.parent))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
+_shipped: set[str] = set()
