@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlog.llm import piece_codec, sharding, token_counts, token_files
-from sessionlog.llm.shared import documents
+from sessionlog.llm import line_dedup, piece_codec, sharding, simhash, suffix_tree_lm, token_counts, token_files
+from sessionlog.llm.shared import documents, id_remainder
 
 PIECES = "piece_bpe_32k.model"
 WORDS = "word_bpe_49k.json"
@@ -25,12 +25,29 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' 3-word SimHash fingerprints, and components of those within 3 bits."""
+    found = simhash.near_duplicates(documents(spark, sf_dir), shingle=3, max_bits=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that a document of a smaller doc_id already has, as digests."""
+    kept = line_dedup.drop_repeated_lines(documents(spark, sf_dir), min_chars=10)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token ids in flat files, read back from them."""
     folder, manifest = token_files.write_token_files(documents(spark, sf_dir), public_tokenizers.path(WORDS), end_id=2)
     return token_files.read_token_files(folder, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a suffix tree learnt from nine tenths of them, beside the unigram base."""
+    return suffix_tree_lm.score(documents(spark, sf_dir), id_remainder("doc_id", 10) == 0)
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded with begin and end ids and decoded again, as digests."""
     path = public_tokenizers.path(PIECES)
@@ -41,9 +58,27 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
+    "op3_simhash": op3_simhash,
+    "op4_line_dedup": op4_line_dedup,
     "op5_token_files": op5_token_files,
+    "op7_suffix_tree_lm": op7_suffix_tree_lm,
     "op9_sentencepiece": op9_sentencepiece,
 }
 
 #: DuckDB SQL for the same rows.
 ORACLE: dict[str, str] = {}
+
+ORACLE["op4_line_dedup"] = r"""
+WITH lines AS (
+  SELECT doc_id, i, list_extract(l, i) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(i)),
+keyed AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+held AS (
+  SELECT k, min(doc_id) AS first_doc FROM keyed WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) > 1),
+marked AS (
+  SELECT keyed.*, held.k IS NOT NULL AND keyed.doc_id <> held.first_doc AS gone FROM keyed LEFT JOIN held USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
