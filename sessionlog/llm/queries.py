@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlog.llm import line_dedup, piece_codec, sharding, simhash, suffix_tree_lm, token_counts, token_files
+from sessionlog.llm import decontaminate, language_crf, line_dedup, piece_codec, sharding, simhash, suffix_tree_lm, token_counts, token_files
 from sessionlog.llm.shared import documents, id_remainder
 
 PIECES = "piece_bpe_32k.model"
@@ -43,6 +43,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(folder, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document and benchmark item that it holds, at a word similarity of 0.8 or more."""
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), similarity=0.8)
+
+
 def op7_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by a suffix tree learnt from nine tenths of them, beside the unigram base."""
     return suffix_tree_lm.score(documents(spark, sf_dir), id_remainder("doc_id", 10) == 0)
@@ -55,14 +60,24 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents by a CRF fitted on a sample of four fifths of them."""
+    docs = documents(spark, sf_dir)
+    held_out = id_remainder("doc_id", 5) == 0
+    crf = language_crf.fit(docs, ~held_out)
+    return language_crf.predict(docs.select("doc_id", "text"), crf).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
     "op3_simhash": op3_simhash,
     "op4_line_dedup": op4_line_dedup,
     "op5_token_files": op5_token_files,
+    "op6_decontamination": op6_decontamination,
     "op7_suffix_tree_lm": op7_suffix_tree_lm,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_language_crf": op10_language_crf,
 }
 
 #: DuckDB SQL for the same rows.

@@ -49,28 +49,24 @@ class Hasher:
 
 
 class Words:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of a column of texts, A-Z in lower case.
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a column of texts, A-Z in lower case; or runs between other bytes.
 
     ``starts`` and ``ends`` are byte positions in ``data``; ``first[d]`` is the
     number of the first word of text d, ``first[-1]`` the number of all words.
     """
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, gaps: np.ndarray = _SPACE):
         texts = texts.fill_null("").cast(pa.large_string())
         bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         raw = texts.buffers()[2]
         data = np.frombuffer(raw, np.uint8)[bounds[0] : bounds[-1]] if raw is not None and bounds[-1] > bounds[0] else np.empty(0, np.uint8)
         bounds = bounds - bounds[0]
         self.data, self.bounds = _LOWER[data], bounds
-        gap = np.ones(len(data) + 1, bool)
-        gap[1:] = np.append(_SPACE[data][:-1], True) if len(data) else True
-        word = ~_SPACE[data]
+        word = ~gaps[data]
         cut = np.zeros(len(data) + 1, bool)  # where another text begins
         cut[bounds] = True
-        begins = word & (gap[:-1] | cut[:-1])
-        after = np.append(~word[1:], True) | cut[1:]
-        self.starts = np.flatnonzero(begins)
-        self.ends = np.flatnonzero(word & after[: len(word)]) + 1
+        self.starts = np.flatnonzero(word & (np.append(True, ~word[:-1])[: len(word)] | cut[:-1]))
+        self.ends = np.flatnonzero(word & (np.append(~word[1:], True)[: len(word)] | cut[1:])) + 1
         self.first = np.searchsorted(self.starts, bounds)
 
     def hashes(self) -> np.ndarray:
