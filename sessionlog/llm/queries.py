@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlog.llm import decontaminate, language_crf, line_dedup, piece_codec, sharding, simhash, suffix_tree_lm, token_counts, token_files
+from sessionlog.llm import decontaminate, language_crf, line_dedup, nn_descent, piece_codec, sharding, simhash, suffix_tree_lm, token_counts, token_files
 from sessionlog.llm.shared import documents, id_remainder
 
 PIECES = "piece_bpe_32k.model"
@@ -53,6 +53,11 @@ def op7_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_lm.score(documents(spark, sf_dir), id_remainder("doc_id", 10) == 0)
 
 
+def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest rows found for each row whose id is divisible by 50, among all rows."""
+    return nn_descent.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded with begin and end ids and decoded again, as digests."""
     path = public_tokenizers.path(PIECES)
@@ -76,6 +81,7 @@ QUERIES = {
     "op5_token_files": op5_token_files,
     "op6_decontamination": op6_decontamination,
     "op7_suffix_tree_lm": op7_suffix_tree_lm,
+    "op8_nn_descent": op8_nn_descent,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language_crf": op10_language_crf,
 }
