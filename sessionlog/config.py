@@ -8,15 +8,8 @@ US = 1_000_000  # microseconds per second
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the recorder's defaults for identical results.
-# Distraction name patterns (case-sensitive substrings), in their given order:
-#   NvimTree, copilot-chat, neo-tree, CHADTree, fern, undotree
-# Error keywords (matched as substrings of the lower-cased note), in order:
-#   fix, error, bug, issue, mistake, correct, debug
-# Block closers: terminal_command, file_open
-# Cursor-filter triggers: file_edit, terminal_command, session_end
-# Defaults: merge window 2 s, idle gap 5 min, flow velocity 10.0 ticks/s,
-#   look-back 10 events / 5 min, debounce 200 ms, cursor idle 500 ms,
-#   summary refresh every 5 min, report lists: top 10 files, first 50 blocks.
+# Distraction patterns are case-sensitive substrings; error keywords are
+# substrings of the lower-cased note.
 # ---------------------------------------------------------------------------
 DISTRACTION_PATTERNS = ("NvimTree", "copilot-chat", "neo-tree", "CHADTree", "fern", "undotree")
 ERROR_KEYWORDS = ("fix", "error", "bug", "issue", "mistake", "correct", "debug")
@@ -51,7 +44,7 @@ class AggregationConfig:
 
 @dataclass(frozen=True)
 class FilterConfig:
-    """Cursor debounce (microseconds)."""
+    """Cursor debounce (microseconds); any pair of ``debounce_us`` > 0 and ``idle_us`` >= 0."""
 
     debounce_us: int = 200_000
     idle_us: int = 500_000
@@ -59,6 +52,10 @@ class FilterConfig:
     # "record": idle-committed moves are kept (documented); "drop": discarded (recorder code).
     idle_commit: str = "record"
 
+    def __post_init__(self):
+        if self.debounce_us <= 0 or self.idle_us < 0 or self.idle_commit not in ("record", "drop"):
+            raise ValueError("debounce_us must be positive, idle_us not negative, idle_commit record or drop")
+
 
 @dataclass(frozen=True)
 class ExecConfig:
@@ -71,9 +68,9 @@ class ExecConfig:
     """
 
     chunk_rows: int = 1 << 20
-    # Largest island of cursor moves folded inside one task; longer islands take
-    # the exact distributed path (pointer doubling).
-    fold_max_rows: int = 100_000
+    # Largest island of cursor moves whose anchors are found inside one task; longer
+    # islands take the exact distributed path (pointer doubling), with the same result.
+    fold_max_rows: int = 4_096
     # Hash fan-out used by two-phase top-k so one group never sorts in one task.
     topk_fanout: int = 64
 
@@ -97,6 +94,8 @@ class CaptureOptions:
     file_open: bool = True
     lsp_diagnostics: bool = True
     max_cursor_events: int | None = None
+    # How often running summaries are refreshed.
+    periodic_update_us: int = 300 * US
 
 
 def from_options(opts: dict | None = None) -> tuple[AggregationConfig, FilterConfig, CaptureOptions]:
@@ -126,5 +125,6 @@ def from_options(opts: dict | None = None) -> tuple[AggregationConfig, FilterCon
         file_open=bool(le.get("file_open", True)),
         lsp_diagnostics=bool(le.get("lsp_diagnostics", True)),
         max_cursor_events=o.get("max_cursor_events"),
+        periodic_update_us=int(o.get("periodic_update_interval", 300_000)) * 1000,
     )
     return agg, flt, cap

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionlog.operators.sequence import join_on
+
 UNB = Window.unboundedPreceding
 
 
@@ -37,7 +39,7 @@ def lag_across(df: DataFrame, key: str, order_col: str, cols: Sequence[str], chu
     cw = Window.partitionBy(key).orderBy("_lc")
     carry = last.select(key, "_lc", *[F.lag(f"_z_{c}").over(cw).alias(f"_c_{c}") for c in cols],
                         F.lag("_lc").over(cw).alias("_pc")).filter(F.col("_pc").isNotNull()).drop("_pc")
-    j = d.join(carry, [key, "_lc"], "left")
+    j = join_on(d, carry, [key, "_lc"], "left")
     out = j.select(
         *df.columns,
         *[F.when(F.col("_lrn") == 1, F.col(f"_c_{c}")).otherwise(F.col(f"_l_{c}")).alias(f"{prefix}{c}")
@@ -49,13 +51,24 @@ def lag_across(df: DataFrame, key: str, order_col: str, cols: Sequence[str], chu
 def cumsum_across(df: DataFrame, key: str, order_col: str, value_col: str, out: str, chunk_rows: int,
                   single_chunk: bool = False) -> DataFrame:
     """Add ``out`` = running sum of ``value_col`` (inclusive) along ``order_col``."""
+    total = running_across(df, key, order_col, value_col, "_run", F.sum, lambda a, b: a + b, chunk_rows, single_chunk)
+    return total.select(*df.columns, F.col("_run").cast("bigint").alias(out))
+
+
+def running_across(df: DataFrame, key: str, order_col: str, value_col: str, out: str, agg, both, chunk_rows: int,
+                   single_chunk: bool = False) -> DataFrame:
+    """Add ``out`` = ``agg`` (sum, max, ...) of ``value_col`` over the rows up to and including this one.
+
+    ``both`` combines a chunk's running value with that of all chunks before it.
+    """
     d = df.withColumn("_sc", _chunk(order_col, chunk_rows))
     w = Window.partitionBy(key, "_sc").orderBy(order_col).rowsBetween(UNB, Window.currentRow)
-    d = d.withColumn("_sl", F.sum(value_col).over(w))
+    d = d.withColumn("_sl", agg(value_col).over(w))
     if single_chunk:
-        return d.select(*df.columns, F.col("_sl").cast("bigint").alias(out))
-    tot = d.groupBy(key, "_sc").agg(F.sum(value_col).alias("_st"))
+        return d.select(*df.columns, F.col("_sl").alias(out))
+    tot = d.groupBy(key, "_sc").agg(agg(value_col).alias("_st"))
     cw = Window.partitionBy(key).orderBy("_sc").rowsBetween(UNB, -1)
-    offs = tot.select(key, "_sc", F.sum("_st").over(cw).alias("_so")).filter(F.col("_so").isNotNull())
-    j = d.join(offs, [key, "_sc"], "left")
-    return j.select(*df.columns, (F.col("_sl") + F.coalesce(F.col("_so"), F.lit(0))).cast("bigint").alias(out))
+    offs = tot.select(key, "_sc", agg("_st").over(cw).alias("_so")).filter(F.col("_so").isNotNull())
+    j = join_on(d, offs, [key, "_sc"], "left")
+    value = F.when(F.col("_so").isNull(), F.col("_sl")).when(F.col("_sl").isNull(), F.col("_so"))
+    return j.select(*df.columns, value.otherwise(both(F.col("_sl"), F.col("_so"))).alias(out))

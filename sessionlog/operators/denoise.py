@@ -6,20 +6,23 @@ cursor moves and trigger events (file edits, terminal commands, session end):
 * trigger: flush the pending move, re-anchor at the trigger, cancel the timer;
 * move less than ``debounce`` after the anchor: becomes pending, nothing else;
 * other move: becomes pending, re-anchors, (re)arms a timer at anchor + ``idle``;
-* timer: commits the pending move.
-
-With ``idle >= 2 * debounce`` (the defaults) the timer cannot fire inside an
-*island* (a trigger or move followed by moves each less than ``debounce``
-after the previous row), so only the last move of an island can survive: it is
-committed by the timer (``idle``), flushed by the next trigger (``trigger``)
-or by the session end / end of log (``end``), and otherwise superseded.
-
-Only the island's final anchor needs a sequential fold.  Islands of at most
-``ExecConfig.fold_max_rows`` rows fold inside one task (bounded list +
-``aggregate``).  Longer islands take an exact distributed path: binary lifting
-over the island's dense row index finds each row's next anchor, then pointer
-doubling follows the anchor chain to its end; every step is an equi-join on a
-unique ``(island, index)`` key, so no task holds a whole island.
+* timer: commits the pending move; it runs out before the first event of any
+  type that is later than it.
+
+Any ``debounce`` and ``idle`` are allowed, and times may go back.
+
+1. *Islands.*  A trigger, and a move at least ``debounce`` after the latest time
+   seen so far, is an anchor whatever came before it, so it starts an island:
+   the anchors inside an island depend on no other island.
+2. *Anchors.*  The next anchor after one at ``a`` is the first row at or after
+   ``a + debounce``.  Islands of at most ``ExecConfig.fold_max_rows`` rows are
+   walked inside one task (a bounded list).  Longer ones take a distributed
+   path with the same result: an anchor is the latest row of its island so far,
+   so binary lifting over the running maximum of the times finds each next
+   anchor, and pointer doubling marks the rows that the first one reaches.
+3. *Segments.*  Each anchor leads the rows up to the next anchor.  The timer of
+   a segment can commit one move; the last move after that is flushed by the
+   next trigger, or superseded by the next anchor.
 """
 
 from __future__ import annotations
@@ -28,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlog.config import ExecConfig, FilterConfig
-from sessionlog.operators.chunked import cumsum_across, lag_across
+from sessionlog.operators.chunked import cumsum_across, lag_across, running_across
 from sessionlog.operators.scan import spans_chunks
-from sessionlog.operators.sequence import ordinal_within
+from sessionlog.operators.sequence import join_on, ordinal_within
 from sessionlog.spark import materialize as materialize_df
 
 # ``flush_seq`` of a move committed after the last event of the log
@@ -38,83 +41,77 @@ END_OF_LOG = 1 << 60
 
 
 def _islands(events: DataFrame, cfg: FilterConfig, exe: ExecConfig, single: bool) -> DataFrame:
-    """All events with ``island`` (visible rows: their island; other rows: the
-    island of the last visible row before them, 0 if none) and ``visible``."""
+    """Visible rows (moves and triggers) with their ``island``."""
     visible = (F.col("type") == "cursor_move") | F.col("type").isin(*cfg.triggers)
-    vis = events.filter(visible).select(
-        "session_id", "seq", "ts_us", "type", (F.col("type") == "cursor_move").alias("is_cur"))
-    v = lag_across(vis, "session_id", "seq", ["ts_us"], exe.chunk_rows, single_chunk=single)
-    start = (F.col("prev_ts_us").isNull() | ~F.col("is_cur")
-             | (F.col("ts_us") - F.col("prev_ts_us") >= F.lit(cfg.debounce_us)))
-    v = v.select("session_id", "seq", "ts_us", "type", "is_cur", start.cast("int").alias("_s"),
-                 F.lit(True).alias("visible"))
-    other = events.filter(~visible).select("session_id", "seq", "ts_us", "type", F.lit(False).alias("is_cur"),
-                                           F.lit(0).alias("_s"), F.lit(False).alias("visible"))
-    allr = cumsum_across(v.unionByName(other), "session_id", "seq", "_s", "island", exe.chunk_rows,
-                         single_chunk=single).drop("_s")
-    # islands feed the size check, the folds and the decisions: write them once
-    return materialize_df(allr, "islands")
-
-
-def _fold_small(rows: DataFrame, cfg: FilterConfig) -> DataFrame:
-    """(session_id, island) -> anchor, armed, for islands folded in one task."""
-    g = rows.groupBy("session_id", "island").agg(
-        F.sort_array(F.collect_list(F.struct("seq", "ts_us", "is_cur"))).alias("xs"))
+    vis = events.filter(visible).select("session_id", "seq", "ts_us", (F.col("type") == "cursor_move").alias("is_cur"))
+    v = running_across(vis, "session_id", "seq", "ts_us", "top", F.max, F.greatest, exe.chunk_rows, single)
+    v = lag_across(v, "session_id", "seq", ["top"], exe.chunk_rows, single_chunk=single)
+    start = (F.col("prev_top").isNull() | ~F.col("is_cur")
+             | (F.col("ts_us") - F.col("prev_top") >= F.lit(cfg.debounce_us)))
+    v = v.withColumn("_s", start.cast("int"))
+    v = cumsum_across(v, "session_id", "seq", "_s", "island", exe.chunk_rows, single_chunk=single)
+    # the size check, both ways to the anchors and the segments read them: write them once
+    return materialize_df(v.select("session_id", "island", "seq", "ts_us", "is_cur"), "islands")
+
+
+def _anchors_small(rows: DataFrame, cfg: FilterConfig) -> DataFrame:
+    """(session_id, seq) of the anchors of islands that are walked in one task."""
+    g = rows.groupBy("session_id", "island").agg(F.sort_array(F.collect_list(F.struct("seq", "ts_us"))).alias("xs"))
     first = F.col("xs")[0]
-    init = F.struct(first["ts_us"].alias("a"), first["is_cur"].alias("armed"))
-    deb = F.lit(cfg.debounce_us)
+    init = F.struct(first["ts_us"].alias("a"), F.array(first["seq"]).alias("found"))
 
     def step(acc, x):
-        re = x["ts_us"] - acc["a"] >= deb
-        return F.struct(F.when(re, x["ts_us"]).otherwise(acc["a"]).alias("a"), (acc["armed"] | re).alias("armed"))
-
-    f = F.aggregate(F.slice("xs", 2, 1 << 30), init, step)
-    return g.select("session_id", "island", f["a"].alias("anchor"), f["armed"].alias("armed"))
-
-
-def _fold_large(rows: DataFrame, cfg: FilterConfig, exe: ExecConfig, rounds: int) -> DataFrame:
-    """Exact fold for long islands: binary lifting for next anchors, pointer doubling for the chain end.
-
-    Lookups by ``(island, index)`` are unique-key equi-joins.  The doubling
-    join is many-to-one (converging chains share targets, the chain end most of
-    all); AQE's skew-join split spreads such a target's rows over several tasks."""
-    r = ordinal_within(rows, ["session_id", "island"], "seq", "r", exe.chunk_rows).withColumn("r", F.col("r") - 1)
-    # indexed island rows are probed by every round below: write them once
-    r = materialize_df(r.select("session_id", "island", "r", "ts_us", "is_cur"), "island-index")
-    n = r.groupBy("session_id", "island").agg(F.count(F.lit(1)).alias("n"))
-    look = r.select("session_id", "island", F.col("r").alias("q"), F.col("ts_us").alias("tq"))
-    deb = F.lit(cfg.debounce_us)
-    # binary lifting: lo = last index with ts < ts_i + debounce (times ascend inside an island).
-    # ``n`` has one row per oversized island (at most rows / fold_max_rows): broadcast.
-    p = r.join(F.broadcast(n), ["session_id", "island"]).select("session_id", "island", "r", "ts_us", "n",
-                                                               F.col("r").alias("lo"))
+        hit = x["ts_us"] - acc["a"] >= F.lit(cfg.debounce_us)
+        return F.struct(F.when(hit, x["ts_us"]).otherwise(acc["a"]).alias("a"),
+                        F.when(hit, F.concat(acc["found"], F.array(x["seq"]))).otherwise(acc["found"]).alias("found"))
+
+    walked = g.select("session_id", F.aggregate(F.slice("xs", 2, 1 << 30), init, step)["found"].alias("found"))
+    return walked.select("session_id", F.explode("found").alias("seq"))
+
+
+def _anchors_large(rows: DataFrame, cfg: FilterConfig, exe: ExecConfig, rounds: int) -> DataFrame:
+    """The same for long islands; every step is an equi-join on ``(session, island, index)``."""
+    key = ["session_id", "island"]
+    r = ordinal_within(rows, key, "seq", "r", exe.chunk_rows).withColumn("r", F.col("r") - 1)
+    # running maximum inside an island: an island is one key here
+    r = r.withColumn("_k", F.struct(*key))
+    r = running_across(r, "_k", "r", "ts_us", "top", F.max, F.greatest, exe.chunk_rows)
+    r = materialize_df(r.select(*key, "r", "seq", "ts_us", "top"), "island-index")
+    look = r.select(*key, F.col("r").alias("q"), F.col("top").alias("tq"))
+    # binary lifting: lo = last index whose running maximum is below ts + debounce
+    p = r.select(*key, "r", "ts_us", F.col("r").alias("lo"))
     for k in reversed(range(rounds)):
-        step = 1 << k
-        p = (p.withColumn("q", F.col("lo") + step)
-             .join(look, ["session_id", "island", "q"], "left")
-             .withColumn("lo", F.when(F.col("tq").isNotNull() & (F.col("tq") - F.col("ts_us") < deb), F.col("q"))
-                         .otherwise(F.col("lo")))
-             .drop("q", "tq"))
-    # jump = next anchor index, or self at the end of the chain
-    jmp = p.select("session_id", "island", "r",
-                   F.when(F.col("lo") + 1 < F.col("n"), F.col("lo") + 1).otherwise(F.col("r")).alias("j"))
-    nxt0 = jmp.filter(F.col("r") == 0).select("session_id", "island", F.col("j").alias("j0"))
+        p = join_on(p.withColumn("q", F.col("lo") + (1 << k)), look, [*key, "q"], "left")
+        ok = F.col("tq").isNotNull() & (F.col("tq") - F.col("ts_us") < F.lit(cfg.debounce_us))
+        p = p.withColumn("lo", F.when(ok, F.col("q")).otherwise(F.col("lo"))).drop("q", "tq")
+    jump = materialize_df(p.select(*key, "r", (F.col("lo") + 1).alias("j")), "island-jumps")
+    # pointer doubling from the first row: after k rounds, all anchors within 2^k jumps are marked
+    reach = r.filter("r = 0").select(*key, "r")
     for _ in range(rounds):
-        hop = jmp.select("session_id", "island", F.col("r").alias("j"), F.col("j").alias("jj"))
-        jmp = jmp.join(hop, ["session_id", "island", "j"]).select("session_id", "island", "r",
-                                                                 F.col("jj").alias("j"))
-    ends = jmp.select("session_id", "island", F.col("r").alias("s0"), F.col("j").alias("end"))
-    first = r.filter(F.col("r") == 0).select("session_id", "island", F.col("is_cur").alias("c0"),
-                                             F.col("ts_us").alias("t0"))
-    st = first.join(nxt0, ["session_id", "island"]).select(
-        "session_id", "island", "c0", "t0",
-        # a cursor-led island anchors on its first row; a trigger-led one on its first jump (if any)
-        F.when(F.col("c0"), F.lit(0)).when(F.col("j0") != 0, F.col("j0")).alias("s0"))
-    res = (st.join(ends, ["session_id", "island", "s0"], "left")
-           .join(look.withColumnRenamed("q", "end"), ["session_id", "island", "end"], "left"))
-    return res.select("session_id", "island",
-                      F.when(F.col("s0").isNull(), F.col("t0")).otherwise(F.col("tq")).alias("anchor"),
-                      F.col("s0").isNotNull().alias("armed"))
+        hop = join_on(reach, jump, [*key, "r"]).select(*key, F.col("j").alias("r"))
+        reach = materialize_df(reach.unionByName(join_on(hop, r.select(*key, "r"), [*key, "r"])).distinct(), "anchors")
+        twice = jump.select(*key, F.col("r").alias("j"), F.col("j").alias("jj"))
+        jump = materialize_df(join_on(jump, twice, [*key, "j"]).select(*key, "r", F.col("jj").alias("j")), "island-jumps")
+    return join_on(r, reach, [*key, "r"]).select("session_id", "seq")
+
+
+def _segments(events: DataFrame, cfg: FilterConfig, exe: ExecConfig, single: bool) -> DataFrame:
+    """All events with ``seg``, the number of anchors up to and including the row."""
+    v = _islands(events, cfg, exe, single)
+    sizes = v.groupBy("session_id", "island").agg(F.count(F.lit(1)).alias("n"))
+    big = sizes.filter(F.col("n") > exe.fold_max_rows)
+    top = big.agg(F.max("n")).first()[0]
+    if top:
+        tagged = join_on(v, big.select("session_id", "island", F.lit(True).alias("big")), ["session_id", "island"], "left")
+        large = tagged.filter("big").drop("big")
+        anchors = _anchors_small(tagged.filter("big IS NULL").drop("big"), cfg).unionByName(
+            _anchors_large(large, cfg, exe, int(top).bit_length()))
+    else:
+        anchors = _anchors_small(v, cfg)
+    allr = join_on(events.select("session_id", "seq", "ts_us", "type"), anchors.withColumn("anchor", F.lit(1)),
+                   ["session_id", "seq"], "left").withColumn("anchor", F.coalesce("anchor", F.lit(0)))
+    return materialize_df(cumsum_across(allr, "session_id", "seq", "anchor", "seg", exe.chunk_rows, single_chunk=single),
+                          "segments")
 
 
 def cursor_decisions(events: DataFrame, cfg: FilterConfig = FilterConfig(), exe: ExecConfig = ExecConfig(),
@@ -122,70 +119,45 @@ def cursor_decisions(events: DataFrame, cfg: FilterConfig = FilterConfig(), exe:
     """Every cursor move with ``kept``, ``reason`` (idle / trigger / end / NULL
     when superseded) and ``flush_seq``: the event the move is recorded just
     before (the flushing trigger, or for an idle commit the first later event
-    past the timer deadline; ``END_OF_LOG`` when none follows)."""
+    past the timer; ``END_OF_LOG`` when none follows)."""
     if single is None:  # every session within one chunk (one scalar check)
         single = not spans_chunks(events, exe.chunk_rows)
-    allr = _islands(events, cfg, exe, single=single)
-    v = allr.filter(F.col("visible")).drop("visible")
-    # island summaries plus what follows each island (reported back by the next island's first row)
-    tail = F.struct(F.col("seq").alias("seq"), F.col("ts_us").alias("ts"), F.col("type").alias("type"))
-    recs = F.array(
-        F.struct(F.col("island").alias("k"), F.lit(True).alias("own")),
-        F.when(F.col("island") > 1, F.struct((F.col("island") - 1).alias("k"), F.lit(False).alias("own"))),
-    )
-    x = v.select("*", F.explode(F.filter(recs, lambda e: e.isNotNull())).alias("e"))
-    own = F.col("e.own")
-    isl = x.groupBy("session_id", F.col("e.k").alias("island")).agg(
-        F.count_if(own).alias("n"),
-        F.max_by(F.when(own & F.col("is_cur"), F.col("seq")), F.when(own & F.col("is_cur"), F.col("seq")))
-        .alias("last_cur"),
-        F.min_by(tail, F.when(~own, F.col("seq"))).alias("nxt"),
-    ).filter(F.col("n") > 0)
-
-    # Route rows by island size without shuffling them: the set of oversized islands
-    # has at most rows / fold_max_rows keys (a proven bound), so it is broadcast.
-    big_keys = isl.filter(F.col("n") > exe.fold_max_rows).select("session_id", "island")
-    max_n = isl.filter(F.col("n") > exe.fold_max_rows).agg(F.max("n")).first()[0]
-    rows = v.select("session_id", "island", "seq", "ts_us", "is_cur")
-    if max_n:
-        small = rows.join(F.broadcast(big_keys), ["session_id", "island"], "left_anti")
-        big = rows.join(F.broadcast(big_keys), ["session_id", "island"], "left_semi")
-        rounds = max(1, int(max_n).bit_length())
-        folds = _fold_small(small, cfg).unionByName(_fold_large(big, cfg, exe, rounds))
-    else:
-        folds = _fold_small(rows, cfg)
-
-    d = isl.filter(F.col("last_cur").isNotNull()).join(folds, ["session_id", "island"])
-    nx = F.col("nxt")
-    expired = F.col("armed") & (nx.isNull() | (nx["ts"] - F.col("anchor") > F.lit(cfg.idle_us)))
-    reason = (
-        F.when(expired, F.lit("idle"))
-        .when(nx.isNull() | (nx["type"] == "session_end"), F.lit("end"))
-        .when(nx["type"] != "cursor_move", F.lit("trigger"))
-    )
-    kept_last = d.select(
-        "session_id", F.col("last_cur").alias("seq"), "island", reason.alias("reason"),
-        F.when(~expired & nx.isNotNull() & (nx["type"] != "cursor_move"), nx["seq"]).alias("flush_seq"),
-        (F.col("anchor") + F.lit(cfg.idle_us)).alias("deadline"), nx["seq"].alias("next_seq"),
-    )
+    key = ["session_id", "seg"]
+    rows = _segments(events, cfg, exe, single)
+    is_cur = F.col("type") == "cursor_move"
+    heads = rows.filter("anchor = 1")
+    after = heads.select("session_id", (F.col("seg") - 1).alias("seg"), F.col("seq").alias("n_seq"),
+                         F.col("ts_us").alias("n_ts"), F.col("type").alias("n_type"))
+    # a timer runs only in segments that a move leads
+    due = F.when(is_cur, F.col("ts_us") + F.lit(cfg.idle_us)).alias("due")
+    segs = join_on(heads.select(*key, "seq", due), after, key, "left")
+    late = (join_on(rows.select(*key, F.col("seq").alias("e_seq"), "ts_us"), segs.select(*key, "seq", "due"), key)
+            .filter((F.col("e_seq") > F.col("seq")) & (F.col("ts_us") > F.col("due")))
+            .groupBy(*key).agg(F.min("e_seq").alias("late_seq")))
+    segs = join_on(segs.drop("seq"), late, key, "left")
+    moves = join_on(rows.filter(is_cur).select(*key, "seq"), late, key, "left")
+    last = moves.groupBy(*key).agg(F.max(F.when(F.col("late_seq").isNull() | (F.col("seq") < F.col("late_seq")), F.col("seq"))).alias("first_part"),
+                                   F.max(F.when(F.col("seq") >= F.col("late_seq"), F.col("seq"))).alias("second_part"))
+    d = join_on(last, segs, key)
+    in_next = F.col("late_seq").isNull() & (F.col("n_ts") > F.col("due"))
+    timed = F.col("late_seq").isNotNull() | F.coalesce(in_next, F.lit(False))
+    # what ends a segment flushes the move that is pending then
+    flushed = (F.when(F.col("n_type").isNull() | (F.col("n_type") == "session_end"), F.lit("end"))
+               .when(F.col("n_type") != "cursor_move", F.lit("trigger")))
+    open_timer = F.col("due").isNotNull() & F.col("n_seq").isNull()
+    flush_at = F.when(F.col("n_type") != "cursor_move", F.col("n_seq"))
+    idle_at = F.coalesce("late_seq", "n_seq", F.lit(END_OF_LOG))
+    first = F.struct(F.col("first_part").alias("seq"),
+                     F.when(timed | open_timer, F.lit("idle")).otherwise(flushed).alias("reason"),
+                     F.when(timed | open_timer, idle_at).otherwise(flush_at).alias("flush_seq"))
+    second = F.struct(F.col("second_part").alias("seq"), flushed.alias("reason"), flush_at.alias("flush_seq"))
+    kept = d.select("session_id", F.explode(F.array(first, second)).alias("k")).select("session_id", "k.*")
+    kept = kept.filter("seq IS NOT NULL AND reason IS NOT NULL")
     if cfg.idle_commit == "drop":
-        kept_last = kept_last.withColumn("reason", F.when(F.col("reason") != "idle", F.col("reason")))
-    # an idle commit happens when the timer fires: before the first later event past the deadline
-    idle = kept_last.filter(F.col("reason") == "idle").select(
-        "session_id", "island", F.col("seq").alias("m_seq"), "deadline")
-    late = (allr.filter(~F.col("visible")).select("session_id", "island", "seq", "ts_us")
-            .join(idle, ["session_id", "island"])
-            .filter((F.col("seq") > F.col("m_seq")) & (F.col("ts_us") > F.col("deadline")))
-            .groupBy("session_id", "island").agg(F.min("seq").alias("late_seq")))
-    kept_last = kept_last.join(late, ["session_id", "island"], "left").withColumn(
-        "flush_seq",
-        F.when(F.col("reason") == "idle", F.coalesce(F.col("late_seq"), F.col("next_seq"), F.lit(END_OF_LOG)))
-        .otherwise(F.col("flush_seq")),
-    ).drop("late_seq", "next_seq", "deadline")
-    cur = v.filter(F.col("is_cur")).select("session_id", "seq", "island")
-    out = cur.join(kept_last, ["session_id", "seq", "island"], "left")
-    return out.select("session_id", "seq", "island", F.col("reason").isNotNull().alias("kept"), "reason",
-                      F.when(F.col("reason").isNotNull(), F.col("flush_seq")).alias("flush_seq"))
+        kept = kept.filter("reason <> 'idle'")
+    out = join_on(rows.filter(is_cur).select(*key, "seq"), kept, ["session_id", "seq"], "left")
+    return out.select("session_id", "seq", F.col("seg").alias("island"), F.col("reason").isNotNull().alias("kept"), "reason",
+                      "flush_seq")
 
 
 def cursor_filter(events: DataFrame, cfg: FilterConfig = FilterConfig(), exe: ExecConfig = ExecConfig()) -> DataFrame:
@@ -201,9 +173,9 @@ def cursor_filter(events: DataFrame, cfg: FilterConfig = FilterConfig(), exe: Ex
         "session_id", "seq", "flush_seq")
     cols = events.columns
     others = events.filter(F.col("type") != "cursor_move").withColumn("_pos", F.col("seq") * 2 + 1)
-    moves = (events.filter(F.col("type") == "cursor_move").join(dec, ["session_id", "seq"])
+    moves = (join_on(events.filter(F.col("type") == "cursor_move"), dec, ["session_id", "seq"])
              .withColumn("_pos", F.coalesce(F.col("flush_seq") * 2, F.col("seq") * 2 + 1)).drop("flush_seq"))
     allr = others.unionByName(moves)
-    # _pos is unique: a trigger flushes at most one move, placed at 2*flush_seq
+    # _pos is unique: an event flushes at most one move, placed at 2*flush_seq
     r = ordinal_within(allr, ["session_id"], "_pos", "_new", 2 * exe.chunk_rows, bounded=bounded)
     return r.withColumn("seq", F.col("_new") - 1).select(*cols)

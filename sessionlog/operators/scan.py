@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlog.config import AggregationConfig, ExecConfig
+from sessionlog.operators.sequence import join_on
 from sessionlog.spark import materialize as materialize_df
 
 UNB = Window.unboundedPreceding
@@ -200,7 +201,7 @@ def _fixup(d: DataFrame, carry: DataFrame | None, columns, is_edit) -> DataFrame
                       "fe_reason": "string", "fnc_start": "boolean", "starts_off": "bigint", "runs_off": "bigint"}
         j = d.select("*", *[F.lit(None).cast(t).alias(c) for c, t in carry_cols.items()])
     else:
-        j = d.join(carry, ["session_id", "_chunk"], "left")
+        j = join_on(d, carry, ["session_id", "_chunk"], "left")
     has = F.col("_has_carry").isNotNull()
     fe_start = F.when(has, F.col("fe_reason").isNotNull()).otherwise(F.lit(True))
     fnc_start = F.when(has, F.coalesce(F.col("fnc_start"), F.lit(False))).otherwise(F.lit(True))

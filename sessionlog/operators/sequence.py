@@ -8,13 +8,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlog.spark import materialize as materialize_df
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join that matches NULL keys with NULL keys; the keys appear once, from ``left``."""
+    right = right.withColumnsRenamed({k: f"_rk_{k}" for k in keys})
+    cond = None
+    for k in keys:
+        same = left[k].eqNullSafe(right[f"_rk_{k}"])
+        cond = same if cond is None else cond & same
+    return left.join(right, cond, how).drop(*[f"_rk_{k}" for k in keys])
+
+
 def assign_seq(df: DataFrame, key: str, order_cols: Sequence[str], out: str = "seq",
                materialize: bool = True, max_group_rows: int = 1 << 20) -> DataFrame:
     """0-based position of each row inside its ``key`` group in ``order_cols`` order.
@@ -26,9 +35,11 @@ def assign_seq(df: DataFrame, key: str, order_cols: Sequence[str], out: str = "s
     per-(group, partition) offset table (broadcast by AQE when small) stitches
     the counts together.
 
-    The partition-tagged rows are persisted so the offset table and the final
-    join read the same tags; with ``materialize`` the sequenced table is written
-    once under the shared checkpoint folder and read back (lineage cut).
+    The partition-tagged rows are written under the shared checkpoint folder, so
+    the offset table and the final join read the same tags whatever executors
+    are lost; with ``materialize`` so is the sequenced table (lineage cut).
+
+    Rows with a NULL key form one group like any other.
 
     When no group exceeds ``max_group_rows`` (checked with one partial-aggregated
     count) a plain ``row_number`` window is used: every window partition is then
@@ -49,20 +60,17 @@ def assign_seq(df: DataFrame, key: str, order_cols: Sequence[str], out: str = "s
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_mono", F.monotonically_increasing_id())
     )
-    # both consumers below must see the same tags: always keep one computed copy
-    tagged = tagged.persist(StorageLevel.MEMORY_AND_DISK)
+    # both consumers below must see the same tags: a recomputed partition might get others
+    tagged = materialize_df(tagged, "seq-tagged")
     spans = tagged.groupBy(key, "_part").agg(F.min("_mono").alias("_mono0"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     res = (
-        tagged.join(spans.select(key, "_part", "_mono0", "_off"), [key, "_part"])
+        join_on(tagged, spans.select(key, "_part", "_mono0", "_off"), [key, "_part"])
         .withColumn(out, (F.col("_mono") - F.col("_mono0") + F.col("_off")).cast("bigint"))
         .drop("_part", "_mono", "_mono0", "_off")
     )
-    if materialize:
-        res = materialize_df(res, "seq")
-        tagged.unpersist()
-    return res
+    return materialize_df(res, "seq") if materialize else res
 
 
 def ordinal_within(df: DataFrame, keys: Sequence[str], order_col: str, out: str, chunk_rows: int,
@@ -83,7 +91,7 @@ def ordinal_within(df: DataFrame, keys: Sequence[str], order_col: str, out: str,
     before = Window.partitionBy(*keys).orderBy("_och").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("_coff", F.coalesce(F.sum("_cn").over(before), F.lit(0))).drop("_cn")
     return (
-        d.join(offs, [*keys, "_och"])
+        join_on(d, offs, [*keys, "_och"])
         .withColumn(out, (F.col("_ord_l") + F.col("_coff")).cast("bigint"))
         .drop("_och", "_ord_l", "_coff")
     )

@@ -102,32 +102,46 @@ def test_timeline_match_loop(spark, logs, exe):
     assert got == exp
 
 
-@pytest.mark.parametrize("fold_max", [0, 100_000], ids=["distributed_fold", "task_fold"])
-@pytest.mark.parametrize("mode", ["record", "drop"])
-def test_cursor_filter_matches_loop(spark, fold_max, mode):
-    cfg = FilterConfig(idle_commit=mode)
-    rnd = random.Random(11)
+def cursor_logs(seed, n_sessions=30, max_len=80, back=0.0):
+    rnd = random.Random(seed)
     logs = {}
-    for s in range(30):
+    for s in range(n_sessions):
         t, evs = 0, []
-        for _ in range(rnd.randint(0, 80)):
+        for _ in range(rnd.randint(0, max_len)):
             t += rnd.choice([30_000, 90_000, 150_000, 199_999, 200_000, 260_000, 500_000, 700_000])
+            if rnd.random() < back:
+                t -= rnd.choice([50_000, 100_000, 400_000, 900_000])
             typ = rnd.choice(["cursor_move"] * 6 + ["file_edit", "terminal_command", "annotation", "file_open"])
             evs.append({"type": typ, "ts": t, "filename": "a.lua"})
         if rnd.random() < 0.5:
             t += rnd.choice([100_000, 5_000_000])
             evs.append({"type": "session_end", "ts": t})
         logs[f"c{s}"] = evs
+    return logs
+
+
+def decisions(spark, logs, cfg, exe):
     df = rows_to_df(spark, logs)
+    return {(r.session_id, r.seq): (r.reason, r.flush_seq)
+            for r in cursor_decisions(df, cfg, exe).filter(F.col("kept")).collect()}
+
+
+def expected_decisions(logs, cfg):
+    return {(sid, i): v for sid, evs in logs.items() for i, v in model.cursor_filter(evs, cfg).items()}
+
+
+@pytest.mark.parametrize("fold_max", [0, 100_000], ids=["distributed_walk", "task_walk"])
+@pytest.mark.parametrize("mode,idle,back", [("record", 500_000, 0.0), ("drop", 500_000, 0.1), ("record", 250_000, 0.1),
+                                            ("record", 100_000, 0.0), ("record", 500_000, 0.15), ("drop", 0, 0.1)])
+def test_cursor_filter_matches_model(spark, fold_max, mode, idle, back):
+    """Any debounce and idle, moves that go back in time, both ways to the anchors."""
+    cfg = FilterConfig(idle_commit=mode, idle_us=idle)
+    logs = cursor_logs(11, back=back)
     exe = ExecConfig(chunk_rows=4, fold_max_rows=fold_max)
-    got = {(r.session_id, r.seq): (r.reason, r.flush_seq)
-           for r in cursor_decisions(df, cfg, exe).filter(F.col("kept")).collect()}
-    exp = {}
-    for sid, evs in logs.items():
-        for i, v in model.cursor_filter(evs, cfg).items():
-            exp[(sid, i)] = v
-    assert got == exp
+    exp = expected_decisions(logs, cfg)
+    assert decisions(spark, logs, cfg, exe) == exp
     # the denoised log keeps every non-cursor event and the kept moves, densely re-sequenced
+    df = rows_to_df(spark, logs)
     out = cursor_filter(df, cfg, exe)
     n_non_cursor = df.filter(F.col("type") != "cursor_move").count()
     assert out.count() == n_non_cursor + len(exp)
@@ -135,6 +149,35 @@ def test_cursor_filter_matches_loop(spark, fold_max, mode):
     assert all(r.m == r.n - 1 for r in per)
 
 
+def test_cursor_filter_back_step_inside_a_burst(spark):
+    moves = [0, 150_000, 250_000, 190_000, 195_000]
+    logs = {"s": [{"type": "cursor_move", "ts": t} for t in moves] + [{"type": "file_edit", "ts": 600_000}]}
+    for fold_max in (0, 100):
+        got = decisions(spark, logs, FilterConfig(), ExecConfig(fold_max_rows=fold_max))
+        assert got == expected_decisions(logs, FilterConfig()) == {("s", 4): ("trigger", 5)}
+
+
+def test_rows_without_a_session_are_a_session(spark):
+    """NULL keys: the same rows and numbers whatever the group and chunk sizes."""
+    from sessionlog.operators.search import cap_cursor_events
+    from sessionlog.operators.sequence import assign_seq
+
+    logs = {**cursor_logs(5, n_sessions=2, max_len=60), None: cursor_logs(6, n_sessions=1, max_len=60)["c0"]}
+    df = rows_to_df(spark, logs)
+    plain = df.drop("seq").withColumn("nth", F.col("ts_us"))
+    one, many = (assign_seq(plain, "session_id", ["ts_us", "type"], max_group_rows=n) for n in (1 << 20, 5))
+    pick = ["session_id", "seq", "ts_us", "type"]
+    rows = lambda d: sorted(map(tuple, d.select(*pick).collect()), key=str)
+    assert one.count() == many.count() == df.count()
+    assert [r[:3] for r in rows(one)] == [r[:3] for r in rows(many)]
+    small, big = ExecConfig(chunk_rows=3, fold_max_rows=0), ExecConfig()
+    assert rows(cap_cursor_events(df, 4, small)) == rows(cap_cursor_events(df, 4, big))
+    assert decisions(spark, logs, FilterConfig(), small) == expected_decisions(logs, FilterConfig())
+    cols = ["session_id", "block_no", "start_us", "end_us", "event_count", "closed_by"]
+    got = [sorted(map(tuple, activity_blocks(df, AGG, e).select(*cols).collect()), key=str) for e in (small, big)]
+    assert got[0] == got[1]
+
+
 @pytest.mark.parametrize("seed,chunk", [(21, 5), (33, 7), (45, 2)])
 def test_scan_operators_more_seeds(spark, seed, chunk):
     """Longer random logs (many chunk boundaries per session) for blocks, gaps, focus, timeline."""
