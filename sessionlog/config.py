@@ -84,6 +84,8 @@ ADAPTER_AGG = AggregationConfig(
     flow_velocity=0.0045,
 )
 ADAPTER_FILTER = FilterConfig(debounce_us=3600 * US, idle_us=4 * 3600 * US)
+# An idle time shorter than two debounces: the timer runs out among moves that debounce each other.
+TIGHT_FILTER = FilterConfig(debounce_us=24 * 3600 * US, idle_us=6 * 3600 * US)
 
 
 @dataclass(frozen=True)

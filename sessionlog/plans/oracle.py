@@ -8,7 +8,7 @@ oracle.  Parameters are the adapter-scaled ones from ``ADAPTER_AGG``.
 
 from __future__ import annotations
 
-from sessionlog.config import ADAPTER_AGG, ADAPTER_FILTER
+from sessionlog.config import ADAPTER_AGG, ADAPTER_FILTER, TIGHT_FILTER
 from sessionlog.sources.adapter import ORACLE_EVENTS_CTE
 
 A = ADAPTER_AGG
@@ -206,48 +206,47 @@ DEB, CIDLE = FC.debounce_us, FC.idle_us
 TRIGS = ", ".join(f"'{t}'" for t in FC.triggers)
 END_OF_LOG = 1 << 60
 
-CURSOR = f"""
-vis AS (
-  SELECT session_id, seq, ts_us, type, type = 'cursor_move' AS is_cur,
-         lag(ts_us) OVER (PARTITION BY session_id ORDER BY seq) AS p_ts
-  FROM ev WHERE type = 'cursor_move' OR type IN ({TRIGS})
-),
-isl AS (
-  SELECT *, sum(CASE WHEN p_ts IS NULL OR NOT is_cur OR ts_us - p_ts >= {DEB} THEN 1 ELSE 0 END)
-              OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS island
-  FROM vis
-),
-fold AS (
-  SELECT session_id, island, min(seq) AS first_seq, max(CASE WHEN is_cur THEN seq END) AS last_cur,
-         list_reduce(list({{'a': ts_us, 'armed': is_cur, 't': ts_us}} ORDER BY seq),
-                     lambda acc, x: {{'a': CASE WHEN x.t - acc.a >= {DEB} THEN x.t ELSE acc.a END,
-                                      'armed': acc.armed OR x.t - acc.a >= {DEB}, 't': x.t}}) AS f
-  FROM isl GROUP BY session_id, island
-),
-nx AS (
-  SELECT f.*, lead(first_seq) OVER (PARTITION BY session_id ORDER BY island) AS n_seq FROM fold f
-),
-dec0 AS (
-  SELECT nx.session_id, nx.last_cur AS seq, nx.n_seq, v.type AS n_type, nx.f.a + {CIDLE} AS deadline,
-         CASE WHEN nx.f.armed AND (nx.n_seq IS NULL OR v.ts_us - nx.f.a > {CIDLE}) THEN 'idle'
-              WHEN nx.n_seq IS NULL OR v.type = 'session_end' THEN 'end'
-              WHEN v.type <> 'cursor_move' THEN 'trigger' END AS reason
-  FROM nx LEFT JOIN vis v ON v.session_id = nx.session_id AND v.seq = nx.n_seq
-  WHERE nx.last_cur IS NOT NULL
-),
-late AS (
-  SELECT d.session_id, d.seq, min(e.seq) AS late_seq
-  FROM dec0 d JOIN ev e ON e.session_id = d.session_id AND e.seq > d.seq
-       AND (d.n_seq IS NULL OR e.seq < d.n_seq) AND e.ts_us > d.deadline
-  WHERE d.reason = 'idle'
-  GROUP BY d.session_id, d.seq
+def _cursor(debounce: int, idle: int, idle_commit: str = "record") -> str:
+    """The recorder's filter as a walk over each session's events, one event a step.
+
+    State after event ``seq``: the anchor, the pending move and the timer;
+    ``timed`` and ``flushed`` are the moves that this event let go.
+    """
+    dropped = "AND false" if idle_commit == "drop" else ""
+    return f"""
+lens AS (SELECT session_id, max(seq) AS top FROM ev GROUP BY session_id),
+walk AS (
+  SELECT session_id, CAST(-1 AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS anchor, CAST(NULL AS BIGINT) AS pending,
+         CAST(NULL AS BIGINT) AS due, CAST(NULL AS BIGINT) AS timed, CAST(NULL AS BIGINT) AS flushed, '' AS type
+  FROM lens
+  UNION ALL
+  SELECT session_id, seq,
+         CASE WHEN trig OR (move AND NOT near) THEN ts_us ELSE anchor END,
+         CASE WHEN trig THEN NULL WHEN move THEN seq ELSE left_pending END,
+         CASE WHEN trig THEN NULL WHEN move AND NOT near THEN ts_us + {idle} ELSE left_due END,
+         CASE WHEN ran_out THEN pending END,
+         CASE WHEN trig THEN left_pending END,
+         type
+  FROM (
+    SELECT e.session_id, e.seq, e.ts_us, e.type, w.anchor, w.pending,
+           e.type IN ({TRIGS}) AS trig, e.type = 'cursor_move' AS move,
+           coalesce(e.ts_us > w.due, false) AS ran_out,
+           coalesce(e.ts_us - w.anchor < {debounce}, false) AS near,
+           CASE WHEN coalesce(e.ts_us > w.due, false) THEN NULL ELSE w.pending END AS left_pending,
+           CASE WHEN coalesce(e.ts_us > w.due, false) THEN NULL ELSE w.due END AS left_due
+    FROM walk w JOIN ev e ON e.session_id = w.session_id AND e.seq = w.seq + 1
+  ) step
 ),
 kept AS (
-  SELECT d.session_id, d.seq, d.reason,
-         CASE WHEN d.reason = 'idle' THEN coalesce(l.late_seq, d.n_seq, {END_OF_LOG})
-              WHEN d.reason IN ('trigger', 'end') THEN d.n_seq END AS flush_seq
-  FROM dec0 d LEFT JOIN late l USING (session_id, seq)
-  WHERE d.reason IS NOT NULL
+  SELECT session_id, timed AS seq, 'idle' AS reason, seq AS flush_seq FROM walk WHERE timed IS NOT NULL {dropped}
+  UNION ALL
+  SELECT session_id, flushed, CASE WHEN type = 'session_end' THEN 'end' ELSE 'trigger' END, seq FROM walk WHERE flushed IS NOT NULL
+  UNION ALL
+  SELECT w.session_id, w.pending, 'idle', {END_OF_LOG} FROM walk w JOIN lens ON w.session_id = lens.session_id AND w.seq = lens.top
+  WHERE w.pending IS NOT NULL AND w.due IS NOT NULL {dropped}
+  UNION ALL
+  SELECT w.session_id, w.pending, 'end', NULL FROM walk w JOIN lens ON w.session_id = lens.session_id AND w.seq = lens.top
+  WHERE w.pending IS NOT NULL AND w.due IS NULL
 ),
 denoised AS (
   SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY pos) - 1 AS BIGINT) AS seq,
@@ -262,6 +261,9 @@ denoised AS (
 )"""
 
 
+CURSOR = _cursor(DEB, CIDLE)
+
+
 # stand-in lifecycle: start 1 us before the first event, end 1 us after the last;
 # output format from the code of the id's last character, modulo 3 (see plans/standins.py)
 LIFE = """
@@ -563,7 +565,7 @@ FROM parts"""
 
 
 def _with(*parts: str) -> str:
-    return "WITH " + ",\n".join(p.strip() for p in (ORACLE_EVENTS_CTE, *parts))
+    return "WITH RECURSIVE " + ",\n".join(p.strip() for p in (ORACLE_EVENTS_CTE, *parts))
 
 
 ORACLE: dict[str, str] = {
@@ -609,6 +611,10 @@ SELECT s.session_id, CAST(NULL AS VARCHAR) AS project_path,
 FROM state2 s LEFT JOIN cnt c USING (session_id)""",
     "session_analytics": _with(BASE, BLOCKS, GAPS, FOCUS, CORRECTIONS) + ANALYTICS_TAIL,
     "cursor_filter": _with(CURSOR) + "\nSELECT session_id, seq, reason, CAST(flush_seq AS DOUBLE) AS flush_seq FROM kept",
+    "cursor_filter_tight": _with(_cursor(TIGHT_FILTER.debounce_us, TIGHT_FILTER.idle_us))
+    + "\nSELECT session_id, seq, reason, CAST(flush_seq AS DOUBLE) AS flush_seq FROM kept",
+    "cursor_filter_drop": _with(_cursor(DEB, CIDLE, "drop"))
+    + "\nSELECT session_id, seq, reason, CAST(flush_seq AS DOUBLE) AS flush_seq FROM kept",
     "denoised_log": _with(CURSOR) + "\nSELECT session_id, seq, type, ts_us, changed_tick FROM denoised",
     "top_files": _with(BASE, FOCUS) + """,
 ranked AS (

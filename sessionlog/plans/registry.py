@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlog.config import ADAPTER_AGG, ADAPTER_FILTER, ExecConfig
+from sessionlog.config import ADAPTER_AGG, ADAPTER_FILTER, TIGHT_FILTER, ExecConfig
 from sessionlog.functions.scalar import has_error_keyword
 from sessionlog.operators.analytics import session_analytics
 from sessionlog.operators.blocks import BLOCK_COLUMNS, activity_blocks, flow_blocks, velocity_metrics
@@ -115,6 +115,22 @@ def q_cursor_filter(spark, sf_dir):
     return _as_double(d.filter(F.col("kept")).select("session_id", "seq", "reason", "flush_seq"), ["flush_seq"])
 
 
+def q_cursor_filter_tight(spark, sf_dir):
+    """The cursor filter with an idle time below twice the debounce."""
+    from sessionlog.operators.denoise import cursor_decisions
+    d = cursor_decisions(_ev(spark, sf_dir), TIGHT_FILTER, EXE)
+    return _as_double(d.filter(F.col("kept")).select("session_id", "seq", "reason", "flush_seq"), ["flush_seq"])
+
+
+def q_cursor_filter_drop(spark, sf_dir):
+    """The cursor filter as the recorder's code runs it: idle moves are not recorded."""
+    from dataclasses import replace
+
+    from sessionlog.operators.denoise import cursor_decisions
+    d = cursor_decisions(_ev(spark, sf_dir), replace(ADAPTER_FILTER, idle_commit="drop"), EXE)
+    return _as_double(d.filter(F.col("kept")).select("session_id", "seq", "reason", "flush_seq"), ["flush_seq"])
+
+
 def q_denoised_log(spark, sf_dir):
     """The re-sequenced log after the cursor filter."""
     from sessionlog.operators.denoise import cursor_filter
@@ -453,6 +469,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "session_stats": q_session_stats,
     "session_analytics": q_session_analytics,
     "cursor_filter": q_cursor_filter,
+    "cursor_filter_tight": q_cursor_filter_tight,
+    "cursor_filter_drop": q_cursor_filter_drop,
     "denoised_log": q_denoised_log,
     "top_files": q_top_files,
     "report_blocks": q_report_blocks,

@@ -27,8 +27,10 @@ _INT_TEXT = r"^[+-]?[0-9]+$"
 
 def tolerant_int(s):
     """Text -> BIGINT like a strict integer parse whose error is ignored: anything
-    that is not an optionally signed run of digits (blanks included) gives 0."""
-    return F.when(s.rlike(_INT_TEXT), F.coalesce(s.try_cast("bigint"), F.lit(0))).otherwise(F.lit(0)).cast("bigint")
+    that is not an optionally signed run of digits (blanks included) gives 0, a
+    number out of range the largest or smallest BIGINT."""
+    limit = F.when(s.startswith("-"), F.lit(-(2**63))).otherwise(F.lit(2**63 - 1))
+    return F.when(s.rlike(_INT_TEXT), F.coalesce(s.try_cast("bigint"), limit)).otherwise(F.lit(0)).cast("bigint")
 
 
 def parse_commands(lines: DataFrame, value_col: str = "value") -> DataFrame:
