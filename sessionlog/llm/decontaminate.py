@@ -1,7 +1,7 @@
 """Operator 6: documents that hold a benchmark item, by edit distance over words.
 
 A document holds an item if some passage of it is within ``floor((1 -
-similarity) * n)`` word edits of the item's n words (A-Z in lower case).
+similarity) * n)`` word edits of the item's n words (in lower case).
 
 * Embedding (CGK random walk): at step j the walk writes the word it stands on,
   then moves on to the next word or stays, as a random bit of (j, word) says.
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,7 +81,7 @@ def _bits(hashes: np.ndarray, walk: int, word: int) -> np.ndarray:
 def window_hashes(hashes: np.ndarray, walk: int, plans: list[Plan]) -> Iterator[tuple[Plan, int, np.ndarray]]:
     """For each plan and sample set of a walk: a hash of the embedding of the window from each position."""
     n = len(hashes)
-    if not n:
+    if not n or not plans:
         return
     padded = np.append(hashes, np.uint64(0))  # past the end, the walk stays
     wanted = defaultdict(list)
@@ -115,7 +116,7 @@ class Items:
 
     def __init__(self, ids: list, texts: list[str], similarity: float, walks: int, sets: int, samples: int, least_words: int):
         self.ids, self.walks = ids, walks
-        words = Words(pa.array(texts, pa.string()))
+        words = Words(pc.utf8_lower(pa.array(texts, pa.string())))
         hashes = words.hashes()
         self.words = [hashes[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
         # Rounded before the floor: 0.2 * 15 is three edits.
@@ -216,7 +217,7 @@ def contaminated(
             for batch in batches:
                 for at in range(0, len(batch), 512):
                     part = batch.slice(at, 512)
-                    words = Words(part["text"])
+                    words = Words(pc.utf8_lower(part["text"]))
                     found = block.held(words.hashes(), words.first)
                     if found:
                         ids = pa.array([block.ids[i] for _, i, _ in found])

@@ -225,7 +225,11 @@ def fit(docs: DataFrame, teaches: Column, sample_docs: int = 200, most_docs: int
 
 
 def predict(docs: DataFrame, crf: Crf, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with lang_pred and score; only the text is looked at."""
+    """The rows of ``docs`` with lang_pred and score; only the text is looked at.
+
+    Columns of these names that the input has already are replaced.
+    """
+    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(crf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

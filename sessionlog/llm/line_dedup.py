@@ -16,7 +16,8 @@ drop go back to their documents.  Both ways give the same rows.
 Nulls: a null or empty text is one empty line and comes back as an empty text.
 A null doc_id counts as smaller than all others; rows of the same doc_id are
 one document, none of which loses a line to another.  An empty table gives no
-rows.  Other columns of the input come back unchanged from ``drop_repeated_lines``.
+rows.  Other columns of the input come back unchanged from ``drop_repeated_lines``,
+but for columns named as those that it adds, which are replaced.
 """
 
 from __future__ import annotations
@@ -137,25 +138,25 @@ def build_index(docs: DataFrame, min_chars: int, shard_keys: int = 1 << 20, leas
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, direct_bytes: int = 1 << 30, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with ``text`` of the lines that stay, ``n_lines`` (before) and ``n_dropped``."""
+    docs = docs.drop("n_lines", "n_dropped", "__doc", "__gone")
     folder, manifest, shards = build_index(docs, min_chars, doc_id=doc_id, text=text)
     total = manifest.agg(F.sum("bytes")).first()[0] or 0
-    if total <= direct_bytes:
+    routed = total > direct_bytes
+    source = docs.withColumns({"__doc": F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NULL_ID))})
+    if not routed:
         names = [""] * shards  # of files of at least a few hundred KB each where there are more than the least number
         for r in manifest.select("shard", "name").toLocalIterator():
             names[r.shard] = r.name
-        answers = None
     else:
-        names, answers = [], _routed(docs, folder, manifest, shards, min_chars, doc_id, text)
-    source = docs.withColumns({"__doc": F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NULL_ID))})
-    if answers is not None:
-        source = source.join(answers, "__doc", "left")
+        names = []
+        source = source.join(_routed(docs, folder, manifest, shards, min_chars, doc_id, text), "__doc", "left")
     columns = docs.schema.names
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines_index = LineIndex(folder, names)
         for batch in batches:
             split = [split_lines(x.as_py(), min_chars) for x in batch[text]]
-            if answers is None:
+            if not routed:
                 flat = [h for rows in split for _, h in rows if h]
                 owner = np.repeat(np.asarray(batch["__doc"]), [sum(h is not None for _, h in rows) for rows in split])
                 low, high = _halves(flat)
@@ -198,5 +199,7 @@ def _routed(docs: DataFrame, folder: str, manifest: DataFrame, shards: int, min_
 
     rows = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(f"`{text}`").alias("text"))
     asked = rows.mapInArrow(ask, "shard long, doc long, hash binary").join(manifest.select("shard", "name"), "shard")
+    # A line that very many documents hold is asked for in many tasks, each of which maps its shard.
+    asked = asked.repartition("shard", F.pmod(F.xxhash64("doc"), F.lit(64))).sortWithinPartitions("shard")
     gone = asked.mapInArrow(answer, "doc long, hash binary")
     return gone.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("hash").alias("__gone"))

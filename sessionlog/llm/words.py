@@ -57,8 +57,11 @@ class Words:
 
     def __init__(self, texts: pa.Array, gaps: np.ndarray = _SPACE):
         texts = texts.fill_null("").cast(pa.large_string())
-        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        raw = texts.buffers()[2]
+        if len(texts):
+            bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            raw = texts.buffers()[2]
+        else:
+            bounds, raw = np.zeros(1, np.int64), None
         data = np.frombuffer(raw, np.uint8)[bounds[0] : bounds[-1]] if raw is not None and bounds[-1] > bounds[0] else np.empty(0, np.uint8)
         bounds = bounds - bounds[0]
         self.data, self.bounds = _LOWER[data], bounds
