@@ -13,12 +13,14 @@ from sessionlog.operators.scan import SCAN_INPUT, scan
 
 
 def session_analytics(events: DataFrame, agg: AggregationConfig = AggregationConfig(),
-                      exe: ExecConfig = ExecConfig(), scanned: DataFrame | None = None) -> DataFrame:
+                      exe: ExecConfig = ExecConfig(), scanned: DataFrame | None = None, blocks: DataFrame | None = None,
+                      focus: DataFrame | None = None, corrections: DataFrame | None = None) -> DataFrame:
     """avg/peak velocity, focus ratio, flow/idle/correction counts and idle total.
 
     All parts read one scanned copy of the log (one exchange on
     ``(session_id, chunk)``); each part is a per-session aggregate and they are
-    joined on ``session_id`` from the session spine.
+    joined on ``session_id`` from the session spine.  A caller that has blocks,
+    focus or corrections already passes them in.
     """
     # read by three branches: materialize only the columns they use (no text payload)
     s = scanned if scanned is not None else scan(events.select(*SCAN_INPUT), agg, exe, materialize=True)
@@ -30,15 +32,15 @@ def session_analytics(events: DataFrame, agg: AggregationConfig = AggregationCon
         F.sum(F.when(gap, F.col("gap_us"))).alias("idle_total_us"),
     )
     # one aggregate over blocks: velocity metrics + flow count
-    blocks = activity_blocks(events, agg, exe, scanned=s)
+    blocks = blocks if blocks is not None else activity_blocks(events, agg, exe, scanned=s)
     pos = F.when(F.col("velocity") > 0, F.col("velocity"))
     vel = blocks.groupBy("session_id").agg(
         F.avg(pos).alias("avg_velocity"), F.max(pos).alias("peak_velocity"),
         F.count(F.lit(1)).alias("n_blocks"),
         F.count_if((F.col("velocity") > 0) & (F.col("velocity") >= F.lit(agg.flow_velocity))).alias("flow_blocks"),
     )
-    foc = focus_summary(file_focus(events, agg, exe, scanned=s))
-    corr = error_corrections(events, agg, exe).groupBy("session_id").agg(
+    foc = focus_summary(focus if focus is not None else file_focus(events, agg, exe, scanned=s))
+    corr = (corrections if corrections is not None else error_corrections(events, agg, exe)).groupBy("session_id").agg(
         F.count(F.lit(1)).alias("error_corrections"))
     j = spine.join(vel, "session_id", "left").join(foc, "session_id", "left").join(corr, "session_id", "left")
     z = F.lit(0).cast("bigint")

@@ -3,7 +3,8 @@
 Rules of the recorder's filter, per session in ``seq`` order, seen only by
 cursor moves and trigger events (file edits, terminal commands, session end):
 
-* trigger: flush the pending move, re-anchor at the trigger, cancel the timer;
+* trigger: flush the pending move, re-anchor at the trigger, cancel the timer
+  (a session end leaves no anchor: a resumed session starts afresh);
 * move less than ``debounce`` after the anchor: becomes pending, nothing else;
 * other move: becomes pending, re-anchors, (re)arms a timer at anchor + ``idle``;
 * timer: commits the pending move; it runs out before the first event of any
@@ -11,8 +12,8 @@ cursor moves and trigger events (file edits, terminal commands, session end):
 
 Any ``debounce`` and ``idle`` are allowed, and times may go back.
 
-1. *Islands.*  A trigger, and a move at least ``debounce`` after the latest time
-   seen so far, is an anchor whatever came before it, so it starts an island:
+1. *Islands.*  A trigger, a move right after a session end, and a move at least
+   ``debounce`` after the latest time seen so far, is an anchor whatever came before it, so it starts an island:
    the anchors inside an island depend on no other island.
 2. *Anchors.*  The next anchor after one at ``a`` is the first row at or after
    ``a + debounce``.  Islands of at most ``ExecConfig.fold_max_rows`` rows are
@@ -43,10 +44,11 @@ END_OF_LOG = 1 << 60
 def _islands(events: DataFrame, cfg: FilterConfig, exe: ExecConfig, single: bool) -> DataFrame:
     """Visible rows (moves and triggers) with their ``island``."""
     visible = (F.col("type") == "cursor_move") | F.col("type").isin(*cfg.triggers)
-    vis = events.filter(visible).select("session_id", "seq", "ts_us", (F.col("type") == "cursor_move").alias("is_cur"))
+    vis = events.filter(visible).select("session_id", "seq", "ts_us", (F.col("type") == "cursor_move").alias("is_cur"),
+                                        (F.col("type") == "session_end").alias("is_end"))
     v = running_across(vis, "session_id", "seq", "ts_us", "top", F.max, F.greatest, exe.chunk_rows, single)
-    v = lag_across(v, "session_id", "seq", ["top"], exe.chunk_rows, single_chunk=single)
-    start = (F.col("prev_top").isNull() | ~F.col("is_cur")
+    v = lag_across(v, "session_id", "seq", ["top", "is_end"], exe.chunk_rows, single_chunk=single)
+    start = (F.col("prev_top").isNull() | ~F.col("is_cur") | F.col("prev_is_end")
              | (F.col("ts_us") - F.col("prev_top") >= F.lit(cfg.debounce_us)))
     v = v.withColumn("_s", start.cast("int"))
     v = cumsum_across(v, "session_id", "seq", "_s", "island", exe.chunk_rows, single_chunk=single)

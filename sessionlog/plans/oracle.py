@@ -221,7 +221,7 @@ walk AS (
   FROM lens
   UNION ALL
   SELECT session_id, seq,
-         CASE WHEN trig OR (move AND NOT near) THEN ts_us ELSE anchor END,
+         CASE WHEN type = 'session_end' THEN NULL WHEN trig OR (move AND NOT near) THEN ts_us ELSE anchor END,
          CASE WHEN trig THEN NULL WHEN move THEN seq ELSE left_pending END,
          CASE WHEN trig THEN NULL WHEN move AND NOT near THEN ts_us + {idle} ELSE left_due END,
          CASE WHEN ran_out THEN pending END,
@@ -661,8 +661,8 @@ WHERE type <> 'lsp_diagnostic'
            WHEN type = 'annotation' THEN coalesce(note, '') <> '' ELSE true END""",
     "note_search": _with() + """
 SELECT session_id, seq, note FROM ev WHERE type = 'annotation' AND regexp_matches(note, '(?i)(fix|debug)')""",
-    "conversation_error_notes": f"""
-SELECT conv_id, turn FROM conversations WHERE {KEYWORDS.replace("note", "text")}""",
+    "conversation_notes": """
+SELECT conv_id, turn FROM conversations WHERE regexp_matches(text, ' (the|und|que|les) ')""",
     "block_events": _with(BASE, BLOCKS) + """
 SELECT session_id, seq, CAST(block_no AS BIGINT) AS block_no, changed_tick FROM bn""",
     "session_search": _with() + """
@@ -757,7 +757,7 @@ SELECT session_id, seq, type, ts_us, nullif(filename, '') AS filename, CAST(null
        CAST(nullif(changed_tick, 0) AS DOUBLE) AS changed_tick, nullif(note, '') AS note
 FROM ev""",
     "json_export": _with() + """
-SELECT session_id, type, strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S.%fZ') AS "timestamp",
+SELECT session_id, seq, type, strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S.%fZ') AS "timestamp",
        nullif(filename, '') AS filename, CAST(nullif(line, 0) AS DOUBLE) AS line,
        CAST(nullif(changed_tick, 0) AS DOUBLE) AS changed_tick, nullif(note, '') AS note
 FROM ev""",

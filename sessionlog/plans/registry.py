@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionlog.config import ADAPTER_AGG, ADAPTER_FILTER, TIGHT_FILTER, ExecConfig
-from sessionlog.functions.scalar import has_error_keyword
 from sessionlog.operators.analytics import session_analytics
 from sessionlog.operators.blocks import BLOCK_COLUMNS, activity_blocks, flow_blocks, velocity_metrics
 from sessionlog.operators.corrections import error_corrections
@@ -22,8 +21,10 @@ from sessionlog.operators.gaps import idle_gaps, idle_totals
 from sessionlog.operators.stats import event_counts, session_state, session_stats
 from sessionlog.operators.timeline import TIMELINE_COLUMNS, timeline
 from sessionlog.sources.adapter import load_driver_events
+from sessionlog.spark import materialize
 
 EXE = ExecConfig()
+CONVERSATION_PATTERN = " (the|und|que|les) "
 
 
 NULLABLE_INTS = ["line", "column", "line_count", "changed_tick", "prev_line", "prev_column"]
@@ -201,10 +202,12 @@ def q_note_search(spark, sf_dir):
     return search_notes(_ev(spark, sf_dir), "(?i)(fix|debug)").select("session_id", "seq", "note")
 
 
-def q_conversation_error_notes(spark, sf_dir):
-    """Error-keyword search over the conversations table (second text input)."""
+def q_conversation_notes(spark, sf_dir):
+    """Note search over the conversations table (second text input): turns that name a step."""
+    from sessionlog.operators.search import search_notes
     conv = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return conv.filter(has_error_keyword(F.col("text"), ADAPTER_AGG.error_keywords)).select("conv_id", "turn")
+    notes = conv.select("conv_id", "turn", F.lit("annotation").alias("type"), F.col("text").alias("note"))
+    return search_notes(notes, CONVERSATION_PATTERN).select("conv_id", "turn")
 
 
 def q_cursor_cap(spark, sf_dir):
@@ -248,21 +251,30 @@ def q_export_routes(spark, sf_dir):
 
 
 def q_store_upsert(spark, sf_dir):
-    """Relational store built from the events table, then upserted with the
-    sessions the command log routes to the store: their rows are replaced whole."""
+    """Relational store on disk: written from the events table, then upserted twice with
+    the sessions the command log routes to the store (their rows are replaced whole,
+    and a repeated upsert changes nothing), and scanned back."""
+    import uuid
+
     from sessionlog.operators.stats import session_state
     from sessionlog.plans.standins import command_lines, lifecycle_lines
-    from sessionlog.sinks.store import store_events, store_sessions, upsert
+    from sessionlog.sinks.store import store_events, store_sessions, upsert_store, write_store
     from sessionlog.sinks.writers import route_by_format
     from sessionlog.sources.command_log import read_command_log
+    from sessionlog.spark import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/upsert-{uuid.uuid4().hex}"
     src = _ev(spark, sf_dir)
     base_s = store_sessions(session_state(src).select(
         "session_id", F.lit("/old").alias("project_path"), F.lit("/logs").alias("save_path"),
         F.lit("markdown").alias("output_format"), "start_us", "end_us", "active"))
+    write_store(base_s, store_events(src), path)
     new_ev, meta, _ = read_command_log(command_lines(src).unionByName(lifecycle_lines(src)))
     ids = route_by_format(meta)["store"]
     new_s = store_sessions(session_state(new_ev).join(meta, "session_id").join(ids, "session_id", "left_semi"))
-    s, e = upsert(base_s, store_events(src), new_s, store_events(new_ev.join(ids, "session_id", "left_semi")))
+    new_e = store_events(new_ev.join(ids, "session_id", "left_semi"))
+    for _ in range(2):
+        upsert_store(new_s, new_e, path)
+    e = spark.read.parquet(f"{path}/events")
     from sessionlog.functions.scalar import epoch_us
     e = e.withColumn("timestamp", epoch_us(F.col("timestamp"), e.schema["timestamp"].dataType))
     return _as_double(e.select("session_id", "seq", "type", "timestamp", "filename", "changed_tick", "note"),
@@ -270,19 +282,18 @@ def q_store_upsert(spark, sf_dir):
 
 
 def _stream_to_table(spark, sf_dir, build, name):
-    """Write the stand-in command log as text files, run ``build(raw_stream)`` to a
-    parquet sink (checkpoint under the shared folder) until the input is drained,
-    and read the sink back as a batch table."""
+    """Write the stand-in command log as text files in rounds, run ``build(raw_stream)``
+    over them in several micro-batches (state goes from batch to batch, sessions lie out
+    of time order) to a parquet sink until the input is drained, and read the sink back."""
     import uuid
 
-    from sessionlog.plans.standins import command_lines, lifecycle_lines
+    from sessionlog.plans.standins import write_command_log
     from sessionlog.spark import ensure_checkpoint_dir
     from sessionlog.streaming.pipelines import command_stream
 
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    src = _ev(spark, sf_dir)
-    command_lines(src).unionByName(lifecycle_lines(src)).write.text(f"{base}/log")
-    raw, _ = command_stream(spark, f"{base}/log", max_files_per_trigger=1 << 20)
+    write_command_log(_ev(spark, sf_dir), f"{base}/log")
+    raw, _ = command_stream(spark, f"{base}/log", max_files_per_trigger=3)
     q = (build(raw).writeStream.format("parquet").option("path", f"{base}/out")
          .option("checkpointLocation", f"{base}/checkpoint").outputMode("append")
          .trigger(availableNow=True).start())
@@ -362,36 +373,39 @@ def q_json_export(spark, sf_dir):
     export_json(src, meta, path)
     data = StructType([StructField("filename", StringType()), StructField("line", LongType()),
                        StructField("changed_tick", LongType()), StructField("note", StringType())])
-    schema = StructType([StructField("type", StringType()), StructField("timestamp", StringType()),
-                         StructField("data", data), StructField("session_id", StringType())])
+    schema = StructType([StructField("session_id", StringType()), StructField("seq", LongType()),
+                         StructField("type", StringType()), StructField("timestamp", StringType()),
+                         StructField("data", data)])
     back = spark.read.schema(schema).json(f"{path}/events")
-    return _as_double(back.select("session_id", "type", "timestamp", "data.filename", "data.line",
+    return _as_double(back.select("session_id", "seq", "type", "timestamp", "data.filename", "data.line",
                                   "data.changed_tick", "data.note"), ["line", "changed_tick"])
 
 
 def q_stream_summaries(spark, sf_dir):
     """Live path end to end: command stream -> cursor filter -> append-only event log
-    (bucket-partitioned), then the summary-refresh stream recomputing analytics and
-    session state for the touched sessions; each session's latest summary."""
+    (bucket-partitioned); the summary stream over that log runs once while the log is
+    half written and once at the end; each session's summary row."""
     import uuid
 
-    from sessionlog.plans.standins import command_lines, lifecycle_lines
+    from sessionlog.plans.standins import write_command_log
     from sessionlog.spark import ensure_checkpoint_dir
-    from sessionlog.streaming.pipelines import (
-        append_event_log, command_stream, latest_summaries, summary_refresh_query,
-    )
+    from sessionlog.streaming.pipelines import append_event_log, command_stream, latest_summaries, summary_refresh_query
     from sessionlog.streaming.processors import denoise_stream
 
     tag = uuid.uuid4().hex
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/live-{tag}"
     src = _ev(spark, sf_dir)
-    command_lines(src).unionByName(lifecycle_lines(src)).write.text(f"{base}/cmd")
-    raw, _ = command_stream(spark, f"{base}/cmd", max_files_per_trigger=1 << 20)
-    append_event_log(denoise_stream(raw, ADAPTER_FILTER), f"{base}/log", name=f"log-{tag}",
-                     trigger={"availableNow": True}).awaitTermination()
-    raw2, _ = command_stream(spark, f"{base}/cmd", max_files_per_trigger=1 << 20)
-    summary_refresh_query(raw2, f"{base}/log", f"{base}/summaries", ADAPTER_AGG, EXE, name=f"sum-{tag}",
-                          trigger={"availableNow": True}).awaitTermination()
+    middle = src.agg(F.expr("percentile_approx(ts_us, 0.5)")).first()[0] or 0
+    drain = {"availableNow": True}
+    # first the sessions that began early, then the others: the refresh in between sees part of the log
+    early = F.min("ts_us").over(Window.partitionBy("session_id")) <= middle
+    marked = materialize(src.withColumn("early", early), "live-source")
+    for half in (F.col("early"), ~F.col("early")):
+        write_command_log(marked.filter(half).drop("early"), f"{base}/cmd", rounds=2)
+        raw, _ = command_stream(spark, f"{base}/cmd", max_files_per_trigger=4)
+        append_event_log(denoise_stream(raw, ADAPTER_FILTER), f"{base}/log", name=f"log-{tag}", trigger=drain).awaitTermination()
+        summary_refresh_query(spark, f"{base}/log", f"{base}/summaries", ADAPTER_AGG, EXE, name=f"sum-{tag}",
+                              trigger=drain).awaitTermination()
     s = latest_summaries(spark, f"{base}/summaries")
     return s.select("session_id", "total_events", "activity_blocks", F.round("avg_velocity", 9).alias("avg_velocity"),
                     "peak_velocity", "focus_ratio", "distraction_seconds", "flow_blocks", "idle_gaps", "idle_total_us",
@@ -481,7 +495,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "store_events": q_store_events,
     "captured_events": q_captured_events,
     "note_search": q_note_search,
-    "conversation_error_notes": q_conversation_error_notes,
+    "conversation_notes": q_conversation_notes,
     "cursor_cap": q_cursor_cap,
     "command_log": q_command_log,
     "command_log_sessions": q_command_log_sessions,

@@ -31,11 +31,11 @@ def lifecycle_lines(events: DataFrame, save_path: str = "/logs") -> DataFrame:
     fmt = F.element_at(F.array(*[F.lit(f) for f in FORMATS]),
                        (F.pmod(F.ascii(F.substring("session_id", -1, 1)), F.lit(len(FORMATS))) + 1).cast("int"))
     ts = lambda c: F.date_format(us_to_ts(c), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    start = span.select(F.to_json(F.struct(
+    start = span.select("session_id", F.to_json(F.struct(
         F.lit(-1).cast("bigint").alias("id"), F.lit("start").alias("command"),
         F.array("session_id", F.concat(F.lit("/work/proj-"), "session_id"), F.lit(save_path), fmt).alias("args"),
         ts(F.col("a") - 1).alias("ts"))).alias("value"))
-    end = span.select(F.to_json(F.struct(
+    end = span.select("session_id", F.to_json(F.struct(
         F.lit(-2).cast("bigint").alias("id"), F.lit("end").alias("command"),
         F.array("session_id", F.lit(save_path)).alias("args"), ts(F.col("z") + 1).alias("ts"))).alias("value"))
     return start.unionByName(end)
@@ -60,7 +60,25 @@ def command_lines(events: DataFrame, save_path: str = "/logs") -> DataFrame:
         cmd = F.when(t == k, F.lit(v)) if cmd is None else cmd.when(t == k, F.lit(v))
     rec = F.struct(F.col("changed_tick").alias("id"), cmd.alias("command"), args.alias("args"),
                    F.date_format(us_to_ts(F.col("ts_us")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"))
-    return events.filter(t.isin(*_CMD)).select(F.to_json(rec).alias("value"))
+    return events.filter(t.isin(*_CMD)).select("session_id", F.to_json(rec).alias("value"))
+
+
+def write_command_log(events: DataFrame, path: str, rounds: int = 3, files: int = 4) -> None:
+    """Command-log files in write order: each round appends the next part of every
+    session's time (its start in the first, its end in the last), a session's lines
+    in one file a round.  Sessions lie anywhere in time, so no round is ordered by time."""
+    span = events.groupBy("session_id").agg(F.min("ts_us").alias("a"), F.max("ts_us").alias("z"))
+    part = F.least(F.floor((F.col("ts_us") - F.col("a")) * rounds / (F.col("z") - F.col("a") + 1)), F.lit(rounds - 1))
+    placed = events.join(span, "session_id").withColumn("part", part).drop("a", "z")
+    life = lifecycle_lines(events)
+    is_start = F.get_json_object("value", "$.command") == "start"
+    for r in range(rounds):
+        lines = command_lines(placed.filter(F.col("part") == r).drop("part"))
+        if r == 0:
+            lines = lines.unionByName(life.filter(is_start))
+        if r == rounds - 1:
+            lines = lines.unionByName(life.filter(~is_start))
+        lines.repartition(files, "session_id").select("value").write.mode("append").text(path)
 
 
 def document_names(events: DataFrame) -> DataFrame:

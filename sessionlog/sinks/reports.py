@@ -30,7 +30,8 @@ from sessionlog.operators.gaps import idle_gaps
 from sessionlog.operators.scan import SCAN_INPUT, scan
 from sessionlog.operators.stats import event_counts, session_state, session_stats
 from sessionlog.operators.timeline import timeline
-from sessionlog.operators.topk import report_blocks, top_files, with_ordinal
+from sessionlog.operators.topk import top_files, with_ordinal
+from sessionlog.spark import materialize
 
 LINE_COLUMNS = ["session_id", "sec", "ord", "sub", "line"]
 
@@ -191,20 +192,31 @@ def _fill(text: str, vals: dict[str, Column]) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
+def _printed(template: list, vals: dict[str, Column], conds: dict[str, Column]) -> Column:
+    """The template's printed lines as an array."""
+    cols = [F.when(conds[item[0]], _fill(item[1], vals)) if isinstance(item, tuple) else _fill(item, vals)
+            for item in template]
+    return F.filter(F.array(*cols), lambda x: x.isNotNull())
+
+
+def _first(template: list) -> list:
+    """The template's lines, printed under the condition ``first``."""
+    return [("first", line) for line in template]
+
+
+def _sections(df: DataFrame, sections: list[tuple]) -> DataFrame:
+    """Rows of ``df`` -> the lines of several sections ``(sec, ord, template, vals, conds)``, in one pass."""
+    made = F.array(*[F.struct(F.lit(sec).alias("sec"), ordinal.cast("bigint").alias("ord"),
+                              _printed(template, vals, conds).alias("lines"))
+                     for sec, ordinal, template, vals, conds in sections])
+    each = df.select("session_id", F.explode(made).alias("s"))
+    return each.select("session_id", "s.sec", "s.ord", F.posexplode("s.lines").alias("sub", "line")).select(*LINE_COLUMNS)
+
+
 def _lines(df: DataFrame, sec: int, ord_col: Column, template: list, vals: dict[str, Column] | None = None,
            conds: dict[str, Column] | None = None) -> DataFrame:
     """Rows of ``df`` -> one output row per printed template line, in order."""
-    vals, conds = vals or {}, conds or {}
-    cols = []
-    for item in template:
-        if isinstance(item, tuple):
-            cond, text = item
-            cols.append(F.when(conds[cond], _fill(text, vals)))
-        else:
-            cols.append(_fill(item, vals))
-    arr = F.filter(F.array(*cols), lambda x: x.isNotNull())
-    return df.select("session_id", F.lit(sec).alias("sec"), ord_col.cast("bigint").alias("ord"),
-                     F.posexplode(arr).alias("sub", "line")).select(*LINE_COLUMNS)
+    return _sections(df, [(sec, ord_col, template, vals or {}, conds or {})])
 
 
 def _f2(x: Column) -> Column:
@@ -231,16 +243,16 @@ def timeline_report(events: DataFrame, sessions: DataFrame | None = None, agg: A
     st = session_stats(events, sessions)
     times = sessions if sessions is not None else session_state(events)
     spine = st.join(times.select("session_id", "start_us", "end_us"), "session_id", "left")
-    tl = timeline(events, agg, exe)
+    tl = materialize(timeline(events, agg, exe), "report-timeline")  # read for entries and their number
     n_entries = tl.groupBy("session_id").agg(F.count(F.lit(1)).alias("entries"))
     spine = spine.join(n_entries, "session_id", "left")
-    head = _lines(spine, 0, F.lit(0), TIMELINE_HEAD, {
+    head = (0, F.lit(0), TIMELINE_HEAD, {
         "session_id": _c("session_id"), "project": F.coalesce("project_path", F.lit("")),
         "date": day(_c("start_us")), "duration": format_duration_or_progress(_c("start_us"), _c("end_us")),
         "start": clock(_c("start_us")), "edits": _c("file_edits"), "navs": _c("cursor_moves"),
         "terminal": _c("terminal_commands"), "notes": _c("annotations"), "lsp": _c("lsp_diagnostics"),
         "edit_pct": _c("edit_pct"), "nav_pct": _c("nav_pct"),
-    })
+    }, {})
     k = "code" if flavour == "code" else "intent"
     file, loc, snip, det = _c("file"), _c(f"location_{k}"), _c(f"snippet_{k}"), _c(f"details_{k}")
     where = F.concat(F.when(file != "", F.concat(F.lit("`"), file, F.lit("`"))).otherwise(F.lit("")),
@@ -249,9 +261,8 @@ def timeline_report(events: DataFrame, sessions: DataFrame | None = None, agg: A
                   {"time": _c(f"time_{k}"), "icon": _c("icon"), "title": _c("title"), "where": where,
                    "snippet": snip, "details": det},
                   {"has_where": where != "", "has_snippet": snip != "", "has_details": det != ""})
-    tail = _lines(spine, 2, F.lit(0), TIMELINE_TAIL,
-                  {"total": _c("total_events"), "entries": F.coalesce(_c("entries"), F.lit(0))})
-    return head.unionByName(body).unionByName(tail)
+    tail = (2, F.lit(0), TIMELINE_TAIL, {"total": _c("total_events"), "entries": F.coalesce(_c("entries"), F.lit(0))}, {})
+    return _sections(spine, [head, tail]).unionByName(body)
 
 
 def summary_report(events: DataFrame, sessions: DataFrame | None = None, agg: AggregationConfig = AggregationConfig(),
@@ -260,13 +271,18 @@ def summary_report(events: DataFrame, sessions: DataFrame | None = None, agg: Ag
     blocks, focus and top files, error corrections, idle periods, the first
     ``agg.report_blocks`` activity blocks (+ how many more) and event counts."""
     s = scan(events.select(*SCAN_INPUT), agg, exe, materialize=True)  # read by several sections
-    blocks = activity_blocks(events, agg, exe, scanned=s)
-    an = session_analytics(events, agg, exe, scanned=s)
+    # what several sections read is written once: blocks, focus, corrections, the header row
+    blocks = materialize(activity_blocks(events, agg, exe, scanned=s), "report-blocks")
+    foc = materialize(file_focus(events, agg, exe, scanned=s), "report-focus")
+    corr = materialize(error_corrections(events, agg, exe), "report-corrections")
+    an = session_analytics(events, agg, exe, scanned=s, blocks=blocks, focus=foc, corrections=corr)
     meta = (sessions if sessions is not None
             else session_state(events).withColumn("project_path", F.lit(None).cast("string")))
     hdr = an.join(meta.select("session_id", "project_path", "start_us", "end_us"), "session_id", "left")
+    n_main = foc.filter(~_c("distraction")).groupBy("session_id").agg(F.count(F.lit(1)).alias("k"))
+    hdr = hdr.join(n_main, "session_id", "left")
     ended = _c("end_us").isNotNull()
-    head = _lines(hdr, 0, F.lit(0), SUMMARY_HEAD, {
+    head = (0, F.lit(0), SUMMARY_HEAD, {
         "session_id": _c("session_id"), "project": F.coalesce("project_path", F.lit("")),
         "started": _dt(_c("start_us")), "ended_at": _dt(_c("end_us")),
         "duration": format_duration(_c("end_us") - _c("start_us")), "total": _c("total_events"),
@@ -283,37 +299,34 @@ def summary_report(events: DataFrame, sessions: DataFrame | None = None, agg: Ag
         "delta": _c("delta_tick"), "events": _c("event_count"),
     })
 
-    foc = file_focus(events, agg, exe, scanned=s)
     tops = top_files(foc, agg, exe)
-    has_main = tops.groupBy("session_id").agg(F.count(F.lit(1)).alias("k"))
-    fr = hdr.select("session_id", "focus_ratio", "distraction_seconds").join(has_main, "session_id", "left")
     focus_conds = {"has_files": F.coalesce(_c("k"), F.lit(0)) > 0, "distracted": _c("distraction_seconds") > 0}
-    focus_head = _lines(fr, 2, F.lit(0), SUMMARY_FOCUS_HEAD, {"focus_pct": _f1(_c("focus_ratio") * 100)}, focus_conds)
+    focus_head = (2, F.lit(0), SUMMARY_FOCUS_HEAD, {"focus_pct": _f1(_c("focus_ratio") * 100)}, focus_conds)
     files = _lines(tops, 3, _c("rank"), SUMMARY_FILE, {
         "file": _c("base"), "duration": format_duration(_c("seconds") * 1_000_000),
         "pct": F.coalesce(_f1(_c("pct_vs_distraction")), F.lit("NaN")),
     })
-    focus_tail = _lines(fr, 4, F.lit(0), SUMMARY_FOCUS_TAIL,
-                        {"distraction": format_duration(_c("distraction_seconds") * 1_000_000)}, focus_conds)
+    focus_tail = (4, F.lit(0), SUMMARY_FOCUS_TAIL,
+                  {"distraction": format_duration(_c("distraction_seconds") * 1_000_000)}, focus_conds)
 
-    corr = with_ordinal(error_corrections(events, agg, exe), "seq", exe)
-    corr_head = _lines(corr.filter(_c("ordinal") == 1), 5, F.lit(0), SUMMARY_CORRECTIONS_HEAD)
-    corr_body = _lines(corr, 6, _c("ordinal"), SUMMARY_CORRECTION, {
+    is_first = {"first": _c("ordinal") == 1}
+    corr_lines = _sections(with_ordinal(corr, "seq", exe), [(5, F.lit(0), _first(SUMMARY_CORRECTIONS_HEAD), {}, is_first),
+                                                           (6, _c("ordinal"), SUMMARY_CORRECTION, {
         "i": _c("ordinal"), "time": clock(_c("ts_us")), "file": base_name(_c("filename")),
         "note": F.coalesce("annotation", F.lit("")), "blocks": _c("blocks_affected"),
         "ticks": _c("ticks_reversed"), "lines": _c("lines_deleted"),
-    }, {"reversed": _c("ticks_reversed") > 0, "deleted": _c("lines_deleted") > 0})
+    }, {"reversed": _c("ticks_reversed") > 0, "deleted": _c("lines_deleted") > 0})])
 
     gaps = with_ordinal(idle_gaps(events, agg, exe, scanned=s), "end_seq", exe)
-    gap_head = _lines(gaps.filter(_c("ordinal") == 1), 7, F.lit(0), SUMMARY_IDLE_HEAD,
-                      {"idle_threshold": F.lit(format_minutes(agg.idle_threshold_us))})
-    gap_body = _lines(gaps, 8, _c("ordinal"), SUMMARY_IDLE_GAP, {
-        "i": _c("ordinal"), "time": clock(_c("start_us")), "duration": format_duration(_c("duration_us"))})
-    gap_tail = _lines(gaps.filter(_c("ordinal") == 1), 9, F.lit(0), SUMMARY_IDLE_TAIL)
-
-    first, more = report_blocks(blocks, agg)
-    tl_head = _lines(hdr.select("session_id"), 10, F.lit(0), SUMMARY_BLOCKS_HEAD,
-                     {"merge_window": F.lit(f"{agg.merge_window_us / 1e6:g}")})
+    gap_lines = _sections(gaps, [
+        (7, F.lit(0), _first(SUMMARY_IDLE_HEAD), {"idle_threshold": F.lit(format_minutes(agg.idle_threshold_us))}, is_first),
+        (8, _c("ordinal"), SUMMARY_IDLE_GAP, {
+            "i": _c("ordinal"), "time": clock(_c("start_us")), "duration": format_duration(_c("duration_us"))}, {}),
+        (9, F.lit(0), _first(SUMMARY_IDLE_TAIL), {}, is_first)])
+
+    first = blocks.filter(_c("block_no") <= agg.report_blocks)
+    more = _c("activity_blocks") - F.lit(agg.report_blocks)
+    tl_head = (10, F.lit(0), SUMMARY_BLOCKS_HEAD, {"merge_window": F.lit(f"{agg.merge_window_us / 1e6:g}")}, {})
     tl_body = _lines(first, 11, _c("block_no"), SUMMARY_BLOCK, {
         "time": clock(_c("start_us")), "file": base_name(_c("filename")),
         "duration": format_duration(_c("duration_us")), "events": _c("event_count"),
@@ -321,19 +334,18 @@ def summary_report(events: DataFrame, sessions: DataFrame | None = None, agg: Ag
         "velocity": _f2(_c("velocity")), "badge": velocity_badge(_c("velocity"), agg.flow_velocity),
         "closed_by": _c("closed_by"),
     }, {"moving": _c("velocity") > 0})
-    tl_more = _lines(more.filter(_c("more_blocks") > 0), 12, F.lit(0), SUMMARY_MORE_BLOCKS,
-                     {"more": _c("more_blocks")})
+    tl_more = (12, F.lit(0), _first(SUMMARY_MORE_BLOCKS), {"more": more}, {"first": more > 0})
 
     counts = event_counts(events)
-    raw_head = _lines(hdr.select("session_id"), 13, F.lit(0), SUMMARY_COUNTS_HEAD)
+    raw_head = (13, F.lit(0), SUMMARY_COUNTS_HEAD, {}, {})
     raw_body = _lines(with_type_rank(counts), 14, _c("type_rank"), SUMMARY_COUNT,
                       {"type": title_case(_c("type")), "n": _c("n")})
-    foot = _lines(hdr.select("session_id"), 15, F.lit(0), SUMMARY_FOOT, {"session_id": _c("session_id")})
+    foot = (15, F.lit(0), SUMMARY_FOOT, {"session_id": _c("session_id")}, {})
 
-    parts = [head, flow, focus_head, files, focus_tail, corr_head, corr_body, gap_head, gap_body, gap_tail, tl_head,
-             tl_body, tl_more, raw_head, raw_body, foot]
-    out = parts[0]
-    for p in parts[1:]:
+    per_session = _sections(hdr, [head, focus_head, focus_tail, tl_head, tl_more, raw_head, foot])
+    parts = [flow, files, corr_lines, gap_lines, tl_body, raw_body]
+    out = per_session
+    for p in parts:
         out = out.unionByName(p)
     return out
 
@@ -361,12 +373,14 @@ def with_type_rank(counts: DataFrame) -> DataFrame:
     return counts.withColumn("type_rank", F.row_number().over(Window.partitionBy("session_id").orderBy("type")))
 
 
-def write_report(lines: DataFrame, path: str) -> None:
-    """Write ``lines`` as text, one folder per session (``session_id=X``); the
-    range exchange keeps each session's lines in order across ordered part files."""
-    keys = ["session_id", "sec", "ord", "sub"]
-    (lines.repartitionByRange(*keys).sortWithinPartitions(*keys).select("session_id", "line")
-     .write.mode("overwrite").partitionBy("session_id").text(path))
+def write_report(lines: DataFrame, path: str, sessions: DataFrame | None = None) -> None:
+    """Write ``lines`` under hash buckets of the session id, in report order over the
+    part files; reports of other sessions stay.  ``sessions`` names the sessions
+    written (default: those with lines)."""
+    from sessionlog.sinks.replace import replace_sessions
+
+    replace_sessions(lines.select(*LINE_COLUMNS), lines.select("session_id") if sessions is None else sessions, path,
+                     ["session_id", "sec", "ord", "sub"])
 
 
 def render(lines: DataFrame, session_id: str) -> str:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlog.functions.scalar import epoch_us, us_to_ts
+from sessionlog.sinks.replace import BUCKETS, bucket_of, replace_sessions
 
 STORE_EVENT_COLUMNS = [
     "session_id", "seq", "type", "timestamp", "filename", "line", "column", "line_count", "changed_tick",
@@ -68,15 +69,24 @@ def read_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return sessions, events
 
 
-def write_store(sessions: DataFrame, events: DataFrame, path: str, buckets: int = 64) -> None:
-    """Write both tables; events are partitioned by a hash bucket of the session id
+def write_store(sessions: DataFrame, events: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Write both tables anew; rows are partitioned by a hash bucket of the session id,
     so a session's rows live in one folder and a lookup prunes the rest."""
-    sessions.write.mode("overwrite").parquet(f"{path}/sessions")
-    (events.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(buckets)))
+    (sessions.withColumn("bucket", bucket_of("id", buckets)).repartition("bucket")
+     .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/sessions"))
+    (events.withColumn("bucket", bucket_of("session_id", buckets))
      .repartitionByRange("bucket", "session_id", "seq").sortWithinPartitions("bucket", "session_id", "seq")
      .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/events"))
 
 
+def upsert_store(sessions: DataFrame, events: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Replace the given sessions, with all their events, in a written store (a
+    first call makes it).  Only the buckets of these sessions are rewritten."""
+    ids = sessions.select(F.col("id").alias("session_id"))
+    replace_sessions(events, ids, f"{path}/events", ["session_id", "seq"], buckets=buckets)
+    replace_sessions(sessions, sessions.select("id"), f"{path}/sessions", key="id", buckets=buckets)
+
+
 def session_lookup(events: DataFrame, session_id: str) -> DataFrame:
     """Point lookup by id (pushed down to the scan as a filter)."""
     return events.filter(F.col("session_id") == F.lit(session_id))

@@ -6,42 +6,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlog.functions.scalar import us_to_ts
+from sessionlog.sinks.replace import BUCKETS, bucket_of, replace_sessions
 
 _DATA_FIELDS = ["filename", "line", "column", "line_count", "changed_tick", "line_text", "file_type", "message",
                 "level", "command", "note", "prev_line", "prev_column"]
 
 
-def write_event_log(events: DataFrame, path: str, mode: str = "append", buckets: int = 64) -> None:
-    """Persist the canonical log (append by default), partitioned by session bucket."""
-    (events.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(buckets)))
+def write_event_log(events: DataFrame, path: str, mode: str = "append", buckets: int = BUCKETS) -> None:
+    """Persist the canonical log (append by default), partitioned by session bucket.
+
+    Rows are dealt by bucket and position first, so a call writes a few files a
+    bucket instead of one for each task and bucket."""
+    keys = ["bucket", "session_id", "seq"]
+    (events.withColumn("bucket", bucket_of("session_id", buckets)).repartitionByRange(*keys).sortWithinPartitions(*keys)
      .write.mode(mode).partitionBy("bucket").parquet(path))
 
 
 def event_json_lines(events: DataFrame) -> DataFrame:
-    """One JSON object per event in the recorder's shape
-    ``{"type", "timestamp", "data": {...}}``; absent (NULL/""/0) fields are omitted."""
+    """One JSON object per event in the recorder's shape ``{"type", "timestamp",
+    "data": {...}}`` after its session and position; absent (NULL/""/0) fields are omitted."""
     data = F.struct(*[
         (F.when(F.col(c) == "", F.lit(None)).otherwise(F.col(c)) if dict(events.dtypes)[c] == "string"
          else F.when(F.col(c) == 0, F.lit(None)).otherwise(F.col(c))).alias(c)
         for c in _DATA_FIELDS
     ])
-    doc = F.struct(F.col("type"), F.date_format(us_to_ts(F.col("ts_us")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    doc = F.struct(F.col("session_id"), F.col("seq"), F.col("type"), F.date_format(us_to_ts(F.col("ts_us")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
                    .alias("timestamp"), data.alias("data"))
     return events.select("session_id", "seq", F.to_json(doc).alias("value"))
 
 
 def export_json(events: DataFrame, sessions: DataFrame, path: str) -> None:
-    """Per-session JSON export as JSON lines: ``events/session_id=X/part-*`` hold
-    the session's events in ``seq`` order (part files in name order), and
-    ``sessions/`` holds one metadata object per session.  A session is never
-    gathered into one row: a long session is split over several ordered parts."""
-    lines = event_json_lines(events)
-    (lines.repartitionByRange("session_id", "seq").sortWithinPartitions("session_id", "seq")
-     .select("session_id", "value").write.mode("overwrite").partitionBy("session_id").text(f"{path}/events"))
-    meta = sessions.select(F.col("session_id").alias("id"), "project_path", "save_path", "output_format",
-                           us_to_ts(F.col("start_us")).alias("start_time"), us_to_ts(F.col("end_us")).alias("end_time"),
-                           "active")
-    meta.write.mode("overwrite").json(f"{path}/sessions")
+    """JSON export as JSON lines: ``events/bucket=B/part-*`` hold the events of the
+    bucket's sessions in ``(session_id, seq)`` order (part files in name order),
+    ``sessions/bucket=B`` one metadata object per session.  A session is never
+    gathered into one row.  Sessions exported before stay, those of ``sessions`` are replaced."""
+    ids = sessions.select("session_id")
+    replace_sessions(event_json_lines(events), ids, f"{path}/events", ["session_id", "seq"], fmt="text",
+                     read=lambda old: old.select(
+                         F.get_json_object("value", "$.session_id").alias("session_id"),
+                         F.get_json_object("value", "$.seq").cast("bigint").alias("seq"), "value", "bucket"),
+                     write=lambda rows: rows.select("value", "bucket"))
+    meta = sessions.select("session_id", F.to_json(F.struct(
+        F.col("session_id").alias("id"), "project_path", "save_path", "output_format",
+        us_to_ts(F.col("start_us")).alias("start_time"), us_to_ts(F.col("end_us")).alias("end_time"), "active")).alias("value"))
+    replace_sessions(meta, ids, f"{path}/sessions", ["session_id"], fmt="text",
+                     read=lambda old: old.select(F.get_json_object("value", "$.id").alias("session_id"), "value", "bucket"),
+                     write=lambda rows: rows.select("value", "bucket"))
 
 
 def route_by_format(sessions: DataFrame) -> dict[str, DataFrame]:
@@ -56,15 +66,16 @@ def route_by_format(sessions: DataFrame) -> dict[str, DataFrame]:
 
 
 def export_all(sessions: DataFrame, events: DataFrame, path: str, report_lines: DataFrame | None = None) -> None:
-    """Run every route for the sessions that asked for it (writer registry)."""
-    from sessionlog.sinks.reports import write_report
-    from sessionlog.sinks.store import store_events, store_sessions, write_store
+    """Run every route for the sessions that asked for it (writer registry); what
+    earlier calls exported for other sessions stays.  ``report_lines`` defaults to
+    the timeline report of the sessions on the Markdown route."""
+    from sessionlog.sinks.reports import timeline_report, write_report
+    from sessionlog.sinks.store import store_events, store_sessions, upsert_store
 
     routes = route_by_format(sessions)
-    js = events.join(routes["json"], "session_id", "left_semi")
-    export_json(js, sessions.join(routes["json"], "session_id", "left_semi"), f"{path}/json")
-    st_s = store_sessions(sessions.join(routes["store"], "session_id", "left_semi"))
-    st_e = store_events(events.join(routes["store"], "session_id", "left_semi"))
-    write_store(st_s, st_e, f"{path}/store")
-    if report_lines is not None:
-        write_report(report_lines.join(routes["markdown"], "session_id", "left_semi"), f"{path}/markdown")
+    own = {name: (sessions.join(ids, "session_id", "left_semi"), events.join(ids, "session_id", "left_semi"))
+           for name, ids in routes.items()}
+    export_json(own["json"][1], own["json"][0], f"{path}/json")
+    upsert_store(store_sessions(own["store"][0]), store_events(own["store"][1]), f"{path}/store")
+    lines = timeline_report(own["markdown"][1], own["markdown"][0]) if report_lines is None else report_lines
+    write_report(lines.join(routes["markdown"], "session_id", "left_semi"), f"{path}/markdown", routes["markdown"])

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sessionlog.config import AggregationConfig, ExecConfig
+from sessionlog.schema import EVENT_SCHEMA
+from sessionlog.sinks.replace import bucket_of, replace_sessions
 from sessionlog.sources.command_log import command_events, parse_commands, rejects
-from sessionlog.spark import ensure_checkpoint_dir
+from sessionlog.spark import ensure_checkpoint_dir, materialize
 
 
 def command_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -23,57 +25,54 @@ def checkpoint_location(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
 
 
-LOG_BUCKETS = 64
-
-
-def session_bucket(col="session_id", buckets: int = LOG_BUCKETS):
-    """Hash bucket of a session id: the partition column of the stored log."""
-    return F.pmod(F.xxhash64(col), F.lit(buckets))
-
-
 def append_event_log(events: DataFrame, path: str, name: str = "event_log", trigger: dict | None = None):
     """Append-only event log sink (parquet, exactly-once through the checkpoint),
     partitioned by session bucket so readers of a few sessions prune the rest."""
-    w = (events.withColumn("bucket", session_bucket()).writeStream.format("parquet").option("path", path)
+    w = (events.withColumn("bucket", bucket_of()).repartition("bucket").writeStream.format("parquet").option("path", path)
          .partitionBy("bucket")
          .option("checkpointLocation", checkpoint_location(events.sparkSession, name)).outputMode("append"))
     w = w.trigger(**(trigger or {"processingTime": "5 seconds"}))
     return w.start()
 
 
+def log_stream(spark: SparkSession, log_path: str, max_files_per_trigger: int = 1000) -> DataFrame:
+    """The rows appended to the stored event log, as a stream.  (The log's folder must exist.)"""
+    schema = StructType([*EVENT_SCHEMA.fields, StructField("bucket", LongType())])
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(log_path)
+
+
 def refresh_summaries(log_path: str, out_path: str, agg: AggregationConfig = AggregationConfig(),
                       exe: ExecConfig = ExecConfig()):
     """``foreachBatch`` body: recompute analytics and session state only for the
-    sessions touched in the micro-batch, from the full stored log, and write
-    them under ``epoch=N`` (re-running an epoch overwrites the same folder).
-    Readers take each session's row from its latest epoch (:func:`latest_summaries`)."""
+    sessions touched in the micro-batch, from the full stored log, and replace
+    their rows in the summary table.  The table holds one row a session."""
     from sessionlog.operators.analytics import session_analytics
     from sessionlog.operators.stats import session_state
 
     def body(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        touched = batch.select("session_id").distinct().withColumn("bucket", session_bucket())
+        touched = batch.select("session_id").distinct().withColumn("bucket", bucket_of())
         # joining on the partition column lets dynamic partition pruning skip untouched buckets
         log = spark.read.parquet(log_path).join(touched, ["bucket", "session_id"], "left_semi").drop("bucket")
+        log = materialize(log, "touched")  # one read of the log for all parts of the summary
         summary = session_analytics(log, agg, exe).join(session_state(log), "session_id", "left")
-        summary.withColumn("epoch", F.lit(epoch_id).cast("bigint")).write.mode("overwrite").parquet(
-            f"{out_path}/epoch={epoch_id}")
+        replace_sessions(summary, touched.select("session_id"), out_path)
 
     return body
 
 
-def summary_refresh_query(events: DataFrame, log_path: str, out_path: str, agg: AggregationConfig = AggregationConfig(),
+def summary_refresh_query(spark: SparkSession, log_path: str, out_path: str, agg: AggregationConfig = AggregationConfig(),
                           exe: ExecConfig = ExecConfig(), every: str = "5 minutes", name: str = "summaries",
                           trigger: dict | None = None):
-    """The periodic summary: ``trigger(processingTime=every)`` + ``foreachBatch``
-    (``trigger`` overrides, e.g. ``{"availableNow": True}`` for a catch-up run)."""
-    return (events.writeStream.foreachBatch(refresh_summaries(log_path, out_path, agg, exe))
-            .option("checkpointLocation", checkpoint_location(events.sparkSession, name))
+    """The periodic summary: ``trigger(processingTime=every)`` + ``foreachBatch`` over
+    the stored event log itself, so rows that are appended later are summarised later,
+    in whatever order the queries run (``trigger`` overrides, e.g. ``{"availableNow":
+    True}`` for a catch-up run at the end)."""
+    return (log_stream(spark, log_path).writeStream.foreachBatch(refresh_summaries(log_path, out_path, agg, exe))
+            .option("checkpointLocation", checkpoint_location(spark, name))
             .trigger(**(trigger or {"processingTime": every})).start())
 
 
 def latest_summaries(spark: SparkSession, out_path: str) -> DataFrame:
-    """Each session's most recent summary row (partial-aggregated ``max_by``)."""
-    s = spark.read.parquet(out_path)
-    cols = [c for c in s.columns if c not in ("session_id", "epoch")]
-    return s.groupBy("session_id").agg(F.max_by(F.struct(*cols), "epoch").alias("r")).select("session_id", "r.*")
+    """The summary table: each session's row."""
+    return spark.read.parquet(out_path).drop("bucket")

@@ -1,13 +1,17 @@
 """Keyed streaming state machines (``applyInPandasWithState``), one state per session.
 
 Both processors keep O(1) state per session and sort each micro-batch of a
-session by arrival ``(ts_us, cmd_id)``; the cursor processor also uses
-event-time timers (the watermark) for idle commits.  Their output equals the
-batch operators on the same log:
+session by arrival ``(ts_us, cmd_id)``.  No watermark is used: sessions may come
+in any time order and however late, and no row is dropped.  Only the files of
+one session must come in write order.  An ended session leaves its counter
+behind (a resumed one counts on), nothing else.  Their output equals the batch
+operators on the same log:
 
 * :func:`denoise_stream` - the cursor debounce/idle filter; emits the recorded
   log (non-cursor events as they come, surviving moves where they are
-  committed) with a per-session ``seq`` counter kept in state.
+  committed) with a per-session ``seq`` counter kept in state.  A pending move
+  whose timer is open is also committed when its session has sent nothing for
+  ``quiet`` of processing time.
 * :func:`live_blocks` - activity blocks emitted when the next event closes them
   (closer, file change, gap) or at ``session_end``.
 """
@@ -50,7 +54,7 @@ def _frame(sid: str, rows: list[dict]) -> pd.DataFrame:
     return out[EVENT_COLUMNS]
 
 
-def _denoise_fn(cfg: FilterConfig):
+def _denoise_fn(cfg: FilterConfig, quiet_ms: int):
     trig = set(cfg.triggers)
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -81,7 +85,7 @@ def _denoise_fn(cfg: FilterConfig):
                 if d["type"] in trig:
                     if pending is not None:
                         emit(pending)
-                    pending, anchor, deadline = None, t, None
+                    pending, anchor, deadline = None, None if d["type"] == "session_end" else t, None
                     emit(d)
                 elif d["type"] == "cursor_move":
                     pending = d
@@ -91,26 +95,24 @@ def _denoise_fn(cfg: FilterConfig):
                     emit(d)
         state.update((anchor, deadline, json.dumps(pending) if pending else None, nseq))
         if deadline is not None:
-            # fires once the watermark passes the deadline (strictly later events only)
-            state.setTimeoutTimestamp(deadline // 1000 + 1)
+            state.setTimeoutDuration(quiet_ms)
         if out:
             yield _frame(sid, out)
 
     return fn
 
 
-def denoise_stream(events: DataFrame, cfg: FilterConfig = FilterConfig(), watermark: str = "10 minutes") -> DataFrame:
+def denoise_stream(events: DataFrame, cfg: FilterConfig = FilterConfig(), quiet_s: int = 600) -> DataFrame:
     """Streaming cursor filter over raw command-log events (``session_id, cmd_id,
     type, ts, ts_us, payload...``); output has the canonical event schema."""
     cols = ["session_id", "cmd_id", "type", "ts", "ts_us", *_PAYLOAD]
-    return (events.select(*cols).withWatermark("ts", watermark).groupBy("session_id")
-            .applyInPandasWithState(_denoise_fn(cfg), EVENT_SCHEMA, DENOISE_STATE, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+    return (events.select(*cols).groupBy("session_id")
+            .applyInPandasWithState(_denoise_fn(cfg, quiet_s * 1000), EVENT_SCHEMA, DENOISE_STATE, "append",
+                                    GroupStateTimeout.ProcessingTimeTimeout))
 
 
 BLOCK_STATE = StructType([
-    StructField("open", StringType()), StructField("last_ts", LongType()), StructField("trig", LongType()),
-    StructField("block_no", LongType()),
+    StructField("open", StringType()), StructField("last_ts", LongType()), StructField("block_no", LongType()),
 ])
 LIVE_BLOCK_SCHEMA = StructType([
     StructField("session_id", StringType()), StructField("block_no", LongType()), StructField("filename", StringType()),
@@ -125,7 +127,7 @@ def _blocks_fn(agg: AggregationConfig):
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         sid = key[0]
-        op, last_ts, trig, bno = state.get if state.exists else (None, None, 0, 0)
+        op, last_ts, bno = state.get if state.exists else (None, None, 0)
         op = json.loads(op) if op else None
         done = []
 
@@ -137,8 +139,8 @@ def _blocks_fn(agg: AggregationConfig):
                          delta, delta / (dur / 1e6) if dur > 0 else 0.0, reason))
             op = None
 
-        batch = pd.concat(list(pdfs), ignore_index=True) if not state.hasTimedOut else None
-        if batch is not None and len(batch):
+        batch = pd.concat(list(pdfs), ignore_index=True)
+        if len(batch):
             for r in batch.sort_values(["ts_us", "cmd_id"], kind="stable").itertuples(index=False):
                 t, typ = int(r.ts_us), r.type
                 if typ != "file_edit":
@@ -146,7 +148,7 @@ def _blocks_fn(agg: AggregationConfig):
                         close("context_switch")
                     elif op is not None and typ == "session_end":
                         close("session_end")
-                    last_ts = t
+                    last_ts = None if typ == "session_end" else t
                     continue
                 f = r.filename if isinstance(r.filename, str) else ""
                 tick = 0 if pd.isna(r.changed_tick) else int(r.changed_tick)
@@ -160,7 +162,7 @@ def _blocks_fn(agg: AggregationConfig):
                 else:
                     op.update(end=t, n=op["n"] + 1, t1=tick)
                 last_ts = t
-        state.update((json.dumps(op) if op else None, last_ts, trig, bno))
+        state.update((json.dumps(op) if op else None, last_ts, bno))
         if done:
             yield pd.DataFrame(done, columns=[f.name for f in LIVE_BLOCK_SCHEMA.fields])
 

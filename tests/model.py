@@ -110,7 +110,7 @@ def cursor_filter(evs, cfg: FilterConfig):
             now = now._replace(move=None, due=float("inf"))
         if e["type"] in cfg.triggers:
             kept[now.move] = ("end" if e["type"] == "session_end" else "trigger", i)
-            now = Pending(anchor=e["ts"])
+            now = Pending() if e["type"] == "session_end" else Pending(anchor=e["ts"])
         elif e["type"] == "cursor_move":
             near = e["ts"] - now.anchor < cfg.debounce_us
             now = now._replace(move=i) if near else Pending(i, e["ts"], e["ts"] + cfg.idle_us)

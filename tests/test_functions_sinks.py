@@ -1,6 +1,7 @@
 """Scalar formats, store upsert, exports and report writing."""
 
 import glob
+import json
 import os
 import tempfile
 
@@ -70,18 +71,22 @@ def test_exports_and_reports_write(spark):
     d = tempfile.mkdtemp(prefix="export-")
     export_json(ev, sessions, d)
     sid = ev.select("session_id").first()[0]
-    parts = sorted(glob.glob(os.path.join(d, "events", f"session_id={sid}", "part-*")))
-    lines = [ln for p in parts for ln in open(p).read().splitlines()]
-    assert len(lines) == ev.filter(F.col("session_id") == sid).count()
-    assert lines[0].startswith('{"type":')
+    assert not glob.glob(os.path.join(d, "events", "session_id=*"))
+    found = {}
+    for bucket in glob.glob(os.path.join(d, "events", "bucket=*")):
+        for p in sorted(glob.glob(os.path.join(bucket, "part-*"))):
+            for ln in open(p):
+                e = json.loads(ln)
+                found.setdefault(e["session_id"], []).append(e["seq"])
+    # every session whole and in order over the part files
+    n = {r.session_id: r["count"] for r in ev.groupBy("session_id").count().collect()}
+    assert found == {k: list(range(v)) for k, v in n.items()}
     rep = summary_report(ev)
     text = render(rep, sid)
     assert text.startswith("# Session Summary Report") and "## Activity Timeline" in text
     tl = timeline_report(ev)
     write_report(tl, os.path.join(d, "md"))
-    parts = sorted(glob.glob(os.path.join(d, "md", f"session_id={sid}", "part-*")))
-    written = "".join(open(p).read() for p in parts)
-    assert written == render(tl, sid)
+    assert render(spark.read.parquet(os.path.join(d, "md")), sid) == render(tl, sid)
 
 
 def test_export_all_routes_each_format(spark):
@@ -99,14 +104,41 @@ def test_export_all_routes_each_format(spark):
         .alias("output_format"), "start_us", "end_us", "active")
     d = tempfile.mkdtemp(prefix="routes-")
     export_all(sessions, ev, d, report_lines=timeline_report(ev, sessions, flavour="intent"))
-    js = sorted(x for x in os.listdir(os.path.join(d, "json", "events")) if x.startswith("session_id"))
-    assert js == ["session_id=j"]
+    stored = lambda: {r.id for r in spark.read.json(os.path.join(d, "json", "sessions")).collect()}
+    ids = lambda df: {r.session_id for r in df.select("session_id").distinct().collect()}
+    assert stored() == {"j"}
     s2, e2 = read_store(spark, os.path.join(d, "store"))
-    assert [r.session_id for r in s2.collect()] == ["q"] and e2.count() == 1
-    md = sorted(x for x in os.listdir(os.path.join(d, "markdown")) if x.startswith("session_id"))
-    assert md == ["session_id=m"]
-    text = "".join(open(p).read() for p in sorted(glob.glob(os.path.join(d, "markdown", "session_id=m", "part-*"))))
-    assert "- 2 edits" in text   # intent flavour: the real count of grouped edits
+    assert ids(s2) == {"q"} and e2.count() == 1
+    md = spark.read.parquet(os.path.join(d, "markdown"))
+    assert ids(md) == {"m"}
+    assert "- 2 edits" in render(md, "m")   # intent flavour: the real count of grouped edits
+
+    # a second export keeps the first; a session exported again is replaced whole
+    more = rows_to_df(spark, {
+        "j2": [{"type": "file_edit", "ts": S(1), "filename": "a", "changed_tick": 1}],
+        "q": [{"type": "annotation", "ts": S(2), "note": "y"}, {"type": "annotation", "ts": S(3), "note": "z"}],
+        "m2": [{"type": "file_edit", "ts": S(3), "filename": "b", "changed_tick": 2}],
+    })
+    fmt = {"j2": "json", "q": "sqlite", "m2": "other"}
+    sessions2 = session_state(more).select(
+        "session_id", F.lit("/p").alias("project_path"), F.lit("/s").alias("save_path"),
+        F.element_at(F.create_map(*[x for k, v in fmt.items() for x in (F.lit(k), F.lit(v))]), F.col("session_id"))
+        .alias("output_format"), "start_us", "end_us", "active")
+    for _ in range(2):
+        export_all(sessions2, more, d)
+    assert stored() == {"j", "j2"}
+    s2, e2 = read_store(spark, os.path.join(d, "store"))
+    assert ids(s2) == {"q"} and sorted(r.note for r in e2.collect()) == ["y", "z"]
+    assert ids(spark.read.parquet(os.path.join(d, "markdown"))) == {"m", "m2"}
+
+
+def test_replacing_with_nothing_empties_the_session(spark):
+    from sessionlog.sinks.replace import replace_sessions
+    path = os.path.join(tempfile.mkdtemp(prefix="replace-"), "t")
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "session_id string, x int")
+    replace_sessions(rows, rows, path)
+    replace_sessions(rows.filter("false"), rows.filter("session_id = 'b'"), path)
+    assert [(r.session_id, r.x) for r in spark.read.parquet(path).collect()] == [("a", 1)]
 
 
 def test_lookup_type_filter_and_report_grep(spark):

@@ -12,7 +12,7 @@ from sessionlog.operators.analytics import session_analytics
 from sessionlog.operators.stats import session_stats
 from sessionlog.sources.documents import flatten_diagnostics, read_sessions
 from sessionlog.streaming.pipelines import (
-    append_event_log, command_stream, latest_summaries, refresh_summaries,
+    append_event_log, command_stream, latest_summaries, refresh_summaries, summary_refresh_query,
 )
 from sessionlog.streaming.processors import denoise_stream
 from tests.test_streaming import write_command_log
@@ -23,22 +23,54 @@ def test_event_log_sink_and_summary_refresh(spark):
     write_command_log(src, n_sessions=6, n_files=3, seed=9)
     out = tempfile.mkdtemp(prefix="out-")
     log_path, sum_path = os.path.join(out, "log"), os.path.join(out, "summaries")
+    drain = {"availableNow": True}
+
+    def refresh():
+        summary_refresh_query(spark, log_path, sum_path, name=f"sum-{os.path.basename(out)}", trigger=drain).awaitTermination()
+
+    os.makedirs(log_path)
+    refresh()  # before anything is in the log
     raw, _ = command_stream(spark, src, 1)
-    q = append_event_log(denoise_stream(raw), log_path, name=f"log-{os.path.basename(out)}",
-                         trigger={"availableNow": True})
-    q.awaitTermination()
+    append_event_log(denoise_stream(raw), log_path, name=f"log-{os.path.basename(out)}", trigger=drain).awaitTermination()
     log = spark.read.parquet(log_path)
     assert log.select("session_id").distinct().count() == 6
-    # the refresh body recomputes only the sessions of a batch, from the stored log
-    body = refresh_summaries(log_path, sum_path)
-    body(log.filter(F.col("session_id").isin("1700000000_p", "1700000001_p")), 0)
-    body(log, 1)
+    refresh()  # sees all that was appended since
     latest = latest_summaries(spark, sum_path)
     assert latest.count() == 6
     want = session_analytics(log, AggregationConfig(), ExecConfig())
     cols = ["session_id", "total_events", "activity_blocks", "idle_gaps", "error_corrections", "flow_blocks"]
     assert latest.select(*cols).exceptAll(want.select(*cols)).count() == 0
     assert latest.filter("active").count() == 0  # every generated session ends
+    # one session again: the others' rows stay, none is there twice
+    refresh_summaries(log_path, sum_path)(log.filter(F.col("session_id") == "1700000000_p"), 9)
+    assert latest_summaries(spark, sum_path).count() == 6
+
+
+def test_late_sessions_lose_nothing(spark):
+    """Sessions a day apart, the latest first, one file a batch; a resumed session counts on."""
+    src = tempfile.mkdtemp(prefix="late-")
+    for k, day in enumerate([3, 2, 1]):
+        lines = []
+        stamp = lambda s: f"2024-01-{day:02d}T00:00:{s:02d}+00:00"  # noqa: E731,B023
+        sid = f"{1700000000 + day}_p"
+        lines.append({"id": 1, "command": "start", "args": [sid, "/p", "/s", "json"], "ts": stamp(0)})
+        lines += [{"id": 2 + i, "command": "record-edit", "args": [sid, "/s", "a", "1", "1", "1", str(i), "x"], "ts": stamp(1 + i)}
+                  for i in range(10)]
+        lines.append({"id": 50, "command": "end", "args": [sid, "/s"], "ts": stamp(20)})
+        p = os.path.join(src, f"{k}.jsonl")
+        with open(p, "w") as f:
+            f.write("".join(json.dumps(x) + "\n" for x in lines))
+        os.utime(p, (1_700_000_000 + 10 * k,) * 2)
+    p = os.path.join(src, "9.jsonl")
+    with open(p, "w") as f:
+        f.write(json.dumps({"id": 60, "command": "resume", "args": ["1700000003_p", "/s"], "ts": "2024-01-09T00:00:00+00:00"}) + "\n")
+    os.utime(p, (1_700_000_100,) * 2)
+    raw, _ = command_stream(spark, src, 1)
+    q = denoise_stream(raw).writeStream.format("memory").queryName("late_t").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.table("late_t").groupBy("session_id").agg(F.count("*").alias("n"), F.max("seq").alias("m")).collect()
+    assert sorted((r.session_id, r.n, r.m) for r in got) == [
+        ("1700000001_p", 12, 11), ("1700000002_p", 12, 11), ("1700000003_p", 13, 12)]
 
 
 def test_document_stats_all_sessions(spark):

@@ -131,8 +131,8 @@ def expected_decisions(logs, cfg):
 
 
 @pytest.mark.parametrize("fold_max", [0, 100_000], ids=["distributed_walk", "task_walk"])
-@pytest.mark.parametrize("mode,idle,back", [("record", 500_000, 0.0), ("drop", 500_000, 0.1), ("record", 250_000, 0.1),
-                                            ("record", 100_000, 0.0), ("record", 500_000, 0.15), ("drop", 0, 0.1)])
+@pytest.mark.parametrize("mode,idle,back", [("record", 500_000, 0.0), ("drop", 500_000, 0.15), ("record", 250_000, 0.1),
+                                            ("drop", 100_000, 0.0)])
 def test_cursor_filter_matches_model(spark, fold_max, mode, idle, back):
     """Any debounce and idle, moves that go back in time, both ways to the anchors."""
     cfg = FilterConfig(idle_commit=mode, idle_us=idle)
