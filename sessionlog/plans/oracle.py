@@ -663,6 +663,26 @@ WHERE type <> 'lsp_diagnostic'
 SELECT session_id, seq, note FROM ev WHERE type = 'annotation' AND regexp_matches(note, '(?i)(fix|debug)')""",
     "conversation_notes": """
 SELECT conv_id, turn FROM conversations WHERE regexp_matches(text, ' (the|und|que|les) ')""",
+    "command_rejects": _with() + """,
+bad AS (
+  SELECT type, CASE type WHEN 'file_open' THEN '{broken ' || changed_tick
+    WHEN 'lsp_diagnostic' THEN '{"id": ' || changed_tick || ', "command": "nope", "args": ["' || session_id || '"]}'
+    WHEN 'terminal_command' THEN '{"id": ' || changed_tick || ', "command": "record-edit", "args": ["' || session_id || '"]}'
+    WHEN 'annotation' THEN '{"id": ' || changed_tick || ', "command": "resume", "args": ["' || session_id || '"]}' END AS line
+  FROM ev
+)
+SELECT line, CASE type WHEN 'file_open' THEN 'invalid json' WHEN 'lsp_diagnostic' THEN 'unknown command: nope'
+  WHEN 'terminal_command' THEN 'record-edit requires 8 args' ELSE 'resume requires 2 args' END AS error
+FROM bad WHERE line IS NOT NULL""",
+    "logged_session_state": _with(LIFE, CEV, _on(STATE, "cev")) + "\nSELECT session_id, start_us, end_us, active FROM state2",
+    "main_files_text": _with(BASE, FOCUS) + """
+SELECT session_id, string_agg(filename || '=' || CAST(seconds AS VARCHAR), ';' ORDER BY filename) AS main_files
+FROM focus WHERE NOT distraction GROUP BY session_id""",
+    "session_lookup": _with() + """
+SELECT session_id, seq, type, ts_us FROM ev WHERE session_id = (SELECT min(session_id) FROM ev)""",
+    "type_filter": _with() + """
+SELECT session_id, seq, type, 'keep' AS how FROM ev WHERE type IN ('file_edit', 'annotation')
+UNION ALL SELECT session_id, seq, type, 'drop' FROM ev WHERE type NOT IN ('cursor_move', 'file_edit')""",
     "block_events": _with(BASE, BLOCKS) + """
 SELECT session_id, seq, CAST(block_no AS BIGINT) AS block_no, changed_tick FROM bn""",
     "session_search": _with() + """

@@ -450,6 +450,49 @@ def q_timeline_report(spark, sf_dir):
     return timeline_report(_ev(spark, sf_dir), None, ADAPTER_AGG, EXE)
 
 
+def q_command_rejects(spark, sf_dir):
+    """Command-log lines that are turned down, with the reason: some events of the log
+    are followed by a broken line, an unknown command or a short one."""
+    from sessionlog.plans.standins import bad_lines, command_lines
+    from sessionlog.sources.command_log import parse_commands, rejects
+    src = _ev(spark, sf_dir)
+    log = command_lines(src).unionByName(bad_lines(src))
+    return rejects(parse_commands(log)).select("line", "error")
+
+
+def q_logged_session_state(spark, sf_dir):
+    """Session start, end and liveness of the logged sessions (with lifecycle events)."""
+    from sessionlog.plans.standins import command_lines, lifecycle_lines
+    from sessionlog.sources.command_log import read_command_log
+    src = _ev(spark, sf_dir)
+    ev, _, _ = read_command_log(command_lines(src).unionByName(lifecycle_lines(src)))
+    return session_state(ev)
+
+
+def q_main_files_text(spark, sf_dir):
+    """The main-files map of each session as ``file=seconds`` entries in file order."""
+    from sessionlog.operators.topk import main_files_map
+    entries = F.transform(F.map_entries("main_files"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    files = main_files_map(file_focus(_ev(spark, sf_dir), ADAPTER_AGG, EXE))
+    return files.select("session_id", F.array_join(entries, ";").alias("main_files"))
+
+
+def q_session_lookup(spark, sf_dir):
+    """All events of one session, by its id (the smallest one as a text)."""
+    from sessionlog.sinks.store import session_lookup
+    ev = _ev(spark, sf_dir)
+    return session_lookup(ev, ev.agg(F.min("session_id")).first()[0]).select("session_id", "seq", "type", "ts_us")
+
+
+def q_type_filter(spark, sf_dir):
+    """Events of kept types, and events but those of dropped types."""
+    from sessionlog.operators.search import filter_types
+    ev = _ev(spark, sf_dir)
+    kept = filter_types(ev, keep=["file_edit", "annotation"]).withColumn("how", F.lit("keep"))
+    return kept.unionByName(filter_types(ev, drop=["cursor_move", "file_edit"]).withColumn("how", F.lit("drop"))).select(
+        "session_id", "seq", "type", "how")
+
+
 def q_block_events(spark, sf_dir):
     """Edits with their block number (long form of each block's event list)."""
     from sessionlog.operators.blocks import block_events
@@ -515,6 +558,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "summary_report": q_summary_report,
     "timeline_report": q_timeline_report,
     "stats_report": q_stats_report,
+    "command_rejects": q_command_rejects,
+    "logged_session_state": q_logged_session_state,
+    "main_files_text": q_main_files_text,
+    "session_lookup": q_session_lookup,
+    "type_filter": q_type_filter,
     "block_events": q_block_events,
     "session_search": q_session_search,
 }

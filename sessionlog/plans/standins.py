@@ -63,6 +63,17 @@ def command_lines(events: DataFrame, save_path: str = "/logs") -> DataFrame:
     return events.filter(t.isin(*_CMD)).select("session_id", F.to_json(rec).alias("value"))
 
 
+def bad_lines(events: DataFrame) -> DataFrame:
+    """Lines no recorder accepts: broken JSON, an unknown command, too few arguments."""
+    tick = F.col("changed_tick").cast("string")
+    rest = lambda name: F.concat(F.lit('{"id": '), tick, F.lit(f', "command": "{name}", "args": ["'), "session_id", F.lit('"]}'))
+    line = (F.when(F.col("type") == "file_open", F.concat(F.lit("{broken "), tick))
+            .when(F.col("type") == "lsp_diagnostic", rest("nope"))
+            .when(F.col("type") == "terminal_command", rest("record-edit"))
+            .when(F.col("type") == "annotation", rest("resume")))
+    return events.select("session_id", line.alias("value")).filter(F.col("value").isNotNull())
+
+
 def write_command_log(events: DataFrame, path: str, rounds: int = 3, files: int = 4) -> None:
     """Command-log files in write order: each round appends the next part of every
     session's time (its start in the first, its end in the last), a session's lines

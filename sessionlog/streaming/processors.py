@@ -1,9 +1,10 @@
 """Keyed streaming state machines (``applyInPandasWithState``), one state per session.
 
 Both processors keep O(1) state per session and sort each micro-batch of a
-session by arrival ``(ts_us, cmd_id)``.  No watermark is used: sessions may come
-in any time order and however late, and no row is dropped.  Only the files of
-one session must come in write order.  An ended session leaves its counter
+session by arrival ``(ts_us, cmd_id)``.  Sessions may come in any time order and
+however late, and no row is dropped: the only watermark is on the time of
+arrival here, which no row is behind.  Only the files of one session must come
+in write order.  An ended session leaves its counter
 behind (a resumed one counts on), nothing else.  Their output equals the batch
 operators on the same log:
 
@@ -11,7 +12,7 @@ operators on the same log:
   log (non-cursor events as they come, surviving moves where they are
   committed) with a per-session ``seq`` counter kept in state.  A pending move
   whose timer is open is also committed when its session has sent nothing for
-  ``quiet`` of processing time.
+  ``quiet_s`` seconds, by the arrival of other rows.
 * :func:`live_blocks` - activity blocks emitted when the next event closes them
   (closer, file change, gap) or at ``session_end``.
 """
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
@@ -74,10 +76,12 @@ def _denoise_fn(cfg: FilterConfig, quiet_ms: int):
                 emit(pending)
             pending, deadline = None, None
 
+        arrived_ms = 0
         if state.hasTimedOut:
             commit_idle()
         else:
             batch = pd.concat(list(pdfs), ignore_index=True)
+            arrived_ms = int(batch["arrived_ms"].max())
             for r in batch.sort_values(["ts_us", "cmd_id"], kind="stable").itertuples(index=False):
                 d, t = _row_dict(r), int(r.ts_us)
                 if deadline is not None and t > deadline:
@@ -95,7 +99,7 @@ def _denoise_fn(cfg: FilterConfig, quiet_ms: int):
                     emit(d)
         state.update((anchor, deadline, json.dumps(pending) if pending else None, nseq))
         if deadline is not None:
-            state.setTimeoutDuration(quiet_ms)
+            state.setTimeoutTimestamp(arrived_ms + quiet_ms)
         if out:
             yield _frame(sid, out)
 
@@ -106,9 +110,11 @@ def denoise_stream(events: DataFrame, cfg: FilterConfig = FilterConfig(), quiet_
     """Streaming cursor filter over raw command-log events (``session_id, cmd_id,
     type, ts, ts_us, payload...``); output has the canonical event schema."""
     cols = ["session_id", "cmd_id", "type", "ts", "ts_us", *_PAYLOAD]
-    return (events.select(*cols).groupBy("session_id")
+    rows = events.select(*cols, F.current_timestamp().alias("arrived"))
+    rows = rows.withColumn("arrived_ms", F.unix_millis("arrived")).withWatermark("arrived", "1 second")
+    return (rows.groupBy("session_id")
             .applyInPandasWithState(_denoise_fn(cfg, quiet_s * 1000), EVENT_SCHEMA, DENOISE_STATE, "append",
-                                    GroupStateTimeout.ProcessingTimeTimeout))
+                                    GroupStateTimeout.EventTimeTimeout))
 
 
 BLOCK_STATE = StructType([

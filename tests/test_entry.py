@@ -7,7 +7,7 @@ import __spark_entry__ as E
 from scripts.check_oracle import digest, norm
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["events", "conversations"]
+TABLES = ["events", "conversations", "documents", "embeddings", "benchmark"]
 
 
 def test_entry_runs(spark):

@@ -132,3 +132,13 @@ def test_apply_capture_options(spark):
     _, _, cap = from_options({"max_cursor_events": 2, "log_events": {"lsp_diagnostics": False}})
     got = sorted((r.type, r.seq) for r in apply_capture(ev, cap).collect())
     assert got == [("cursor_move", 0), ("cursor_move", 1), ("terminal_command", 7)]
+
+
+def test_integers_out_of_range_and_update_interval(spark):
+    from sessionlog.config import from_options
+    from sessionlog.sources.command_log import tolerant_int
+    texts = ["7", "-7", "+7", " 7", "x", "", "9" * 30, "-" + "9" * 30, None]
+    got = [r.n for r in spark.createDataFrame([(t,) for t in texts], "t string").select(tolerant_int(F.col("t")).alias("n")).collect()]
+    assert got == [7, -7, 7, 0, 0, 0, 2**63 - 1, -(2**63), 0]
+    assert from_options({"periodic_update_interval": 1500})[2].periodic_update_us == 1_500_000
+    assert from_options()[2].periodic_update_us == 300_000_000
