@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sessionlog.llm import decontaminate, language_crf, line_dedup, piece_codec, simhash
 from sessionlog.llm.queries import PIECES
 from sessionlog.llm.shared import documents, id_remainder
-from sessionlog.spark import materialize
+from sessionlog.spark import materialize, ship_package
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -25,6 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The model learns from four fifths of the labelled documents, as op10 does.
     """
+    ship_package(spark)
     crf = language_crf.fit(docs, id_remainder("doc_id", 5) != 0)
     found = language_crf.predict(docs.select(*COLUMNS), crf)
     # If no row has a label, nothing is known about languages and all texts with a letter stay.
