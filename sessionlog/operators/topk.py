@@ -12,13 +12,15 @@ from sessionlog.operators.sequence import ordinal_within, top_k_per_group
 from sessionlog.spark import materialize
 
 
-def top_files(focus: DataFrame, agg: AggregationConfig = AggregationConfig(), exe: ExecConfig = ExecConfig()) -> DataFrame:
+def top_files(focus: DataFrame, agg: AggregationConfig = AggregationConfig(), exe: ExecConfig = ExecConfig(),
+              summary: DataFrame | None = None) -> DataFrame:
     """Top ``agg.top_files`` main (non-distraction) files per session by seconds
-    (ties by file name), with ``pct_vs_distraction`` = t / (distraction + t) * 100."""
+    (ties by file name), with ``pct_vs_distraction`` = t / (distraction + t) * 100.
+    ``summary``: a table with each session's distraction seconds, if the caller has one."""
     main = focus.filter(~F.col("distraction"))
     ranked = top_k_per_group(main, ["session_id"], [F.col("seconds").desc(), F.col("filename")], agg.top_files,
                              "filename", exe.topk_fanout)
-    dist = focus_summary(focus).select("session_id", "distraction_seconds")
+    dist = (focus_summary(focus) if summary is None else summary).select("session_id", "distraction_seconds")
     return ranked.join(dist, "session_id", "left").select(
         "session_id", F.col("rank").cast("bigint").alias("rank"), "filename", base_name(F.col("filename")).alias("base"),
         "seconds", pct_vs_distraction(F.col("seconds"), F.coalesce("distraction_seconds", F.lit(0)))

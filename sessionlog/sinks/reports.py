@@ -280,7 +280,7 @@ def summary_report(events: DataFrame, sessions: DataFrame | None = None, agg: Ag
             else session_state(events).withColumn("project_path", F.lit(None).cast("string")))
     hdr = an.join(meta.select("session_id", "project_path", "start_us", "end_us"), "session_id", "left")
     n_main = foc.filter(~_c("distraction")).groupBy("session_id").agg(F.count(F.lit(1)).alias("k"))
-    hdr = hdr.join(n_main, "session_id", "left")
+    hdr = materialize(hdr.join(n_main, "session_id", "left"), "report-header")
     ended = _c("end_us").isNotNull()
     head = (0, F.lit(0), SUMMARY_HEAD, {
         "session_id": _c("session_id"), "project": F.coalesce("project_path", F.lit("")),
@@ -299,7 +299,7 @@ def summary_report(events: DataFrame, sessions: DataFrame | None = None, agg: Ag
         "delta": _c("delta_tick"), "events": _c("event_count"),
     })
 
-    tops = top_files(foc, agg, exe)
+    tops = top_files(foc, agg, exe, summary=hdr)
     focus_conds = {"has_files": F.coalesce(_c("k"), F.lit(0)) > 0, "distracted": _c("distraction_seconds") > 0}
     focus_head = (2, F.lit(0), SUMMARY_FOCUS_HEAD, {"focus_pct": _f1(_c("focus_ratio") * 100)}, focus_conds)
     files = _lines(tops, 3, _c("rank"), SUMMARY_FILE, {

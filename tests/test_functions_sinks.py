@@ -157,3 +157,28 @@ def test_lookup_type_filter_and_report_grep(spark):
     assert {h.session_id for h in search_lines(lines, "Notes").collect()} == {"a", "b"}  # stats row of each report
     hits = search_lines(lines, "fix later").collect()
     assert [(h.session_id, h.line) for h in hits] == [("a", "- Note: fix later")]
+
+
+def test_report_texts_are_pinned(spark):
+    """Both reports of a small session, as whole texts written down beside this test."""
+    t = 1_704_067_200
+    a = "/p/src/a.lua"
+    ev = rows_to_df(spark, {"1704067200_demo": [
+        {"type": "session_start", "ts": S(t), "note": "Started"},
+        {"type": "file_edit", "ts": S(t + 1), "filename": a, "line": 3, "column": 1, "changed_tick": 5, "line_text": "x = 1"},
+        {"type": "file_edit", "ts": S(t + 2), "filename": a, "line": 4, "column": 1, "changed_tick": 65, "line_text": "y = 2"},
+        {"type": "terminal_command", "ts": S(t + 5), "command": "make"},
+        {"type": "cursor_move", "ts": S(t + 6), "filename": "NvimTree_1", "line": 1, "column": 0},
+        {"type": "annotation", "ts": S(t + 400), "note": "Fix bug", "filename": a},
+        {"type": "session_end", "ts": S(t + 401), "note": "Ended"}]})
+    here = os.path.join(os.path.dirname(__file__), "fixtures")
+    for name, report in (("summary_report", summary_report(ev)), ("timeline_report", timeline_report(ev))):
+        with open(os.path.join(here, f"{name}.md"), encoding="utf-8") as f:
+            assert render(report, "1704067200_demo") == f.read(), name
+
+
+def test_summary_report_plan_stays_small(spark):
+    """The report reads what its sections share once."""
+    ev = load_driver_events(spark, "/root/testdata/sf0.001")
+    plan = summary_report(ev)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= 12 and plan.count("Exchange ") <= 18, (plan.count("FileScan parquet"), plan.count("Exchange "))
