@@ -35,7 +35,7 @@ from sessionlog.llm import perfect_hash
 from sessionlog.llm.shared import NULL_ID, map_file, new_folder, write_file
 from sessionlog.spark import materialize
 
-_ARRAYS = (("bits", "u1"), ("starts", "<i8"), ("before", "<i8"), ("prints", "<u4"), ("counts", "<u4"), ("owners", "<i8"))
+_ARRAYS = (("bits", "<u8"), ("starts", "<i8"), ("before", "<u4"), ("prints", "<u4"), ("counts", "<u4"), ("owners", "<i8"))
 
 
 def split_lines(text: str | None, min_chars: int) -> list[tuple[bytes, bytes | None]]:
@@ -72,7 +72,7 @@ class LineIndex:
         raw = map_file(self.folder, self.names[shard])
         sizes, at, out = raw[:48].view("<i8"), 48, {}
         for (name, kind), size in zip(_ARRAYS, sizes, strict=True):
-            out[name] = raw[at : at + size].view(kind)
+            out[name] = raw[at : at + size].view(kind)  # padded to 8 bytes: the last entries may stand for nothing
             at += int(size)
         return out
 

@@ -22,40 +22,35 @@ def mixed(keys: np.ndarray, seed: int) -> np.ndarray:
 
 
 def build(keys: np.ndarray, room: float = 2.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bits of all levels as bytes, first byte of each level and the end, set bits before each level's 64-byte block)."""
+    """(bits of all levels in 64-bit words, first word of each level and the end, set bits before each word)."""
     left, bits, starts = keys.astype(np.uint64), [], [0]
     while len(left):
-        size = max(64, -(-int(len(left) * room) // 512) * 512)
-        slot = mixed(left, len(starts)) % np.uint64(size)
-        taken = np.bincount(slot.astype(np.int64), minlength=size)
-        bits.append(np.packbits(taken == 1, bitorder="little"))
+        size = max(64, -(-int(len(left) * room) // 64) * 64)
+        slot = (mixed(left, len(starts)) % np.uint64(size)).astype(np.int64)
+        taken = np.bincount(slot, minlength=size)
+        bits.append(np.packbits(taken == 1, bitorder="little").view("<u8"))
         starts.append(starts[-1] + len(bits[-1]))
-        left = left[taken[slot.astype(np.int64)] > 1]
+        left = left[taken[slot] > 1]
         if len(starts) > 200:
             raise ValueError("keys repeat")
-    all_bits = np.concatenate(bits) if bits else np.empty(0, np.uint8)
-    padded = np.concatenate([all_bits, np.zeros(-len(all_bits) % 64, np.uint8)])
-    before = np.concatenate([[0], np.cumsum(np.bitwise_count(padded).reshape(-1, 64).sum(1, dtype=np.int64))])
-    return all_bits, np.array(starts, np.int64), before.astype(np.int64)
+    words = np.concatenate(bits) if bits else np.empty(0, "<u8")
+    before = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
+    return words, np.array(starts, np.int64), before.astype("<u4")
 
 
 def index(tables: tuple[np.ndarray, np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
     """The index of each key; a key that isn't in the set gets -1 or any index."""
-    bits, starts, before = tables
+    words, starts, before = tables
     out, todo = np.full(len(keys), -1, np.int64), np.arange(len(keys))
     for level in range(len(starts) - 1):
         if not len(todo):
             break
-        size = int(starts[level + 1] - starts[level]) * 8
-        slot = (mixed(keys[todo], level + 1) % np.uint64(size)).astype(np.int64)
-        byte = starts[level] + (slot >> 3)
-        found = (bits[byte] >> (slot & 7).astype(np.uint8)) & 1 == 1
-        at, bit, own = byte[found], (slot & 7)[found], todo[found]
-        block = at >> 6
-        # Bits before: those of whole blocks, of the block's earlier bytes, of the byte's lower bits.
-        spread = block[:, None] * 64 + np.arange(64)
-        inside = np.where(spread < at[:, None], np.bitwise_count(bits[np.minimum(spread, len(bits) - 1)]), 0).sum(1, dtype=np.int64)
-        low = np.bitwise_count(bits[at] & ((1 << bit) - 1).astype(np.uint8))
-        out[own] = before[block] + inside + low
+        size = int(starts[level + 1] - starts[level]) * 64
+        slot = mixed(keys[todo], level + 1) % np.uint64(size)
+        word, bit = starts[level] + (slot >> np.uint64(6)).astype(np.int64), slot & np.uint64(63)
+        one = np.uint64(1) << bit
+        found = (words[word] & one) != 0
+        at = word[found]
+        out[todo[found]] = before[at] + np.bitwise_count(words[at] & (one[found] - np.uint64(1))).astype(np.int64)
         todo = todo[~found]
     return out
