@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -202,3 +203,29 @@ def test_language(spark, odd_docs, odd_rows, no_docs):
     assert language_crf.predict(no_docs, crf).count() == 0
     nothing = language_crf.fit(no_docs, ~held)
     assert {r.lang_pred for r in language_crf.predict(odd_docs, nothing).collect()} == {"und"}
+
+
+def test_suffix_tree_keeps_what_occurs_twice(make_docs):
+    """A context and next word seen a few times stay in the tree in a table of any size; as the tree in memory has it."""
+    rnd = np.random.default_rng(5)
+    common = [f"c{i}" for i in range(50)]
+    texts = [" ".join(rnd.choice(common, 400)) for _ in range(3500)]
+    texts += ["rareone raretwo rarethree rarefour"] * 3
+    docs = make_docs([(i, t) for i, t in enumerate([*texts, "rareone raretwo rarethree rarefour"])])
+    got = {r.doc_id: r for r in suffix_tree_lm.score(docs, F.col("doc_id") == 3503).collect()}
+    assert got[3503].train_tokens > 2**20 and got[3503].n_known == 5
+    assert got[3503].score > got[3503].base_score + 10
+    tokens, starts = suffix_tree_lm._tokens(pa.array([*texts, "rareone raretwo rarethree rarefour"]))
+    own = tokens[: starts[-2]]
+    keys, n = np.unique(own, return_counts=True)
+    tree = suffix_tree_lm.Tree(keys, n, len(own), len(keys))
+    ids = tree.words(own)
+    for _ in range(3):
+        ends = tree.chains(ids, starts[:-2])[-1]
+        before = np.concatenate([[-1], ends[:-1]])
+        before[starts[:-2]] = -1
+        able = (before >= 0) & (ends >= 0)
+        k, c = np.unique((before[able].astype(np.int64) << 20) | ids[able], return_counts=True)
+        tree.grow(k[c > 1], c[c > 1], 4.0)
+    want = np.add.reduceat(tree.log_probabilities(tree.words(tokens), starts[:-1]), starts[:-1])
+    assert np.allclose([got[i].score for i in range(len(want))], want, rtol=1e-5)
