@@ -14,8 +14,9 @@ one node.  A neighbour list holds the ``degree`` nearest nodes known.
   ``beam`` best nodes met and joins the lists of the best ones not yet visited,
   until all in the beam are visited.  Those are scored on the original vectors.
 
-Lists and walks use vectors of one byte a component and a scale; scores that
-are returned use double precision.
+Lists and walks rank by the squared distance of unit vectors of four bytes a
+component, so near copies are told apart; scores that are returned use double
+precision.
 
 Vectors that are null or zero, or hold a null or non-finite component, take no
 part.  A null id takes no part.  Shorter vectors count as padded with zeros.
@@ -29,26 +30,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlog.llm.shared import pick
 from sessionlog.spark import materialize
 
+#: Below the similarity of any two unit vectors.
+_NONE = -5.0
 _GRAPH = "node long, code binary, ids array<long>, sims array<float>, fresh array<boolean>"
 
 
 def _codes(x: np.ndarray) -> list[bytes]:
-    """Unit vectors, one byte a component, after a 4-byte scale."""
+    """Unit vectors, four bytes a component."""
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("<f4")
-    scale = (np.abs(x).max(1, keepdims=True) / 127).astype("<f4")
-    both = np.concatenate([scale.view(np.uint8).reshape(len(x), 4), np.rint(x / scale).astype(np.int8).view(np.uint8)], 1)
-    return [r.tobytes() for r in both]
+    return [r.tobytes() for r in x]
 
 
 def _vectors(codes: pa.Array) -> np.ndarray:
-    both = np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(len(codes), -1)
-    return both[:, 4:].view(np.int8).astype(np.float32) * both[:, :4].copy().view("<f4")
+    return np.frombuffer(b"".join(codes.to_pylist()), "<f4").reshape(len(codes), -1).astype(np.float64)
+
+
+def _sims(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances, negative: small ones keep their digits where cosines near one would not."""
+    return np.minimum(2 * (x @ y.T) - (x * x).sum(1)[:, None] - (y * y).sum(1), 0)
 
 
 def _matrix(rows: pa.Array, dim: int) -> np.ndarray:
@@ -107,8 +113,8 @@ def _first_lists(nodes: DataFrame, n: int, dim: int, degree: int, trees: int, bl
 
     def inside(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         node, x = rows["node"].to_numpy(), _vectors(rows["code"])
-        sims = x @ x.T
-        np.fill_diagonal(sims, -2)
+        sims = _sims(x, x)
+        np.fill_diagonal(sims, _NONE)
         most = min(degree, len(node) - 1)
         if most > 0:
             best = np.argpartition(-sims, most - 1, axis=1)[:, :most]
@@ -164,7 +170,7 @@ def _merge(old: DataFrame, new: DataFrame, degree: int) -> DataFrame:
 
 def _compare(graph: DataFrame, degree: int) -> DataFrame:
     """Better entries for lists, from the node in the middle of two list entries."""
-    info = graph.select("node", "code", F.when(F.size("sims") < degree, F.lit(-2.0)).otherwise(F.array_min("sims")).cast("float").alias("worst"), "ids", "fresh")
+    info = graph.select("node", "code", F.when(F.size("sims") < degree, F.lit(_NONE)).otherwise(F.array_min("sims")).cast("float").alias("worst"), "ids", "fresh")
     edges = info.select("node", "code", "worst", F.explode(F.arrays_zip("ids", "fresh")).alias("e")).select("node", "code", "worst", F.col("e.ids").alias("other"), F.col("e.fresh").alias("fresh"))
     listed = edges.select(F.col("node").alias("middle"), "other", "fresh").join(info.select(F.col("node").alias("other"), "code", "worst"), "other")
     listed = listed.select("middle", F.lit(0).alias("kind"), F.col("other").alias("id"), "code", "worst", "fresh")
@@ -193,7 +199,7 @@ def _compare(graph: DataFrame, degree: int) -> DataFrame:
             yield _lists(*(np.concatenate(z) for z in zip(*found, strict=True)), degree)
 
     def _pairs(p, q, found: list, both: bool = True) -> None:
-        sims = p[1] @ q[1].T
+        sims = _sims(p[1], q[1])
         able = (p[3][:, None] | q[3]) & (p[0][:, None] != q[0])
         i, j = np.nonzero(able & (sims > p[2][:, None]))
         found.append((p[0][i], q[0][j], sims[i, j]))
@@ -253,14 +259,13 @@ def _walk(graph: DataFrame, starts: DataFrame, beam: int, step: int) -> DataFram
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            x = _vectors(batch["code"])
-            sizes = np.diff(batch["ids"].offsets.to_numpy())
-            sims = np.einsum("ij,ij->i", _vectors(batch["codes"].flatten()), np.repeat(x, sizes, 0))
-            node, ids = np.repeat(batch["node"].to_numpy(), sizes), batch["ids"].flatten().to_numpy()
-            able = node != ids
-            yield _lists(node[able], ids[able], sims[able], beam)
+            for at in range(0, len(batch), 512):
+                part = batch.slice(at, 512)
+                sizes = pc.list_value_length(part["ids"]).to_numpy()
+                sims = -((_vectors(part["codes"].flatten()) - np.repeat(_vectors(part["code"]), sizes, 0)) ** 2).sum(1)
+                node, ids = np.repeat(part["node"].to_numpy(), sizes), part["ids"].flatten().to_numpy()
+                able = node != ids
+                yield _lists(node[able], ids[able], sims[able], beam)
 
     def moved(state: DataFrame, new: DataFrame | None) -> DataFrame:
         rows = state.select("node", F.lit(0).alias("kind"), "code", "ids", "sims", "seen")

@@ -229,3 +229,22 @@ def test_suffix_tree_keeps_what_occurs_twice(make_docs):
         tree.grow(k[c > 1], c[c > 1], 4.0)
     want = np.add.reduceat(tree.log_probabilities(tree.words(tokens), starts[:-1]), starts[:-1])
     assert np.allclose([got[i].score for i in range(len(want))], want, rtol=1e-5)
+
+
+@pytest.mark.parametrize("noise", [0.01, 0.0001])
+def test_nearest_among_near_copies(spark, noise):
+    """A third of the rows are noisy copies of one vector: their neighbours are those of double precision."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 64))
+    x[::3] = x[0] + noise * rng.normal(size=(1000, 64))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nn_descent.nearest(df, F.col("vec_id") % 60 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = 0
+    for q in range(0, 3000, 60):
+        far = ((unit - unit[q]) ** 2).sum(1)
+        far[q] = 9
+        found += len(got[q] & set(np.argsort(far)[:5].tolist()))
+    assert found / (5 * 50) >= 0.9
