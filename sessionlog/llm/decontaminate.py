@@ -18,9 +18,11 @@ similarity) * n)`` word edits of the item's n words (in lower case).
 
 Items go to the tasks in blocks of ``block_items``, so a benchmark of any size
 is searched in bounded memory.  Items of fewer than ``least_words`` words are
-no evidence of a leak and are never reported.  Null or empty texts and items
-hold nothing.  Repeated rows are answered each on its own.  Other columns of
-the inputs are ignored.
+too short to embed: cut into one piece more than their edits, one piece at least
+stays whole, so each place of a piece is verified and none is missed.  Null or
+empty texts and items hold nothing.  A null item_id is reported as null.
+Repeated rows are answered each on its own.  Other columns of the inputs are
+ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sessionlog.llm.perfect_hash import mixed
 from sessionlog.llm.shared import pick
@@ -111,6 +114,15 @@ def window_hashes(hashes: np.ndarray, walk: int, plans: list[Plan]) -> Iterator[
             at, label = at[new], number if label is None else number[label]
 
 
+def runs(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words from each position that has as many."""
+    size = max(0, len(hashes) - n + 1)
+    out = np.zeros(size, np.uint64)
+    for j in range(n):
+        out = mixed(out ^ hashes[j : j + size], j)
+    return out
+
+
 class Items:
     """A block of items with the hashes of their windows."""
 
@@ -121,10 +133,16 @@ class Items:
         self.words = [hashes[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
         # Rounded before the floor: 0.2 * 15 is three edits.
         self.edits = [int(round((1 - similarity) * len(w), 6)) for w in self.words]
-        by_size = defaultdict(list)
+        by_size, pieces = defaultdict(list), defaultdict(list)
         for i, w in enumerate(self.words):
             if len(w) >= least_words:
                 by_size[1 << ((len(w)).bit_length() - 1)].append(i)
+            elif len(w):
+                cuts = np.linspace(0, len(w), min(self.edits[i] + 1, len(w)) + 1).astype(int).tolist()
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    pieces[b - a].append((int(runs(w[a:b], b - a)[0]), i, a))
+        #: For each length of pieces of short items: their hashes in order, items and offsets.
+        self.pieces = {n: (np.array([h for h, _, _ in sorted(x)], np.uint64), [(i, o) for _, i, o in sorted(x)]) for n, x in pieces.items()}
         self.plans = [Plan(size, walks, sets, samples) for size in sorted(by_size)]
         self.tables: dict = {}
         for plan in self.plans:
@@ -147,6 +165,12 @@ class Items:
     def candidates(self, hashes: np.ndarray) -> set[tuple[int, int]]:
         """(item, position where the item's first word would stand) for windows with equal hashes."""
         out: set = set()
+        for n, (keys, owners) in self.pieces.items():
+            h = runs(hashes, n)
+            a, b = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
+            at = np.flatnonzero(a < b)
+            for pos, x, y in zip(at.tolist(), a[at].tolist(), b[at].tolist(), strict=True):
+                out.update((i, pos - o) for i, o in owners[x:y])
         reach = 2 * max((p.size for p in self.plans), default=0)
         for base in range(0, len(hashes), _PIECE):
             for walk in range(self.walks):
@@ -207,6 +231,7 @@ def contaminated(
 ) -> DataFrame:
     """doc_id, item_id and edits: one row for each item that a document holds."""
     kind, item_kind = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
+    id_type = to_arrow_type(items.schema[item_id].dataType)
     spark, rows = docs.sparkSession, pick(docs, doc_id=doc_id, text=text)
 
     def search(block: list) -> DataFrame:
@@ -220,13 +245,13 @@ def contaminated(
                     words = Words(pc.utf8_lower(part["text"]))
                     found = block.held(words.hashes(), words.first)
                     if found:
-                        ids = pa.array([block.ids[i] for _, i, _ in found])
+                        ids = pa.array([block.ids[i] for _, i, _ in found], id_type)
                         yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array([t for t, _, _ in found])), ids, pa.array([e for _, _, e in found], pa.int64())], ["doc_id", "item_id", "edits"])
 
         return rows.mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, edits long")
 
     out, block = None, []
-    for r in pick(items, item_id=item_id, text=item_text).filter("item_id IS NOT NULL AND text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
+    for r in pick(items, item_id=item_id, text=item_text).filter("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
         block.append((r.item_id, r.text))
         if len(block) == block_items:
             out, block = search(block) if out is None else out.unionByName(search(block)), []

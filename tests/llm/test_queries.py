@@ -141,6 +141,23 @@ def test_decontamination(spark, make_docs, no_docs, odd_rows):
     assert decontaminate.contaminated(make_docs(docs), table.filter("false")).count() == 0
 
 
+def test_short_items_and_items_without_an_id(spark, make_docs):
+    long = " ".join(f"w{i}" for i in range(12))
+    items = [(1, "yes"), (2, "what is it"), (3, "one two three four"), (4, "a1 a2 a3 a4 a5"), (5, "b1 b2 b3 b4 b5 b6 b7"), (None, long), (None, "no id here"), (6, "")]
+    docs = [(1, "Yes"), (2, "well What is\nit then"), (3, "one two four three"), (4, "a1 a2 xx a4 a5"), (5, "z a1 a2 a4 a5"), (6, "b1 b2 b3 q b4 b5 b6 b7 b8"),
+            (7, "b1 b2 x b4 b5 x b7"), (8, f"start {long} end"), (9, "there is no id here"), (10, None), (11, ""), (12, "one two three four yes"), (13, "a2 a3 a4 a5")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    want = set()
+    for i, t in docs:
+        words = (t or "").lower().split()
+        for k, x in items:
+            item = x.split()
+            if item and (d := plain_distance(item, words)) <= int(0.2 * len(item) + 1e-9):
+                want.add((i, k, d))
+    assert len(want) >= 9 and {k for _, k, _ in want} == {1, 2, 3, 4, 5, None}
+    same(set(rows(decontaminate.contaminated(make_docs(docs), table, block_items=3).select("doc_id", "item_id", "edits"))), want)
+
+
 def test_suffix_tree_scores(odd_docs, odd_rows, no_docs):
     tokens = [[*(t or "").encode().lower().split(), None] for _, t in odd_rows]
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0 for i, _ in odd_rows]
