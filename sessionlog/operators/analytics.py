@@ -10,6 +10,7 @@ from sessionlog.operators.blocks import activity_blocks
 from sessionlog.operators.corrections import error_corrections
 from sessionlog.operators.focus import file_focus, focus_summary
 from sessionlog.operators.scan import SCAN_INPUT, scan
+from sessionlog.operators.sequence import join_on
 
 
 def session_analytics(events: DataFrame, agg: AggregationConfig = AggregationConfig(),
@@ -42,7 +43,9 @@ def session_analytics(events: DataFrame, agg: AggregationConfig = AggregationCon
     foc = focus_summary(focus if focus is not None else file_focus(events, agg, exe, scanned=s))
     corr = (corrections if corrections is not None else error_corrections(events, agg, exe)).groupBy("session_id").agg(
         F.count(F.lit(1)).alias("error_corrections"))
-    j = spine.join(vel, "session_id", "left").join(foc, "session_id", "left").join(corr, "session_id", "left")
+    j = spine
+    for part in (vel, foc, corr):
+        j = join_on(j, part, ["session_id"], "left")
     z = F.lit(0).cast("bigint")
     return j.select(
         "session_id", "total_events",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sessionlog.config import AggregationConfig, ExecConfig
 from sessionlog.functions.scalar import has_error_keyword
 from sessionlog.operators.scan import scan
+from sessionlog.operators.sequence import join_on
 
 
 def error_corrections(events: DataFrame, agg: AggregationConfig = AggregationConfig(),
@@ -43,7 +44,7 @@ def error_corrections(events: DataFrame, agg: AggregationConfig = AggregationCon
         (F.col("type") == "file_edit").alias("t_edit"), F.coalesce("filename", F.lit("")).alias("t_file"),
         F.coalesce("changed_tick", F.lit(0)).alias("t_tick"),
     )
-    j = probes.join(ctx, ["session_id", "t_seq"])
+    j = join_on(probes, ctx, ["session_id", "t_seq"])
     g = j.groupBy("session_id", "a_seq").agg(
         F.first("a_ts").alias("a_ts"), F.first("a_file").alias("a_file"), F.first("a_filename").alias("a_filename"),
         F.first("annotation").alias("annotation"),

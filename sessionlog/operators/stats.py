@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlog.functions.scalar import edit_percent, nav_percent
+from sessionlog.operators.sequence import join_on
 
 LIFECYCLE = ("session_start", "session_resume", "session_end")
 
@@ -63,7 +64,7 @@ def session_stats(events: DataFrame, sessions: DataFrame | None = None) -> DataF
     if sessions is None:
         sessions = session_state(events).withColumn("project_path", F.lit(None).cast("string"))
     spine = sessions.select("session_id", "project_path", "start_us", "end_us", "active")
-    j = spine.join(counts, "session_id", "left")
+    j = join_on(spine, counts, ["session_id"], "left")
     zero = F.lit(0).cast("bigint")
     cols = ["total_events", "file_edits", "terminal_commands", "annotations", "cursor_moves", "file_opens",
             "lsp_diagnostics"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sessionlog.config import AggregationConfig, ExecConfig
 from sessionlog.functions.scalar import base_name, pct_vs_distraction
 from sessionlog.operators.focus import focus_summary
-from sessionlog.operators.sequence import ordinal_within, top_k_per_group
+from sessionlog.operators.sequence import join_on, ordinal_within, top_k_per_group
 from sessionlog.spark import materialize
 
 
@@ -21,7 +21,7 @@ def top_files(focus: DataFrame, agg: AggregationConfig = AggregationConfig(), ex
     ranked = top_k_per_group(main, ["session_id"], [F.col("seconds").desc(), F.col("filename")], agg.top_files,
                              "filename", exe.topk_fanout)
     dist = (focus_summary(focus) if summary is None else summary).select("session_id", "distraction_seconds")
-    return ranked.join(dist, "session_id", "left").select(
+    return join_on(ranked, dist, ["session_id"], "left").select(
         "session_id", F.col("rank").cast("bigint").alias("rank"), "filename", base_name(F.col("filename")).alias("base"),
         "seconds", pct_vs_distraction(F.col("seconds"), F.coalesce("distraction_seconds", F.lit(0)))
         .alias("pct_vs_distraction"),

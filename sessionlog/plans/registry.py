@@ -18,6 +18,7 @@ from sessionlog.operators.blocks import BLOCK_COLUMNS, activity_blocks, flow_blo
 from sessionlog.operators.corrections import error_corrections
 from sessionlog.operators.focus import file_focus, focus_summary
 from sessionlog.operators.gaps import idle_gaps, idle_totals
+from sessionlog.operators.sequence import join_on
 from sessionlog.operators.stats import event_counts, session_state, session_stats
 from sessionlog.operators.timeline import TIMELINE_COLUMNS, timeline
 from sessionlog.sources.adapter import load_driver_events
@@ -150,7 +151,7 @@ def q_report_blocks(spark, sf_dir):
     """First 50 blocks per session and how many blocks follow them."""
     from sessionlog.operators.topk import report_blocks
     first, more = report_blocks(activity_blocks(_ev(spark, sf_dir), ADAPTER_AGG, EXE), ADAPTER_AGG)
-    return first.select("session_id", "block_no", "start_us", "filename", "closed_by").join(more, "session_id")
+    return first.select("session_id", "block_no", "start_us", "filename", "closed_by").transform(join_on, more, ["session_id"])
 
 
 def q_flow_block_ordinals(spark, sf_dir):
@@ -270,8 +271,8 @@ def q_store_upsert(spark, sf_dir):
     write_store(base_s, store_events(src), path)
     new_ev, meta, _ = read_command_log(command_lines(src).unionByName(lifecycle_lines(src)))
     ids = route_by_format(meta)["store"]
-    new_s = store_sessions(session_state(new_ev).join(meta, "session_id").join(ids, "session_id", "left_semi"))
-    new_e = store_events(new_ev.join(ids, "session_id", "left_semi"))
+    new_s = store_sessions(join_on(join_on(session_state(new_ev), meta, ["session_id"]), ids, ["session_id"], "left_semi"))
+    new_e = store_events(join_on(new_ev, ids, ["session_id"], "left_semi"))
     for _ in range(2):
         upsert_store(new_s, new_e, path)
     e = spark.read.parquet(f"{path}/events")

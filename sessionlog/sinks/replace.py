@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionlog.operators.sequence import join_on
 from sessionlog.spark import materialize
 
 BUCKETS = 64
@@ -48,7 +49,7 @@ def replace_sessions(new: DataFrame, ids: DataFrame, path: str, order: Sequence[
     if table_exists(spark, path):
         old = spark.read.format(fmt).load(path).filter(F.col("bucket").isin(touched))
         old = (read(old) if read else old).withColumn("bucket", F.col("bucket").cast("bigint"))
-        rows = rows.unionByName(old.join(ids, key, "left_anti"))
+        rows = rows.unionByName(join_on(old, ids, [key], "left_anti"))
     staged = materialize(rows, "replace")
     keys = ["bucket", *order]
     out = staged.repartitionByRange(*keys).sortWithinPartitions(*keys) if order else staged.repartition("bucket")

@@ -28,6 +28,7 @@ from sessionlog.operators.corrections import error_corrections
 from sessionlog.operators.focus import file_focus
 from sessionlog.operators.gaps import idle_gaps
 from sessionlog.operators.scan import SCAN_INPUT, scan
+from sessionlog.operators.sequence import join_on
 from sessionlog.operators.stats import event_counts, session_state, session_stats
 from sessionlog.operators.timeline import timeline
 from sessionlog.operators.topk import top_files, with_ordinal
@@ -242,12 +243,12 @@ def timeline_report(events: DataFrame, sessions: DataFrame | None = None, agg: A
     recorder does (first edit, ``1 edit``); ``"intent"`` prints last values and counts."""
     st = session_stats(events, sessions)
     times = sessions if sessions is not None else session_state(events)
-    spine = st.join(times.select("session_id", "start_us", "end_us"), "session_id", "left")
+    spine = join_on(st, times.select("session_id", "start_us", "end_us"), ["session_id"], "left")
     tl = materialize(timeline(events, agg, exe), "report-timeline")  # read for entries and their number
     n_entries = tl.groupBy("session_id").agg(F.count(F.lit(1)).alias("entries"))
-    spine = spine.join(n_entries, "session_id", "left")
+    spine = join_on(spine, n_entries, ["session_id"], "left")
     head = (0, F.lit(0), TIMELINE_HEAD, {
-        "session_id": _c("session_id"), "project": F.coalesce("project_path", F.lit("")),
+        "session_id": F.coalesce("session_id", F.lit("")), "project": F.coalesce("project_path", F.lit("")),
         "date": day(_c("start_us")), "duration": format_duration_or_progress(_c("start_us"), _c("end_us")),
         "start": clock(_c("start_us")), "edits": _c("file_edits"), "navs": _c("cursor_moves"),
         "terminal": _c("terminal_commands"), "notes": _c("annotations"), "lsp": _c("lsp_diagnostics"),
@@ -278,12 +279,12 @@ def summary_report(events: DataFrame, sessions: DataFrame | None = None, agg: Ag
     an = session_analytics(events, agg, exe, scanned=s, blocks=blocks, focus=foc, corrections=corr)
     meta = (sessions if sessions is not None
             else session_state(events).withColumn("project_path", F.lit(None).cast("string")))
-    hdr = an.join(meta.select("session_id", "project_path", "start_us", "end_us"), "session_id", "left")
+    hdr = join_on(an, meta.select("session_id", "project_path", "start_us", "end_us"), ["session_id"], "left")
     n_main = foc.filter(~_c("distraction")).groupBy("session_id").agg(F.count(F.lit(1)).alias("k"))
-    hdr = materialize(hdr.join(n_main, "session_id", "left"), "report-header")
+    hdr = materialize(join_on(hdr, n_main, ["session_id"], "left"), "report-header")
     ended = _c("end_us").isNotNull()
     head = (0, F.lit(0), SUMMARY_HEAD, {
-        "session_id": _c("session_id"), "project": F.coalesce("project_path", F.lit("")),
+        "session_id": F.coalesce("session_id", F.lit("")), "project": F.coalesce("project_path", F.lit("")),
         "started": _dt(_c("start_us")), "ended_at": _dt(_c("end_us")),
         "duration": format_duration(_c("end_us") - _c("start_us")), "total": _c("total_events"),
         "blocks": _c("activity_blocks"), "avg_velocity": _f2(_c("avg_velocity")),
@@ -340,7 +341,7 @@ def summary_report(events: DataFrame, sessions: DataFrame | None = None, agg: Ag
     raw_head = (13, F.lit(0), SUMMARY_COUNTS_HEAD, {}, {})
     raw_body = _lines(with_type_rank(counts), 14, _c("type_rank"), SUMMARY_COUNT,
                       {"type": title_case(_c("type")), "n": _c("n")})
-    foot = (15, F.lit(0), SUMMARY_FOOT, {"session_id": _c("session_id")}, {})
+    foot = (15, F.lit(0), SUMMARY_FOOT, {"session_id": F.coalesce("session_id", F.lit(""))}, {})
 
     per_session = _sections(hdr, [head, focus_head, focus_tail, tl_head, tl_more, raw_head, foot])
     parts = [flow, files, corr_lines, gap_lines, tl_body, raw_body]
@@ -355,7 +356,7 @@ def stats_report(stats: DataFrame) -> DataFrame:
     as line rows: status, duration of finished sessions in ``1h30m0s`` form, and
     the event counts."""
     return _lines(stats, 0, F.lit(0), STATS_SESSION, {
-        "session_id": _c("session_id"), "status": _c("status"),
+        "session_id": F.coalesce("session_id", F.lit("")), "status": _c("status"),
         "duration": go_duration(F.coalesce(_c("duration_us"), F.lit(0))), "total": _c("total_events"),
         "edits": _c("file_edits"), "navs": _c("cursor_moves"), "terminal": _c("terminal_commands"),
         "notes": _c("annotations"),
@@ -385,5 +386,5 @@ def write_report(lines: DataFrame, path: str, sessions: DataFrame | None = None)
 
 def render(lines: DataFrame, session_id: str) -> str:
     """Assemble one session's report on the driver (tests and small previews only)."""
-    rows = lines.filter(F.col("session_id") == session_id).orderBy("sec", "ord", "sub").select("line").collect()
+    rows = lines.filter(F.col("session_id").eqNullSafe(session_id)).orderBy("sec", "ord", "sub").select("line").collect()
     return "\n".join(r.line for r in rows) + "\n"

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlog.functions.scalar import epoch_us, us_to_ts
+from sessionlog.operators.sequence import join_on
 from sessionlog.sinks.replace import BUCKETS, bucket_of, replace_sessions
 
 STORE_EVENT_COLUMNS = [
@@ -49,8 +50,8 @@ def upsert(base_sessions: DataFrame, base_events: DataFrame, new_sessions: DataF
     their old events; everything else is kept.  The anti-joins use the (small)
     set of replaced ids as the build side."""
     ids = new_sessions.select(F.col("id").alias("session_id")).distinct()
-    s = base_sessions.join(ids.withColumnRenamed("session_id", "id"), "id", "left_anti").unionByName(new_sessions)
-    e = base_events.join(ids, "session_id", "left_anti").unionByName(new_events)
+    s = join_on(base_sessions, ids.withColumnRenamed("session_id", "id"), ["id"], "left_anti").unionByName(new_sessions)
+    e = join_on(base_events, ids, ["session_id"], "left_anti").unionByName(new_events)
     return s, e
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessionlog.operators.sequence import join_on
 from sessionlog.functions.scalar import us_to_ts
 from sessionlog.sinks.replace import BUCKETS, bucket_of, replace_sessions
 
@@ -73,9 +74,9 @@ def export_all(sessions: DataFrame, events: DataFrame, path: str, report_lines:
     from sessionlog.sinks.store import store_events, store_sessions, upsert_store
 
     routes = route_by_format(sessions)
-    own = {name: (sessions.join(ids, "session_id", "left_semi"), events.join(ids, "session_id", "left_semi"))
+    own = {name: (join_on(sessions, ids, ["session_id"], "left_semi"), join_on(events, ids, ["session_id"], "left_semi"))
            for name, ids in routes.items()}
     export_json(own["json"][1], own["json"][0], f"{path}/json")
     upsert_store(store_sessions(own["store"][0]), store_events(own["store"][1]), f"{path}/store")
     lines = timeline_report(own["markdown"][1], own["markdown"][0]) if report_lines is None else report_lines
-    write_report(lines.join(routes["markdown"], "session_id", "left_semi"), f"{path}/markdown", routes["markdown"])
+    write_report(join_on(lines, routes["markdown"], ["session_id"], "left_semi"), f"{path}/markdown", routes["markdown"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import LongType, StructField, StructType
 
 from sessionlog.config import AggregationConfig, ExecConfig
+from sessionlog.operators.sequence import join_on
 from sessionlog.schema import EVENT_SCHEMA
 from sessionlog.sinks.replace import bucket_of, replace_sessions
 from sessionlog.sources.command_log import command_events, parse_commands, rejects
@@ -53,9 +54,11 @@ def refresh_summaries(log_path: str, out_path: str, agg: AggregationConfig = Agg
         spark = batch.sparkSession
         touched = batch.select("session_id").distinct().withColumn("bucket", bucket_of())
         # joining on the partition column lets dynamic partition pruning skip untouched buckets
-        log = spark.read.parquet(log_path).join(touched, ["bucket", "session_id"], "left_semi").drop("bucket")
+        log = spark.read.parquet(log_path)
+        ids = touched.withColumnsRenamed({"bucket": "_bucket", "session_id": "_id"})
+        log = log.join(ids, (log["bucket"] == ids["_bucket"]) & log["session_id"].eqNullSafe(ids["_id"]), "left_semi").drop("bucket")
         log = materialize(log, "touched")  # one read of the log for all parts of the summary
-        summary = session_analytics(log, agg, exe).join(session_state(log), "session_id", "left")
+        summary = join_on(session_analytics(log, agg, exe), session_state(log), ["session_id"], "left")
         replace_sessions(summary, touched.select("session_id"), out_path)
 
     return body

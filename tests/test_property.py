@@ -201,3 +201,52 @@ def test_scan_operators_more_seeds(spark, seed, chunk):
     assert got_g == sorted(exp_g)
     assert got_f == exp_f
     assert got_t == sorted(exp_t)
+
+
+def test_session_without_an_id_has_the_same_numbers(spark, tmp_path):
+    """Every per-session operator, report and sink gives a NULL session what it gives the same log under an id."""
+    from sessionlog.operators.analytics import session_analytics
+    from sessionlog.operators.stats import session_state, session_stats
+    from sessionlog.operators.topk import top_files
+    from sessionlog.sinks.reports import summary_report, timeline_report
+    from sessionlog.sinks.replace import replace_sessions
+    from sessionlog.sinks.store import store_events, store_sessions, upsert
+    from sessionlog.streaming.pipelines import latest_summaries, refresh_summaries
+
+    log = next(v for v in random_logs(7).values() if len(v) > 40)
+    log = log + [{"type": "file_edit", "ts": log[-1]["ts"] + 1, "filename": "a.lua", "changed_tick": 5, "note": None},
+                 {"type": "annotation", "ts": log[-1]["ts"] + 2, "filename": "a.lua", "changed_tick": None, "note": "fix bug"}]
+    df = rows_to_df(spark, {"named": log, None: log}).cache()
+    state = session_state(df).withColumn("project_path", F.lit("/p")).withColumn("output_format", F.lit("sqlite"))
+    exe = ExecConfig()
+
+    def rows(d):
+        out = {None: [], "named": []}
+        for r in d.collect():
+            out[r.session_id].append(str({k: str(v).replace("named", "None") for k, v in r.asDict().items() if k != "session_id"}))
+        return {k: sorted(v) for k, v in out.items()}
+
+    found = {"stats": session_stats(df), "analytics": session_analytics(df, AGG, exe), "corrections": error_corrections(df, AGG, exe),
+             "top": top_files(file_focus(df, AGG, exe), AGG, exe)}
+    for name, d in found.items():
+        got = rows(d)
+        assert got["named"] and got[None] == got["named"], name
+    for d in (timeline_report(df, state, AGG, exe), summary_report(df, state, AGG, exe)):
+        got = rows(d.select("session_id", "sec", "ord", "sub").withColumn("n", F.lit(1)))
+        assert len(got[None]) == len(got["named"]) > 0
+
+    ids, path = df.select("session_id").distinct(), str(tmp_path / "table")
+    for _ in range(2):
+        replace_sessions(df.select("session_id", "seq"), ids, path)
+    assert spark.read.parquet(path).count() == df.count()
+
+    s, e = upsert(store_sessions(state), store_events(df), store_sessions(state), store_events(df))
+    assert (s.count(), e.count()) == (2, df.count())
+
+    stored, out = str(tmp_path / "log"), str(tmp_path / "summaries")
+    from sessionlog.sinks.replace import bucket_of
+    df.withColumn("bucket", bucket_of()).write.partitionBy("bucket").parquet(stored)
+    for epoch in range(2):
+        refresh_summaries(stored, out, AGG, exe)(df, epoch)
+    got = rows(latest_summaries(spark, out))
+    assert len(got[None]) == 1 and got[None] == got["named"]
