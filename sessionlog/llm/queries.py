@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlog.llm import decontaminate, language_crf, line_dedup, nn_descent, piece_codec, sharding, simhash, suffix_tree_lm, token_counts, token_files
+from sessionlog.llm import collocations, decontaminate, language_crf, line_dedup, nn_descent, piece_codec, sharding, simhash, suffix_tree_lm, token_counts, token_files
 from sessionlog.llm.shared import documents, id_remainder
 
 PIECES = "piece_bpe_32k.model"
@@ -73,6 +73,12 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_crf.predict(docs.select("doc_id", "text"), crf).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2,000 phrases of 2 to 5 words by how much their words attract one another."""
+    found = collocations.collocations(documents(spark, sf_dir), least=100, longest=5, top=2000)
+    return found.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
@@ -84,6 +90,7 @@ QUERIES = {
     "op8_nn_descent": op8_nn_descent,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language_crf": op10_language_crf,
+    "op13_collocations": op13_collocations,
 }
 
 #: DuckDB SQL for the same rows.
@@ -103,3 +110,42 @@ marked AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
+
+ORACLE["op13_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+worded AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+spans AS (
+  SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) AS p
+  FROM worded, (SELECT unnest(range(1, 6)) AS k)),
+counted AS (
+  SELECT lang, k AS size, p, count(*)::HUGEINT AS f FROM spans GROUP BY lang, k, p),
+total AS (
+  SELECT lang, sum(f)::HUGEINT AS n FROM counted WHERE size = 1 GROUP BY lang),
+often AS (
+  SELECT * FROM counted WHERE f >= 100),
+candidates AS (
+  SELECT lang, size, p, string_split(p, ' ') AS w, f AS a FROM often WHERE size > 1),
+cut AS (
+  SELECT lang, p, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:size], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)),
+cuts AS (
+  SELECT cut.lang, cut.p, a, k, l.f AS l, r.f AS r, n, 1000 * a * n // (l.f * r.f) AS score
+  FROM cut JOIN often l ON l.lang = cut.lang AND l.p = cut.head JOIN often r ON r.lang = cut.lang AND r.p = cut.rest
+  JOIN total ON total.lang = cut.lang),
+lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+spanned AS (
+  SELECT lang, a, k, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, size - k + 2)]) AS p
+  FROM (SELECT *, unnest(range(2, size)) AS k FROM candidates)),
+held AS (
+  SELECT lang, p, max(a) AS longer FROM spanned GROUP BY lang, p),
+ranked AS (
+  SELECT w.lang, w.p AS phrase, w.a, w.l, w.r, w.n, w.score,
+    row_number() OVER (PARTITION BY w.lang ORDER BY w.score DESC, w.a DESC, encode(w.p)) AS rank
+  FROM lowest w LEFT JOIN held h ON h.lang = w.lang AND h.p = w.p WHERE h.longer IS NULL OR 100 * h.longer < 100 * w.a)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= 2000"""

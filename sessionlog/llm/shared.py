@@ -90,3 +90,16 @@ class Recent:
                 self.new.clear()
             self.new[key] = value
         return value
+
+
+def by_bytes(batches, column: str, most: int = 1 << 23):
+    """The batches in pieces whose texts hold about ``most`` bytes; a longer text makes a piece of its own."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at, sums = 0, np.concatenate([[0], np.cumsum(sizes)])
+        while at < len(batch):
+            to = max(at + 1, int(np.searchsorted(sums, sums[at] + most, "right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
