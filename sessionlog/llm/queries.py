@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlog.llm import collocations, decontaminate, language_crf, line_dedup, nn_descent, piece_codec, sharding, simhash, suffix_tree_lm, token_counts, token_files
+from sessionlog.llm import collocations, decontaminate, language_crf, line_dedup, nn_descent, piece_codec, quality_gam, sharding, simhash, suffix_tree_lm, token_counts, token_files
 from sessionlog.llm.shared import documents, id_remainder
 
 PIECES = "piece_bpe_32k.model"
@@ -73,6 +73,14 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_crf.predict(docs.select("doc_id", "text"), crf).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op12_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by an additive model fitted on a sample of four fifths of the labels."""
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = id_remainder("doc_id", 5) == 0
+    gam = quality_gam.fit(docs, labels, ~held_out)
+    return quality_gam.predict(docs, gam).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each language's first 2,000 phrases of 2 to 5 words by how much their words attract one another."""
     found = collocations.collocations(documents(spark, sf_dir), least=100, longest=5, top=2000)
@@ -90,6 +98,7 @@ QUERIES = {
     "op8_nn_descent": op8_nn_descent,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language_crf": op10_language_crf,
+    "op12_quality_gam": op12_quality_gam,
     "op13_collocations": op13_collocations,
 }
 
