@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlog.llm import collocations, decontaminate, language_crf, line_dedup, nn_descent, piece_codec, quality_gam, sharding, simhash, suffix_tree_lm, token_counts, token_files
+from sessionlog.llm import collocations, decontaminate, language_crf, line_dedup, nn_descent, piece_codec, quality_gam, sharding, simhash, suffix_tree_lm, token_counts, token_files, turn_repair
 from sessionlog.llm.shared import documents, id_remainder
 
 PIECES = "piece_bpe_32k.model"
@@ -73,6 +73,11 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_crf.predict(docs.select("doc_id", "text"), crf).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation after damage, with its least audit."""
+    return turn_repair.repair(turn_repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def op12_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents by an additive model fitted on a sample of four fifths of the labels."""
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -98,6 +103,7 @@ QUERIES = {
     "op8_nn_descent": op8_nn_descent,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language_crf": op10_language_crf,
+    "op11_turn_repair": op11_turn_repair,
     "op12_quality_gam": op12_quality_gam,
     "op13_collocations": op13_collocations,
 }
