@@ -5,20 +5,22 @@ and pieces into words ``[^\\x20\\x09]+``; each language is counted by itself.
 
 Counting follows ERA's vertical partitioning:
 
-* The suffixes of all pieces are cut off after ``longest`` words, and before a
-  word that is rarer than ``least`` (no frequent phrase holds one; a table of hash
-  bits names the others, so some rare words pass, which costs space alone).
-  Equal suffixes of a batch are one row with a count.
+* The suffixes of all pieces are cut off after ``longest`` words, and where a word,
+  or the pair it makes with the one before, is rarer than ``least`` (no frequent
+  phrase holds one).  Two tables of hash bits name the frequent words and pairs;
+  their size is fixed, so the more the corpus holds, the more rare ones pass, which
+  costs space alone.  Equal suffixes of a batch are counted together, and a batch's
+  suffixes travel as one row, of word numbers and the words that they stand for.
 * The word prefixes of the suffixes are dealt to groups of at most ``group_rows``
-  rows, by the rows counted under each prefix (or hash bucket of prefixes).  What
-  exceeds that alone is dealt by prefixes of one more word, and so on.
+  suffixes, by the suffixes counted under each prefix (or hash bucket of prefixes).
+  What exceeds that alone is dealt by prefixes of one more word, and so on.
 * Each group is read by one task, which sorts its suffixes: runs of an equal
   prefix are the nodes of the group's subtree, cut off at ``longest`` words, and the
   counts of a run's leaves add up to the phrase's.  A node above its group's
   prefixes lies in several groups, and these parts are added up at the end.
 
-Scores are exact integers (38 digits).  The driver holds the number of rows of
-each hash bucket of prefixes: four buckets a group.
+Scores are exact integers (38 digits).  The driver holds the number of suffixes
+of each hash bucket of prefixes: four to eight buckets a group.
 
 Nulls: a null text counts as empty, a null language as ``und``.  Empty texts and
 texts without words give nothing.  Repeated rows count each.  An empty table
@@ -44,6 +46,8 @@ _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _GAPS = _BREAK.copy()
 _GAPS[[0x20, 0x09]] = True
+_PIECE = 1 << 22  # bytes of text that are numbered at once
+_CHUNK = 4096
 
 
 def _hashes(texts: pa.Array) -> np.ndarray:
@@ -82,11 +86,6 @@ class Tokens:
         lang, code = np.divmod(key, max(1, len(self.words)))
         return mixed(self._parts[0][code] + self._parts[1][lang], 19)
 
-    def phrases(self, columns: list[np.ndarray]) -> pa.Array:
-        """The words of each row's numbers (-1: no word) with a space between them."""
-        words = self.words.cast(pa.string())
-        return _joined_words(words, columns)
-
 
 def _joined_words(words: pa.Array, columns: list[np.ndarray]) -> pa.Array:
     parts = [words.take(pa.array(c, pa.int64(), mask=c < 0)) for c in columns]
@@ -97,7 +96,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
     """lang, word, c (occurrences) and h (64 bits of both), from columns text and lang."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", _PIECE):
             t = Tokens(batch["text"], batch["lang"])
             key, c = np.unique(t.key, return_counts=True)
             lang, code = np.divmod(key, max(1, len(t.words)))
@@ -115,70 +114,195 @@ def _bits(frequent: DataFrame, bits: int) -> np.ndarray:
     return np.packbits(out)
 
 
-def suffixes(rows: DataFrame, bits: np.ndarray, longest: int) -> DataFrame:
-    """lang, suffix (2 to ``longest`` words) and c: a row for each distinct suffix of a batch."""
-    shift = np.uint64(64 - (len(bits) * 8).bit_length() + 1)
+class _Starts:
+    """The places of a batch where two frequent words of a piece stand together, by the words' hash bits."""
+
+    def __init__(self, batch: pa.RecordBatch, able: np.ndarray, shift: np.uint64):
+        self.tokens = t = Tokens(batch["text"], batch["lang"])
+        distinct, number = np.unique(t.key, return_inverse=True)
+        hashes = t.hash(distinct)
+        known = able[(hashes >> shift).astype(np.int64)][number]
+        self.joined = t.joined & known
+        self.joined[:-1] &= known[1:]
+        self.at = np.flatnonzero(self.joined)
+        self.pairs = mixed(hashes[number[self.at]] * np.uint64(3) + hashes[number[self.at + 1]], 23)
+
+
+def _pair_bits(rows: DataFrame, bits: np.ndarray, least: int, pair_bits: int) -> np.ndarray:
+    """Whether ``least`` pairs of words or more share the first ``pair_bits`` bits of their hashes, for all values of these."""
+    shift, pair_shift = _shift(bits), np.uint64(64 - pair_bits)
+    kind = np.dtype(np.min_scalar_type(least))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        able, counts = np.unpackbits(bits).astype(bool), np.zeros(1 << pair_bits, kind)  # up to ``least``
+        for batch in by_bytes(batches, "text", _PIECE):
+            at, c = np.unique(_Starts(batch, able, shift).pairs >> pair_shift, return_counts=True)
+            at = at.astype(np.int64)
+            counts[at] = np.minimum(counts[at].astype(np.int64) + c, least)
+        for first in range(0, len(counts), 256 * _CHUNK):
+            part = counts[first : first + 256 * _CHUNK]
+            at = np.flatnonzero(part)
+            chunk, cuts = at // _CHUNK, np.searchsorted(at // _CHUNK, np.arange(257))
+            own = np.unique(chunk)
+            spans = [(int(cuts[k]), int(cuts[k + 1])) for k in own]
+            yield pa.RecordBatch.from_arrays([pa.array((own + first // _CHUNK).astype(np.int32)), pa.array([(at[a:b] % _CHUNK).astype("<u2").tobytes() for a, b in spans], pa.binary()), pa.array([part[at[a:b]].tobytes() for a, b in spans], pa.binary())], ["chunk", "places", "counts"])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, np.zeros(_CHUNK, np.int64)
+
+        def closed(chunks: list[int], found: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array(found, pa.binary())], ["chunk", "bits"])
+
+        for batch in batches:
+            chunks, found = [], []
+            for chunk, places, counts in zip(*[batch[c].to_pylist() for c in ("chunk", "places", "counts")], strict=True):
+                if now is not None and chunk != now:
+                    chunks.append(now)
+                    found.append(np.packbits(sums >= least).tobytes())
+                    sums[:] = 0
+                now = chunk
+                sums[np.frombuffer(places, "<u2")] += np.frombuffer(counts, kind)
+            yield closed(chunks, found)
+        if now is not None:
+            yield closed([now], [np.packbits(sums >= least).tobytes()])
+
+    parts = rows.mapInArrow(add, "chunk int, places binary, counts binary").repartition("chunk").sortWithinPartitions("chunk")
+    out = np.zeros(((1 << pair_bits) // _CHUNK, _CHUNK // 8), np.uint8)
+    for r in parts.mapInArrow(together, "chunk int, bits binary").toArrow().to_pylist():  # 512 bytes a chunk
+        out[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def _shift(bits: np.ndarray) -> np.uint64:
+    return np.uint64(64 - (len(bits) * 8).bit_length() + 1)
+
+
+class Suffixes:
+    """Distinct suffixes and their counts: numbers of ``words`` (-1 after the last one) and of ``langs``."""
+
+    SCHEMA = "words array<string>, langs array<string>, lang binary, codes binary, counts binary"
+
+    def __init__(self, words: pa.Array, langs: pa.Array, lang: np.ndarray, codes: np.ndarray, counts: np.ndarray):
+        self.words, self.langs, self.lang, self.codes, self.counts = words, langs, lang, codes, counts
+
+    def prefix_hashes(self) -> Iterator[np.ndarray]:
+        """For 1, 2, ... words: the hash of each suffix's prefix of as many words (or of all it has)."""
+        word, now = _hashes(self.words), mixed(_hashes(self.langs), 17)[self.lang]
+        for d, code in enumerate(self.codes.T):
+            more = code >= 0
+            now = now.copy()
+            now[more] = mixed(now[more] * np.uint64(3) + word[code[more]], 31 + d)
+            yield now
+
+    def parts(self, which: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[pa.Array]]:
+        """The values of ``which`` in order, their suffixes, and packed columns with a row for each value."""
+        order = np.argsort(which, kind="stable")
+        cut = np.flatnonzero(np.diff(which[order])) + 1
+        own = np.split(order, cut) if len(order) else []
+        columns: list[list] = [[], [], [], [], []]
+        for at in own:
+            used, codes = np.unique(np.append(self.codes[at], -1), return_inverse=True)
+            langs, lang = np.unique(self.lang[at], return_inverse=True)
+            for column, x in zip(columns, (self.words.take(pa.array(used[1:])), self.langs.take(pa.array(langs)), lang.astype("<u4").tobytes(), (codes[:-1] - 1).astype("<i4").tobytes(), self.counts[at].astype("<i8").tobytes()), strict=True):
+                column.append(x)
+        lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), pa.concat_arrays([pa.array([], pa.string()), *(y.cast(pa.string()) for y in x)])) for x in columns[:2]]
+        return which[order][np.append(0, cut)] if len(order) else which, own, [*lists, *(pa.array(x, pa.binary()) for x in columns[2:])]
+
+    @staticmethod
+    def together(rows, longest: int) -> "Suffixes":
+        """The suffixes of packed rows, with words and languages numbered for all of them."""
+        flat, shift = [], []
+        for name in ("words", "langs"):
+            lists = rows[name].combine_chunks() if isinstance(rows[name], pa.ChunkedArray) else rows[name]
+            flat.append(lists.flatten().dictionary_encode())
+            shift.append(np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]))
+        lang, codes, counts = ([np.frombuffer(x.as_py(), kind).astype(np.int64) for x in rows[name]] for name, kind in (("lang", "<u4"), ("codes", "<i4"), ("counts", "<i8")))
+        number = [f.indices.to_numpy(zero_copy_only=False).astype(np.int64) for f in flat]
+        lang = np.concatenate([number[1][x + a] for x, a in zip(lang, shift[1], strict=False)]) if lang else np.empty(0, np.int64)
+        codes = np.concatenate([np.where(x >= 0, np.append(number[0], -1)[np.where(x >= 0, x + a, -1)], -1) for x, a in zip(codes, shift[0], strict=False)]) if codes else np.empty(0, np.int64)
+        return Suffixes(flat[0].dictionary, flat[1].dictionary, lang, codes.reshape(-1, longest), np.concatenate(counts) if counts else np.empty(0, np.int64))
+
+
+_NAMES = ["words", "langs", "lang", "codes", "counts"]
+
+
+def suffixes(rows: DataFrame, bits: np.ndarray, pair_bits: np.ndarray, longest: int) -> DataFrame:
+    """Packed suffixes of 2 to ``longest`` words: a row for each batch of texts."""
+    shift, pair_shift = _shift(bits), _shift(pair_bits)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         able = np.unpackbits(bits).astype(bool)
-        for batch in by_bytes(batches, "text"):
-            t = Tokens(batch["text"], batch["lang"])
-            distinct, number = np.unique(t.key, return_inverse=True)
-            known = able[(t.hash(distinct) >> shift).astype(np.int64)][number]
-            joined = t.joined & known
-            joined[:-1] &= known[1:]
+        for batch in by_bytes(batches, "text", _PIECE):
+            s = _Starts(batch, able, shift)
+            t, place = s.tokens, (s.pairs >> pair_shift).astype(np.int64)
+            joined = np.zeros(len(t.code) + longest, bool)
+            joined[s.at] = pair_bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1
             at = np.flatnonzero(joined)
             columns, ids, on = [t.code[at]], t.key[at], np.ones(len(at), bool)
-            joined = np.append(joined, np.zeros(longest, bool))
             code = np.append(t.code, np.zeros(longest, np.int64))
             for d in range(1, longest):
                 on = on & joined[at + d - 1]
                 columns.append(np.where(on, code[at + d], -1))
                 ids = np.unique(ids, return_inverse=True)[1] * (len(t.words) + 1) + columns[-1] + 1
             _, first, c = np.unique(ids, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([t.langs.take(pa.array(t.lang[at][first])).cast(pa.string()), t.phrases([x[first] for x in columns]), pa.array(c.astype(np.int64))], ["lang", "suffix", "c"])
+            found = Suffixes(t.words, t.langs, t.lang[at][first], np.stack([x[first] for x in columns], 1), c)
+            yield pa.RecordBatch.from_arrays(found.parts(np.zeros(len(c), np.int64))[2], _NAMES)
 
-    return rows.mapInArrow(cut, "lang string, suffix string, c long")
+    return rows.mapInArrow(cut, Suffixes.SCHEMA)
 
 
-def _bucket(words: int, buckets: int):
-    return F.pmod(F.xxhash64("lang", F.substring_index("suffix", " ", words)), F.lit(buckets)).cast("int").alias(f"b{words}")
+def _dealt(s: Suffixes, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each suffix's group (-1: none as yet), the words of the prefixes that made it, and its hash by one word more."""
+    group, depth = np.full(len(s.counts), -1, np.int64), np.zeros(len(s.counts), np.int64)
+    for d, h in enumerate(s.prefix_hashes(), 1):
+        if d > len(tables):
+            return group, depth, h
+        left = np.flatnonzero(group < 0)
+        group[left], depth[left] = tables[d - 1][(h[left] % np.uint64(len(tables[d - 1]))).astype(np.int64)], d
+    return group, depth, np.zeros(len(group), np.uint64)
 
 
-def prefix_groups(rows: DataFrame, longest: int, group_rows: int) -> tuple[list[np.ndarray], int, int]:
-    """For prefixes of 1, 2, ... words: each bucket's group (-1: dealt by longer prefixes); buckets and groups."""
-    n = rows.count()
-    buckets, groups, tables = max(1024, 1 << (4 * n // group_rows).bit_length()), 0, []
+def prefix_groups(packed: DataFrame, longest: int, group_rows: int) -> list[np.ndarray]:
+    """For prefixes of 1, 2, ... words: the group of each hash bucket (-1: dealt by longer prefixes)."""
+    n = (packed.agg(F.sum(F.octet_length("counts"))).first()[0] or 0) // 8
+    buckets, groups, filled, tables = max(1024, 1 << (4 * n // group_rows).bit_length()), 0, group_rows + 1, []
     for words in range(1, longest + 1):
-        found = dealt(rows, tables, buckets, longest).filter("group < 0").groupBy(f"b{words}").count().toArrow()
-        bucket, count = found[0].to_numpy(), found[1].to_numpy()
-        if not len(bucket):
-            break
-        table, filled = np.full(buckets, -1, np.int32), group_rows + 1
-        for b, c in zip(bucket.tolist(), count.tolist(), strict=True):
+
+        def count(batches: Iterator[pa.RecordBatch], known=tuple(tables)) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(buckets, np.int64)
+            for batch in batches:
+                for at in range(len(batch)):
+                    group, _, h = _dealt(Suffixes.together(batch.slice(at, 1), longest), list(known))
+                    sums += np.bincount((h[group < 0] % np.uint64(buckets)).astype(np.int64), minlength=buckets)
+            at = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["bucket", "c"])
+
+        found = packed.mapInArrow(count, "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
+        table = np.full(buckets, -1, np.int32)
+        for b, c in zip(found["bucket"].to_pylist(), found["c"].to_pylist(), strict=True):
             if c > group_rows and words < longest:
                 continue
             if filled + c > group_rows:
                 groups, filled = groups + 1, 0
             table[b], filled = groups - 1, filled + c
         tables.append(table)
-    return tables, buckets, groups
+        if (table[found["bucket"].to_numpy()] >= 0).all():
+            break
+    return tables
 
 
-def dealt(rows: DataFrame, tables: list[np.ndarray], buckets: int, longest: int) -> DataFrame:
-    """The rows with their ``group`` (-1: none as yet) and ``depth``, the words of the prefixes that made it."""
-    names = [f"b{d}" for d in range(1, longest + 1)]
+def grouped(packed: DataFrame, tables: list[np.ndarray], longest: int) -> DataFrame:
+    """The packed suffixes, a row for each batch and group, with ``group`` and ``depth`` (the words of its prefixes, a byte a suffix)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            group, depth = np.full(len(batch), -1, np.int32), np.zeros(len(batch), np.int32)
-            for d, table in enumerate(tables, 1):
-                open_ = np.flatnonzero(group < 0)
-                group[open_], depth[open_] = table[batch[f"b{d}"].to_numpy()[open_]], d
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(group), pa.array(depth)], [*batch.schema.names, "group", "depth"])
+            for at in range(len(batch)):
+                s = Suffixes.together(batch.slice(at, 1), longest)
+                group, depth, _ = _dealt(s, tables)
+                groups, own, columns = s.parts(group)
+                yield pa.RecordBatch.from_arrays([pa.array(groups), pa.array([depth[x].astype(np.uint8).tobytes() for x in own], pa.binary()), *columns], ["group", "depth", *_NAMES])
 
-    schema = "lang string, suffix string, c long, " + ", ".join(f"{x} int" for x in names) + ", group int, depth int"
-    return rows.select("lang", "suffix", "c", *[_bucket(d, buckets) for d in range(1, longest + 1)]).mapInArrow(run, schema)
+    return packed.mapInArrow(run, f"group long, depth binary, {Suffixes.SCHEMA}")
 
 
 def subtree(table: pa.Table, longest: int, least: int) -> pa.Table:
@@ -187,15 +311,9 @@ def subtree(table: pa.Table, longest: int, least: int) -> pa.Table:
     Counts are whole for nodes at or below the group's prefixes, of which those
     under ``least`` are left out; a node above them has its part only.
     """
-    parts = pc.split_pattern(table["suffix"].combine_chunks(), " ")
-    sizes, flat = pc.list_value_length(parts).to_numpy(), parts.flatten().dictionary_encode()
-    codes, starts = np.full((len(sizes), longest), -1, np.int32), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    codes[row, np.arange(len(row)) - np.repeat(starts, sizes)] = flat.indices.to_numpy(zero_copy_only=False)
-    langs = table["lang"].combine_chunks().dictionary_encode()
-    lang = langs.indices.to_numpy(zero_copy_only=False)
-    order = np.lexsort((*codes.T[::-1], lang))
-    codes, lang, c, depth = codes[order], lang[order], table["c"].to_numpy()[order], table["depth"].to_numpy()[order]
+    s, depth = Suffixes.together(table, longest), np.frombuffer(b"".join(table["depth"].to_pylist()), np.uint8)
+    order = np.lexsort((*s.codes.T[::-1], s.lang))
+    codes, lang, c, depth = s.codes[order], s.lang[order], s.counts[order], depth[order]
     new, out = np.append(True, (lang[1:] != lang[:-1]) | (codes[1:, 0] != codes[:-1, 0])), []
     for d in range(2, longest + 1):
         new[1:] |= codes[1:, d - 1] != codes[:-1, d - 1]
@@ -203,20 +321,18 @@ def subtree(table: pa.Table, longest: int, least: int) -> pa.Table:
         total = np.add.reduceat(c, node)
         kept = (codes[node, d - 1] >= 0) & ((total >= least) | (depth[node] > d))
         node, total = node[kept], total[kept]
-        phrase = _joined_words(flat.dictionary, list(codes[node, :d].astype(np.int64).T))
-        out.append(pa.table({"lang": langs.dictionary.take(pa.array(lang[node])), "phrase": phrase, "size": pa.array(np.full(len(node), d, np.int32)), "c": pa.array(total.astype(np.int64))}))
+        out.append(pa.table({"lang": s.langs.take(pa.array(lang[node])), "phrase": _joined_words(s.words, list(codes[node, :d].T)), "size": pa.array(np.full(len(node), d, np.int32)), "c": pa.array(total)}))
     return pa.concat_tables(out)
 
 
-def phrase_counts(rows: DataFrame, frequent: DataFrame, least: int, longest: int, group_rows: int, filter_bits: int) -> DataFrame:
+def phrase_counts(rows: DataFrame, frequent: DataFrame, least: int, longest: int, group_rows: int, filter_bits: tuple[int, int]) -> DataFrame:
     """lang, phrase, size (words) and c of all phrases of 2 to ``longest`` words that occur ``least`` times or more."""
     spark = rows.sparkSession
     path = new_folder(spark, "phrase-suffixes")
-    # Suffixes of a batch come sorted by their words, which zstd packs well.
-    suffixes(rows, _bits(frequent, filter_bits), longest).write.option("compression", "zstd").parquet(path)
-    cut = spark.read.parquet(path)
-    tables, buckets, groups = prefix_groups(cut, longest, group_rows)
-    ready = dealt(cut, tables, buckets, longest).select("lang", "suffix", "c", "group", "depth")
+    bits = _bits(frequent, filter_bits[0])
+    suffixes(rows, bits, _pair_bits(rows, bits, least, filter_bits[1]), longest).write.option("compression", "zstd").parquet(path)
+    packed = spark.read.parquet(path)
+    ready = grouped(packed, prefix_groups(packed, longest, group_rows), longest)
     nodes = ready.groupBy("group").applyInArrow(lambda t: subtree(t, longest, least), "lang string, phrase string, size int, c long")
     return nodes.groupBy("lang", "phrase", "size").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
 
@@ -245,12 +361,12 @@ def inside_longer(phrases: DataFrame) -> DataFrame:
 
 
 def collocations(
-    docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, absorb_percent: int = 100, group_rows: int = 1 << 18, filter_bits: int = 22, text: str = "text", lang: str = "lang"
+    docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, absorb_percent: int = 100, group_rows: int = 1 << 19, filter_bits: tuple[int, int] = (22, 23), text: str = "text", lang: str = "lang"
 ) -> DataFrame:
     """Each language's first ``top`` phrases: lang, rank, phrase, a, l, r, n and score.
 
     A phrase is dropped if a longer one that holds it has at least ``absorb_percent``
-    % of its count.
+    % of its count.  ``filter_bits``: hash bits of the tables of words and of pairs.
     """
     rows = pick(docs, text=text, lang=lang)
     spark = docs.sparkSession
