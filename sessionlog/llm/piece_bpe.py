@@ -68,7 +68,7 @@ class PieceBpe:
 
     def _pair(self, left: int, right: int) -> bool:
         a, b = self.text[left], self.text[right]
-        if len(self.fits) > 1_000_000:
+        if len(self.fits) >= 200_000:  # some 25 MB
             self.fits.clear()
         self.fits[left << 20 | right] = ok = self._merged(a + b) == [a, b]
         return ok

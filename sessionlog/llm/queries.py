@@ -60,8 +60,7 @@ def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded with begin and end ids and decoded again, as digests."""
-    path = public_tokenizers.path(PIECES)
-    both = piece_codec.decode(piece_codec.encode(documents(spark, sf_dir), path), path)
+    both = piece_codec.round_trip(documents(spark, sf_dir), public_tokenizers.path(PIECES))
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

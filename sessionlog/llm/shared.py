@@ -71,10 +71,10 @@ def map_file(folder: str, name: str) -> np.ndarray:
 
 
 class Recent:
-    """A bounded map of computed values; the least recently filled half goes when it is full."""
+    """A map of computed values in at most ``most`` bytes; the half that was longer unused goes when it is full."""
 
-    def __init__(self, compute, most: int = 300_000):
-        self.compute, self.most, self.new, self.old = compute, most, {}, {}
+    def __init__(self, compute, most: int = 160 << 20):
+        self.compute, self.most, self.size, self.new, self.old = compute, most // 2, 0, {}, {}
 
     def __call__(self, keys: list) -> list:
         get, miss = self.new.get, self._miss
@@ -85,10 +85,11 @@ class Recent:
         if value is None:
             value = self.compute(key)
         if len(key) <= 64:  # long keys hardly repeat
-            if len(self.new) >= self.most:
-                self.old = dict(self.new)
+            size = 250 + 4 * len(key) + len(value)  # both objects and their place in the map
+            if self.size + size > self.most:
+                self.old, self.size = self.new.copy(), 0
                 self.new.clear()
-            self.new[key] = value
+            self.new[key], self.size = value, self.size + size
         return value
 
 

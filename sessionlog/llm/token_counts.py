@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlog.llm.piece_bpe import model, runs
-from sessionlog.llm.shared import Recent, pick
+from sessionlog.llm.shared import Recent, by_bytes, pick
 
 
 def prefix_counts(text: str, run_counts: Recent) -> np.ndarray:
@@ -55,7 +55,7 @@ def token_counts(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run_counts = Recent(model(model_path).run_counts)
-        for batch in batches:
+        for batch in by_bytes(batches, "text"):
             out = {"n_bytes": [], "n_tokens": [], "fits": [], "at": [], "counts": []}
             for x in batch["text"]:
                 x = x.as_py() or ""

@@ -29,7 +29,7 @@ def bpe():
 
 
 def test_prefix_tables_give_the_library_ids(bpe):
-    ids = Recent(bpe.run_ids, most=50)  # small: values come and go
+    ids = Recent(bpe.run_ids, most=20_000)  # small: values come and go
     for x in texts(1, 2000) + [c * n for c in (" ", "-", "0", "ha") for n in (1, 2, 17, 70)]:
         assert np.frombuffer(b"".join(ids(piece_bpe.runs(x))), "<u4").tolist() == bpe.library.encode(x), x
 
