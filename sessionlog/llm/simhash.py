@@ -58,14 +58,15 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed integer)."""
+    """doc_id, text_hash (xxhash64 of the text) and fp (the 64 bits as a signed integer)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([fingerprint(x.as_py(), shingle) for x in batch["text"]], pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array([fingerprint(x.as_py(), shingle) for x in batch["text"]], pa.int64())], ["doc_id", "text_hash", "fp"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return pick(docs, doc_id=doc_id, text=text).mapInArrow(run, f"doc_id {kind}, fp long")
+    rows = pick(docs, doc_id=doc_id, text=text).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, fp long")
 
 
 def distance_table(fps: np.ndarray) -> np.ndarray:
@@ -211,12 +212,15 @@ def _tiles(hot: DataFrame, max_bits: int, bucket_rows: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, bucket_rows: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id that links reach) of every document."""
+    """doc_id, fp, component_id (the smallest doc_id that links reach), text_hash and root of every document.
+
+    Rows of one component have the same ``root``, its smallest fingerprint, whatever their ids.
+    """
     own = materialize(fingerprints(docs, shingle, doc_id, text), "simhash-docs")
     groups = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "simhash-groups")
     linked = materialize(components(links(groups.select("fp"), max_bits, bucket_rows)), "simhash-components")
     rooted = groups.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
     first = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     # One row for each fingerprint: Spark splits a fingerprint that very many documents share.
-    classes = materialize(rooted.join(first, "root").select("fp", "component_id"), "simhash-classes")
-    return own.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = materialize(rooted.join(first, "root").select("fp", "component_id", "root"), "simhash-classes")
+    return own.join(classes, "fp").select("doc_id", "fp", "component_id", "text_hash", "root")
