@@ -68,9 +68,6 @@ class ExecConfig:
     """
 
     chunk_rows: int = 1 << 20
-    # Largest island of cursor moves whose anchors are found inside one task; longer
-    # islands take the exact distributed path (pointer doubling), with the same result.
-    fold_max_rows: int = 4_096
     # Hash fan-out used by two-phase top-k so one group never sorts in one task.
     topk_fanout: int = 64
 

@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlog.config import AggregationConfig, ExecConfig
 from sessionlog.functions.scalar import has_error_keyword
-from sessionlog.operators.scan import scan
+from sessionlog.operators.scan import spans_chunks
 from sessionlog.operators.sequence import join_on
 
+KEY = ["session_id", "_chunk"]
+
+
+def _with_halo(events: DataFrame, rows: int, chunk_rows: int) -> DataFrame:
+    """Each row in its chunk, and again in every later chunk that begins within the next ``rows`` rows (``own`` false)."""
+    chunk = f"CAST(seq AS BIGINT) div {int(chunk_rows)}"
+    reach = F.expr(f"sequence({chunk}, (CAST(seq AS BIGINT) + {int(rows)}) div {int(chunk_rows)})")
+    return events.select("*", F.explode(reach).alias("_chunk")).withColumn("own", F.expr(f"{chunk} = _chunk"))
+
+
+def _files_before_chunks(events: DataFrame, chunk_rows: int) -> DataFrame:
+    """(session_id, _chunk, carry_file): the last file named in the chunks before (a row for each chunk)."""
+    named = F.when(F.col("filename") != "", F.col("seq"))
+    chunks = events.groupBy("session_id", F.expr(f"CAST(seq AS BIGINT) div {int(chunk_rows)}").alias("_chunk")).agg(
+        F.max_by("filename", named).alias("f"))
+    before = Window.partitionBy("session_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return chunks.select(*KEY, F.last("f", ignorenulls=True).over(before).alias("carry_file"))
+
 
 def error_corrections(events: DataFrame, agg: AggregationConfig = AggregationConfig(),
                       exe: ExecConfig = ExecConfig()) -> DataFrame:
@@ -20,52 +38,57 @@ def error_corrections(events: DataFrame, agg: AggregationConfig = AggregationCon
     ``later - earlier`` over adjacent matches (later > 0, earlier < later),
     ``lines_deleted`` = 0.  Only annotations with a match are returned.
 
-    The look-back is an equi-join on the unique key ``(session_id, seq)``: each
-    annotation asks for its ``lookback_events`` predecessors by number, so no
-    group grows with the session and the folded list per annotation is bounded.
+    Events are exchanged once, by ``(session_id, seq div chunk_rows)``; a chunk
+    also gets the last ``lookback_events`` rows before it (its halo).  A bounded
+    frame tells each row which annotations look back on it, so lists are built for
+    annotations alone, and their groups lie in the chunk already.
     """
-    src = scan(events, agg, exe) if agg.annotation_file == "last_active" else events
+    back = agg.lookback_events
+    keyword = (F.col("type") == "annotation") & (F.col("seq") > 0) & has_error_keyword(F.col("note"), agg.error_keywords)
+    slim = events.select("session_id", "seq", "ts_us", "filename", (F.col("type") == "file_edit").alias("edit"),
+                         F.coalesce("changed_tick", F.lit(0)).alias("tick"), F.coalesce(keyword, F.lit(False)).alias("keyword"),
+                         F.when(keyword, F.col("note")).alias("note"))
+    rows = _with_halo(slim, back, exe.chunk_rows)
+    by_seq = Window.partitionBy(*KEY).orderBy("seq")
+    asks = F.col("keyword") & F.col("own")
     named = F.when(F.col("filename") != "", F.col("filename"))  # "" means absent
-    ann_file = (
-        F.coalesce(named, F.col("active_file"), F.lit(""))
-        if agg.annotation_file == "last_active" else F.coalesce(F.col("filename"), F.lit(""))
-    )
-    ann = src.filter(
-        (F.col("type") == "annotation") & (F.col("seq") > 0) & has_error_keyword(F.col("note"), agg.error_keywords)
-    ).select(
-        "session_id", F.col("seq").alias("a_seq"), F.col("ts_us").alias("a_ts"), F.col("filename").alias("a_filename"),
-        ann_file.alias("a_file"), F.col("note").alias("annotation"),
-    )
-    probes = ann.withColumn(
-        "t_seq", F.explode(F.sequence(F.greatest(F.col("a_seq") - agg.lookback_events, F.lit(0)), F.col("a_seq") - 1))
-    )
-    ctx = events.select(
-        "session_id", F.col("seq").alias("t_seq"), F.col("ts_us").alias("t_ts"),
-        (F.col("type") == "file_edit").alias("t_edit"), F.coalesce("filename", F.lit("")).alias("t_file"),
-        F.coalesce("changed_tick", F.lit(0)).alias("t_tick"),
+    rows = rows.select(
+        *KEY, "seq", "ts_us", "filename", "note", "edit", "tick",
+        (F.last(named, ignorenulls=True).over(by_seq.rowsBetween(Window.unboundedPreceding, -1))
+         if agg.annotation_file == "last_active" else F.lit(None).cast("string")).alias("active"),
+        F.concat(F.collect_list(F.when(asks, F.col("seq"))).over(by_seq.rowsBetween(1, max(back, 1))),
+                 F.when(asks, F.array("seq")).otherwise(F.array().cast("array<bigint>"))).alias("asked"),
     )
-    j = join_on(probes, ctx, ["session_id", "t_seq"])
-    g = j.groupBy("session_id", "a_seq").agg(
-        F.first("a_ts").alias("a_ts"), F.first("a_file").alias("a_file"), F.first("a_filename").alias("a_filename"),
-        F.first("annotation").alias("annotation"),
-        F.sort_array(F.collect_list(F.struct("t_seq", "t_ts", "t_edit", "t_file", "t_tick")), asc=False).alias("items"),
+    rows = rows.select("*", F.explode("asked").alias("a_seq")).filter(F.col("seq") >= F.col("a_seq") - back).drop("asked")
+    self = F.col("seq") == F.col("a_seq")
+    file = F.coalesce("filename", F.lit(""))
+    g = rows.groupBy(*KEY, "a_seq").agg(
+        F.max(F.when(self, F.col("ts_us"))).alias("a_ts"), F.max(F.when(self, F.col("filename"))).alias("a_filename"),
+        F.max(F.when(self, F.col("note"))).alias("annotation"), F.max(F.when(self, F.col("active"))).alias("active"),
+        F.sort_array(F.collect_list(F.when(~self, F.struct("seq", "ts_us", "edit", file.alias("file"), "tick"))), asc=False).alias("items"),
     )
-    lb = F.lit(agg.lookback_us)
+    if agg.annotation_file == "last_active":
+        if spans_chunks(events, exe.chunk_rows):
+            g = join_on(g, _files_before_chunks(events, exe.chunk_rows), KEY, "left").withColumn("active", F.coalesce("active", "carry_file"))
+        own_file = F.when(F.col("a_filename") != "", F.col("a_filename"))
+        g = g.withColumn("a_file", F.coalesce(own_file, F.col("active"), F.lit("")))
+    else:
+        g = g.withColumn("a_file", F.coalesce("a_filename", F.lit("")))
     init = F.struct(F.lit(False).alias("stop"), F.lit(0).cast("bigint").alias("n"),
                     F.lit(0).cast("bigint").alias("last"), F.lit(0).cast("bigint").alias("rev"))
 
     def step(acc, x):
-        old = (F.col("a_ts") - x["t_ts"]) > lb
-        hit = x["t_edit"] & (x["t_file"] == F.col("a_file"))
+        old = (F.col("a_ts") - x["ts_us"]) > F.lit(agg.lookback_us)
+        hit = x["edit"] & (x["file"] == F.col("a_file"))
         if agg.true_reversals:
-            add = F.when((acc["last"] > 0) & (x["t_tick"] > acc["last"]), x["t_tick"] - acc["last"]).otherwise(0)
+            add = F.when((acc["last"] > 0) & (x["tick"] > acc["last"]), x["tick"] - acc["last"]).otherwise(0)
         else:
-            add = F.when((acc["last"] > 0) & (x["t_tick"] < acc["last"]), acc["last"] - x["t_tick"]).otherwise(0)
+            add = F.when((acc["last"] > 0) & (x["tick"] < acc["last"]), acc["last"] - x["tick"]).otherwise(0)
         live = ~acc["stop"] & ~old
         return F.struct(
             (acc["stop"] | old).alias("stop"),
             (acc["n"] + F.when(live & hit, 1).otherwise(0)).alias("n"),
-            F.when(live & hit, x["t_tick"]).otherwise(acc["last"]).alias("last"),
+            F.when(live & hit, x["tick"]).otherwise(acc["last"]).alias("last"),
             (acc["rev"] + F.when(live & hit, add).otherwise(0)).alias("rev"),
         )
 

@@ -12,27 +12,33 @@ cursor moves and trigger events (file edits, terminal commands, session end):
 
 Any ``debounce`` and ``idle`` are allowed, and times may go back.
 
-1. *Islands.*  A trigger, a move right after a session end, and a move at least
-   ``debounce`` after the latest time seen so far, is an anchor whatever came before it, so it starts an island:
-   the anchors inside an island depend on no other island.
-2. *Anchors.*  The next anchor after one at ``a`` is the first row at or after
-   ``a + debounce``.  Islands of at most ``ExecConfig.fold_max_rows`` rows are
-   walked inside one task (a bounded list).  Longer ones take a distributed
-   path with the same result: an anchor is the latest row of its island so far,
-   so binary lifting over the running maximum of the times finds each next
-   anchor, and pointer doubling marks the rows that the first one reaches.
-3. *Segments.*  Each anchor leads the rows up to the next anchor.  The timer of
-   a segment can commit one move; the last move after that is flushed by the
-   next trigger, or superseded by the next anchor.
+The rules are a walk with three values to remember (anchor, deadline, pending
+move), done in Arrow batches over rows dealt by ``(session_id, seq div
+chunk_rows)`` and sorted by ``seq``.  A session of one chunk is walked at once.  The
+chunks of a longer one are walked side by side:
+
+1. *Transition functions.*  Whatever comes in, a chunk with a trigger leaves what
+   the walk from its first trigger leaves.  Without one, the anchor ``a`` that comes
+   in leads to the first move at or after ``a + debounce``; such a move has the
+   latest time so far, and so has each next anchor after it.  These moves (only
+   those that an anchor from before the chunk can lead to) and the state that
+   each leaves are the chunk's function.
+2. *Composition.*  Along the chunks of a session, a row each, the functions give
+   the state that comes into each chunk.
+3. *Walk* of every chunk from its state.  A move that is pending over a chunk's end
+   is decided in the chunk that commits or replaces it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlog.config import ExecConfig, FilterConfig
-from sessionlog.operators.chunked import cumsum_across, lag_across, running_across
 from sessionlog.operators.scan import spans_chunks
 from sessionlog.operators.sequence import join_on, ordinal_within
 from sessionlog.spark import materialize as materialize_df
@@ -40,80 +46,190 @@ from sessionlog.spark import materialize as materialize_df
 # ``flush_seq`` of a move committed after the last event of the log
 END_OF_LOG = 1 << 60
 
+OTHER, MOVE, TRIGGER, END = range(4)
+KEY = ["session_id", "_chunk"]
+NOTHING = (None, None, None)  # anchor, deadline, pending move
 
-def _islands(events: DataFrame, cfg: FilterConfig, exe: ExecConfig, single: bool) -> DataFrame:
-    """Visible rows (moves and triggers) with their ``island``."""
-    visible = (F.col("type") == "cursor_move") | F.col("type").isin(*cfg.triggers)
-    vis = events.filter(visible).select("session_id", "seq", "ts_us", (F.col("type") == "cursor_move").alias("is_cur"),
-                                        (F.col("type") == "session_end").alias("is_end"))
-    v = running_across(vis, "session_id", "seq", "ts_us", "top", F.max, F.greatest, exe.chunk_rows, single)
-    v = lag_across(v, "session_id", "seq", ["top", "is_end"], exe.chunk_rows, single_chunk=single)
-    start = (F.col("prev_top").isNull() | ~F.col("is_cur") | F.col("prev_is_end")
-             | (F.col("ts_us") - F.col("prev_top") >= F.lit(cfg.debounce_us)))
-    v = v.withColumn("_s", start.cast("int"))
-    v = cumsum_across(v, "session_id", "seq", "_s", "island", exe.chunk_rows, single_chunk=single)
-    # the size check, both ways to the anchors and the segments read them: write them once
-    return materialize_df(v.select("session_id", "island", "seq", "ts_us", "is_cur"), "islands")
-
-
-def _anchors_small(rows: DataFrame, cfg: FilterConfig) -> DataFrame:
-    """(session_id, seq) of the anchors of islands that are walked in one task."""
-    g = rows.groupBy("session_id", "island").agg(F.sort_array(F.collect_list(F.struct("seq", "ts_us"))).alias("xs"))
-    first = F.col("xs")[0]
-    init = F.struct(first["ts_us"].alias("a"), F.array(first["seq"]).alias("found"))
-
-    def step(acc, x):
-        hit = x["ts_us"] - acc["a"] >= F.lit(cfg.debounce_us)
-        return F.struct(F.when(hit, x["ts_us"]).otherwise(acc["a"]).alias("a"),
-                        F.when(hit, F.concat(acc["found"], F.array(x["seq"]))).otherwise(acc["found"]).alias("found"))
-
-    walked = g.select("session_id", F.aggregate(F.slice("xs", 2, 1 << 30), init, step)["found"].alias("found"))
-    return walked.select("session_id", F.explode("found").alias("seq"))
-
-
-def _anchors_large(rows: DataFrame, cfg: FilterConfig, exe: ExecConfig, rounds: int) -> DataFrame:
-    """The same for long islands; every step is an equi-join on ``(session, island, index)``."""
-    key = ["session_id", "island"]
-    r = ordinal_within(rows, key, "seq", "r", exe.chunk_rows).withColumn("r", F.col("r") - 1)
-    # running maximum inside an island: an island is one key here
-    r = r.withColumn("_k", F.struct(*key))
-    r = running_across(r, "_k", "r", "ts_us", "top", F.max, F.greatest, exe.chunk_rows)
-    r = materialize_df(r.select(*key, "r", "seq", "ts_us", "top"), "island-index")
-    look = r.select(*key, F.col("r").alias("q"), F.col("top").alias("tq"))
-    # binary lifting: lo = last index whose running maximum is below ts + debounce
-    p = r.select(*key, "r", "ts_us", F.col("r").alias("lo"))
-    for k in reversed(range(rounds)):
-        p = join_on(p.withColumn("q", F.col("lo") + (1 << k)), look, [*key, "q"], "left")
-        ok = F.col("tq").isNotNull() & (F.col("tq") - F.col("ts_us") < F.lit(cfg.debounce_us))
-        p = p.withColumn("lo", F.when(ok, F.col("q")).otherwise(F.col("lo"))).drop("q", "tq")
-    jump = materialize_df(p.select(*key, "r", (F.col("lo") + 1).alias("j")), "island-jumps")
-    # pointer doubling from the first row: after k rounds, all anchors within 2^k jumps are marked
-    reach = r.filter("r = 0").select(*key, "r")
-    for _ in range(rounds):
-        hop = join_on(reach, jump, [*key, "r"]).select(*key, F.col("j").alias("r"))
-        reach = materialize_df(reach.unionByName(join_on(hop, r.select(*key, "r"), [*key, "r"])).distinct(), "anchors")
-        twice = jump.select(*key, F.col("r").alias("j"), F.col("j").alias("jj"))
-        jump = materialize_df(join_on(jump, twice, [*key, "j"]).select(*key, "r", F.col("jj").alias("j")), "island-jumps")
-    return join_on(r, reach, [*key, "r"]).select("session_id", "seq")
-
-
-def _segments(events: DataFrame, cfg: FilterConfig, exe: ExecConfig, single: bool) -> DataFrame:
-    """All events with ``seg``, the number of anchors up to and including the row."""
-    v = _islands(events, cfg, exe, single)
-    sizes = v.groupBy("session_id", "island").agg(F.count(F.lit(1)).alias("n"))
-    big = sizes.filter(F.col("n") > exe.fold_max_rows)
-    top = big.agg(F.max("n")).first()[0]
-    if top:
-        tagged = join_on(v, big.select("session_id", "island", F.lit(True).alias("big")), ["session_id", "island"], "left")
-        large = tagged.filter("big").drop("big")
-        anchors = _anchors_small(tagged.filter("big IS NULL").drop("big"), cfg).unionByName(
-            _anchors_large(large, cfg, exe, int(top).bit_length()))
-    else:
-        anchors = _anchors_small(v, cfg)
-    allr = join_on(events.select("session_id", "seq", "ts_us", "type"), anchors.withColumn("anchor", F.lit(1)),
-                   ["session_id", "seq"], "left").withColumn("anchor", F.coalesce("anchor", F.lit(0)))
-    return materialize_df(cumsum_across(allr, "session_id", "seq", "anchor", "seg", exe.chunk_rows, single_chunk=single),
-                          "segments")
+
+def walk(state: tuple, seqs: list, times: list, kinds: list, cfg: FilterConfig, decided: list) -> tuple:
+    """The state after the rows; ``decided`` gets (seq, reason, flush_seq) of each move whose fate is known."""
+    anchor, due, move = state
+    for seq, t, kind in zip(seqs, times, kinds):
+        if due is not None and t > due:  # the timer has run out, whatever comes
+            decided.append((move, "idle", seq))
+            due = move = None
+        if kind == MOVE:
+            if move is not None:
+                decided.append((move, None, None))
+            move = seq
+            if anchor is None or t - anchor >= cfg.debounce_us:
+                anchor, due = t, t + cfg.idle_us
+        elif kind != OTHER:
+            if move is not None:
+                decided.append((move, "end" if kind == END else "trigger", seq))
+            anchor, due, move = None if kind == END else t, None, None
+    return anchor, due, move
+
+
+def _ended(state: tuple, decided: list) -> None:
+    """What the end of the log does to a pending move."""
+    if state[2] is not None:
+        decided.append((state[2], "end", None) if state[1] is None else (state[2], "idle", END_OF_LOG))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, dict]]:
+    """(key values, columns as lists) of each run of equal keys inside a batch."""
+    for batch in batches:
+        columns = {c: batch[c].to_pylist() for c in batch.schema.names}
+        key = list(zip(*[columns[k] for k in keys]))
+        cuts = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(key)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if a < b:
+                yield key[a], {c: x[a:b] for c, x in columns.items()}
+
+
+_DECIDED = pa.schema([("session_id", pa.string()), ("seq", pa.int64()), ("reason", pa.string()), ("flush_seq", pa.int64())])
+
+
+def _decide(cfg: FilterConfig, keys: list[str]):
+    """Walk each run of ``keys`` from its state (columns anchor, due and move if given) and emit the decisions."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, last, out = None, NOTHING, True, []
+
+        def close():
+            if now is not None and last:
+                decided: list = []
+                _ended(state, decided)
+                out.extend((now[0], *d) for d in decided)
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * 4, _DECIDED)], schema=_DECIDED)
+
+        for key, c in _runs(batches, keys):
+            if key != now:
+                close()
+                now = key
+                state, last = ((c["anchor"][0], c["due"][0], c["move"][0]), c["last"][0]) if "last" in c else (NOTHING, True)
+            decided: list = []
+            state = walk(state, c["seq"], c["ts_us"], c["kind"], cfg, decided)
+            out.extend((key[0], *d) for d in decided)
+            if len(out) >= 10_000:
+                yield batch_of(out)
+                out = []
+        close()
+        if out:
+            yield batch_of(out)
+
+    return run
+
+
+def chunk_function(seqs: list, times: list, kinds: list, top: int | None, cfg: FilterConfig) -> dict:
+    """A chunk's function from the state that comes in to the state that goes out; ``top``: the latest time of a move or trigger before it."""
+    first = next((i for i, k in enumerate(kinds) if k in (TRIGGER, END)), None)
+    if first is not None:
+        return {"fixed": True, "out": walk(NOTHING, seqs[first:], times[first:], kinds[first:], cfg, [])}
+    t = np.array(times, np.int64)
+    moves = np.flatnonzero(np.array(kinds) == MOVE)
+    out = {"fixed": False, "all_top": int(t.max())}
+    if not len(moves):
+        return out | {"last_move": None, "move_top": None, "at": [], "after": []}
+    last = int(moves[-1])
+    out |= {"last_move": seqs[last], "move_top": int(t[: last + 1].max())}
+    high = np.maximum.accumulate(t[moves])
+    records = moves[np.append(True, high[1:] > high[:-1])]  # later than all moves before them
+    at = t[records]
+    after = np.searchsorted(at, at + cfg.debounce_us)  # the next anchor; beyond the end: none
+    final = np.append(np.where(after < len(at), after, np.arange(len(at))), len(at))[: len(at)]
+    while True:
+        further = final[final]
+        if (further == final).all():
+            break
+        final = further
+    reach = 1 if top is None else min(len(at), int(np.searchsorted(at, top + cfg.debounce_us)) + 1)
+    states = {}
+    for k in np.unique(final[:reach]).tolist():
+        i, due = int(records[k]), int(at[k]) + cfg.idle_us
+        if (t[i + 1 : last + 1] > due).any():
+            states[k] = (int(at[k]), None, seqs[last])
+        elif (t[last + 1 :] > due).any():
+            states[k] = (int(at[k]), None, None)
+        else:
+            states[k] = (int(at[k]), due, seqs[last])
+    return out | {"at": at[:reach].tolist(), "after": [states[k] for k in final[:reach].tolist()]}
+
+
+def apply_function(f: dict, state: tuple, cfg: FilterConfig) -> tuple:
+    """The state after a chunk."""
+    if f["fixed"]:
+        return f["out"]
+    anchor, due, move = state
+    k = 0 if anchor is None else int(np.searchsorted(np.array(f["at"], np.int64), anchor + cfg.debounce_us))
+    if k < len(f["at"]):
+        return f["after"][k]
+    # no new anchor: moves replace one another, and an open timer may run out among or after them
+    if due is not None and f["move_top"] is not None and f["move_top"] > due:
+        return anchor, None, f["last_move"]
+    if due is not None and f["all_top"] > due:
+        return anchor, None, None
+    return anchor, due, move if f["last_move"] is None else f["last_move"]
+
+
+_STATE = "struct<anchor: bigint, due: bigint, move: bigint>"
+_FUNCTION = (f"session_id string, _chunk bigint, fixed boolean, `out` {_STATE}, all_top bigint, last_move bigint, move_top bigint, "
+             f"at array<bigint>, after array<{_STATE}>")
+
+
+def _functions(cfg: FilterConfig):
+    names = ("anchor", "due", "move")
+    state = pa.struct([(n, pa.int64()) for n in names])
+    schema = pa.schema([("session_id", pa.string()), ("_chunk", pa.int64()), ("fixed", pa.bool_()), ("out", state), ("all_top", pa.int64()),
+                        ("last_move", pa.int64()), ("move_top", pa.int64()), ("at", pa.list_(pa.int64())), ("after", pa.list_(state))])
+
+    def named(s):
+        return dict(zip(names, s))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, None
+
+        def close():
+            f = chunk_function(held["seq"], held["ts_us"], held["kind"], held["top"][0], cfg)
+            f = {k: named(v) if k == "out" else [named(x) for x in v] if k == "after" else v for k, v in f.items()}
+            return pa.RecordBatch.from_pylist([{"session_id": now[0], "_chunk": now[1], **f}], schema)
+
+        for key, c in _runs(batches, KEY):
+            if key != now:
+                if now is not None:
+                    yield close()
+                now, held = key, c
+            else:
+                for name in ("seq", "ts_us", "kind"):
+                    held[name] += c[name]
+        if now is not None:
+            yield close()
+
+    return run
+
+
+def _compose(cfg: FilterConfig):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, NOTHING
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                if now is None or r["session_id"] != now[0]:
+                    now, state = (r["session_id"],), NOTHING
+                rows.append((*now, r["_chunk"], *state))
+                f = r | {"out": r["out"] and tuple(r["out"].values()), "after": [tuple(x.values()) for x in r["after"] or []], "at": r["at"] or []}
+                state = apply_function(f, state, cfg)
+            columns = list(zip(*rows)) or [[]] * 5
+            kinds = [pa.string(), *[pa.int64()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [*KEY, "anchor", "due", "move"])
+
+    return run
+
+
+def _by_chunk(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*KEY).sortWithinPartitions(*KEY, "seq")
 
 
 def cursor_decisions(events: DataFrame, cfg: FilterConfig = FilterConfig(), exe: ExecConfig = ExecConfig(),
@@ -124,42 +240,31 @@ def cursor_decisions(events: DataFrame, cfg: FilterConfig = FilterConfig(), exe:
     past the timer; ``END_OF_LOG`` when none follows)."""
     if single is None:  # every session within one chunk (one scalar check)
         single = not spans_chunks(events, exe.chunk_rows)
-    key = ["session_id", "seg"]
-    rows = _segments(events, cfg, exe, single)
-    is_cur = F.col("type") == "cursor_move"
-    heads = rows.filter("anchor = 1")
-    after = heads.select("session_id", (F.col("seg") - 1).alias("seg"), F.col("seq").alias("n_seq"),
-                         F.col("ts_us").alias("n_ts"), F.col("type").alias("n_type"))
-    # a timer runs only in segments that a move leads
-    due = F.when(is_cur, F.col("ts_us") + F.lit(cfg.idle_us)).alias("due")
-    segs = join_on(heads.select(*key, "seq", due), after, key, "left")
-    late = (join_on(rows.select(*key, F.col("seq").alias("e_seq"), "ts_us"), segs.select(*key, "seq", "due"), key)
-            .filter((F.col("e_seq") > F.col("seq")) & (F.col("ts_us") > F.col("due")))
-            .groupBy(*key).agg(F.min("e_seq").alias("late_seq")))
-    segs = join_on(segs.drop("seq"), late, key, "left")
-    moves = join_on(rows.filter(is_cur).select(*key, "seq"), late, key, "left")
-    last = moves.groupBy(*key).agg(F.max(F.when(F.col("late_seq").isNull() | (F.col("seq") < F.col("late_seq")), F.col("seq"))).alias("first_part"),
-                                   F.max(F.when(F.col("seq") >= F.col("late_seq"), F.col("seq"))).alias("second_part"))
-    d = join_on(last, segs, key)
-    in_next = F.col("late_seq").isNull() & (F.col("n_ts") > F.col("due"))
-    timed = F.col("late_seq").isNotNull() | F.coalesce(in_next, F.lit(False))
-    # what ends a segment flushes the move that is pending then
-    flushed = (F.when(F.col("n_type").isNull() | (F.col("n_type") == "session_end"), F.lit("end"))
-               .when(F.col("n_type") != "cursor_move", F.lit("trigger")))
-    open_timer = F.col("due").isNotNull() & F.col("n_seq").isNull()
-    flush_at = F.when(F.col("n_type") != "cursor_move", F.col("n_seq"))
-    idle_at = F.coalesce("late_seq", "n_seq", F.lit(END_OF_LOG))
-    first = F.struct(F.col("first_part").alias("seq"),
-                     F.when(timed | open_timer, F.lit("idle")).otherwise(flushed).alias("reason"),
-                     F.when(timed | open_timer, idle_at).otherwise(flush_at).alias("flush_seq"))
-    second = F.struct(F.col("second_part").alias("seq"), flushed.alias("reason"), flush_at.alias("flush_seq"))
-    kept = d.select("session_id", F.explode(F.array(first, second)).alias("k")).select("session_id", "k.*")
-    kept = kept.filter("seq IS NOT NULL AND reason IS NOT NULL")
+    is_move = F.col("type") == "cursor_move"
+    is_trigger = F.col("type").isin(*cfg.triggers)
+    kind = F.when(is_move, MOVE).when(is_trigger & (F.col("type") == "session_end"), END).when(is_trigger, TRIGGER).otherwise(OTHER)
+    rows = events.select(F.col("session_id").cast("string").alias("session_id"), F.col("seq").cast("bigint").alias("seq"),
+                         F.col("ts_us").cast("bigint").alias("ts_us"), kind.alias("kind"))
+    schema = "session_id string, seq bigint, reason string, flush_seq bigint"
+    if single:
+        dealt = rows.repartition("session_id").sortWithinPartitions("session_id", "seq")
+        found = dealt.mapInArrow(_decide(cfg, ["session_id"]), schema)
+    else:
+        rows = rows.withColumn("_chunk", F.expr(f"seq div {int(exe.chunk_rows)}"))
+        tops = rows.groupBy(*KEY).agg(F.max(F.when(F.col("kind") != OTHER, F.col("ts_us"))).alias("own_top"))
+        along = Window.partitionBy("session_id").orderBy("_chunk")
+        tops = tops.select(*KEY, F.max("own_top").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("top"))
+        functions = materialize_df(_by_chunk(join_on(rows, tops, KEY)).mapInArrow(_functions(cfg), _FUNCTION), "cursor-functions")
+        states = functions.repartition("session_id").sortWithinPartitions(*KEY).mapInArrow(
+            _compose(cfg), "session_id string, _chunk bigint, anchor bigint, due bigint, move bigint")
+        ends = functions.groupBy("session_id").agg(F.max("_chunk").alias("z"))
+        states = materialize_df(join_on(states, ends, ["session_id"]).withColumn("last", F.col("_chunk") == F.col("z")).drop("z"), "cursor-states")
+        found = _by_chunk(join_on(rows, states, KEY)).mapInArrow(_decide(cfg, KEY), schema)
     if cfg.idle_commit == "drop":
-        kept = kept.filter("reason <> 'idle'")
-    out = join_on(rows.filter(is_cur).select(*key, "seq"), kept, ["session_id", "seq"], "left")
-    return out.select("session_id", "seq", F.col("seg").alias("island"), F.col("reason").isNotNull().alias("kept"), "reason",
-                      "flush_seq")
+        idle = F.col("reason") == "idle"
+        found = found.select("session_id", "seq", *[F.when(idle, None).otherwise(F.col(c)).alias(c) for c in ("reason", "flush_seq")])
+    return found.select(F.col("session_id").cast(events.schema["session_id"].dataType).alias("session_id"), "seq",
+                        F.col("reason").isNotNull().alias("kept"), "reason", "flush_seq")
 
 
 def cursor_filter(events: DataFrame, cfg: FilterConfig = FilterConfig(), exe: ExecConfig = ExecConfig()) -> DataFrame:

@@ -30,7 +30,7 @@ def test_hot_session_sequence_is_dense(hot):
 
 @pytest.mark.parametrize("op", ["blocks", "gaps", "focus", "timeline", "cursor"])
 def test_hot_session_chunked_equals_unchunked(hot, op):
-    big, small = ExecConfig(), ExecConfig(chunk_rows=1000, fold_max_rows=50)
+    big, small = ExecConfig(), ExecConfig(chunk_rows=1000)
     f = {
         "blocks": lambda e: activity_blocks(hot, ADAPTER_AGG, e),
         "gaps": lambda e: idle_gaps(hot, ADAPTER_AGG, e),

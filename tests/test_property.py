@@ -43,7 +43,7 @@ def random_logs(seed, n_sessions=40, max_len=60, back_in_time=True):
 
 @pytest.fixture(scope="module", params=[3, 1 << 20], ids=["chunk3", "chunkbig"])
 def exe(request):
-    return ExecConfig(chunk_rows=request.param, fold_max_rows=100_000)
+    return ExecConfig(chunk_rows=request.param)
 
 
 @pytest.fixture(scope="module")
@@ -130,14 +130,14 @@ def expected_decisions(logs, cfg):
     return {(sid, i): v for sid, evs in logs.items() for i, v in model.cursor_filter(evs, cfg).items()}
 
 
-@pytest.mark.parametrize("fold_max", [0, 100_000], ids=["distributed_walk", "task_walk"])
+@pytest.mark.parametrize("chunk_rows", [1, 4, 1 << 20], ids=["rows", "chunks", "whole"])
 @pytest.mark.parametrize("mode,idle,back", [("record", 500_000, 0.0), ("drop", 500_000, 0.15), ("record", 250_000, 0.1),
                                             ("drop", 100_000, 0.0)])
-def test_cursor_filter_matches_model(spark, fold_max, mode, idle, back):
-    """Any debounce and idle, moves that go back in time, both ways to the anchors."""
+def test_cursor_filter_matches_model(spark, chunk_rows, mode, idle, back):
+    """Any debounce and idle, moves that go back in time, chunks of any size."""
     cfg = FilterConfig(idle_commit=mode, idle_us=idle)
     logs = cursor_logs(11, back=back)
-    exe = ExecConfig(chunk_rows=4, fold_max_rows=fold_max)
+    exe = ExecConfig(chunk_rows=chunk_rows)
     exp = expected_decisions(logs, cfg)
     assert decisions(spark, logs, cfg, exe) == exp
     # the denoised log keeps every non-cursor event and the kept moves, densely re-sequenced
@@ -152,8 +152,8 @@ def test_cursor_filter_matches_model(spark, fold_max, mode, idle, back):
 def test_cursor_filter_back_step_inside_a_burst(spark):
     moves = [0, 150_000, 250_000, 190_000, 195_000]
     logs = {"s": [{"type": "cursor_move", "ts": t} for t in moves] + [{"type": "file_edit", "ts": 600_000}]}
-    for fold_max in (0, 100):
-        got = decisions(spark, logs, FilterConfig(), ExecConfig(fold_max_rows=fold_max))
+    for chunk_rows in (1, 2, 100):
+        got = decisions(spark, logs, FilterConfig(), ExecConfig(chunk_rows=chunk_rows))
         assert got == expected_decisions(logs, FilterConfig()) == {("s", 4): ("trigger", 5)}
 
 
@@ -170,7 +170,7 @@ def test_rows_without_a_session_are_a_session(spark):
     rows = lambda d: sorted(map(tuple, d.select(*pick).collect()), key=str)
     assert one.count() == many.count() == df.count()
     assert [r[:3] for r in rows(one)] == [r[:3] for r in rows(many)]
-    small, big = ExecConfig(chunk_rows=3, fold_max_rows=0), ExecConfig()
+    small, big = ExecConfig(chunk_rows=3), ExecConfig()
     assert rows(cap_cursor_events(df, 4, small)) == rows(cap_cursor_events(df, 4, big))
     assert decisions(spark, logs, FilterConfig(), small) == expected_decisions(logs, FilterConfig())
     cols = ["session_id", "block_no", "start_us", "end_us", "event_count", "closed_by"]
@@ -250,3 +250,32 @@ def test_session_without_an_id_has_the_same_numbers(spark, tmp_path):
         refresh_summaries(stored, out, AGG, exe)(df, epoch)
     got = rows(latest_summaries(spark, out))
     assert len(got[None]) == 1 and got[None] == got["named"]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_chunk_functions_compose(seed):
+    """The composed functions of chunks give the state of the walk over all rows, for any cut."""
+    from sessionlog.operators.denoise import END, MOVE, NOTHING, OTHER, TRIGGER, apply_function, chunk_function, walk
+    rnd = random.Random(seed)
+    for _ in range(400):
+        cfg = FilterConfig(debounce_us=rnd.choice([3, 10]), idle_us=rnd.choice([0, 4, 25]))
+        t, times = 0, []
+        for _ in range(rnd.randint(1, 40)):
+            t += rnd.choice([0, 1, 2, 5, 12]) - (rnd.random() < 0.1) * rnd.randint(0, 20)
+            times.append(t)
+        kinds = rnd.choices([MOVE, OTHER, TRIGGER, END], [30, 4, rnd.choice([0, 1, 6]), 1], k=len(times))
+        seqs, state, at = list(range(len(times))), NOTHING, 0
+        while at < len(times):
+            to = at + rnd.randint(1, 9)
+            top = max((x for x, k in zip(times[:at], kinds) if k != OTHER), default=None)
+            state = apply_function(chunk_function(seqs[at:to], times[at:to], kinds[at:to], top, cfg), state, cfg)
+            at = to
+            assert state == walk(NOTHING, seqs[:at], times[:at], kinds[:at], cfg, [])
+
+
+def test_corrections_at_chunk_edges(spark, logs):
+    """A halo gives each chunk the rows that its annotations look back on, over several chunks if these are small."""
+    df = rows_to_df(spark, logs)
+    for agg in (AGG, AggregationConfig(lookback_us=10**9, annotation_file="last_active")):
+        got = [sorted(map(tuple, error_corrections(df, agg, ExecConfig(chunk_rows=n)).collect()), key=str) for n in (1 << 20, 1, 4, 10, 11)]
+        assert got[0] and all(g == got[0] for g in got)
