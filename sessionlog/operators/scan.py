@@ -35,10 +35,11 @@ Columns added (all global over the session, whatever the chunking):
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlog.config import AggregationConfig, ExecConfig
+from sessionlog.operators.boundary import boundaries
 from sessionlog.operators.sequence import join_on
 from sessionlog.spark import materialize as materialize_df
 
@@ -59,6 +60,14 @@ def with_chunk(events: DataFrame, chunk_rows: int) -> DataFrame:
     return events.withColumn("_chunk", F.expr(f"CAST(`seq` AS BIGINT) div {int(chunk_rows)}"))
 
 
+def _reason(closer: Column, other_file: Column, gap_us: Column, merge_us: Column) -> Column:
+    """Why an edit starts a block after the edit before it; NULL if it doesn't."""
+    out = F
+    for reason, hit in boundaries(closer, other_file, gap_us, merge_us):
+        out = out.when(hit, F.lit(reason))
+    return out
+
+
 def scan(events: DataFrame, agg: AggregationConfig = AggregationConfig(),
          exe: ExecConfig = ExecConfig(), materialize: bool | None = None) -> DataFrame:
     """Run the chunked pass.
@@ -101,9 +110,7 @@ def scan(events: DataFrame, agg: AggregationConfig = AggregationConfig(),
         "_reason_l",
         F.when(
             is_edit & pe.isNotNull(),
-            F.when(F.col("_trig_l") != pe["t"], F.lit("context_switch"))
-            .when(file != pe["f"], F.lit("context_switch"))
-            .when(F.col("ts_us") - F.col("_prev_ts_l") > merge, F.lit("timeout")),
+            _reason(F.col("_trig_l") != pe["t"], file != pe["f"], F.col("ts_us") - F.col("_prev_ts_l"), merge),
         ),
     ).withColumn(
         "_rstart_l",
@@ -164,10 +171,9 @@ def scan(events: DataFrame, agg: AggregationConfig = AggregationConfig(),
         "fe_reason",
         F.when(
             fe.isNotNull(),
-            F.when(ce.isNull(), F.lit("first"))
-            .when(fe["t"] + F.col("trig_off") != ce["t"], F.lit("context_switch"))
-            .when(fe["f"] != ce["f"], F.lit("context_switch"))
-            .when(fe["ts"] - F.coalesce(fe["pts"], F.col("carry_ts")) > merge, F.lit("timeout")),
+            F.when(ce.isNull(), F.lit("first")).otherwise(
+                _reason(fe["t"] + F.col("trig_off") != ce["t"], fe["f"] != ce["f"],
+                        fe["ts"] - F.coalesce(fe["pts"], F.col("carry_ts")), merge)),
         ),
     ).withColumn(
         "fnc_start",

@@ -282,7 +282,7 @@ def q_store_upsert(spark, sf_dir):
                       ["changed_tick"])
 
 
-def _stream_to_table(spark, sf_dir, build, name):
+def _stream_to_table(spark, sf_dir, build, name, resumed=False):
     """Write the stand-in command log as text files in rounds, run ``build(raw_stream)``
     over them in several micro-batches (state goes from batch to batch, sessions lie out
     of time order) to a parquet sink until the input is drained, and read the sink back."""
@@ -293,7 +293,7 @@ def _stream_to_table(spark, sf_dir, build, name):
     from sessionlog.streaming.pipelines import command_stream
 
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    write_command_log(_ev(spark, sf_dir), f"{base}/log")
+    write_command_log(_ev(spark, sf_dir), f"{base}/log", resumed=resumed)
     raw, _ = command_stream(spark, f"{base}/log", max_files_per_trigger=3)
     q = (build(raw).writeStream.format("parquet").option("path", f"{base}/out")
          .option("checkpointLocation", f"{base}/checkpoint").outputMode("append")
@@ -303,16 +303,16 @@ def _stream_to_table(spark, sf_dir, build, name):
 
 
 def q_stream_denoised(spark, sf_dir):
-    """Streaming cursor filter (keyed state, event-time timers) over the command log."""
+    """Streaming cursor filter (typed keyed state, timers) over the command log."""
     from sessionlog.streaming.processors import denoise_stream
     out = _stream_to_table(spark, sf_dir, lambda raw: denoise_stream(raw, ADAPTER_FILTER), "stream-denoise")
     return _as_double(out.select("session_id", "seq", "type", "ts_us", "changed_tick"), ["changed_tick"])
 
 
 def q_stream_live_blocks(spark, sf_dir):
-    """Streaming activity blocks (keyed state) over the command log."""
-    from sessionlog.streaming.processors import live_blocks
-    out = _stream_to_table(spark, sf_dir, lambda raw: live_blocks(raw, ADAPTER_AGG), "stream-blocks")
+    """Streaming activity blocks (keyed state) over a command log whose sessions end and resume."""
+    from sessionlog.streaming.processors import latest_blocks, live_blocks
+    out = latest_blocks(_stream_to_table(spark, sf_dir, lambda raw: live_blocks(raw, ADAPTER_AGG), "stream-blocks", resumed=True))
     return out.select("session_id", "block_no", "filename", "start_us", "end_us", "event_count", "start_tick",
                       "end_tick", "delta_tick", "velocity", "closed_by")
 

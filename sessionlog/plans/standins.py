@@ -74,10 +74,20 @@ def bad_lines(events: DataFrame) -> DataFrame:
     return events.select("session_id", line.alias("value")).filter(F.col("value").isNotNull())
 
 
-def write_command_log(events: DataFrame, path: str, rounds: int = 3, files: int = 4) -> None:
+def resume_lines(rows: DataFrame, save_path: str = "/logs") -> DataFrame:
+    """``end`` and ``resume`` one and two microseconds after the last of a session's ``rows``."""
+    last = rows.groupBy("session_id").agg(F.max("ts_us").alias("z"))
+    line = lambda number, command, after: F.to_json(F.struct(
+        F.lit(number).cast("bigint").alias("id"), F.lit(command).alias("command"), F.array("session_id", F.lit(save_path)).alias("args"),
+        F.date_format(us_to_ts(F.col("z") + after), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts")))
+    return last.select("session_id", F.explode(F.array(line(-3, "end", 1), line(-4, "resume", 2))).alias("value"))
+
+
+def write_command_log(events: DataFrame, path: str, rounds: int = 3, files: int = 4, resumed: bool = False) -> None:
     """Command-log files in write order: each round appends the next part of every
     session's time (its start in the first, its end in the last), a session's lines
-    in one file a round.  Sessions lie anywhere in time, so no round is ordered by time."""
+    in one file a round.  Sessions lie anywhere in time, so no round is ordered by time.
+    With ``resumed``, each session also ends and resumes between its rounds."""
     span = events.groupBy("session_id").agg(F.min("ts_us").alias("a"), F.max("ts_us").alias("z"))
     part = F.least(F.floor((F.col("ts_us") - F.col("a")) * rounds / (F.col("z") - F.col("a") + 1)), F.lit(rounds - 1))
     placed = events.join(span, "session_id").withColumn("part", part).drop("a", "z")
@@ -87,6 +97,9 @@ def write_command_log(events: DataFrame, path: str, rounds: int = 3, files: int
         lines = command_lines(placed.filter(F.col("part") == r).drop("part"))
         if r == 0:
             lines = lines.unionByName(life.filter(is_start))
+        if resumed and r < rounds - 1:
+            later = placed.filter(F.col("part") > r).select("session_id").distinct()
+            lines = lines.unionByName(resume_lines(placed.filter(F.col("part") == r).join(later, "session_id", "left_semi")))
         if r == rounds - 1:
             lines = lines.unionByName(life.filter(~is_start))
         lines.repartition(files, "session_id").select("value").write.mode("append").text(path)

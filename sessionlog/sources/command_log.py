@@ -108,9 +108,9 @@ def check_sessions(parsed: DataFrame, known_sessions: DataFrame) -> DataFrame:
     ok_ids = (started.unionByName(known_sessions.select("session_id")).distinct()
               .select(F.col("session_id").alias("_sid"), F.lit(True).alias("_known")))
     needs = F.col("error").isNull() & ~F.col("command").isin("start", "list")
-    out = parsed.withColumn("_sid", sid).join(ok_ids, "_sid", "left")
+    out = parsed.withColumn("_sid", sid).join(ok_ids, "_sid", "left")  # no id: no session, known or not
     return out.withColumn(
-        "error", F.when(needs & F.col("_known").isNull(), F.concat(F.lit("session not found: "), F.col("_sid")))
+        "error", F.when(needs & F.col("_known").isNull(), F.concat(F.lit("session not found: "), F.coalesce("_sid", F.lit(""))))
         .otherwise(F.col("error"))).drop("_sid", "_known")
 
 

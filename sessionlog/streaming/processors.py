@@ -1,183 +1,201 @@
-"""Keyed streaming state machines (``applyInPandasWithState``), one state per session.
-
-Both processors keep O(1) state per session and sort each micro-batch of a
-session by arrival ``(ts_us, cmd_id)``.  Sessions may come in any time order and
-however late, and no row is dropped: the only watermark is on the time of
-arrival here, which no row is behind.  Only the files of one session must come
-in write order.  An ended session leaves its counter
-behind (a resumed one counts on), nothing else.  Their output equals the batch
-operators on the same log:
-
-* :func:`denoise_stream` - the cursor debounce/idle filter; emits the recorded
-  log (non-cursor events as they come, surviving moves where they are
-  committed) with a per-session ``seq`` counter kept in state.  A pending move
-  whose timer is open is also committed when its session has sent nothing for
-  ``quiet_s`` seconds, by the arrival of other rows.
-* :func:`live_blocks` - activity blocks emitted when the next event closes them
-  (closer, file change, gap) or at ``session_end``.
+"""Keyed streaming state machines (``transformWithState``), typed state of one session each.
+
+State is a few values per session in the RocksDB store.  Each micro-batch of a
+session is sorted by arrival ``(ts_us, cmd_id)``.  Sessions may come in any time
+order and however late, and no row is dropped.  Only the files of one session must
+come in write order.  Both processors use the rules of the batch operators, so
+their output equals these on the same log:
+
+* :func:`denoise_stream` - the cursor walk of ``operators.denoise``; emits the
+  recorded log (non-cursor events as they come, surviving moves where they are
+  committed) with a per-session ``seq``.  A pending move whose deadline is open is
+  also committed by the session's own timer, when it has sent nothing for
+  ``quiet_s`` seconds.  Timers run on the time of arrival here, which no row is
+  behind, so a drained stream ends (timers on the machine's clock would keep it
+  going).  An ended session leaves its counter (a resumed one counts on).
+* :func:`live_blocks` - activity blocks by the boundaries of ``operators.boundary``,
+  emitted when the next event closes them.  A ``session_end`` closes nothing, as in
+  batch: the open block is told as it is then, and told again, with the next
+  ``revision``, if a resumed session goes on with it.  :func:`latest_blocks` keeps
+  each block's last revision.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
+from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from sessionlog.config import AggregationConfig, FilterConfig
+from sessionlog.operators.boundary import boundaries
+from sessionlog.operators.denoise import END, MOVE, OTHER, TRIGGER, walk
 from sessionlog.schema import EVENT_COLUMNS, EVENT_SCHEMA
 
-_PAYLOAD = [c for c in EVENT_COLUMNS if c not in ("session_id", "seq", "type", "ts", "ts_us")]
+_PAYLOAD = [c for c in EVENT_COLUMNS if c not in ("session_id", "seq")]
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-DENOISE_STATE = StructType([
-    StructField("anchor_us", LongType()), StructField("deadline_us", LongType()),
-    StructField("pending", StringType()), StructField("next_seq", LongType()),
-])
 
+def _keyed(events: DataFrame, processor: StatefulProcessor, schema: StructType, time_mode: str) -> DataFrame:
+    """``transformWithState`` by session; its typed state needs the RocksDB store."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark = events.sparkSession
+    if "RocksDB" not in spark.conf.get(key, ""):
+        spark.conf.set(key, _ROCKSDB)
+    return events.groupBy("session_id").transformWithState(processor, schema, "append", time_mode)
 
-def _row_dict(r) -> dict:
-    d = {"type": r.type, "ts_us": int(r.ts_us), "cmd_id": None if pd.isna(r.cmd_id) else int(r.cmd_id)}
-    for c in _PAYLOAD:
-        v = getattr(r, c)
-        d[c] = None if v is None or (not isinstance(v, str) and pd.isna(v)) else (v if isinstance(v, str) else int(v))
-    return d
 
+def _arrival(r: Row) -> tuple:
+    """Order of a session's rows: by time, then by number (none last)."""
+    return r.ts_us, r.cmd_id is None, r.cmd_id or 0
 
-def _frame(sid: str, rows: list[dict]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["seq", "type", "ts_us", *_PAYLOAD])
-    out.insert(0, "session_id", sid)
-    out["ts"] = pd.to_datetime(out["ts_us"], unit="us")
-    for c in ("seq", "ts_us", "line", "column", "line_count", "changed_tick", "prev_line", "prev_column"):
-        out[c] = out[c].astype("Int64")
-    return out[EVENT_COLUMNS]
 
+class Denoise(StatefulProcessor):
+    """State: the walk's anchor and deadline, the next ``seq``, the timer set; the pending move as a row."""
 
-def _denoise_fn(cfg: FilterConfig, quiet_ms: int):
-    trig = set(cfg.triggers)
+    def __init__(self, cfg: FilterConfig, quiet_ms: int):
+        self.cfg, self.quiet_ms = cfg, quiet_ms
 
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        sid = key[0]
-        anchor, deadline, pending, nseq = state.get if state.exists else (None, None, None, 0)
-        pending = json.loads(pending) if pending else None
-        out: list[dict] = []
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.clock = handle.getValueState("clock", "anchor long, due long, next_seq long, timer long")
+        self.pending = handle.getValueState("pending", StructType([f for f in EVENT_SCHEMA.fields if f.name in _PAYLOAD]))
+        self.event = Row(*EVENT_COLUMNS)
 
-        def emit(d):
-            nonlocal nseq
-            out.append(dict(d, seq=nseq))
-            nseq += 1
+    def _kind(self, type_: str) -> int:
+        if type_ == "cursor_move":
+            return MOVE
+        return OTHER if type_ not in self.cfg.triggers else END if type_ == "session_end" else TRIGGER
 
-        def commit_idle():
-            nonlocal pending, deadline
-            if pending is not None and cfg.idle_commit == "record":
-                emit(pending)
-            pending, deadline = None, None
+    def _emit(self, session_id: str, seq: int, r: Any) -> Row:
+        own = dict(zip(_PAYLOAD, r)) if isinstance(r, tuple) and not isinstance(r, Row) else r
+        return self.event(*[session_id if c == "session_id" else seq if c == "seq" else own[c] for c in EVENT_COLUMNS])
 
-        arrived_ms = 0
-        if state.hasTimedOut:
-            commit_idle()
+    def _remember(self, anchor, due, seq: int, move: tuple | None, timer: int | None) -> None:
+        self.clock.update((anchor, due, seq, timer))
+        if move is None:
+            self.pending.clear()
         else:
-            batch = pd.concat(list(pdfs), ignore_index=True)
-            arrived_ms = int(batch["arrived_ms"].max())
-            for r in batch.sort_values(["ts_us", "cmd_id"], kind="stable").itertuples(index=False):
-                d, t = _row_dict(r), int(r.ts_us)
-                if deadline is not None and t > deadline:
-                    commit_idle()
-                if d["type"] in trig:
-                    if pending is not None:
-                        emit(pending)
-                    pending, anchor, deadline = None, None if d["type"] == "session_end" else t, None
-                    emit(d)
-                elif d["type"] == "cursor_move":
-                    pending = d
-                    if anchor is None or t - anchor >= cfg.debounce_us:
-                        anchor, deadline = t, t + cfg.idle_us
-                else:
-                    emit(d)
-        state.update((anchor, deadline, json.dumps(pending) if pending else None, nseq))
-        if deadline is not None:
-            state.setTimeoutTimestamp(arrived_ms + quiet_ms)
-        if out:
-            yield _frame(sid, out)
-
-    return fn
+            self.pending.update(move)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        anchor, due, seq, timer = self.clock.get() if self.clock.exists() else (None, None, 0, None)
+        held = tuple(self.pending.get()) if self.pending.exists() else None
+        own = sorted(rows, key=_arrival)
+        decided: list = []
+        # moves go by their place among the rows; the one held from before by -1
+        anchor, due, move = walk((anchor, due, None if held is None else -1), list(range(len(own))), [r.ts_us for r in own],
+                                 [self._kind(r.type) for r in own], self.cfg, decided)
+        kept = {at: m for m, reason, at in decided if reason is not None and (reason != "idle" or self.cfg.idle_commit == "record")}
+        out = []
+        for i, r in enumerate(own):
+            if i in kept:
+                out.append(self._emit(key[0], seq + len(out), held if kept[i] < 0 else own[kept[i]]))
+            if r.type != "cursor_move":
+                out.append(self._emit(key[0], seq + len(out), r))
+        left = None if move is None else held if move < 0 else tuple(own[move][c] for c in _PAYLOAD)
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        timer = None
+        if due is not None:
+            timer = max(r.arrived_ms for r in own) + self.quiet_ms
+            self.handle.registerTimer(timer)
+        self._remember(anchor, due, seq + len(out), left, timer)
+        yield from out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        anchor, due, seq, _ = self.clock.get()
+        if due is not None and self.pending.exists():
+            keep = self.cfg.idle_commit == "record"
+            move = tuple(self.pending.get())
+            self._remember(anchor, None, seq + keep, None, None)
+            if keep:
+                yield self._emit(key[0], seq, move)
+
+    def close(self) -> None:
+        pass
 
 
 def denoise_stream(events: DataFrame, cfg: FilterConfig = FilterConfig(), quiet_s: int = 600) -> DataFrame:
     """Streaming cursor filter over raw command-log events (``session_id, cmd_id,
     type, ts, ts_us, payload...``); output has the canonical event schema."""
-    cols = ["session_id", "cmd_id", "type", "ts", "ts_us", *_PAYLOAD]
-    rows = events.select(*cols, F.current_timestamp().alias("arrived"))
+    rows = events.select("session_id", "cmd_id", *_PAYLOAD, F.current_timestamp().alias("arrived"))
     rows = rows.withColumn("arrived_ms", F.unix_millis("arrived")).withWatermark("arrived", "1 second")
-    return (rows.groupBy("session_id")
-            .applyInPandasWithState(_denoise_fn(cfg, quiet_s * 1000), EVENT_SCHEMA, DENOISE_STATE, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+    return _keyed(rows, Denoise(cfg, quiet_s * 1000), EVENT_SCHEMA, "eventTime")
 
 
-BLOCK_STATE = StructType([
-    StructField("open", StringType()), StructField("last_ts", LongType()), StructField("block_no", LongType()),
-])
 LIVE_BLOCK_SCHEMA = StructType([
     StructField("session_id", StringType()), StructField("block_no", LongType()), StructField("filename", StringType()),
     StructField("start_us", LongType()), StructField("end_us", LongType()), StructField("duration_us", LongType()),
     StructField("event_count", LongType()), StructField("start_tick", LongType()), StructField("end_tick", LongType()),
     StructField("delta_tick", LongType()), StructField("velocity", DoubleType()), StructField("closed_by", StringType()),
+    StructField("revision", LongType()),
 ])
 
 
-def _blocks_fn(agg: AggregationConfig):
-    closers = set(agg.block_closers)
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        sid = key[0]
-        op, last_ts, bno = state.get if state.exists else (None, None, 0)
-        op = json.loads(op) if op else None
-        done = []
-
-        def close(reason):
-            nonlocal op
-            dur = op["end"] - op["start"]
-            delta = op["t1"] - op["t0"]
-            done.append((sid, op["no"], op["file"] or None, op["start"], op["end"], dur, op["n"], op["t0"], op["t1"],
-                         delta, delta / (dur / 1e6) if dur > 0 else 0.0, reason))
-            op = None
-
-        batch = pd.concat(list(pdfs), ignore_index=True)
-        if len(batch):
-            for r in batch.sort_values(["ts_us", "cmd_id"], kind="stable").itertuples(index=False):
-                t, typ = int(r.ts_us), r.type
-                if typ != "file_edit":
-                    if op is not None and typ in closers:
-                        close("context_switch")
-                    elif op is not None and typ == "session_end":
-                        close("session_end")
-                    last_ts = None if typ == "session_end" else t
-                    continue
-                f = r.filename if isinstance(r.filename, str) else ""
-                tick = 0 if pd.isna(r.changed_tick) else int(r.changed_tick)
-                if op is not None and f != op["file"]:
-                    close("context_switch")
-                elif op is not None and t - last_ts > agg.merge_window_us:
-                    close("timeout")
-                if op is None:
-                    bno += 1
-                    op = {"no": bno, "file": f, "start": t, "end": t, "n": 1, "t0": tick, "t1": tick}
+class LiveBlocks(StatefulProcessor):
+    """State: the last event's time and the blocks so far; the open block with its number of revisions told."""
+
+    def __init__(self, agg: AggregationConfig):
+        self.agg = agg
+
+    def init(self, handle) -> None:
+        self.past = handle.getValueState("past", "last_us long, blocks long")
+        self.block = handle.getValueState("block", "file string, start long, end long, n long, first_tick long, last_tick long, revision long")
+        self.row = Row(*LIVE_BLOCK_SCHEMA.names)
+
+    def _told(self, session_id: str, number: int, block: tuple, closed_by: str) -> Row:
+        file, start, end, n, first_tick, last_tick, revision = block
+        span, gain = end - start, last_tick - first_tick
+        return self.row(session_id, number, file or None, start, end, span, n, first_tick, last_tick, gain,
+                        gain / (span / 1e6) if span > 0 else 0.0, closed_by, revision)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        last, blocks = self.past.get() if self.past.exists() else (None, 0)
+        block = tuple(self.block.get()) if self.block.exists() else None
+        out = []
+        for r in sorted(rows, key=_arrival):
+            if r.type == "file_edit":
+                file, tick = r.filename or "", r.changed_tick or 0
+                if block is not None:
+                    rules = boundaries(False, file != block[0], r.ts_us - last, self.agg.merge_window_us)
+                    reason = next((reason for reason, hit in rules if hit), None)
+                    if reason:
+                        out.append(self._told(key[0], blocks, block, reason))
+                        block = None
+                if block is None:
+                    blocks, block = blocks + 1, (file, r.ts_us, r.ts_us, 1, tick, tick, 0)
                 else:
-                    op.update(end=t, n=op["n"] + 1, t1=tick)
-                last_ts = t
-        state.update((json.dumps(op) if op else None, last_ts, bno))
-        if done:
-            yield pd.DataFrame(done, columns=[f.name for f in LIVE_BLOCK_SCHEMA.fields])
+                    block = (*block[:2], r.ts_us, block[3] + 1, block[4], tick, block[6])
+            elif block is not None and r.type in self.agg.block_closers:
+                out.append(self._told(key[0], blocks, block, boundaries(True, False, 0, 0)[0][0]))
+                block = None
+            elif block is not None and r.type == "session_end":
+                out.append(self._told(key[0], blocks, block, "session_end"))
+                block = (*block[:6], block[6] + 1)
+            last = r.ts_us
+        self.past.update((last, blocks))
+        if block is None:
+            self.block.clear()
+        else:
+            self.block.update(block)
+        yield from out
 
-    return fn
+    def close(self) -> None:
+        pass
 
 
 def live_blocks(events: DataFrame, agg: AggregationConfig = AggregationConfig()) -> DataFrame:
-    """Streaming activity blocks; a block is emitted when it closes."""
-    cols = ["session_id", "cmd_id", "type", "ts", "ts_us", "filename", "changed_tick"]
-    return (events.select(*cols).groupBy("session_id")
-            .applyInPandasWithState(_blocks_fn(agg), LIVE_BLOCK_SCHEMA, BLOCK_STATE, "append",
-                                    GroupStateTimeout.NoTimeout))
+    """Streaming activity blocks: a row when a block closes, and one for the open block at a ``session_end``."""
+    rows = events.select("session_id", "cmd_id", "type", "ts_us", "filename", "changed_tick")
+    return _keyed(rows, LiveBlocks(agg), LIVE_BLOCK_SCHEMA, "none")
+
+
+def latest_blocks(blocks: DataFrame) -> DataFrame:
+    """Each block's last revision."""
+    rest = [c for c in LIVE_BLOCK_SCHEMA.names if c not in ("session_id", "block_no")]
+    last = blocks.groupBy("session_id", "block_no").agg(F.max_by(F.struct(*rest), "revision").alias("b"))
+    return last.select("session_id", "block_no", "b.*")

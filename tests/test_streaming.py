@@ -12,7 +12,7 @@ from sessionlog.operators.blocks import activity_blocks
 from sessionlog.operators.denoise import cursor_filter
 from sessionlog.sources.command_log import read_command_log
 from sessionlog.streaming.pipelines import command_stream
-from sessionlog.streaming.processors import denoise_stream, live_blocks
+from sessionlog.streaming.processors import denoise_stream, latest_blocks, live_blocks
 
 
 def _iso(us):
@@ -89,7 +89,7 @@ def test_stream_equals_batch(spark):
           .writeStream.format("memory").queryName("blocks_t").outputMode("append")
           .trigger(availableNow=True).start())
     q2.awaitTermination()
-    sb = spark.table("blocks_t").select("session_id", "block_no", "start_us", "event_count", "delta_tick", "closed_by")
+    sb = latest_blocks(spark.table("blocks_t")).select("session_id", "block_no", "start_us", "event_count", "delta_tick", "closed_by")
     assert bb.exceptAll(sb).count() == 0 and sb.exceptAll(bb).count() == 0
 
 
@@ -107,3 +107,33 @@ def test_stream_equals_batch_drop_mode(spark):
     b, s = batch.select(*cols), spark.table("denoised_drop").select(*cols)
     assert b.count() == s.count()
     assert b.exceptAll(s).count() == 0 and s.exceptAll(b).count() == 0
+
+
+def _log(folder, name, at, rows):
+    """One file of (command, args after the session, seconds) for session s, at place ``at`` of the write order."""
+    p = os.path.join(folder, name)
+    with open(p, "w") as fh:
+        for n, (command, args, t) in enumerate(rows):
+            fh.write(json.dumps({"id": 1000 * at + n, "command": command, "args": ["s", *args], "ts": _iso(int(t * 1e6))}) + "\n")
+    os.utime(p, (1_700_000_000 + 10 * at, 1_700_000_000 + 10 * at))
+
+
+def test_resumed_sessions(spark):
+    """A session end closes no block, in the stream as in batch: an edit after a resume may go on with it."""
+    d = tempfile.mkdtemp(prefix="cmdlog-")
+    edit = lambda f, tick, t: ("record-edit", ["/save", f, "1", "1", "1", str(tick), "x"], t)
+    end, resume = (lambda t: ("end", ["/save"], t)), (lambda t: ("resume", ["/save"], t))
+    move = lambda t: ("record-cursor", ["/save", "a.lua", "1", "0"], t)
+    _log(d, "0.jsonl", 0, [("start", ["/proj", "/save", "markdown"], 0), edit("a.lua", 1, 1), edit("a.lua", 2, 2), move(2.1), end(2.5)])
+    _log(d, "1.jsonl", 1, [resume(3), edit("a.lua", 5, 4), edit("a.lua", 9, 5), end(6)])
+    _log(d, "2.jsonl", 2, [resume(60), edit("a.lua", 10, 62.5), move(63), end(64), resume(65), edit("b.lua", 11, 65.5), end(66)])
+    ev, _, _ = read_command_log(spark.read.text(d))
+    cols = ["block_no", "filename", "start_us", "end_us", "event_count", "delta_tick", "velocity", "closed_by"]
+    q = (live_blocks(command_stream(spark, d, 1)[0]).writeStream.format("memory").queryName("resumed_blocks")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    told = spark.table("resumed_blocks")
+    got = sorted(map(tuple, latest_blocks(told).select(*cols).collect()))
+    assert got == sorted(map(tuple, activity_blocks(ev).select(*cols).collect()))
+    assert [(g[0], g[4], g[7]) for g in got] == [(1, 4, "timeout"), (2, 1, "context_switch"), (3, 1, "session_end")]
+    assert told.filter("block_no = 1").count() == 3  # at both ends, and when the timeout closed it
