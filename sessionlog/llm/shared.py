@@ -33,6 +33,19 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let the driver's collectors run: Spark then deletes the shuffle files of tables that nobody holds any more.
+
+    Without it they lie on the executors' disks until the driver happens to run short of memory.
+    """
+    import gc
+
+    gc.collect()
+    jvm = getattr(getattr(spark, "_sc", None), "_jvm", None)  # none with Spark Connect
+    if jvm is not None:
+        jvm.System.gc()
+
+
 def _resolve(uri: str):
     from pyarrow import fs
 

@@ -19,9 +19,10 @@ states are word contexts of 0 to ``depth`` words, longest match first:
 The tree lies in files of the shared folder, dealt to shards by context, and
 tasks read them memory-mapped.  An n-gram's number is its place in its level's
 files; its key is the number of its context beside that of its last word (32
-bits each).  Batches count their keys, shards of keys add the counts up and drop
-those under the floor, shards of contexts test and smooth their contexts.  The
-driver knows only the files' names and sizes.  ``Tree`` is the same tree in the
+bits each).  Batches count their keys, shards of keys (as many as the data asks
+for) add the counts up and drop those under the floor, shards of contexts test and
+smooth their contexts.  A worker keeps ``_OPEN`` files of a level mapped at most.
+The driver knows only the files' names and sizes.  ``Tree`` is the same tree in the
 memory of one process, for tables of fewer than 2**20 n-grams a length.
 
 Nulls: a null text counts as empty, one end token.  A null doc_id counts as an
@@ -41,13 +42,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionlog.llm.perfect_hash import mixed
-from sessionlog.llm.shared import map_file, new_folder, write_file
+from sessionlog.llm.shared import map_file, new_folder, release_shuffles, write_file
 from sessionlog.llm.words import Lookup, Words
 from sessionlog.spark import materialize
 
 #: The end token's key among word hashes.
 END = np.uint64(0x656E64)
 _ID_BITS = 20
+#: Shard files of a level that a worker keeps mapped.
+_OPEN = 128
 
 
 class Level:
@@ -148,11 +151,13 @@ def _shard_of(x: np.ndarray, shards: int) -> np.ndarray:
     return (mixed(x.astype(np.uint64), 13) % np.uint64(shards)).astype(np.int32)
 
 
-def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(shard, kind="stable")
+def _by_shard(shard: np.ndarray, keys: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of each shard; in order of ``keys``, as a search through a long array is faster then."""
+    narrow = shard.astype(np.uint16) if len(shard) and shard.max() < 1 << 16 else shard  # 16 bits are sorted by radix
+    order = np.argsort(narrow, kind="stable")
     for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
         if len(own):
-            yield int(shard[own[0]]), own
+            yield int(shard[own[0]]), own if keys is None else own[np.argsort(keys[own])]
 
 
 class Stored:
@@ -161,7 +166,7 @@ class Stored:
     def __init__(self, folder: str, names: list[str | None], sizes: list[int]):
         self.folder, self.names = folder, names
         self.offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        self.open = lru_cache(maxsize=None)(self._open)
+        self.open = lru_cache(maxsize=_OPEN)(self._open)
 
     def _open(self, shard: int) -> dict[str, np.ndarray] | None:
         if self.names[shard] is None:
@@ -177,7 +182,7 @@ class Stored:
     def find(self, keys: np.ndarray, deal: np.ndarray, *fields: str) -> list[np.ndarray]:
         """Numbers of the keys' n-grams (-1: not in the tree) and the asked fields; ``deal`` gives the shard."""
         out = [np.full(len(keys), -1, np.int64), *[np.zeros(len(keys)) for _ in fields]]
-        for shard, own in _by_shard(_shard_of(deal, len(self.names))):
+        for shard, own in _by_shard(_shard_of(deal, len(self.names)), keys):
             t = self.open(shard)
             if t is None or not len(t["keys"]):
                 continue
@@ -192,7 +197,7 @@ class Stored:
     def rests(self, contexts: np.ndarray) -> np.ndarray:
         """log10 of the contexts' factors for other words; NaN: not retained."""
         out = np.full(len(contexts), np.nan)
-        for shard, own in _by_shard(_shard_of(contexts, len(self.names))):
+        for shard, own in _by_shard(_shard_of(contexts, len(self.names)), contexts):
             t = self.open(shard)
             if t is None or not len(t["kept"]):
                 continue
@@ -269,10 +274,10 @@ def _counted(keys: np.ndarray, shards: int) -> pa.RecordBatch:
 def _added(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The keys of packed rows in order, and their counts added up."""
     keys, counts = (np.concatenate([_from_planes(x, "<u8") for x in table[c].to_pylist()]) for c in ("keys", "counts"))
-    u, at = np.unique(keys, return_inverse=True)
-    out = np.zeros(len(u), np.int64)
-    np.add.at(out, at, counts.astype(np.int64))
-    return u, out
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order].astype(np.int64)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
 def _write(folder: str, shard: int, **arrays: np.ndarray) -> pa.Table:
@@ -343,16 +348,21 @@ def score(
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), held_out.alias("held_out"))
     folder = new_folder(spark, "lm-tree")
 
+    # A shard of words for each 16 MB of training text.
+    word_shards = max(64, (rows.filter("not held_out").agg(F.sum(F.octet_length("text"))).first()[0] or 0) >> 24)
+
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _counted(_tokens(batch["text"])[0], 64)
+            yield _counted(_tokens(batch["text"])[0], word_shards)
 
     def write_words(table: pa.Table) -> pa.Table:
         keys, counts = _added(table)
         return _write(folder, table["shard"][0].as_py(), keys=keys, counts=counts)
 
     words = rows.filter("not held_out").select("text").mapInArrow(count_words, _PACKED).groupBy("shard").applyInArrow(write_words, _MANIFEST)
-    level, total = _level(folder, words, 64)
+    level, total = _level(folder, words, word_shards)
+    del words
+    release_shuffles(spark)
     made, distinct = [level], sum(level[2])
     floor, shards = max(least_share * total, least_count), max(64, -(-total // shard_tokens))
     unigram = lambda counts: (counts + 0.1) / (total + 0.1 * (distinct + 1))
@@ -393,6 +403,8 @@ def score(
 
         grams = encoded.filter("not held_out").select("ids").mapInArrow(count_ngrams, _PACKED).groupBy("shard").applyInArrow(enough, _PACKED)
         made.append(_level(folder, grams.groupBy("shard").applyInArrow(write_ngrams, _MANIFEST), shards)[0])
+        del grams
+        release_shuffles(spark)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = [Stored(*x) for x in made]
