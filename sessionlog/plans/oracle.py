@@ -781,6 +781,13 @@ SELECT session_id, seq, type, strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S
        nullif(filename, '') AS filename, CAST(nullif(line, 0) AS DOUBLE) AS line,
        CAST(nullif(changed_tick, 0) AS DOUBLE) AS changed_tick, nullif(note, '') AS note
 FROM ev""",
+    "document_sessions": _with(STATE) + """
+SELECT session_id, '/work/proj-' || session_id AS project_path, '/logs' AS save_path, 'json' AS output_format, start_us, end_us, active
+FROM state2 WHERE session_id IS NOT NULL""",
+    "document_events": _with() + """
+SELECT session_id, seq, type, ts_us, nullif(filename, '') AS filename, CAST(nullif(line, 0) AS DOUBLE) AS line,
+       CAST(nullif(changed_tick, 0) AS DOUBLE) AS changed_tick, nullif(note, '') AS note
+FROM ev WHERE session_id IS NOT NULL""",
     "stream_summaries": _stream_summaries(),
     "event_log": _with() + """
 SELECT session_id, seq, type, ts_us, filename, changed_tick, note FROM ev""",
@@ -817,3 +824,6 @@ SELECT session_id, '/work/proj-' || session_id AS project_path, '/logs' AS save_
     "export_routes": _with(LIFE) + """
 SELECT session_id, CASE fmt WHEN 'json' THEN 'json' WHEN 'sqlite' THEN 'store' ELSE 'markdown' END AS route FROM life""",
 }
+
+ORACLE["document_stats"] = ORACLE["session_stats"].replace(
+    "CAST(NULL AS VARCHAR) AS project_path", "'/work/proj-' || s.session_id AS project_path") + " WHERE s.session_id IS NOT NULL"

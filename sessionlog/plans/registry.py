@@ -382,6 +382,39 @@ def q_json_export(spark, sf_dir):
                                   "data.changed_tick", "data.note"), ["line", "changed_tick"])
 
 
+def _documents(spark, sf_dir):
+    """The events table written as one document a session, in pieces."""
+    import uuid
+
+    from sessionlog.sources.pieces import write_documents
+    from sessionlog.spark import ensure_checkpoint_dir
+    src = _ev(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/documents-{uuid.uuid4().hex}"
+    meta = session_state(src).select("session_id", F.concat(F.lit("/work/proj-"), "session_id").alias("project_path"),
+                                     F.lit("/logs").alias("save_path"), F.lit("json").alias("output_format"), "start_us", "end_us", "active")
+    write_documents(meta, src, path)
+    return path
+
+
+def q_document_sessions(spark, sf_dir):
+    """Session rows of a folder of documents, read in bounded pieces."""
+    from sessionlog.sources.pieces import read_sessions_in_pieces
+    return read_sessions_in_pieces(spark, _documents(spark, sf_dir))[0]
+
+
+def q_document_events(spark, sf_dir):
+    """Events of a folder of documents with their places in the arrays, read in bounded pieces."""
+    from sessionlog.sources.pieces import read_sessions_in_pieces
+    events = read_sessions_in_pieces(spark, _documents(spark, sf_dir))[1]
+    return _as_double(events.select("session_id", "seq", "type", "ts_us", "filename", "line", "changed_tick", "note"), ["line", "changed_tick"])
+
+
+def q_document_stats(spark, sf_dir):
+    """Statistics of every session with a document."""
+    from sessionlog.sources.pieces import all_session_stats
+    return all_session_stats(spark, _documents(spark, sf_dir))
+
+
 def q_stream_summaries(spark, sf_dir):
     """Live path end to end: command stream -> cursor filter -> append-only event log
     (bucket-partitioned); the summary stream over that log runs once while the log is
@@ -552,6 +585,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "diagnostics_flat": q_diagnostics_flat,
     "store_roundtrip": q_store_roundtrip,
     "json_export": q_json_export,
+    "document_sessions": q_document_sessions,
+    "document_events": q_document_events,
+    "document_stats": q_document_stats,
     "stream_summaries": q_stream_summaries,
     "event_log": q_event_log,
     "error_corrections_intent": q_error_corrections_intent,

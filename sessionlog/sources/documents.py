@@ -80,8 +80,12 @@ def sessions_table(docs: DataFrame) -> DataFrame:
 
 def explode_events(docs: DataFrame) -> DataFrame:
     """Document -> canonical event rows; ``seq`` is the position in the array."""
-    x = docs.select(F.col("id").alias("session_id"), F.posexplode("events").alias("seq", "e"))
-    ts_t = docs.schema["events"].dataType.elementType["timestamp"].dataType
+    return event_columns(docs.select(F.col("id").alias("session_id"), F.posexplode("events").alias("seq", "e")))
+
+
+def event_columns(x: DataFrame) -> DataFrame:
+    """``(session_id, seq, e)``, ``e`` an event object of a document -> canonical event rows."""
+    ts_t = x.schema["e"].dataType["timestamp"].dataType
     d = x.select(
         "session_id", F.col("seq").cast("bigint").alias("seq"), F.col("e.type").alias("type"),
         F.col("e.timestamp").alias("ts"), epoch_us(F.col("e.timestamp"), ts_t).alias("ts_us"),
