@@ -788,6 +788,10 @@ FROM state2 WHERE session_id IS NOT NULL""",
 SELECT session_id, seq, type, ts_us, nullif(filename, '') AS filename, CAST(nullif(line, 0) AS DOUBLE) AS line,
        CAST(nullif(changed_tick, 0) AS DOUBLE) AS changed_tick, nullif(note, '') AS note
 FROM ev WHERE session_id IS NOT NULL""",
+    "store_growth": _with() + """
+SELECT session_id, seq, type, ts_us, nullif(filename, '') AS filename, CAST(nullif(line, 0) AS DOUBLE) AS line,
+       CAST(nullif(changed_tick, 0) AS DOUBLE) AS changed_tick, nullif(note, '') AS note
+FROM ev""",
     "stream_summaries": _stream_summaries(),
     "event_log": _with() + """
 SELECT session_id, seq, type, ts_us, filename, changed_tick, note FROM ev""",

@@ -382,6 +382,23 @@ def q_json_export(spark, sf_dir):
                                   "data.changed_tick", "data.note"), ["line", "changed_tick"])
 
 
+def q_store_growth(spark, sf_dir):
+    """Relational store that begins with two buckets and splits them as three upserts, by thirds of the sessions, make it grow."""
+    import uuid
+
+    from sessionlog.sinks.store import read_store, store_events, store_sessions, upsert_store
+    from sessionlog.spark import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/growth-{uuid.uuid4().hex}"
+    src = materialize(_ev(spark, sf_dir).withColumn("third", F.pmod(F.xxhash64("session_id"), F.lit(3))), "growth-source")
+    for third in range(3):
+        part = src.filter(F.col("third") == third)
+        meta = session_state(part).select("session_id", F.lit("/p").alias("project_path"), F.lit("/logs").alias("save_path"),
+                                          F.lit("sqlite").alias("output_format"), "start_us", "end_us", "active")
+        upsert_store(store_sessions(meta), store_events(part), path, buckets=2, bucket_bytes=1 << 15)
+    _, e = read_store(spark, path)
+    return _as_double(e.select("session_id", "seq", "type", "ts_us", "filename", "line", "changed_tick", "note"), ["line", "changed_tick"])
+
+
 def _documents(spark, sf_dir):
     """The events table written as one document a session, in pieces."""
     import uuid
@@ -585,6 +602,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "diagnostics_flat": q_diagnostics_flat,
     "store_roundtrip": q_store_roundtrip,
     "json_export": q_json_export,
+    "store_growth": q_store_growth,
     "document_sessions": q_document_sessions,
     "document_events": q_document_events,
     "document_stats": q_document_stats,

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sessionlog.functions.scalar import epoch_us, us_to_ts
 from sessionlog.operators.sequence import join_on
-from sessionlog.sinks.replace import BUCKETS, bucket_of, replace_sessions
+from sessionlog.sinks.replace import BUCKET_BYTES, BUCKETS, bucket_of, replace_sessions
 
 STORE_EVENT_COLUMNS = [
     "session_id", "seq", "type", "timestamp", "filename", "line", "column", "line_count", "changed_tick",
@@ -80,12 +80,14 @@ def write_store(sessions: DataFrame, events: DataFrame, path: str, buckets: int
      .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/events"))
 
 
-def upsert_store(sessions: DataFrame, events: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+def upsert_store(sessions: DataFrame, events: DataFrame, path: str, buckets: int = BUCKETS,
+                 bucket_bytes: int = BUCKET_BYTES) -> None:
     """Replace the given sessions, with all their events, in a written store (a
-    first call makes it).  Only the buckets of these sessions are rewritten."""
+    first call makes it).  Only the buckets of these sessions are rewritten;
+    buckets are split as the tables grow."""
     ids = sessions.select(F.col("id").alias("session_id"))
-    replace_sessions(events, ids, f"{path}/events", ["session_id", "seq"], buckets=buckets)
-    replace_sessions(sessions, sessions.select("id"), f"{path}/sessions", key="id", buckets=buckets)
+    replace_sessions(events, ids, f"{path}/events", ["session_id", "seq"], buckets=buckets, bucket_bytes=bucket_bytes)
+    replace_sessions(sessions, sessions.select("id"), f"{path}/sessions", key="id", buckets=buckets, bucket_bytes=bucket_bytes)
 
 
 def session_lookup(events: DataFrame, session_id: str) -> DataFrame:
