@@ -30,7 +30,7 @@ def _files_before_chunks(events: DataFrame, chunk_rows: int) -> DataFrame:
 
 
 def error_corrections(events: DataFrame, agg: AggregationConfig = AggregationConfig(),
-                      exe: ExecConfig = ExecConfig()) -> DataFrame:
+                      exe: ExecConfig = ExecConfig(), files_before: DataFrame | None = None) -> DataFrame:
     """For each annotation whose note holds an error keyword (and is not the
     first event), walk back over at most ``lookback_events`` events, stopping at
     the first one older than ``lookback_us``; edits on the annotation's file are
@@ -42,6 +42,9 @@ def error_corrections(events: DataFrame, agg: AggregationConfig = AggregationCon
     also gets the last ``lookback_events`` rows before it (its halo).  A bounded
     frame tells each row which annotations look back on it, so lists are built for
     annotations alone, and their groups lie in the chunk already.
+
+    ``files_before`` (session_id, file_before): the last file named before ``events``, for a
+    log that is told in parts.
     """
     back = agg.lookback_events
     keyword = (F.col("type") == "annotation") & (F.col("seq") > 0) & has_error_keyword(F.col("note"), agg.error_keywords)
@@ -70,6 +73,8 @@ def error_corrections(events: DataFrame, agg: AggregationConfig = AggregationCon
     if agg.annotation_file == "last_active":
         if spans_chunks(events, exe.chunk_rows):
             g = join_on(g, _files_before_chunks(events, exe.chunk_rows), KEY, "left").withColumn("active", F.coalesce("active", "carry_file"))
+        if files_before is not None:
+            g = join_on(g, files_before, ["session_id"], "left").withColumn("active", F.coalesce("active", "file_before"))
         own_file = F.when(F.col("a_filename") != "", F.col("a_filename"))
         g = g.withColumn("a_file", F.coalesce(own_file, F.col("active"), F.lit("")))
     else:

@@ -69,9 +69,12 @@ def _reason(closer: Column, other_file: Column, gap_us: Column, merge_us: Column
 
 
 def scan(events: DataFrame, agg: AggregationConfig = AggregationConfig(),
-         exe: ExecConfig = ExecConfig(), materialize: bool | None = None) -> DataFrame:
+         exe: ExecConfig = ExecConfig(), materialize: bool | None = None, seed: DataFrame | None = None) -> DataFrame:
     """Run the chunked pass.
 
+    ``seed``: what the rows before ``events`` leave behind, a row a session in the form of
+    a chunk summary (:mod:`sessionlog.operators.partials`); the pass goes on from there.
+
     ``materialize=True``: the result is written once as parquet in the shared
     checkpoint folder (callers that read it several times).  ``None`` (auto):
     written only when chunks need carries - then the local pass is persisted
@@ -122,7 +125,7 @@ def scan(events: DataFrame, agg: AggregationConfig = AggregationConfig(),
         F.sum(F.coalesce(F.col("_rstart_l"), F.lit(False)).cast("int")).over(run).alias("_runs_l"),
     )
 
-    if not spans_chunks(events, exe.chunk_rows):
+    if seed is None and not spans_chunks(events, exe.chunk_rows):
         # every session fits in its first chunk: nothing flows between chunks
         out = _fixup(d, None, events.columns, is_edit)
         return materialize_df(out, "scan") if materialize else out
@@ -150,12 +153,17 @@ def scan(events: DataFrame, agg: AggregationConfig = AggregationConfig(),
         F.sum(F.coalesce(F.col("_rstart_l"), F.lit(False)).cast("int")).alias("n_lruns"),
     )
 
+    if seed is not None:
+        none = {f.name: F.lit(None).cast(f.dataType.simpleString()) for f in summ.schema if f.name not in {*seed.columns, "_chunk"}}
+        summ = summ.unionByName(seed.withColumn("_chunk", F.lit(-1).cast("bigint")).withColumns(none).select(*summ.columns))
+
     # 3. carry table over chunk summaries ----------------------------------
     cw = Window.partitionBy("session_id").orderBy("_chunk")
     cb = cw.rowsBetween(UNB, -1)
     c = summ.select(
         "*",
         F.coalesce(F.sum("n_trig").over(cb), F.lit(0)).alias("trig_off"),
+        F.lag("_chunk").over(cw).alias("chunk_before"),
         F.lag("last_ts").over(cw).alias("carry_ts"),
         F.last("last_file", ignorenulls=True).over(cb).alias("carry_file"),
         F.last("last_nc", ignorenulls=True).over(cb).alias("carry_nc"),
@@ -188,7 +196,7 @@ def scan(events: DataFrame, agg: AggregationConfig = AggregationConfig(),
         F.coalesce(F.sum("n_starts").over(cb), F.lit(0)).alias("starts_off"),
         F.coalesce(F.sum("n_runs").over(cb), F.lit(0)).alias("runs_off"),
     )
-    carry = c.filter(F.col("_chunk") > 0).select(
+    carry = c.filter(F.col("chunk_before").isNotNull()).select(
         "session_id", "_chunk", F.lit(True).alias("_has_carry"), "trig_off", "carry_ts", "carry_file",
         "fe_reason", "fnc_start", "starts_off", "runs_off",
     )

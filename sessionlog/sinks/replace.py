@@ -120,6 +120,16 @@ def _leave(spark, path, keys, key, fmt, read, write, before: int, after: int) ->
     _mark(spark, path, "clean", after)
 
 
+def stored_sessions(spark: SparkSession, ids: DataFrame, path: str, schema: str, key: str = "session_id", buckets: int = BUCKETS) -> DataFrame:
+    """The rows that a stored table holds of the sessions in ``ids``; only their buckets are read."""
+    if not table_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    ids, now = ids.select(key).distinct(), table_buckets(spark, path, buckets)
+    touched = [r.bucket for r in ids.select(bucket_of(key, now).alias("bucket")).distinct().collect()]  # at most ``now``
+    rows = spark.read.schema(f"{schema}, bucket bigint").parquet(path).filter(F.col("bucket").isin(touched) & (F.col("bucket") == bucket_of(key, now)))
+    return join_on(rows.drop("bucket"), ids, [key], "left_semi")
+
+
 def replace_sessions(new: DataFrame, ids: DataFrame, path: str, order: Sequence[str] = (), key: str = "session_id",
                      fmt: str = "parquet", read: Callable[[DataFrame], DataFrame] | None = None,
                      write: Callable[[DataFrame], DataFrame] | None = None, buckets: int = BUCKETS,

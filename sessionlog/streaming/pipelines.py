@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from sessionlog.config import AggregationConfig, ExecConfig
+from sessionlog.operators.partials import INPUT, PARTS, extend, heads, rules_mark, summary
 from sessionlog.operators.sequence import join_on
 from sessionlog.schema import EVENT_SCHEMA
-from sessionlog.sinks.replace import bucket_of, replace_sessions
+from sessionlog.sinks.replace import bucket_of, replace_sessions, stored_sessions
 from sessionlog.sources.command_log import command_events, parse_commands, rejects
 from sessionlog.spark import ensure_checkpoint_dir, materialize
 
@@ -44,26 +46,47 @@ def log_stream(spark: SparkSession, log_path: str, max_files_per_trigger: int =
 
 def refresh_summaries(log_path: str, out_path: str, agg: AggregationConfig = AggregationConfig(),
                       exe: ExecConfig = ExecConfig()):
-    """``foreachBatch`` body: recompute analytics and session state only for the
-    sessions touched in the micro-batch, from the full stored log, and replace
-    their rows in the summary table.  The table holds one row a session."""
-    from sessionlog.operators.analytics import session_analytics
-    from sessionlog.operators.stats import session_state
+    """``foreachBatch`` body: put the micro-batch's rows onto the parts of their sessions
+    (:mod:`sessionlog.operators.partials`, kept at ``<out_path>_parts``) and replace these
+    sessions' rows in the summary table, which holds one row a session.
+
+    A refresh reads the new rows and the touched buckets of the parts.  The log itself
+    is read only for sessions whose rows don't follow on their parts: files that come out
+    of order, or parts made by other rules; these are made anew from all their rows.  Rows
+    that the parts hold already (a batch told again) change nothing.
+    """
+    parts_path = f"{out_path}_parts"
 
     def body(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        touched = batch.select("session_id").distinct().withColumn("bucket", bucket_of())
-        # joining on the partition column lets dynamic partition pruning skip untouched buckets
-        log = spark.read.parquet(log_path)
-        ids = touched.withColumnsRenamed({"bucket": "_bucket", "session_id": "_id"})
-        log = log.join(ids, (log["bucket"] == ids["_bucket"]) & log["session_id"].eqNullSafe(ids["_id"]), "left_semi").drop("bucket")
-        log = materialize(log, "touched")  # one read of the log for all parts of the summary
-        summary = join_on(session_analytics(log, agg, exe), session_state(log), ["session_id"], "left")
-        replace_sessions(summary, touched.select("session_id"), out_path)
+        batch = materialize(batch.select(*INPUT), "new-rows")
+        touched = batch.select("session_id").distinct()
+        parts = stored_sessions(spark, touched, parts_path, PARTS).filter(F.col("rules") == rules_mark(agg))
+        ends = heads(parts).select("session_id", "upto")
+        fresh = join_on(batch, ends, ["session_id"], "left").filter(F.col("seq") > F.coalesce("upto", F.lit(-1)))
+        fresh = materialize(fresh, "fresh-rows")
+        found = fresh.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.max("upto").alias("upto"))
+        follows = (F.col("lo") == F.coalesce("upto", F.lit(-1)) + 1) & (F.col("hi") - F.col("lo") + 1 == F.col("n"))
+        apart = materialize(found.filter(~follows).select("session_id"), "apart")
+        rows, known = fresh.select(*INPUT), parts
+        if not apart.isEmpty():
+            log = _log_of(spark, log_path, apart).select(*INPUT)
+            rows = join_on(rows, apart, ["session_id"], "left_anti").unionByName(log)
+            known = join_on(parts, apart, ["session_id"], "left_anti")
+        replace_sessions(extend(known, rows, agg, exe), found.select("session_id"), parts_path)
+        # of all touched sessions, should the last call have ended between the two tables
+        replace_sessions(summary(stored_sessions(spark, touched, parts_path, PARTS), agg), touched, out_path)
 
     return body
 
 
+def _log_of(spark: SparkSession, log_path: str, ids: DataFrame) -> DataFrame:
+    """The stored rows of some sessions; joining on the partition column lets Spark skip the other buckets."""
+    log = spark.read.parquet(log_path)
+    ids = ids.select(F.col("session_id").alias("_id"), bucket_of().alias("_bucket"))
+    return log.join(ids, (log["bucket"] == ids["_bucket"]) & log["session_id"].eqNullSafe(ids["_id"]), "left_semi").drop("bucket")
+
+
 def summary_refresh_query(spark: SparkSession, log_path: str, out_path: str, agg: AggregationConfig = AggregationConfig(),
                           exe: ExecConfig = ExecConfig(), every: str = "5 minutes", name: str = "summaries",
                           trigger: dict | None = None):
