@@ -9,7 +9,8 @@ one node.  A neighbour list holds the ``degree`` nearest nodes known.
 * NN-descent: in each round, lists are joined on the node in the middle; it
   compares the nodes that list it with those that it lists (pairs with at least
   one new entry), and those better than a list's last entry go to that list.
-  Rounds end when fewer than ``still`` of all entries change.
+  Rounds end when at most ``still`` of all entries change, however many that takes:
+  lists only get better, so they do end.  Each round's changes are logged.
 * Search: each query walks the graph greedily from its own node: it keeps the
   ``beam`` best nodes met and joins the lists of the best ones not yet visited,
   until all in the beam are visited.  Those are scored on the original vectors.
@@ -26,6 +27,7 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +39,7 @@ from pyspark.sql import functions as F
 from sessionlog.llm.shared import pick
 from sessionlog.spark import materialize
 
+_LOG = logging.getLogger(__name__)
 #: Below the similarity of any two unit vectors.
 _NONE = -5.0
 _GRAPH = "node long, code binary, ids array<long>, sims array<float>, fresh array<boolean>"
@@ -210,16 +213,16 @@ def _compare(graph: DataFrame, degree: int) -> DataFrame:
     return listed.unionByName(listing).repartition("middle").sortWithinPartitions("middle", "kind").mapInArrow(run, _LISTS)
 
 
-def build_graph(nodes: DataFrame, dim: int, degree: int, trees: int, block: int, still: float, most_rounds: int) -> DataFrame:
+def build_graph(nodes: DataFrame, dim: int, degree: int, trees: int, block: int, still: float) -> DataFrame:
     """Neighbour lists (node, code, ids, sims, fresh) of all nodes (node, code)."""
     n = nodes.count()
     empty = nodes.select("node", "code", F.array().cast("array<long>").alias("ids"), F.array().cast("array<float>").alias("sims"))
     graph = materialize(_merge(empty, _first_lists(nodes, n, dim, degree, trees, block), degree), "nn-graph")
-    for _ in range(most_rounds):
+    changed, rounds = n * degree, 0
+    while changed > still * n * degree:
         graph = materialize(_merge(graph, _compare(graph, degree), degree), "nn-graph")
-        changed = graph.agg(F.sum(F.size(F.filter("fresh", lambda f: f)))).first()[0] or 0
-        if changed <= still * n * degree:
-            break
+        changed, rounds = graph.agg(F.sum(F.size(F.filter("fresh", lambda f: f)))).first()[0] or 0, rounds + 1
+        _LOG.info("round %d: %d of %d entries changed", rounds, changed, n * degree)
     return graph
 
 
@@ -283,7 +286,7 @@ def _walk(graph: DataFrame, starts: DataFrame, beam: int, step: int) -> DataFram
 
 
 def nearest(
-    rows: DataFrame, is_query: Column, k: int = 5, degree: int = 24, beam: int = 128, step: int = 32, trees: int = 3, block: int = 128, still: float = 0.02, most_rounds: int = 8, vec_id: str = "vec_id", vector: str = "embedding"
+    rows: DataFrame, is_query: Column, k: int = 5, degree: int = 24, beam: int = 128, step: int = 32, trees: int = 3, block: int = 128, still: float = 0.02, vec_id: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
     """query_id, rank, vec_id and score: the ``k`` nearest found of each query row (``is_query``, on column vec_id)."""
     v = F.col("v")
@@ -303,7 +306,7 @@ def nearest(
 
     heads = few.filter("nth = 1")
     nodes = materialize(heads.select("node", "v").mapInArrow(code, "node long, code binary"), "nn-nodes")
-    graph = build_graph(nodes, dim, degree, trees, block, still, most_rounds)
+    graph = build_graph(nodes, dim, degree, trees, block, still)
     queries = keyed.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "h1", "h2").join(heads.select("node", "h1", "h2"), ["h1", "h2"]).select("query_id", "q", "node")
     walked = _walk(graph, queries.select("node").distinct(), beam, step)
     met = walked.select("node", F.explode(F.array_union("ids", F.array("node"))).alias("other"))
