@@ -76,22 +76,27 @@ def ship_package(spark) -> None:
     Python code that runs in tasks imports the package, which need not be
     installed on the workers or lie on their path.
     """
-    import zipfile
-    from pathlib import Path
-
     try:
         sc = spark.sparkContext
     except Exception:  # Spark Connect: the package must be installed or sent with addArtifacts
         return
     if sc.applicationId in _shipped:
         return
+    sc.addPyFile(package_zip())
+    _shipped.add(sc.applicationId)
+
+
+def package_zip() -> str:
+    """The package in a new zip file.  Its folders need an ``__init__.py``: zips have no namespace packages."""
+    import zipfile
+    from pathlib import Path
+
     home = Path(__file__).resolve().parent
     path = os.path.join(tempfile.mkdtemp(prefix="sessionlog-zip-"), "sessionlog_package.zip")
     with zipfile.ZipFile(path, "w") as out:
         for p in sorted(home.rglob("*.py")):
             out.write(p, p.relative_to(home.parent))
-    sc.addPyFile(path)
-    _shipped.add(sc.applicationId)
+    return path
 
 
 _shipped: set[str] = set()

@@ -137,3 +137,22 @@ def test_resumed_sessions(spark):
     assert got == sorted(map(tuple, activity_blocks(ev).select(*cols).collect()))
     assert [(g[0], g[4], g[7]) for g in got] == [(1, 4, "timeout"), (2, 1, "context_switch"), (3, 1, "session_end")]
     assert told.filter("block_no = 1").count() == 3  # at both ends, and when the timeout closed it
+
+
+def test_shipped_zip_holds_every_module(tmp_path):
+    """Executors import the package from its zip, where a folder without ``__init__.py`` can't be imported."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    import sessionlog
+    from sessionlog.spark import package_zip
+
+    home = Path(sessionlog.__file__).parent
+    own = {".".join(p.relative_to(home.parent).with_suffix("").parts) for p in home.glob("streaming/*.py")}
+    code = f"import sys; sys.path.insert(0, {package_zip()!r}); import importlib; [importlib.import_module(m) for m in {sorted(own)!r}]"
+    code += "; import sessionlog; assert '.zip' in sessionlog.__file__"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+    assert all((p.parent / "__init__.py").exists() for p in home.rglob("*.py"))
