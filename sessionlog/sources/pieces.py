@@ -9,17 +9,21 @@ begin.  Running sums over these summaries, one row a chunk, give every chunk
 its true state; each is then cut into array elements by itself.  Only elements
 that lie across a chunk's edge are put together by a shuffle.
 
-A document is a file ``X.json`` or a folder ``document=X.json`` of part files
-which, in name order, make up the text (:func:`write_documents`).
+A document is a file ``X.json`` or ``document=X.json``, or a folder ``document=X.json``
+of part files which, in name order, make up the text (:func:`write_documents`).
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +36,8 @@ from sessionlog.sources.documents import RAW_SUFFIX, _name_table, event_columns,
 from sessionlog.spark import materialize
 
 PIECE_BYTES = 1 << 20
+#: What opening a file counts for when files are dealt to tasks; most documents are short.
+OPEN_BYTES = 1 << 16
 
 _ESCAPE = re.compile(rb"\\.", re.DOTALL)
 _EVENTS_KEY = re.compile(rb'"events"\s*:\s*$')
@@ -43,6 +49,9 @@ _PLACE = ["path", "block", "no"]
 _CHUNK = "path string, file_size long, block long, no long, text binary, n_bytes long, quotes long, d0 long, d1 long"
 _PART = "doc string, path string, block long, no long, kind string, own boolean, nth long, text binary, left boolean, right boolean, opened long"
 
+_ARROW = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+_CHUNK_SCHEMA, _PART_SCHEMA = (pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in names.split(", ")]) for names in (_CHUNK, _PART))
+
 
 def _nesting(text: bytes) -> int:
     return text.count(b"{") + text.count(b"[") - text.count(b"}") - text.count(b"]")
@@ -54,31 +63,53 @@ def _summary(text: bytes) -> tuple[int, int, int]:
     return len(between) - 1, _nesting(b" ".join(between[0::2])), _nesting(b" ".join(between[1::2]))
 
 
+def _several(rows: Iterator[tuple], schema: pa.Schema, text: int) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of about 4 MB of text (column ``text``) or 2,000 rows: a batch for each costs more than short rows do."""
+    kept, size = [], 0
+    for row in rows:
+        kept.append(row)
+        size += len(row[text])
+        if size >= 1 << 22 or len(kept) >= 2000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept), schema.types)], schema=schema)
+            kept, size = [], 0
+    if kept:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept), schema.types)], schema=schema)
+
+
 def _gather(piece_bytes: int):
     """Rows of each input split, in order, as numbered chunks of ``piece_bytes`` or one piece more."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         split, buf, size, no = None, [], 0, 0
 
-        def chunk() -> pa.RecordBatch:
+        def chunk() -> tuple:
             text = b"".join(buf)
-            path, file_size, block = split
-            row = (path, file_size, block, no, text, len(text), *_summary(text))
-            names = [c.split()[0] for c in _CHUNK.split(", ")]
-            return pa.RecordBatch.from_pylist([dict(zip(names, row))])
+            return *split, no, text, len(text), *_summary(text)
 
         for batch in batches:
-            for *where, value in zip(*(c.to_pylist() for c in batch.columns)):
-                if buf and (where != split or size >= piece_bytes):
+            path, file_size, block, value = batch.columns
+            n = len(batch)
+            new = pc.or_(pc.not_equal(path[1:], path[:-1]), pc.not_equal(block[1:], block[:-1])).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), n] if n else [0]
+            for a, z in zip(cuts, cuts[1:]):  # rows of one split
+                where = (path[a].as_py(), file_size[a].as_py(), block[a].as_py())
+                values = value[a:z].to_pylist()
+                if buf and where != split:
                     yield chunk()
-                    no = no + 1 if where == split else 0
-                    buf, size = [], 0
+                    buf, size, no = [], 0, 0
                 split = where
-                buf += [value, b"}"]
-                size += len(value) + 1
+                for v in values:
+                    if size >= piece_bytes:
+                        yield chunk()
+                        buf, size, no = [], 0, no + 1
+                    buf += (v, b"}")
+                    size += len(v) + 1
         if buf:
             yield chunk()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _several(chunks(batches), _CHUNK_SCHEMA, 4)
+
     return run
 
 
@@ -114,18 +145,19 @@ def _cut(text: bytes, in_string: int, depth: int) -> tuple[bytes, list[tuple], b
     return head, found, own, nth if own is not False else 0, opened
 
 
-def _cut_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [c.split()[0] for c in _PART.split(", ")]
-    schema = pa.schema(list(zip(names, [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(),
-                                        pa.binary(), pa.bool_(), pa.bool_(), pa.int64()])))
+def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         for r in range(batch.num_rows):  # one row a chunk
             doc, path, block, no, text, in_string, depth, extra = (c[r].as_py() for c in batch.columns)
             head, found, own, nth, opened = _cut(text[:-1] if extra else text, in_string, depth)
             at = (doc, path, block, no)
-            rows = [(*at, "head", own, nth, head, None, None, opened)]
-            rows += [(*at, "element", o, n, t, le, ri, None) for o, n, t, le, ri in found]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+            yield *at, "head", own, nth, head, None, None, opened
+            for o, n, t, le, ri in found:
+                yield *at, "element", o, n, t, le, ri, None
+
+
+def _cut_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _several(_cut_rows(batches), _PART_SCHEMA, 7)
 
 
 def _in_order():
@@ -134,6 +166,18 @@ def _in_order():
     return F.array_join(F.transform(rows, lambda r: r["t"]), "")
 
 
+@contextmanager
+def _many_files(spark: SparkSession):
+    """Spark puts about 30 files at most into a task by default; here about 2,000, of at most as many bytes as ever."""
+    name = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(OPEN_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def read_pieces(spark: SparkSession, path: str, piece_bytes: int = PIECE_BYTES) -> tuple[DataFrame, DataFrame]:
     """``(heads, elements)``: each document without its events, and the text of each event with its position.
 
@@ -148,8 +192,9 @@ def read_pieces(spark: SparkSession, path: str, piece_bytes: int = PIECE_BYTES)
     chunks = lines.mapInArrow(_gather(piece_bytes), _CHUNK)
     steps = F.split("path", "/")
     own_file = F.element_at(steps, -1).endswith(".json")
-    chunks = materialize(chunks.select(
-        "*", F.when(own_file, F.col("path")).otherwise(F.regexp_replace("path", "/[^/]*$", "")).alias("doc")), "chunks")
+    with _many_files(spark):
+        chunks = materialize(chunks.select(
+            "*", F.when(own_file, F.col("path")).otherwise(F.regexp_replace("path", "/[^/]*$", "")).alias("doc")), "chunks")
 
     names = chunks.select("doc").distinct().select("doc", F.regexp_replace(F.element_at(F.split("doc", "/"), -1), "^document=", "").alias("file_name"))
     chosen = pick_generation(_name_table(names)).select("doc")
@@ -205,11 +250,65 @@ def all_session_stats(spark: SparkSession, path: str, piece_bytes: int = PIECE_B
     return session_stats(events, sessions)
 
 
+#: Characters of an id that a file name can't hold as they are.
+_UNSAFE = re.compile(r"""[\x00-\x1f"#%'*/:=?\\\x7f{}\[\]^]""")
+
+
+def _folder(path: str):
+    """The file system that holds the path, and its name there."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def _write_parts(path: str):
+    """Write a task's rows ``(document, sec, value)``, in order: a document that begins and ends here as a file, else as a part of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = f"{TaskContext.get().partitionId():06d}"
+        system, folder = _folder(path)
+        system.create_dir(f"{folder}/tasks-{part}", recursive=True)
+        name, out, draft, ends, n = None, None, None, [], 0
+
+        def put() -> None:  # a file gets its name when it is whole; a repeated attempt puts the same in its place
+            out.close()
+            own = f"document={_UNSAFE.sub(lambda m: f'%{ord(m[0]):02X}', name)}"
+            if ends == [0, 2]:
+                system.move(draft, f"{folder}/tasks-{part}/{own}")
+            else:
+                system.create_dir(f"{folder}/{own}", recursive=True)
+                system.move(draft, f"{folder}/{own}/part-{part}")
+
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns))
+            for document, own in groupby(rows, key=lambda r: r[0]):
+                if document != name:
+                    if out is not None:
+                        put()
+                    name, ends, n, draft = document, [], n + 1, f"{folder}/tasks-{part}/.{uuid.uuid4().hex}"
+                    out = system.open_output_stream(draft)
+                own = list(own)
+                ends += [sec for _, sec, _ in own if sec != 1]
+                out.write(b"".join([line for _, _, value in own for line in (value, b"\n")]))
+        if out is not None:
+            put()
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    return run
+
+
 def write_documents(sessions: DataFrame, events: DataFrame, path: str) -> None:
-    """Write each session's document as ``document=<id>_raw.json/part-*``, in pieces.
+    """Write each session's document, ``document=<id>_raw.json``, in pieces.
 
     Rows are dealt by range of (document, position), so a long session is written by
-    many tasks; the part files in name order make up the document.  Sessions without an id
+    many tasks: as a folder whose part files in name order make up the document.  One that
+    lies in a task's range whole is one file, in that task's folder, so that a folder of many short
+    documents costs neither a folder nor a commit for each.  Tasks write the files themselves: the
+    path must be one that Arrow can open, such as a mounted folder.  Sessions without an id
     have no file name and are left out.
     """
     ts = lambda c: F.date_format(us_to_ts(F.col(c)), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
@@ -227,5 +326,8 @@ def write_documents(sessions: DataFrame, events: DataFrame, path: str) -> None:
         F.concat(F.when(F.col("seq") > F.col("first"), F.lit(",")).otherwise(F.lit("")), "value").alias("value"))
     lines = head.unionByName(rows).unionByName(tail).withColumn("document", F.concat("session_id", F.lit(RAW_SUFFIX)))
     keys = ["document", "sec", "seq"]
-    (lines.repartitionByRange(*keys).sortWithinPartitions(*keys).select("document", "value")
-     .write.mode("overwrite").partitionBy("document").text(path))
+    spark = events.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    rows = lines.repartitionByRange(*keys).sortWithinPartitions(*keys).select("document", "sec", F.col("value").cast("binary").alias("value"))
+    rows.mapInArrow(_write_parts(path), "n long").agg(F.sum("n")).collect()

@@ -81,3 +81,33 @@ def test_written_documents_come_back(spark, folder, tmp_path_factory):
     assert rows(again_e) == rows(events)
     cols = ["session_id", "start_us", "end_us", "active"]
     assert sorted(map(tuple, again_s.select(*cols).collect())) == sorted(map(tuple, sessions.select(*cols).collect()))
+
+
+def test_short_documents_are_files_and_long_ones_folders(spark, tmp_path):
+    """Writing costs a folder for each task, not for each document; ids that file names can't hold come back."""
+    from pyspark.sql import functions as F
+
+    from sessionlog.schema import EVENT_SCHEMA
+
+    odd = ["_a", ".b", "c/d", "e=f", "g%h", "i j", "é:", "k'l", ""]
+    ids = [f"s{i:03d}" for i in range(100)] + odd
+    short = spark.createDataFrame([(s, i) for s in ids for i in range(2)], "session_id string, seq long")
+    long = spark.range(4000).select(F.lit("long").alias("session_id"), F.col("id").alias("seq"))
+    rows = short.unionByName(long).withColumns({"type": F.lit("annotation"), "ts_us": F.col("seq") + 1_700_000_000_000_000, "note": F.repeat(F.lit("x}"), 20)})
+    have = set(rows.columns)
+    events = rows.select(*[F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in EVENT_SCHEMA.fields])
+    sessions = rows.select("session_id").distinct().select(
+        "session_id", F.lit("/p").alias("project_path"), F.lit("/s").alias("save_path"), F.lit("json").alias("output_format"),
+        F.lit(1_700_000_000_000_000).alias("start_us"), F.lit(None).cast("bigint").alias("end_us"), F.lit(True).alias("active"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_documents(sessions, events, str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    folders = [p for p in (tmp_path / "out").iterdir()]
+    assert len(folders) < 20 and (tmp_path / "out" / "document=long_raw.json").is_dir()
+    assert len(list((tmp_path / "out" / "document=long_raw.json").iterdir())) > 1
+    found, back = read_sessions_in_pieces(spark, str(tmp_path / "out"))
+    assert {r.session_id for r in found.collect()} == {*ids, "long"}
+    got = sorted((r.session_id, r.seq) for r in back.collect())
+    assert got == sorted((r.session_id, r.seq) for r in rows.collect())
