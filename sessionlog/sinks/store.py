@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sessionlog.functions.scalar import epoch_us, us_to_ts
 from sessionlog.operators.sequence import join_on
 from sessionlog.sinks.replace import BUCKET_BYTES, BUCKETS, bucket_of, replace_sessions
+from sessionlog.spark import materialize
 
 STORE_EVENT_COLUMNS = [
     "session_id", "seq", "type", "timestamp", "filename", "line", "column", "line_count", "changed_tick",
@@ -85,6 +86,7 @@ def upsert_store(sessions: DataFrame, events: DataFrame, path: str, buckets: int
     """Replace the given sessions, with all their events, in a written store (a
     first call makes it).  Only the buckets of these sessions are rewritten;
     buckets are split as the tables grow."""
+    sessions = materialize(sessions, "upsert-sessions")  # read for each table's ids and rows
     ids = sessions.select(F.col("id").alias("session_id"))
     replace_sessions(events, ids, f"{path}/events", ["session_id", "seq"], buckets=buckets, bucket_bytes=bucket_bytes)
     replace_sessions(sessions, sessions.select("id"), f"{path}/sessions", key="id", buckets=buckets, bucket_bytes=bucket_bytes)

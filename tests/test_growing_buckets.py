@@ -76,3 +76,28 @@ def test_one_session_rewrites_one_bucket(spark, tmp_path):
     changed = [b for b in glob.glob(f"{path}/bucket=*") if sorted(os.listdir(b)) != files.get(b)]
     assert len(files) > 4 and len(changed) == 1
     assert _table(spark, path) == _expected({f"s{i}": int(i == 7) for i in range(30)})
+
+
+def test_upsert_reads_its_sessions_once(spark, tmp_path):
+    """Both tables' replacements read the sessions' rows and ids; what makes these runs once."""
+    from pyspark.sql import functions as F
+
+    from sessionlog.schema import EVENT_SCHEMA
+    from sessionlog.sinks.store import store_events, store_sessions, upsert_store
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    made = spark.range(7).selectExpr("concat('s', id) as session_id", "'/p' as project_path", "'sqlite' as output_format",
+                                     "id as start_us", "id as end_us", "true as active")
+    sessions = store_sessions(made.mapInArrow(count, made.schema))
+    have = {"session_id": F.concat(F.lit("s"), F.col("id") % 7), "seq": F.col("id"), "ts_us": F.col("id"), "type": F.lit("annotation")}
+    events = spark.range(70).select(*[have.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in EVENT_SCHEMA.fields])
+    upsert_store(sessions, store_events(events), str(tmp_path / "store"))
+    assert seen.value == 7
+    assert spark.read.parquet(str(tmp_path / "store" / "sessions")).count() == 7
+    assert spark.read.parquet(str(tmp_path / "store" / "events")).count() == 70
