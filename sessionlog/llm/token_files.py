@@ -77,6 +77,12 @@ class _Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str, width: str) -> _Encoder:
+    """One for all tasks of a Python worker, which then know the words of those before them."""
+    return _Encoder(path, width)
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, part_rows: int = 20_000, doc_id: str = "doc_id", text: str = "text") -> tuple[str, DataFrame]:
     """Write the files to a new shared folder; the folder and its manifest (part, base, n_docs, n_ids, width, ids, docs)."""
     spark = docs.sparkSession
@@ -88,7 +94,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, part_ro
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, end = _Encoder(tokenizer_path, width), np.array([end_id], width).tobytes()
+        encode, end = _encoder(tokenizer_path, width), np.array([end_id], width).tobytes()
         keys, sizes = [], []
 
         def body():

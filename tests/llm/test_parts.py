@@ -197,3 +197,13 @@ def test_suffix_tree_distributions_sum_to_one():
             other = np.append(row, -1).astype(np.int32)
             rare = 10.0 ** tree.log_probabilities(other, np.array([0]))[-1] * unseen
             assert np.isclose(known + rare, 1)
+
+
+def test_tasks_of_a_worker_share_the_token_file_encoder():
+    from sessionlog.llm import token_files
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    first = token_files._encoder(path, "<u2")
+    whole = token_files._Encoder(path, "<u2")(["one two", "two three"])
+    assert first(["one two"]) == whole[:1] and "two" in first.new
+    assert token_files._encoder(path, "<u2") is first and first(["two three"]) == whole[1:]
