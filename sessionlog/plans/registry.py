@@ -269,9 +269,8 @@ def q_store_upsert(spark, sf_dir):
         "session_id", F.lit("/old").alias("project_path"), F.lit("/logs").alias("save_path"),
         F.lit("markdown").alias("output_format"), "start_us", "end_us", "active"))
     write_store(base_s, store_events(src), path)
-    # the log is parsed and routed once, whatever the upserts read of it
-    new_ev, meta, _ = read_command_log(materialize(command_lines(src).unionByName(lifecycle_lines(src)), "command-lines"))
-    meta = materialize(meta, "command-sessions")
+    new_ev, meta, _ = read_command_log(command_lines(src).unionByName(lifecycle_lines(src)))
+    meta = materialize(meta, "command-sessions")  # the log is routed once, whatever the upserts read of it
     ids = route_by_format(meta)["store"]
     new_s = store_sessions(join_on(join_on(session_state(new_ev), meta, ["session_id"]), ids, ["session_id"], "left_semi"))
     new_e = store_events(join_on(new_ev, ids, ["session_id"], "left_semi"))
