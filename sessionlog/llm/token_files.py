@@ -15,6 +15,8 @@ table gives no parts.  Other columns of the input are ignored.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,22 +37,51 @@ def _library(path: str):
     return Tokenizer.from_file(path)
 
 
+def _plain_pieces(library) -> re.Pattern | None:
+    """The tokenizer's own split rule for lower-cased words of printable ASCII, if it is of the form that allows this.
+
+    Such a word is its own normal form but for the case, and its bytes stand for
+    themselves, so its ids are those that the library's model gives for its pieces.
+    """
+    rules = json.loads(library.to_str())
+    normal, split = rules["normalizer"] or {}, rules["pre_tokenizer"] or {}
+    if rules["post_processor"] or rules["model"].get("dropout"):
+        return None
+    if normal.get("normalizers") != [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]:
+        return None
+    first, *rest = split.get("pretokenizers", [{}])
+    if (first.get("type"), first.get("behavior"), first.get("invert"), "Regex" in first.get("pattern", ())) != ("Split", "Removed", True, True):
+        return None
+    if [(x.get("type"), x.get("add_prefix_space"), x.get("use_regex")) for x in rest] != [("ByteLevel", False, False)]:
+        return None
+    rule = first["pattern"]["Regex"].replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")
+    return None if r"\p" in rule else re.compile(rule)
+
+
+_PLAIN = re.compile(r"[!-~]*")
+
+
 class _Encoder:
     """Ids of whole texts; words between plain spaces are encoded once and kept.
 
     The tokenizer drops white space and none of its rules reaches over a space,
     so the ids of a text are those of its words, one after another.  New words
-    are encoded many at a time, joined by spaces, and told apart by the
-    positions that the library gives.
+    of printable ASCII are cut by the tokenizer's split rule and go to its model
+    piece by piece.  Others are encoded many at a time, joined by spaces, and
+    told apart by the positions that the library gives.
     """
 
     def __init__(self, path: str, width: str, most: int = 800_000):
         self.library, self.width, self.most = _library(path), width, most
+        self.rule = _plain_pieces(self.library)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        found = {}
+        plain = [w for w in words if self.rule and _PLAIN.fullmatch(w) and not any(x in w for x in self.special)]
+        found = self._learn_plain(plain)
+        words = [w for w in words if w not in found]
         for at in range(0, len(words), 2000):
             part = words[at : at + 2000]
             encoding = self.library.encode(" ".join(part), add_special_tokens=False)
@@ -60,10 +91,21 @@ class _Encoder:
             found.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, cut[:-1].tolist(), cut[1:].tolist(), strict=True))
         return found
 
+    def _learn_plain(self, words: list[str]) -> dict[str, bytes]:
+        ids, cut = [], [0]
+        tokenize = self.library.model.tokenize
+        for w in words:
+            for piece in self.rule.findall(w.lower()):
+                ids.extend([t.id for t in tokenize(piece)])
+            cut.append(len(ids))
+        size, flat = np.dtype(self.width).itemsize, np.array(ids, self.width).tobytes()
+        return {w: flat[a * size : b * size] for w, a, b in zip(words, cut[:-1], cut[1:], strict=True)}
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
+        # Under the rule a line break counts as a space.
+        split = [(t.replace("\n", " ") if self.rule else t).split(" ") for t in texts]
         new, old = self.new, self.old
-        missing = {w for words in split for w in words if w not in new}
+        missing = set().union(*split).difference(new)
         own = {w: old[w] for w in missing if w in old}
         own |= self._learn([w for w in missing if w not in own])
         if len(new) + len(own) > self.most:
@@ -71,7 +113,7 @@ class _Encoder:
             self.old, self.new = new, {}
             new = self.new
         new.update(own)
-        out = [b"".join([new[w] for w in words]) for words in split]
+        out = [b"".join(map(new.__getitem__, words)) for words in split]
         for w in [w for w in own if len(w) > 64]:  # long words hardly repeat
             del new[w]
         return out

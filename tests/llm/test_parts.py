@@ -207,3 +207,35 @@ def test_tasks_of_a_worker_share_the_token_file_encoder():
     whole = token_files._Encoder(path, "<u2")(["one two", "two three"])
     assert first(["one two"]) == whole[:1] and "two" in first.new
     assert token_files._encoder(path, "<u2") is first and first(["two three"]) == whole[1:]
+
+
+def test_plain_words_go_to_the_tokenizers_model_alone():
+    from types import SimpleNamespace
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encode, sent = _Encoder(path, "<u2"), []
+    whole = encode.library
+
+    def noted(text, **options):
+        sent.append(text)
+        return whole.encode(text, **options)
+
+    encode.library = SimpleNamespace(model=whole.model, encode=noted)
+    all_texts = ["I'LL say: Don't 12x!", "a\nb <|Endoftext|>", "x<|endoftext|>y Caf\u00e9 \x1cz \t!", ""]
+    got = [np.frombuffer(b, "<u2").tolist() for b in encode(all_texts)]
+    assert got == [whole.encode(x, add_special_tokens=False).ids for x in all_texts]
+    assert sorted(w for x in sent for w in x.split(" ")) == ["\t!", "\x1cz", "Caf\u00e9", "x<|endoftext|>y"]
+
+
+def test_other_tokenizers_send_all_words_to_the_library(tmp_path):
+    import json
+
+    from sessionlog.llm import token_files
+
+    rules = json.load(open(public_tokenizers.path("word_bpe_49k.json")))
+    rules["normalizer"]["normalizers"].pop()  # upper case stays
+    path = str(tmp_path / "other.json")
+    json.dump(rules, open(path, "w"))
+    encode = token_files._Encoder(path, "<u2")
+    assert encode.rule is None
+    assert [np.frombuffer(b, "<u2").tolist() for b in encode(["Ab aB ab"])] == [encode.library.encode("Ab aB ab", add_special_tokens=False).ids]
