@@ -26,6 +26,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SHARE = 0.35
 #: Benchmark items of fewer words ("yes", a name) stand in any text and make no document a leak.
 LEAST_ITEM_WORDS = 5
+#: What a task of the last stage keeps of encoded words.  Its workers go on to the language stage of the next run.
+CACHE_BYTES = 48 << 20
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,7 +79,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, with begin and end, of every document, their digest and that of the text they decode to."""
-    both = piece_codec.round_trip(docs, public_tokenizers.path(PIECES))
+    both = piece_codec.round_trip(docs, public_tokenizers.path(PIECES), cache_bytes=CACHE_BYTES)
     return both.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sessionlog.llm.piece_bpe import model, runs
-from sessionlog.llm.shared import Recent, by_bytes, pick
+from sessionlog.llm.shared import CACHE_BYTES, Recent, by_bytes, pick
 
 
 @lru_cache(maxsize=4)
@@ -30,10 +30,10 @@ def _library(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def _encoder(model_path: str, begin: bool, end: bool) -> Callable[[pa.Array], list[bytes]]:
-    """Ids of whole texts; what it keeps of words goes with it, when its task ends."""
+def _encoder(model_path: str, begin: bool, end: bool, cache_bytes: int = CACHE_BYTES) -> Callable[[pa.Array], list[bytes]]:
+    """Ids of whole texts; what it keeps of words (at most ``cache_bytes``) goes with it, when its task ends."""
     bpe = model(model_path)
-    run_ids = Recent(bpe.run_ids)
+    run_ids = Recent(bpe.run_ids, cache_bytes)
     first = np.array([bpe.library.bos_id()] * begin, "<u4").tobytes()
     last = np.array([bpe.library.eos_id()] * end, "<u4").tobytes()
     return lambda texts: [first + b"".join(run_ids(runs(x.as_py() or ""))) + last for x in texts]
@@ -70,11 +70,15 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, decoded string")
 
 
-def round_trip(docs: DataFrame, model_path: str, begin: bool = True, end: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``decode(encode(docs))`` in one pass: a task needs one worker for both."""
+def round_trip(docs: DataFrame, model_path: str, begin: bool = True, end: bool = True, doc_id: str = "doc_id", text: str = "text", cache_bytes: int = CACHE_BYTES) -> DataFrame:
+    """``decode(encode(docs))`` in one pass: a task needs one worker for both.
+
+    A worker never gives back all of the memory that its words took, so where other
+    work comes after on the same workers, fewer ``cache_bytes`` leave it more room.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, library = _encoder(model_path, begin, end), model(model_path).library
+        ids_of, library = _encoder(model_path, begin, end, cache_bytes), model(model_path).library
         for batch in by_bytes(batches, "text"):
             ids = ids_of(batch["text"])
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *_ids(ids), _decoded(library, ids)], ["doc_id", "n_tokens", "ids", "decoded"])

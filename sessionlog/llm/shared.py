@@ -83,10 +83,14 @@ def map_file(folder: str, name: str) -> np.ndarray:
         return np.frombuffer(f.read(), np.uint8)
 
 
+#: What a task keeps of computed values, unless it is told otherwise.
+CACHE_BYTES = 160 << 20
+
+
 class Recent:
     """A map of computed values in at most ``most`` bytes; the half that was longer unused goes when it is full."""
 
-    def __init__(self, compute, most: int = 160 << 20):
+    def __init__(self, compute, most: int = CACHE_BYTES):
         self.compute, self.most, self.size, self.new, self.old = compute, most // 2, 0, {}, {}
 
     def __call__(self, keys: list) -> list:

@@ -239,3 +239,46 @@ def test_other_tokenizers_send_all_words_to_the_library(tmp_path):
     encode = token_files._Encoder(path, "<u2")
     assert encode.rule is None
     assert [np.frombuffer(b, "<u2").tolist() for b in encode(["Ab aB ab"])] == [encode.library.encode("Ab aB ab", add_special_tokens=False).ids]
+
+
+def test_language_emissions_take_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 9)) for _ in range(40_000)]
+    crf = language_crf.Crf(["a", "b", "c", "d"])
+    crf.weights[:] = rng.normal(size=crf.weights.shape)
+    text = language_crf.Text(pa.array([" ".join(words)]))
+    tracemalloc.start()
+    got = text.emissions(crf.weights)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All four weights of each byte at once would take 64 bytes; their sums take 16, and so do those being added.
+    assert peak < 48 * len(text.features)
+    assert np.array_equal(got, np.add.reduceat(crf.weights[text.features].sum(1), text.begins, axis=0))
+
+
+def test_language_shares_do_not_depend_on_the_block():
+    crf = language_crf.Crf(["a", "b"])
+    crf.fit(["the cat sat on the mat"] * 5, [0] * 5)
+    all_texts = pa.array([x if i % 7 else None for i, x in enumerate(texts(8, 300))], pa.string())
+    (names, scores), (want_names, want_scores) = crf.predict(all_texts, block=16), crf.predict(all_texts, block=1 << 18)
+    assert names == want_names and np.allclose(scores, want_scores, rtol=0, atol=1e-12)
+
+
+def test_the_pipeline_bounds_what_encoding_keeps(monkeypatch):
+    import corpus_pipeline
+    from sessionlog.llm import piece_codec
+
+    sizes = []
+
+    class Noted(Recent):
+        def __init__(self, compute, most):
+            sizes.append(most)
+            super().__init__(compute, most)
+
+    monkeypatch.setattr(piece_codec, "Recent", Noted)
+    path, some = public_tokenizers.path("piece_bpe_32k.model"), pa.array(["one two", None, "two three"])
+    small = piece_codec._encoder(path, True, True, 1000)(some)
+    assert small == piece_codec._encoder(path, True, True)(some)
+    assert sizes == [1000, 160 << 20] and corpus_pipeline.CACHE_BYTES <= 48 << 20
