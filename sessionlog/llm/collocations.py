@@ -11,6 +11,7 @@ Counting follows ERA's vertical partitioning:
   their size is fixed, so the more the corpus holds, the more rare ones pass, which
   costs space alone.  Equal suffixes of a batch are counted together, and a batch's
   suffixes travel as one row, of word numbers and the words that they stand for.
+  These rows lie in files of the shared folder, from which tasks read them one by one.
 * The word prefixes of the suffixes are dealt to groups of at most ``group_rows``
   suffixes, by the suffixes counted under each prefix (or hash bucket of prefixes).
   What exceeds that alone is dealt by prefixes of one more word, and so on.
@@ -29,16 +30,18 @@ gives no rows.  Other columns of the input are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlog.llm.perfect_hash import mixed
-from sessionlog.llm.shared import by_bytes, new_folder, pick
+from sessionlog.llm.shared import by_bytes, new_folder, pick, read_batches, write_batches
 from sessionlog.llm.words import Hasher, Words
 from sessionlog.operators.sequence import top_k_per_group
 
@@ -46,7 +49,7 @@ _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _GAPS = _BREAK.copy()
 _GAPS[[0x20, 0x09]] = True
-_PIECE = 1 << 22  # bytes of text that are numbered at once
+_PIECE = 1 << 21  # bytes of text that are numbered at once
 _CHUNK = 4096
 
 
@@ -76,7 +79,7 @@ class Tokens:
         self.langs = langs.dictionary
         doc = np.repeat(np.arange(len(texts)), np.diff(words.first))
         self.lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[doc]
-        breaks = np.concatenate([[0], np.cumsum(_BREAK[words.data])])
+        breaks = np.append(np.int32(0), np.cumsum(_BREAK[words.data], dtype=np.int32))
         self.joined = np.zeros(len(sizes), bool)
         self.joined[:-1] = (breaks[words.starts[1:]] == breaks[words.ends[:-1]]) & (doc[1:] == doc[:-1])
         self.key = self.lang * len(self.words) + self.code
@@ -88,7 +91,7 @@ class Tokens:
 
 
 def _joined_words(words: pa.Array, columns: list[np.ndarray]) -> pa.Array:
-    parts = [words.take(pa.array(c, pa.int64(), mask=c < 0)) for c in columns]
+    parts = [words.take(pa.array(c, mask=c < 0)) for c in columns]
     return pc.binary_join_element_wise(*parts, " ", null_handling="skip")
 
 
@@ -177,10 +180,46 @@ def _shift(bits: np.ndarray) -> np.uint64:
     return np.uint64(64 - (len(bits) * 8).bit_length() + 1)
 
 
+def _thin(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 in as few bytes each as the largest needs: how many, all lowest bytes, all next ones, ..."""
+    width = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _wide(thin: bytes) -> np.ndarray:
+    planes = np.frombuffer(thin, np.uint8)[1:].reshape(thin[0], -1)
+    out = planes[0].astype(np.int32 if len(planes) < 4 else np.int64)
+    for k, plane in enumerate(planes[1:], 1):
+        out |= plane.astype(out.dtype) << (8 * k)
+    return out
+
+
+def _renumbered(values: pa.Array, part: np.ndarray, codes: np.ndarray) -> tuple[pa.ListArray, np.ndarray]:
+    """A list of the values that each part uses, and the codes (-1: none) as places in its list, from 1 (0: none)."""
+    size, parts = len(values) + 1, int(part[-1]) + 1
+    keys = np.append((part.reshape(-1, *[1] * (codes.ndim - 1)) * size + codes + 1).ravel(), np.arange(parts) * size)
+    if parts == 1:
+        seen = np.zeros(size, bool)
+        seen[keys] = True
+        used, number = np.flatnonzero(seen), (np.cumsum(seen) - 1)[keys]
+    else:
+        used, number = np.unique(keys, return_inverse=True)
+    begins = number[len(number) - parts :]
+    number = number[: len(number) - parts].reshape(codes.shape)
+    number -= begins[part].reshape(-1, *[1] * (codes.ndim - 1))
+    of_words = used % size
+    bounds = np.append(begins, len(used)) - np.arange(parts + 1)
+    return pa.ListArray.from_arrays(bounds.astype(np.int32), values.take(pa.array(of_words[of_words > 0] - 1)).cast(pa.string())), number
+
+
 class Suffixes:
-    """Distinct suffixes and their counts: numbers of ``words`` (-1 after the last one) and of ``langs``."""
+    """Distinct suffixes and their counts: numbers of ``words`` (-1 after the last one) and of ``langs``.
 
-    SCHEMA = "words array<string>, langs array<string>, lang binary, codes binary, counts binary"
+    Packed they are a row: the words, joined by line ends (no word holds one),
+    the languages, and the numbers in as few bytes as they need, word by word.
+    """
+
+    SCHEMA = "words string, langs array<string>, lang binary, codes binary, counts binary"
 
     def __init__(self, words: pa.Array, langs: pa.Array, lang: np.ndarray, codes: np.ndarray, counts: np.ndarray):
         self.words, self.langs, self.lang, self.codes, self.counts = words, langs, lang, codes, counts
@@ -197,58 +236,97 @@ class Suffixes:
     def parts(self, which: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[pa.Array]]:
         """The values of ``which`` in order, their suffixes, and packed columns with a row for each value."""
         order = np.argsort(which, kind="stable")
-        cut = np.flatnonzero(np.diff(which[order])) + 1
-        own = np.split(order, cut) if len(order) else []
-        columns: list[list] = [[], [], [], [], []]
-        for at in own:
-            used, codes = np.unique(np.append(self.codes[at], -1), return_inverse=True)
-            langs, lang = np.unique(self.lang[at], return_inverse=True)
-            for column, x in zip(columns, (self.words.take(pa.array(used[1:])), self.langs.take(pa.array(langs)), lang.astype("<u4").tobytes(), (codes[:-1] - 1).astype("<i4").tobytes(), self.counts[at].astype("<i8").tobytes()), strict=True):
-                column.append(x)
-        lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), pa.concat_arrays([pa.array([], pa.string()), *(y.cast(pa.string()) for y in x)])) for x in columns[:2]]
-        return which[order][np.append(0, cut)] if len(order) else which, own, [*lists, *(pa.array(x, pa.binary()) for x in columns[2:])]
+        which = which[order]
+        begins = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
+        bounds = np.append(begins, len(order))
+        part = np.repeat(np.arange(len(begins)), np.diff(bounds))
+        words, codes = _renumbered(self.words, part, self.codes[order])
+        langs, lang = _renumbered(self.langs, part, self.lang[order])
+        counts, spans = self.counts[order], [slice(a, b) for a, b in itertools.pairwise(bounds.tolist())]
+        thin = [pa.array([_thin(x[at].T.ravel()) for at in spans], pa.binary()) for x in (lang, codes, counts)]
+        return which[begins], [order[at] for at in spans], [pc.binary_join(words, "\n"), langs, *thin]
 
     @staticmethod
     def together(rows, longest: int) -> "Suffixes":
         """The suffixes of packed rows, with words and languages numbered for all of them."""
-        flat, shift = [], []
-        for name in ("words", "langs"):
-            lists = rows[name].combine_chunks() if isinstance(rows[name], pa.ChunkedArray) else rows[name]
+        flat, number, shift = [], [], []
+        for lists in (pc.split_pattern(rows["words"], "\n"), rows["langs"]):
+            lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
             flat.append(lists.flatten().dictionary_encode())
-            shift.append(np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]))
-        lang, codes, counts = ([np.frombuffer(x.as_py(), kind).astype(np.int64) for x in rows[name]] for name, kind in (("lang", "<u4"), ("codes", "<i4"), ("counts", "<i8")))
-        number = [f.indices.to_numpy(zero_copy_only=False).astype(np.int64) for f in flat]
-        lang = np.concatenate([number[1][x + a] for x, a in zip(lang, shift[1], strict=False)]) if lang else np.empty(0, np.int64)
-        codes = np.concatenate([np.where(x >= 0, np.append(number[0], -1)[np.where(x >= 0, x + a, -1)], -1) for x, a in zip(codes, shift[0], strict=False)]) if codes else np.empty(0, np.int64)
-        return Suffixes(flat[0].dictionary, flat[1].dictionary, lang, codes.reshape(-1, longest), np.concatenate(counts) if counts else np.empty(0, np.int64))
+            number.append(np.append(-1, flat[-1].indices.to_numpy(zero_copy_only=False)).astype(np.int32))
+            shift.append([0, *np.cumsum(pc.list_value_length(lists).to_numpy()).tolist()])
+
+        def whole(name: str, k: int) -> Iterator[np.ndarray]:
+            for x, a in zip(rows[name], shift[k], strict=False):
+                places = _wide(x.as_py())
+                yield number[k][np.where(places > 0, places + a, 0)]
+
+        codes = np.concatenate([x.reshape(longest, -1) for x in whole("codes", 0)], axis=1).T
+        return Suffixes(flat[0].dictionary, flat[1].dictionary, np.concatenate([*whole("lang", 1)]), codes, np.concatenate([_wide(x.as_py()).astype(np.int64) for x in rows["counts"]]))
 
 
 _NAMES = ["words", "langs", "lang", "codes", "counts"]
 
 
-def suffixes(rows: DataFrame, bits: np.ndarray, pair_bits: np.ndarray, longest: int) -> DataFrame:
-    """Packed suffixes of 2 to ``longest`` words: a row for each batch of texts."""
-    shift, pair_shift = _shift(bits), _shift(pair_bits)
+class Packed(NamedTuple):
+    """Packed suffixes in files of the shared folder, a row for each batch of texts; ``count``: of the suffixes.
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        able = np.unpackbits(bits).astype(bool)
-        for batch in by_bytes(batches, "text", _PIECE):
-            s = _Starts(batch, able, shift)
-            t, place = s.tokens, (s.pairs >> pair_shift).astype(np.int64)
-            joined = np.zeros(len(t.code) + longest, bool)
-            joined[s.at] = pair_bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1
-            at = np.flatnonzero(joined)
-            columns, ids, on = [t.code[at]], t.key[at], np.ones(len(at), bool)
-            code = np.append(t.code, np.zeros(longest, np.int64))
-            for d in range(1, longest):
-                on = on & joined[at + d - 1]
-                columns.append(np.where(on, code[at + d], -1))
-                ids = np.unique(ids, return_inverse=True)[1] * (len(t.words) + 1) + columns[-1] + 1
-            _, first, c = np.unique(ids, return_index=True, return_counts=True)
-            found = Suffixes(t.words, t.langs, t.lang[at][first], np.stack([x[first] for x in columns], 1), c)
-            yield pa.RecordBatch.from_arrays(found.parts(np.zeros(len(c), np.int64))[2], _NAMES)
-
-    return rows.mapInArrow(cut, Suffixes.SCHEMA)
+    Tasks read the rows one by one from the files: a row is some MB, and sent
+    through the JVM all rows of a task would stand in one Arrow batch, there and here.
+    """
+
+    spark: SparkSession
+    folder: str
+    files: list[str]
+    count: int
+
+    def map(self, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        """What ``f`` makes of the rows, a task for each file."""
+        folder, files = self.folder, self.files
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from f(row for batch in batches for at in batch["id"].to_pylist() for row in read_batches(folder, files[at]))
+
+        return self.spark.range(0, len(files), 1, max(1, len(files))).mapInArrow(run, schema)
+
+
+def suffixes(rows: DataFrame, bits: np.ndarray, pair_bits: np.ndarray, longest: int) -> Packed:
+    """Packed suffixes of 2 to ``longest`` words: a row for each batch of texts."""
+    spark, shift, pair_shift = rows.sparkSession, _shift(bits), _shift(pair_bits)
+    folder = new_folder(spark, "phrase-suffixes")
+
+    def cut(batch: pa.RecordBatch, able: np.ndarray) -> Suffixes:
+        s = _Starts(batch, able, shift)
+        t, place = s.tokens, (s.pairs >> pair_shift).astype(np.int64)
+        joined = np.zeros(len(t.code) + longest, bool)
+        joined[s.at] = pair_bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1
+        at = np.flatnonzero(joined)
+        code = np.append(t.code, np.zeros(longest, np.int64)).astype(np.int32)
+        columns, ids, on = [code[at]], t.key[at], np.ones(len(at), bool)
+        for d in range(1, longest):
+            on = on & joined[at + d - 1]
+            columns.append(np.where(on, code[at + d], np.int32(-1)))
+            ids = np.unique(ids, return_inverse=True)[1] * (len(t.words) + 1) + columns[-1] + 1
+        _, first, c = np.unique(ids, return_index=True, return_counts=True)
+        return Suffixes(t.words, t.langs, t.lang[at][first], np.stack([x[first] for x in columns], 1), c)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        able, count = np.unpackbits(bits).astype(bool), 0
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            nonlocal count
+            for batch in by_bytes(batches, "text", _PIECE):
+                s = cut(batch, able)
+                if len(s.counts):
+                    count += len(s.counts)
+                    yield pa.RecordBatch.from_arrays(s.parts(np.zeros(len(s.counts), np.int64))[2], _NAMES)
+
+        name = write_batches(folder, "suffixes", packed())
+        if name is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count], pa.int64())], ["file", "count"])
+
+    found = rows.mapInArrow(write, "file string, count long").toArrow()  # a row a task
+    return Packed(spark, folder, found["file"].to_pylist(), sum(found["count"].to_pylist()))
 
 
 def _dealt(s: Suffixes, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -262,22 +340,20 @@ def _dealt(s: Suffixes, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarra
     return group, depth, np.zeros(len(group), np.uint64)
 
 
-def prefix_groups(packed: DataFrame, longest: int, group_rows: int) -> list[np.ndarray]:
+def prefix_groups(packed: Packed, longest: int, group_rows: int) -> list[np.ndarray]:
     """For prefixes of 1, 2, ... words: the group of each hash bucket (-1: dealt by longer prefixes)."""
-    n = (packed.agg(F.sum(F.octet_length("counts"))).first()[0] or 0) // 8
-    buckets, groups, filled, tables = max(1024, 1 << (4 * n // group_rows).bit_length()), 0, group_rows + 1, []
+    buckets, groups, filled, tables = max(1024, 1 << (4 * packed.count // group_rows).bit_length()), 0, group_rows + 1, []
     for words in range(1, longest + 1):
 
-        def count(batches: Iterator[pa.RecordBatch], known=tuple(tables)) -> Iterator[pa.RecordBatch]:
+        def count(rows: Iterator[pa.RecordBatch], known=tuple(tables)) -> Iterator[pa.RecordBatch]:
             sums = np.zeros(buckets, np.int64)
-            for batch in batches:
-                for at in range(len(batch)):
-                    group, _, h = _dealt(Suffixes.together(batch.slice(at, 1), longest), list(known))
-                    sums += np.bincount((h[group < 0] % np.uint64(buckets)).astype(np.int64), minlength=buckets)
+            for row in rows:
+                group, _, h = _dealt(Suffixes.together(row, longest), list(known))
+                sums += np.bincount((h[group < 0] % np.uint64(buckets)).astype(np.int64), minlength=buckets)
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["bucket", "c"])
 
-        found = packed.mapInArrow(count, "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
+        found = packed.map(count, "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
         table = np.full(buckets, -1, np.int32)
         for b, c in zip(found["bucket"].to_pylist(), found["c"].to_pylist(), strict=True):
             if c > group_rows and words < longest:
@@ -291,18 +367,17 @@ def prefix_groups(packed: DataFrame, longest: int, group_rows: int) -> list[np.n
     return tables
 
 
-def grouped(packed: DataFrame, tables: list[np.ndarray], longest: int) -> DataFrame:
+def grouped(packed: Packed, tables: list[np.ndarray], longest: int) -> DataFrame:
     """The packed suffixes, a row for each batch and group, with ``group`` and ``depth`` (the words of its prefixes, a byte a suffix)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(len(batch)):
-                s = Suffixes.together(batch.slice(at, 1), longest)
-                group, depth, _ = _dealt(s, tables)
-                groups, own, columns = s.parts(group)
-                yield pa.RecordBatch.from_arrays([pa.array(groups), pa.array([depth[x].astype(np.uint8).tobytes() for x in own], pa.binary()), *columns], ["group", "depth", *_NAMES])
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows:
+            s = Suffixes.together(row, longest)
+            group, depth, _ = _dealt(s, tables)
+            groups, own, columns = s.parts(group)
+            yield pa.RecordBatch.from_arrays([pa.array(groups), pa.array([depth[x].astype(np.uint8).tobytes() for x in own], pa.binary()), *columns], ["group", "depth", *_NAMES])
 
-    return packed.mapInArrow(run, f"group long, depth binary, {Suffixes.SCHEMA}")
+    return packed.map(run, f"group long, depth binary, {Suffixes.SCHEMA}")
 
 
 def subtree(table: pa.Table, longest: int, least: int) -> pa.Table:
@@ -327,11 +402,8 @@ def subtree(table: pa.Table, longest: int, least: int) -> pa.Table:
 
 def phrase_counts(rows: DataFrame, frequent: DataFrame, least: int, longest: int, group_rows: int, filter_bits: tuple[int, int]) -> DataFrame:
     """lang, phrase, size (words) and c of all phrases of 2 to ``longest`` words that occur ``least`` times or more."""
-    spark = rows.sparkSession
-    path = new_folder(spark, "phrase-suffixes")
     bits = _bits(frequent, filter_bits[0])
-    suffixes(rows, bits, _pair_bits(rows, bits, least, filter_bits[1]), longest).write.option("compression", "zstd").parquet(path)
-    packed = spark.read.parquet(path)
+    packed = suffixes(rows, bits, _pair_bits(rows, bits, least, filter_bits[1]), longest)
     ready = grouped(packed, prefix_groups(packed, longest, group_rows), longest)
     nodes = ready.groupBy("group").applyInArrow(lambda t: subtree(t, longest, least), "lang string, phrase string, size int, c long")
     return nodes.groupBy("lang", "phrase", "size").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)

@@ -83,6 +83,34 @@ def map_file(folder: str, name: str) -> np.ndarray:
         return np.frombuffer(f.read(), np.uint8)
 
 
+def write_batches(folder: str, stem: str, batches) -> str | None:
+    """Write Arrow batches, compressed, to a new file as ``write_file`` does; its name, or None if there are none."""
+    import itertools
+
+    import pyarrow as pa
+
+    batches = iter(batches)
+    first = next(batches, None)
+    if first is None:
+        return None
+    name = f"{stem}-{uuid.uuid4().hex}.bin"
+    system, path = _resolve(folder)
+    system.create_dir(path, recursive=True)
+    with system.open_output_stream(f"{path}/{name}") as out, pa.ipc.new_stream(out, first.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        for batch in itertools.chain([first], batches):
+            writer.write_batch(batch)
+    return name
+
+
+def read_batches(folder: str, name: str):
+    """The batches of a file one by one, without the others in memory."""
+    import pyarrow as pa
+
+    system, path = _resolve(folder)
+    with system.open_input_stream(f"{path}/{name}") as f:
+        yield from pa.ipc.open_stream(f)
+
+
 #: What a task keeps of computed values, unless it is told otherwise.
 CACHE_BYTES = 160 << 20
 

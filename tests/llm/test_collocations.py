@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__
@@ -79,3 +81,50 @@ def test_query(spark):
     found = __spark_entry__.queries()["op13_collocations"](spark, sf)
     assert sorted(rows_of(found)) == sorted(plain(rows, 100, 2000))
     assert found.dtypes[1] == ("rank", "bigint")
+
+
+def test_numbers_take_few_bytes():
+    for most in (0, 1, 255, 256, 70_000, 2**24, 2**31, 2**40):
+        numbers = np.array([0, most, most // 2, 0], np.int64)
+        thin = collocations._thin(numbers)
+        assert collocations._wide(thin).tolist() == numbers.tolist()
+        assert len(thin) == 1 + 4 * max(1, (most.bit_length() + 7) // 8)
+
+
+def test_packed_suffixes_are_small():
+    """A packed suffix took 32 bytes, so rows of one task filled an executor's memory at 6 GB."""
+    rnd = np.random.default_rng(3)
+    n, words, langs = 3000, pa.array([f"word{i}é" for i in range(300)]), pa.array(["de", "en", "xx"])
+    codes = rnd.integers(0, 300, (n, 5)).astype(np.int32)
+    codes[:, 3:][rnd.random(n) < 0.3] = -1
+    s = collocations.Suffixes(words, langs, rnd.integers(0, 3, n), codes, rnd.integers(1, 300, n))
+
+    def plainly(x):
+        spell = [*x.words.to_pylist(), None]
+        return [(x.langs[int(a)].as_py(), *(spell[k] for k in c), int(m)) for a, c, m in zip(x.lang, x.codes.tolist(), x.counts, strict=True)]
+
+    rows = plainly(s)
+    for which in (np.zeros(n, np.int64), rnd.integers(0, 7, n) * 5):
+        values, own, columns = s.parts(which)
+        assert values.tolist() == sorted(set(which.tolist()))
+        assert [sorted(x.tolist()) for x in own] == [np.flatnonzero(which == v).tolist() for v in values]
+        assert sum(len(x.as_py()) for c in columns[2:] for x in c) <= n * (1 + 2 * 5 + 2) + 3 * len(values)
+        back = plainly(collocations.Suffixes.together(pa.table(columns, collocations._NAMES), 5))
+        assert back == [rows[i] for x in own for i in x]
+
+
+def test_packed_suffixes_are_read_one_row_at_a_time(spark):
+    """However many rows a task has: they came as one Arrow batch, which grew with the task's share of the input."""
+    text = " ".join(random.Random(8).choices(["state", "of", "the", "art", "in"], k=20_000))
+    docs = spark.createDataFrame([(text + " " + "x" * (5 << 19), "en") for k in range(4)], "text string, lang string").coalesce(1)
+    every = [np.full(1 << 9, 255, np.uint8) for _ in range(2)]
+    packed = collocations.suffixes(docs, *every, 5)
+    assert len(packed.files) == 1
+
+    def sizes(rows):
+        for r in rows:
+            yield pa.RecordBatch.from_arrays([pa.array([len(r)]), pa.array([len(collocations.Suffixes.together(r, 5).counts)])], ["rows", "count"])
+
+    found = packed.map(sizes, "rows long, count long").collect()
+    assert [r.rows for r in found] == [1] * 4
+    assert sum(r["count"] for r in found) == packed.count
